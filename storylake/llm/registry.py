@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from storylake.llm.exact_dedup import exact_dedup
+from storylake.llm.language_id import identify
+from storylake.llm.near_dedup import near_duplicates
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near-duplicates of every whole document."""
+    return near_duplicates(_read(spark, folder, "documents"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole document, learned from those that are not held out."""
+    return identify(_read(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of every whole document and the row that stays."""
     return exact_dedup(_read(spark, folder, "documents"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+QUERIES = {
+    "op1_dart_minhash": op1_dart_minhash,
+    "op3_language_id": op3_language_id,
+    "op4_exact_dedup": op4_exact_dedup,
+}
 
 #: ASCII lower-casing in DuckDB: its own lower() also changes other letters.
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
