@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storylake.llm.decontamination import contamination
 from storylake.llm.exact_dedup import exact_dedup
+from storylake.llm.html_density import page_texts
 from storylake.llm.language_id import identify
 from storylake.llm.near_dedup import near_duplicates
+from storylake.llm.pii import pii_digest
+from storylake.llm.quality_crf import quality
+from storylake.llm.unigram import load_model, tokenize
+
+#: A public SentencePiece model; a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +26,11 @@ def op1_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"))
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every whole document."""
+    return pii_digest(_read(spark, folder, "documents"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every whole document, learned from those that are not held out."""
     return identify(_read(spark, folder, "documents"))
@@ -28,10 +41,35 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(_read(spark, folder, "documents"))
 
 
+def op5_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every whole document, learned from labels that are not held out."""
+    return quality(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+def op6_html_density(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every whole page."""
+    return page_texts(_read(spark, folder, "pages"))
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in every whole document."""
+    return contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark")).drop("items")
+
+
+def op8_unigram(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every whole document, and whether they decode to it."""
+    return tokenize(_read(spark, folder, "documents"), load_model(PIECES))
+
+
 QUERIES = {
     "op1_dart_minhash": op1_dart_minhash,
+    "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_crf": op5_quality_crf,
+    "op6_html_density": op6_html_density,
+    "op7_decontamination": op7_decontamination,
+    "op8_unigram": op8_unigram,
 }
 
 #: ASCII lower-casing in DuckDB: its own lower() also changes other letters.
@@ -45,4 +83,19 @@ ORACLES = {
                count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, text_sha256
         FROM h""",
+    "op7_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k
+               FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM bw),
+        dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k
+               FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+        m AS (SELECT doc_id, p, n, item_id FROM dw JOIN bw USING (n, k)),
+        h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS pos FROM m) GROUP BY doc_id),
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
 }
