@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storylake.llm.decontamination import contamination
 from storylake.llm.exact_dedup import exact_dedup
 from storylake.llm.html_density import page_texts
 from storylake.llm.language_id import identify
+from storylake.llm.licence_scan import TEMPLATES, THRESHOLD, scan
 from storylake.llm.near_dedup import near_duplicates
 from storylake.llm.pii import pii_digest
 from storylake.llm.quality_crf import quality
+from storylake.llm.suffix_dedup import repeats_digest
 from storylake.llm.unigram import load_model, tokenize
 
 #: A public SentencePiece model; a parameter of the operator.
@@ -61,6 +64,18 @@ def op8_unigram(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize(_read(spark, folder, "documents"), load_model(PIECES))
 
 
+def op9_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every whole document that no earlier place repeats."""
+    return repeats_digest(_read(spark, folder, "documents"))
+
+
+def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every whole document; its source and language are its directory."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    found = scan(_read(spark, folder, "documents").withColumn("path", path), id_col="doc_id")
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
 QUERIES = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_pii": op2_pii,
@@ -70,11 +85,15 @@ QUERIES = {
     "op6_html_density": op6_html_density,
     "op7_decontamination": op7_decontamination,
     "op8_unigram": op8_unigram,
+    "op9_suffix_array": op9_suffix_array,
+    "op10_licence_scan": op10_licence_scan,
 }
 
 #: ASCII lower-casing in DuckDB: its own lower() also changes other letters.
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATE_VALUES = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(TEMPLATES))
+
 ORACLES = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {ASCII_LOWER} AS norm FROM documents),
@@ -98,4 +117,37 @@ ORACLES = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op10_licence_scan": f"""
+        WITH RECURSIVE tpl(template_no, licence, text) AS (VALUES {_TEMPLATE_VALUES}),
+        tt AS (SELECT template_no, licence, term, count(*) AS tf
+               FROM (SELECT template_no, licence, unnest(regexp_extract_all({ASCII_LOWER}, '[a-z0-9]+')) AS term FROM tpl) GROUP BY ALL),
+        f AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, {ASCII_LOWER} AS norm FROM documents),
+        l AS (SELECT doc_id, unnest(range(1, len(string_split(norm, chr(10))) + 1)) AS block, unnest(string_split(norm, chr(10))) AS line FROM f),
+        b AS (SELECT doc_id, block, regexp_extract_all(line, '[a-z0-9]+') AS terms FROM l
+              UNION ALL SELECT doc_id, 0, regexp_extract_all(norm, '[a-z0-9]+') FROM f),
+        n AS (SELECT count(*) AS n FROM b WHERE block > 0 AND len(terms) > 0),
+        o AS (SELECT doc_id, block, term, count(*) AS tf FROM (SELECT doc_id, block, unnest(terms) AS term FROM b) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM o WHERE block > 0 AND term IN (SELECT term FROM tt) GROUP BY term),
+        w AS (SELECT template_no, licence, term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf, tf FROM tt LEFT JOIN df USING (term), n),
+        v AS (SELECT *, tf * idf AS weight, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template_no)) AS norm FROM w),
+        u AS (SELECT DISTINCT term, idf FROM w),
+        k AS (SELECT doc_id, block, term, o.tf, idf, (SELECT max(idf) FROM w) AS top FROM o LEFT JOIN u USING (term)),
+        len AS (SELECT doc_id, block, sqrt(sum(CASE WHEN idf IS NULL THEN tf * top * top ELSE tf * idf * tf * idf END)) AS length FROM k GROUP BY ALL),
+        dot AS (SELECT doc_id, block, template_no, licence, norm, sum(k.tf * k.idf * weight) AS dot FROM k JOIN v USING (term) GROUP BY ALL),
+        s AS (SELECT doc_id, block, template_no, licence, round(dot / (length * norm), 6) AS score FROM dot JOIN len USING (doc_id, block)),
+        m AS (SELECT * FROM s WHERE score >= {THRESHOLD}),
+        h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template_no, block) AS r FROM m WHERE block > 0),
+        wh AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template_no) AS r FROM m WHERE block = 0),
+        own AS (SELECT doc_id, 'header' AS origin, licence, score, block FROM h WHERE r = 1
+                UNION ALL SELECT doc_id, 'file', licence, score, block FROM wh WHERE r = 1 AND doc_id NOT IN (SELECT doc_id FROM h)),
+        d AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f),
+        dirs AS (SELECT dir AS above, licence, score FROM (SELECT dir, licence, score, row_number() OVER (PARTITION BY dir ORDER BY score DESC, template_no) AS r
+                 FROM d JOIN wh USING (doc_id) WHERE wh.r = 1) WHERE r = 1),
+        near AS (SELECT dir, above, licence, score, row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) AS r
+                 FROM (SELECT DISTINCT dir FROM d) x JOIN dirs ON x.dir = above OR above = '' OR starts_with(x.dir, above || '/'))
+        SELECT doc_id, path, coalesce(own.licence, near.licence) AS licence,
+               coalesce(origin, CASE WHEN above IS NOT NULL THEN 'inherited' ELSE 'none' END) AS origin,
+               coalesce(own.score, near.score) AS score, CAST(CASE WHEN origin = 'header' THEN block ELSE 0 END AS BIGINT) AS line,
+               CASE WHEN origin IS NULL THEN above END AS source_dir
+        FROM d LEFT JOIN own USING (doc_id) LEFT JOIN (SELECT * FROM near WHERE r = 1) near USING (dir)""",
 }
