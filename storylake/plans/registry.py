@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("volumes",)
+MODULES: tuple[str, ...] = ("volumes", "reading", "analysis", "relations")
 
 
 def _merged(attribute: str) -> dict:

@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from storylake.operators.volumes import batched, volume_ranges
 from storylake.sources.tables import table
 
-VOLUME_SIZE = 50
-
 
 def volume_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of a conversation cut into volumes of three, with their file names."""
-    size = 3
-    ordered = Window.partitionBy("conv_id").orderBy("turn")
-    batched = table(spark, folder, "conversations").select(
-        "conv_id", "turn", (F.floor((F.row_number().over(ordered) - 1) / size) + 1).alias("volume")
-    )
-    return (
-        batched.groupBy("conv_id", "volume")
-        .agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"), F.count("*").alias("n_chapters"))
-        .select(
-            "conv_id",
-            "volume",
-            (F.col("lo") + 1).alias("range_start"),
-            (F.col("hi") + 1).alias("range_end"),
-            "n_chapters",
-            F.format_string("vol-%03d-ch%03d-%03d.json", "volume", F.col("lo") + 1, F.col("hi") + 1).alias("file_name"),
-        )
-    )
+    return volume_ranges(batched(table(spark, folder, "conversations"), ["conv_id"], "turn", size=3), ["conv_id"], "turn")
 
 
 QUERIES = {"volume_batches": volume_batches}
