@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from storylake.llm.suffix_array import permuted_prefixes, suffix_array
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # an anchor starts at most so far behind its window
 #: Bytes hashed at once, bytes within whose fragments repeats are met before the shuffle, and bytes of a shard.
-SLICE, GATHERED, SHARD = 1 << 20, 1 << 24, 1 << 22
+SLICE, GATHERED, SHARD = 1 << 20, 1 << 24, 1 << 20
 #: Place of documents without an id: after all others.
 LAST = 2**63 - 1
 _FACTOR = 0x9E3779B97F4A7C15
@@ -98,19 +99,28 @@ def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return h[anchor[new]], whole, owner[first], first - (ends - sizes)[owner[first]], count
 
 
+def _slices(batches, text: int):
+    """Batches of a few rows, by the bytes of the text column with that number."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
+        ends, low = np.cumsum(size), 0
+        while low < len(size):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] - size[low] + SLICE, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """Lists of structs (null: empty) as one array: first element, number of elements, all elements."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return offsets[:-1], np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets)), column.values
+
+
 def _documents(batches):
     """(ids, tags, UTF-8 bytes) of a few documents at a time."""
-    for batch in batches:
-        ids, tags, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).cast(pa.binary())
-        part, size = [], 0
-        for i in range(len(texts)):
-            raw = texts[i].as_py()
-            part.append(raw)
-            size += len(raw)
-            if size >= SLICE or i == len(texts) - 1:
-                at = slice(i + 1 - len(part), i + 1)
-                yield ids[at], tags[at], part
-                part, size = [], 0
+    for some in _slices(batches, 2):
+        ids, tags = (some.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        yield ids, tags, some.column(2).cast(pa.binary()).to_pylist()
 
 
 NAMES = ["anchor", "whole", "doc", "tag", "first", "windows", "again"]
@@ -141,7 +151,10 @@ def _describe(batches):
     def flush():
         anchor, whole, doc, tag, first, windows = (np.concatenate(c) for c in zip(*held))
         order, earliest = _in_order(anchor, whole, doc, tag, first)
-        yield from _rows(*(a[order] for a in (anchor, whole, doc, tag, first, windows)), ~earliest)
+        anchor, whole, doc, tag, first, windows = (a[order] for a in (anchor, whole, doc, tag, first, windows))
+        # A known repeat needs no meeting: without its anchor it goes anywhere, so no anchor makes a task large.
+        anchor = np.where(earliest, anchor, mix(doc.view(U) * STEP + first.astype(U)))
+        yield from _rows(anchor, np.where(earliest, whole, U(0)), doc, tag, first, windows, ~earliest)
 
     for ids, tags, texts in _documents(batches):
         anchor, whole, owner, first, windows = fragments(texts)
@@ -154,45 +167,49 @@ def _describe(batches):
         yield from flush()
 
 
-def _gathered(batches):
-    table = pa.Table.from_batches(list(batches))
-    return [table.column(n).to_numpy() for n in table.column_names] if table.num_rows else None
+def _whole_anchors(batches):
+    """Tables of a task's rows, sorted by anchor, that part no anchor; about a batch each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor = batch.column(0).to_numpy()
+        last = int(np.searchsorted(anchor, anchor[-1]))
+        if last or (held and held[-1].column(0)[-1].as_py() != anchor[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _meet(batches):
     """Fragments of an anchor together: those that repeat another as a whole, and those to compare byte by byte (``again`` false)."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    anchor, whole, doc, tag, first, windows, again = _gathered(batches)
-    anchor, whole = anchor.view(U), whole.view(U)
-    known = np.flatnonzero(again)
-    yield from _rows(*(a[known] for a in (anchor, whole, doc, tag, first, windows)), True)
-    rest = np.flatnonzero(~again)
-    order, earliest = _in_order(anchor[rest], whole[rest], doc[rest], tag[rest], first[rest])
-    order = rest[order]
-    late = order[~earliest]
-    yield from _rows(*(a[late] for a in (anchor, whole, doc, tag, first, windows)), True)
-    lead = order[earliest]
-    _, group, times = np.unique(anchor[lead], return_inverse=True, return_counts=True)
-    several = lead[times[group] > 1]
-    yield from _rows(*(a[several] for a in (anchor, whole, doc, tag, first, windows)), False)
+    for table in _whole_anchors(batches):
+        anchor, whole, doc, tag, first, windows, again = (c.to_numpy() for c in table.columns)
+        anchor, whole = anchor.view(U), whole.view(U)
+        rest = np.flatnonzero(~again)
+        order, earliest = _in_order(anchor[rest], whole[rest], doc[rest], tag[rest], first[rest])
+        order = rest[order]
+        late = np.concatenate([np.flatnonzero(again), order[~earliest]])
+        yield from _rows(*(a[late] for a in (anchor, whole, doc, tag, first, windows)), True)
+        lead = order[earliest]
+        _, group, times = np.unique(anchor[lead], return_inverse=True, return_counts=True)
+        several = lead[times[group] > 1]
+        yield from _rows(*(a[several] for a in (anchor, whole, doc, tag, first, windows)), False)
 
 
 def _cut(batches):
     """Bytes of the asked fragments of each document."""
-    for batch in batches:
-        anchors, docs, tags, firsts, parts = [], [], [], [], []
-        for row in batch.to_pylist():
-            raw = row["text"].encode()
-            for ask in row["asked"]:
-                anchors.append(ask["anchor"])
-                docs.append(row["doc"])
-                tags.append(row["tag"])
-                firsts.append(ask["first"])
-                parts.append(raw[ask["first"] : ask["first"] + ask["windows"] + LENGTH - 1])
-        columns = [pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(firsts, pa.int32()), pa.array(parts, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc", "tag", "first", "bytes"])
+    for some in _slices(batches, 2):
+        low, count, asked = _lists(some.column(3))
+        row = np.repeat(np.arange(len(low)), count)
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(row))
+        anchor, first, windows = (asked.field(n).to_numpy()[at] for n in ("anchor", "first", "windows"))
+        texts = some.column(2).cast(pa.binary()).to_pylist()
+        parts = [texts[r][a:b] for r, a, b in zip(row.tolist(), first.tolist(), (first + windows + LENGTH - 1).tolist())]
+        columns = [anchor, some.column(0).to_numpy()[row], some.column(1).to_numpy()[row], first]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=["anchor", "doc", "tag", "first", "bytes"])
 
 
 def repeats_in_shard(parts: list[bytes], doc: np.ndarray, tag: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,10 +244,11 @@ def repeats_in_shard(parts: list[bytes], doc: np.ndarray, tag: np.ndarray, first
 
 def _sort_shards(batches):
     """Suffix arrays over shards of whole anchors; runs of repeated windows as rows ``doc, tag, first, windows``."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches).sort_by("anchor")
+    for table in _whole_anchors(batches):
+        yield from _sort_table(table)
+
+
+def _sort_table(table):
     anchor, doc, tag, first = (table.column(n).to_numpy() for n in ("anchor", "doc", "tag", "first"))
     parts = table.column("bytes").to_pylist()
     ends = np.cumsum([len(p) for p in parts])
@@ -264,11 +282,13 @@ def removed_runs(first: np.ndarray, windows: np.ndarray) -> list[tuple[int, int]
 
 
 def _remove(batches):
-    for batch in batches:
+    for batch in _slices(batches, 1):
+        low, count, spans = _lists(batch.column(2))
+        first, windows = spans.field("first").to_numpy(), spans.field("windows").to_numpy()
         out = []
-        for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            raw = (text or "").encode()
-            runs = removed_runs(np.array([s["first"] for s in spans]), np.array([s["windows"] for s in spans])) if spans else []
+        for doc_id, raw, a, n in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), low.tolist(), count.tolist()):
+            raw = raw or b""
+            runs = removed_runs(first[a : a + n], windows[a : a + n])
             kept, last = [], 0
             for start, end in runs:
                 kept.append(raw[last:start])
@@ -289,11 +309,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col), F.lit(""))
     placed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
     long_enough = placed.where(F.octet_length("text") >= LENGTH)
-    met = written(long_enough.mapInArrow(_describe, SCHEMA).repartition("anchor").mapInArrow(_meet, SCHEMA).drop("whole"), "fragments")
+    described = long_enough.mapInArrow(_describe, SCHEMA).repartition("anchor").sortWithinPartitions("anchor")
+    met = written(described.mapInArrow(_meet, SCHEMA).drop("whole"), "fragments")
     asked = met.where("NOT again").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("asked"))
     sources = long_enough.join(if_small(met.where("NOT again").select("doc", "tag").distinct()), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
-    cut = sources.join(asked, ["doc", "tag"]).mapInArrow(_cut, "anchor long, doc long, tag long, first int, bytes binary")
-    partial = cut.repartition("anchor").mapInArrow(_sort_shards, "doc long, tag long, first int, windows int")
+    cut = sources.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked").mapInArrow(_cut, "anchor long, doc long, tag long, first int, bytes binary")
+    partial = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_shards, "doc long, tag long, first int, windows int")
     return written(met.where("again").select("doc", "tag", "first", "windows").unionByName(partial), "repeats")
 
 
