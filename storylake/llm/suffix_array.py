@@ -28,6 +28,11 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.ndarra
     n, symbols = len(s), np.flatnonzero(np.diff(bounds))
     sa = np.full(n, -1, np.int64)
     head, tail = bounds[:-1].copy(), bounds[1:].copy()
+    # Few symbols sort faster in a short type.
+    s = s.astype(np.uint16) if len(bounds) <= 1 << 16 else s
+    after_small, after_large = np.zeros(n, bool), np.zeros(n, bool)
+    after_small[1:], after_large[1:] = small[:-1], ~small[:-1]
+    index = np.arange(n)
     first = s[lms]
     order = np.argsort(first, kind="stable")
     lms, first = lms[order], first[order]
@@ -36,42 +41,38 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.ndarra
     def place(at, forward):
         """Append suffixes to their buckets, in order; from the front or the back."""
         c = s[at]
-        order = np.argsort(c, kind="stable")
+        order = c.argsort(kind="stable")
         at, c = at[order], c[order]
-        starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        sizes = np.diff(np.append(starts, len(c)))
-        number = np.arange(len(c)) - np.repeat(starts, sizes)
+        number = index[: len(c)] - c.searchsorted(c)
+        # Of assignments to one bucket's end the last one stays, which is that of its last suffix.
         if forward:
-            sa[head[c] + number] = at
-            head[c[starts]] += sizes
+            slot = head[c] + number
+            head[c] = slot + 1
         else:
-            sa[tail[c] - 1 - number] = at
-            tail[c[starts]] -= sizes
+            slot = tail[c] - 1 - number
+            tail[c] = slot
+        sa[slot] = at
 
     place(np.array([n - 1]), True)
     for c in symbols.tolist():
         done = bounds[c]
         while done < head[c]:
             wave, done = sa[done : head[c]], head[c]
-            before = wave[wave > 0] - 1
-            before = before[~small[before]]
+            before = wave[after_large[wave]] - 1
             if len(before):
                 place(before, True)
         mine = lms[lms_bounds[c] : lms_bounds[c + 1]]
         if len(mine):
-            before = mine[mine > 0] - 1
-            place(before[~small[before]], True)
+            place(mine[after_large[mine]] - 1, True)
     for c in symbols[::-1].tolist():
         done = bounds[c + 1]
         while done > tail[c]:
             wave, done = sa[tail[c] : done][::-1], tail[c]
-            before = wave[wave > 0] - 1
-            before = before[small[before]]
+            before = wave[after_small[wave]] - 1
             if len(before):
                 place(before, False)
         large = sa[bounds[c] : head[c]][::-1]
-        before = large[large > 0] - 1
-        before = before[small[before]]
+        before = large[after_small[large]] - 1
         if len(before):
             place(before, False)
     return sa

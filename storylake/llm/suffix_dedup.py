@@ -228,17 +228,16 @@ def repeats_in_shard(parts: list[bytes], doc: np.ndarray, tag: np.ndarray, first
     within = sa - starts[part]
     whole = within + LENGTH <= sizes[part]
     run, part, within = run[whole], part[whole], within[whole]
-    order = np.lexsort((first[part] + within, tag[part], doc[part], run))
-    run, part, within = run[order], part[order], within[order]
-    place = np.stack([doc[part], tag[part], first[part] + within])
-    later = np.zeros(len(run), bool)
-    later[1:] = (run[1:] == run[:-1])
-    # The same place may stand in a shard once only; equal windows at one place are no repeat of each other.
-    same = np.zeros(len(run), bool)
-    same[1:] = later[1:] & (place[:, 1:] == place[:, :-1]).all(axis=0)
-    lead = np.flatnonzero(~later)
-    is_lead_place = np.repeat(lead, np.diff(np.append(lead, len(run))))
-    later &= ~(place == place[:, is_lead_place]).all(axis=0)
+    # A place as one number: the document's rank, then the position in it.
+    by_document = np.lexsort((tag, doc))
+    rank = np.zeros(len(parts), np.int64)
+    rank[by_document[1:]] = np.cumsum((doc[by_document[1:]] != doc[by_document[:-1]]) | (tag[by_document[1:]] != tag[by_document[:-1]]))
+    place = (rank[part] << 32) + first[part] + within
+    order = np.lexsort((place, run))
+    run, part, within, place = run[order], part[order], within[order], place[order]
+    lead = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])[: len(run)])
+    # The same place may stand in a shard twice; equal windows at one place are no repeat of each other.
+    later = place != np.repeat(place[lead], np.diff(np.append(lead, len(run))))
     return part[later], within[later]
 
 
