@@ -4,11 +4,13 @@
    it holds them). Documents with the same words in the same order are one node.
 2. Nodes meet in the buckets of 25 bands of 5 signature values each: at a
    similarity of 0.8 a pair misses all of them once in 20,000 times.
-3. In a bucket nodes are compared with leaders, never all pairs. The comparison
-   is exact, on the shingles.
+3. In a bucket nodes are first compared with leaders. The comparison is exact,
+   on the shingles.
 4. Confirmed pairs make a graph; its connected components are the classes. In
    buckets that still hold several classes, nodes of each are compared again
    with other leaders, until that joins no classes any more.
+5. Buckets that hold several classes even then are finished in full: every two
+   of their nodes are compared, in blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Words worked on at once in a task; bounds memory, changes no result.
 SLICE = 250_000
+#: About so many nodes of a bucket make a block, and so many shingles are compared at once; bound memory, change no result.
+BLOCK, WIDE = 256, 8_192
 
 
 def word_hashes(text: Column) -> Column:
@@ -150,12 +154,68 @@ def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
     return paired.where(common >= F.lit(threshold) * union - 1e-9).select("a", "b")
 
 
+def _blocks(rooted: DataFrame) -> DataFrame:
+    """``key, i, j, node, root, block``: every pair of blocks ``i <= j`` of the buckets with untested pairs, and their nodes.
+
+    Buckets of up to three nodes are left out, since a turn of
+    :func:`_next_pairs` compares all their classes' nodes with one another. Of
+    buckets with the same nodes one is taken.
+    """
+    mixed = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    sets = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), mixed("one").alias("one"), mixed("two").alias("two")).where("n > 3")
+    wanted = sets.groupBy("n", "first", "last", "one", "two").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("parts"))
+    dealt = rooted.join(wanted, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")))
+    beside = dealt.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    return beside.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block")
+
+
+def _linked(table: pa.Table, threshold: float) -> pa.Table:
+    """Links ``a, b`` that join what is similar across classes in one pair of blocks: every node with the least it is joined to."""
+    node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
+    lists = table.column("elements").combine_chunks()
+    size, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    apart = root[:, None] != root[None, :]
+    if block.min() != block.max():
+        apart &= block[:, None] != block[None, :]
+    if apart.any():
+        owner = np.repeat(np.arange(len(size)), size)
+        _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1
+        both = count[at] > 1
+        owner, at = owner[both], place[at[both]]
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        common = np.zeros(apart.shape)
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, WIDE):
+            here = slice(*np.searchsorted(at, [low, low + WIDE]))
+            held = np.zeros((len(size), WIDE), np.float32)
+            held[owner[here], at[here] - low] = 1
+            common += held @ held.T
+        apart &= common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
+    rank = np.argsort(np.argsort(node, kind="stable"), kind="stable")
+    least = rank.copy()
+    while True:
+        now = np.minimum(least, np.where(apart, least[None, :], len(least)).min(axis=1))
+        if (now == least).all():
+            break
+        least = now
+    joined = least != rank
+    return pa.table({"a": np.sort(node)[least[joined]], "b": node[joined]})
+
+
+def _block_links(rooted: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """``a <= b``: links that join all similar nodes of different classes in any bucket."""
+    met = _blocks(rooted).join(elements, "node")
+    return met.groupBy("key", "i", "j").applyInArrow(lambda table: _linked(table, threshold), "a long, b long").distinct()
+
+
 def node_classes(nodes: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """``node, root`` for the nodes that are similar to another: the components of all confirmed links.
 
     First every node is compared with one leader. After that, buckets of several
     classes are taken up again until a turn joins none. Classes only grow, so a
     bucket of one class is done with, and each turn reads what the last one left.
+    The leaders are a fast path only: what is left at the end is compared in full.
     """
     met = written(_buckets(nodes.select("node", F.explode("bands").alias("key"))), "buckets")
     wanted = met.select("node").distinct()
@@ -181,7 +241,7 @@ def node_classes(nodes: DataFrame, docs: DataFrame, threshold: float, id_col: st
         paired = elements.join(if_small(written(ends, "ends")), "node", "left_semi")
         links = written(_similar(pairs, paired, threshold), "links")
         if links.isEmpty():
-            return roots
+            return merge_roots(roots, written(_block_links(rooted, elements, threshold), "links"))
         roots = merge_roots(roots, links)
         met = rooted.drop("root")
         turn += 1

@@ -61,6 +61,17 @@ def test_classes_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
 
 
+def test_every_pair_of_a_crowded_bucket_is_compared(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(24)]
+    rows[15] = (15, rows[7][1] + " more")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = spark.createDataFrame([(i, [1]) for i, _ in rows], "node long, bands array<long>")
+    for block in (256, 6):
+        monkeypatch.setattr(nd, "BLOCK", block, raising=False)
+        roots = nd.node_classes(nodes, docs, 0.8, "doc_id", "text").collect()
+        assert {(r.node, r.root) for r in roots} == {(15, 7)}
+
+
 def test_stage_keeps_one_of_each_class_and_rows_without_id(spark):
     text = "a b c d e f g h"
     rows = [(3, text, 1), (2, text, 2), (None, text, 3), (9, None, 4), (9, None, 5)]
