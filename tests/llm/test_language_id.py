@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, rejection, edge cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from storylake.llm import language_id as li
@@ -28,6 +30,18 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
 
 
+def test_evidence_grows_with_length():
+    rnd = random.Random(3)
+    common = ["".join(rnd.choices("aeinrst", k=4)) for _ in range(300)]
+    words = {g: common + ["".join(rnd.choices(letters, k=rnd.randint(3, 8))) for _ in range(1_500)] for g, letters in (("x", "abdefinorst"), ("y", "aceghilmnou"))}
+    text = lambda g, size: " ".join(rnd.choices(words[g], k=size // 6))
+    model = li.LanguageModel({g: (text(g, 24_000).encode(),) for g in words}, {g: 0.5 for g in words})
+    encoders = li._encoders(model)
+    language, _, margin = li.classify(text("x", 4_000_000), model.languages, encoders)
+    assert language == "x" and margin > 10 * li.MIN_MARGIN
+    assert li.classify(text("y", 20_000) + " " + text("x", 300_000), model.languages, encoders)[0] == "x"
+
+
 def test_empty_and_unlabelled_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert li.identify(empty).count() == 0 and li.keep_identified(empty).count() == 0
