@@ -6,7 +6,8 @@ out. For every other node the density is its characters per tag, adjusted for
 the share of link text; a node's density sum adds those of its children. The
 node with the greatest sum is the core. The least density on the path from the
 core to the body is the threshold: neighbours of the core that reach it belong
-to the article as well.
+to the article as well. If what is found lies inside an ``<article>`` (or else a
+``<main>``), it is widened to the nearest one; these tags never narrow it.
 """
 
 from __future__ import annotations
@@ -143,19 +144,14 @@ def _core(nodes: list[Node]) -> Node:
     path = [best]
     while path[-1].parent:
         path.append(path[-1].parent)
-    for node in path:
-        if node.tag == "article":
-            return node
-    for node in path:
-        if node.tag == "main":
-            return node
     threshold = min(n.density for n in path)
     for node in path[:-1]:
         # Beside the core, blocks as dense as the path belong to the article: take the parent while there are any.
         if node.tag == "body" or not any(isinstance(p, Node) and p is not node and not p.dropped and p.density >= threshold > 0 and p.link_chars * 2 < p.chars for p in node.parent.parts):
             continue
         best = node.parent
-    return best
+    above = path[path.index(best) :]
+    return next((n for tag in ("article", "main") for n in above if n.tag == tag), best)
 
 
 def _blocks(node: Node) -> list[str]:

@@ -28,6 +28,14 @@ def test_sections_beside_the_core_stay():
     assert main_text(page).count("\n") == 3
 
 
+def test_text_in_and_beside_several_articles_stays():
+    part = "<p>{0} long paragraph with many words in it, for the density.</p>" * 4
+    one, two = (f"<article>{part.format(n)}</article>" for n in ("One", "Two"))
+    assert main_text(f"<body><main>{one}{two}</main></body>").count("\n") == 7
+    assert main_text(f"<body><nav><a href=x>x</a></nav>{one}{two}</body>").count("\n") == 7
+    assert main_text(f"<body><main><div>{part.format('Intro')}</div>{one}</main></body>").count("\n") == 7
+
+
 def test_noise_inside_the_article_is_left_out():
     page = """<article><header><h1>Title</h1></header><p>Body text here<p>More body<div class="ad">buy</div><form>f<input></form>
       <aside>side</aside><script>var a="<p>x</p>"</script><!-- c --><section id="comments"><p>reader</p></section><ul><li>a<li>b</ul></article>"""
