@@ -35,10 +35,15 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 # High-recall generators: (kind, pattern). Proposals may overlap one another.
-MASKED = re.compile(r"[A-Za-z0-9._%+-]{2,40} ?(?:[\[({]at[\])}]|\bat\b) ?[A-Za-z0-9-]{2,40}(?: ?(?:[\[({]dot[\])}]|\bdot\b) ?[A-Za-z]{2,20})+", re.I)
-CLUSTER = re.compile(r"[0-9][0-9A-Fa-f ().:/\-]{5,}[0-9A-Fa-f]")
+MASKED = re.compile(
+    r"[A-Za-z0-9._%+-]{2,40} ?(?:[\[({]at[\])}] ?[A-Za-z0-9-]{2,40}(?:(?: ?(?:[\[({]dot[\])}]|\bdot\b) ?|\.)[A-Za-z0-9-]{2,40})*?(?:(?: ?(?:[\[({]dot[\])}]|\bdot\b) ?|\.)[A-Za-z]{2,20})+"
+    r"|\bat\b ?[A-Za-z0-9-]{2,40}(?: ?(?:[\[({]dot[\])}]|\bdot\b) ?[A-Za-z]{2,20})+)",
+    re.I,
+)
+MASK = re.compile(r"dot|[\[({]at[\])}]", re.I)
+IPV6 = re.compile(r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?|(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4})(?![\w:])")
+CLUSTER = re.compile(r"[(0-9][0-9A-Fa-f ().:/\-]{5,}[0-9A-Fa-f]")
 IN_CLUSTER = (
-    ("ip", re.compile(r"(?:[0-9A-Fa-f]{1,4}:){2,7}:?[0-9A-Fa-f]{1,4}")),
     ("card", re.compile(r"[0-9](?:[ ./-]?[0-9]){12,18}")),
     ("phone", re.compile(r"\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}(?:[ ./-][0-9]{2,4}){1,3}")),
     ("phone", re.compile(r"00[1-9][0-9 ]{7,14}[0-9]")),
@@ -101,8 +106,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Spans that might be personal data beyond the base; they may overlap."""
     found = []
-    if re.search("dot", text, re.I):
+    if MASK.search(text):
         found += [("email", *m.span()) for m in MASKED.finditer(text)]
+    if ":" in text:
+        found += [("ip", *m.span()) for m in IPV6.finditer(text) if len(m[0]) > 2]
     if DIGIT.search(text):
         for cluster in CLUSTER.finditer(text):
             for kind, pattern in IN_CLUSTER:
@@ -133,9 +140,14 @@ def _written_example(rnd: random.Random) -> tuple[str, str, int, int, int]:
     cue = {"email": ["email", "contact", "write to"], "ip": ["from host", "ip", "client address"], "card": ["card", "visa", "credit card"], "phone": ["call", "tel", "phone", "fax"]}[kind]
     against = rnd.choice(["order", "isbn", "version", "serial", "invoice", "date", "page", "score", "ref", "build"])
     if kind == "email":
-        body = f"{name()} {'at' if not label or rnd.random() < 0.5 else '(at)'} {name()} {'dot' if not label or rnd.random() < 0.5 else '[dot]'} {rnd.choice(['com', 'org', 'net', 'de']) if label else name()}"
+        masked = label and rnd.random() < 0.3
+        body = f"{name()}.{name()}{rnd.choice(['(at)', ' (at) ', '[at]', ' [at] '])}{name()}.{rnd.choice(['com', 'org', 'net', 'de'])}" if masked else f"{name()} {'at' if not label or rnd.random() < 0.5 else '(at)'} {name()} {'dot' if not label or rnd.random() < 0.5 else '[dot]'} {rnd.choice(['com', 'org', 'net', 'de']) if label else name()}"
     elif kind == "ip":
-        body = ":".join(f"{rnd.randrange(65536):x}" for _ in range(8)) if label else f"{rnd.randint(0, 23):02d}:{n(2)}:{n(2)}"
+        groups = [f"{rnd.randrange(65536):x}" for _ in range(8)]
+        if rnd.random() < 0.5:
+            low = rnd.randint(1, 4)
+            groups[low : rnd.randint(low + 1, 7)] = [""]
+        body = ":".join(groups) if label else f"{rnd.randint(0, 23):02d}:{n(2)}:{n(2)}"
     elif kind == "card":
         while True:
             body = rnd.choice(["{}-{}-{}-{}", "{} {} {}", "{}.{}.{}.{}"]).format(*((n(4), n(6), n(5), "") if rnd.random() < 0.4 else (n(4), n(4), n(4), n(4))))
@@ -147,7 +159,10 @@ def _written_example(rnd: random.Random) -> tuple[str, str, int, int, int]:
     lead = rnd.choice(cue) if label and rnd.random() < 0.95 else against if not label and rnd.random() < 0.7 else ""
     text = f"{filler} {lead} {body} {name()}"
     start = text.index(body)
-    return text, kind, start, start + len(body), label
+    # Learn from what the generators propose of it, the longest first; what they don't propose counts as written.
+    own = [(e - s, s, e) for k, s, e in proposals(text) if k == kind and s < start + len(body) and start < e]
+    _, start, end = max(own, default=(0, start, start + len(body)))
+    return text, kind, start, end, label
 
 
 @dataclass(frozen=True)

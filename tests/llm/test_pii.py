@@ -47,6 +47,18 @@ def test_added_spans():
         assert found(clean) == []
 
 
+def test_common_forms_are_found_whole():
+    selector = pii.fitted_selector()
+    for cue, form in (
+        ("write to", "jane.doe (at) example.com"), ("email", "jane.doe[at]example.com"), ("from host", "fe80::1ff:fe23:4567:890a"), ("client address", "fd00:abcd:12:34:56:78:9abc:def0"),
+        ("ip", "2001:db8:0:0::8a2e:370:7334"), ("call", "(555) 123-4567"),
+    ):
+        text = f"please {cue} {form} today"
+        at = text.index(form)
+        assert (at, at + len(form)) in [(s, e) for _, s, e in pii.proposals(text)], form
+        assert [(s, e) for _, s, e in pii.selected(text, pii.base_spans(text), selector)] == [(at, at + len(form))], form
+
+
 def test_redaction_and_offsets():
     text = "é😀 mail a@b.org or c@d.net!"
     spans = pii.base_spans(text)
