@@ -8,7 +8,7 @@
    on the shingles.
 4. Confirmed pairs make a graph; its connected components are the classes. In
    buckets that still hold several classes, nodes of each are compared again
-   with other leaders, until that joins no classes any more.
+   with other leaders, as long as that confirms many of the pairs.
 5. Buckets that hold several classes even then are finished in full: every two
    of their nodes are compared, in blocks.
 """
@@ -31,8 +31,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Words worked on at once in a task; bounds memory, changes no result.
 SLICE = 250_000
-#: About so many nodes of a bucket make a block, and so many shingles are compared at once; bound memory, change no result.
-BLOCK, WIDE = 256, 8_192
+#: Leaders are asked again while this share of a turn's pairs is confirmed; changes the way, not the result.
+WORTH = 0.25
+#: About so many nodes, or words, of a bucket make a block, and so many shingles are compared at once; bound memory, change no result.
+BLOCK, BLOCK_WORDS, WIDE = 768, 400_000, 8_192
 
 
 def word_hashes(text: Column) -> Column:
@@ -118,7 +120,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _buckets(members: DataFrame) -> DataFrame:
     """``key, node, leader`` for the buckets of two or more; the leader is the least node."""
     ends = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
-    return members.join(ends, "key")
+    # Written first, so that Spark can split a bucket of very many nodes between tasks.
+    return members.join(if_small(written(ends, "leaders")), "key")
 
 
 def _first_pairs(met: DataFrame) -> DataFrame:
@@ -155,16 +158,18 @@ def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
 
 
 def _blocks(rooted: DataFrame) -> DataFrame:
-    """``key, i, j, node, root, block``: every pair of blocks ``i <= j`` of the buckets with untested pairs, and their nodes.
+    """``key, i, j, node, root, block``: every pair of blocks ``i <= j`` of the buckets of several classes, and their nodes.
 
     Buckets of up to three nodes are left out, since a turn of
     :func:`_next_pairs` compares all their classes' nodes with one another. Of
     buckets with the same nodes one is taken.
     """
     mixed = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
-    sets = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), mixed("one").alias("one"), mixed("two").alias("two")).where("n > 3")
-    wanted = sets.groupBy("n", "first", "last", "one", "two").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    dealt = rooted.join(wanted, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")))
+    counts = (F.count("*").alias("n"), F.sum("size").alias("words"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    sets = rooted.groupBy("key").agg(*counts, F.min("node").alias("first"), F.max("node").alias("last"), mixed("one").alias("one"), mixed("two").alias("two")).where("n > 3 and lo <> hi")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS))
+    wanted = sets.groupBy("n", "words", "first", "last", "one", "two").agg(F.min("key").alias("key")).select("key", parts.alias("parts"))
+    dealt = rooted.join(if_small(written(wanted, "wanted")), "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")))
     beside = dealt.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     return beside.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block")
 
@@ -205,7 +210,7 @@ def _linked(table: pa.Table, threshold: float) -> pa.Table:
 
 def _block_links(rooted: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
     """``a <= b``: links that join all similar nodes of different classes in any bucket."""
-    met = _blocks(rooted).join(elements, "node")
+    met = _blocks(rooted).join(elements.select("node", "elements"), "node")
     return met.groupBy("key", "i", "j").applyInArrow(lambda table: _linked(table, threshold), "a long, b long").distinct()
 
 
@@ -213,24 +218,24 @@ def node_classes(nodes: DataFrame, docs: DataFrame, threshold: float, id_col: st
     """``node, root`` for the nodes that are similar to another: the components of all confirmed links.
 
     First every node is compared with one leader. After that, buckets of several
-    classes are taken up again until a turn joins none. Classes only grow, so a
-    bucket of one class is done with, and each turn reads what the last one left.
-    The leaders are a fast path only: what is left at the end is compared in full.
+    classes are taken up again while a turn confirms a fair share (``WORTH``) of
+    its pairs. Classes only grow, so a bucket of one class is done with, and each
+    turn reads what the last one left. The leaders are a fast path only: what is
+    left at the end is compared in full, so no link in any bucket is lost.
     """
     met = written(_buckets(nodes.select("node", F.explode("bands").alias("key"))), "buckets")
     wanted = met.select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
     # Texts under one id share its node, and a pair is similar if any two of their texts are.
     hashed = texts.select("node", word_hashes(F.col("text")).alias("words")).distinct()
-    elements = written(hashed.mapInArrow(_expanded, "node long, elements array<long>"), "elements")
+    elements = written(hashed.mapInArrow(_expanded, "node long, elements array<long>").withColumn("size", F.size("elements")), "elements")
     tested = written(_first_pairs(met), "pairs")
     first = _similar(tested, elements, threshold)
     # One smaller leader a node: a forest. (Texts under one id may confirm a pair more than once.)
     roots = forest_roots(first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
     turn = 1
     while True:
-        rooted = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        rooted = written(rooted, "rooted")
+        rooted = written(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
         apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         rooted = written(rooted.join(if_small(written(apart, "apart")), "key", "left_semi"), "open")
         # No pair is compared twice.
@@ -240,11 +245,14 @@ def node_classes(nodes: DataFrame, docs: DataFrame, threshold: float, id_col: st
         # Only the paired nodes' elements move.
         paired = elements.join(if_small(written(ends, "ends")), "node", "left_semi")
         links = written(_similar(pairs, paired, threshold), "links")
-        if links.isEmpty():
-            return merge_roots(roots, written(_block_links(rooted, elements, threshold), "links"))
         roots = merge_roots(roots, links)
+        if links.count() <= WORTH * pairs.count():
+            break
         met = rooted.drop("root")
         turn += 1
+    sizes = elements.groupBy("node").agg(F.max("size").alias("size"))
+    rooted = written(rooted.drop("root").join(sizes, "node").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "rest")
+    return merge_roots(roots, written(_block_links(rooted, elements, threshold), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
