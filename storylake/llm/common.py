@@ -36,6 +36,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_columns(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns called ``c0, c1, ...`` in place, and the new names of ``names``.
+
+    Stages work on it, so that no helper column can clash with a column of the
+    caller and no name needs quoting; ``toDF(*docs.columns)`` names them back.
+    """
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), [f"c{docs.columns.index(n)}" for n in names]
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z lower-cased and every other character left alone; null becomes empty.
 

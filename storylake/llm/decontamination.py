@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storylake.llm.common import lower_ascii, written
+from storylake.llm.common import lower_ascii, numbered_columns, written
 
 WINDOW = 10
 #: Lists intersected for each window before any comparison in full.
@@ -175,8 +175,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold a window of the benchmark; all columns as they were."""
-    index = build_index(docs, benchmark, id_col, text_col, item_col)
-    found = _reported(index, window).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
-    return docs.join(if_small(written(found, "contaminated")), same, "left_anti")
+    """``docs`` without the rows that hold a window of the benchmark; all columns as they were.
+
+    Null and wordless texts stay. Repeated rows stay or go together, rows of one
+    id and different texts each by its own. An empty table stays empty, an empty
+    benchmark drops nothing; columns may have any name.
+    """
+    plain, (doc, text) = numbered_columns(docs, id_col, text_col)
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias(text))
+    index = build_index(plain, items, doc, text, "item_id")
+    found = _reported(index, window).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    same = F.col(doc).eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col(text)) == F.col("hit_hash"))
+    return plain.join(if_small(written(found, "contaminated")), same, "left_anti").toDF(*docs.columns)

@@ -1,7 +1,7 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions only.
 
-1. A text is cut where its own content says so (``CHUNK_PATTERN``), so equal
-   stretches give equal chunks wherever they stand.
+1. A text's bytes are cut where their own content says so (``CHUNK_PATTERN``),
+   in any script, so equal stretches give equal chunks wherever they stand.
 2. A chunk is known by a short id (64-bit hash). The dictionary of all chunks
    verifies ids against the 256-bit digest of the chunk: an id that stands for
    two digests is ambiguous.
@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storylake.llm.common import lower_ascii, written
+from storylake.llm.common import lower_ascii, numbered_columns, written
+from storylake.llm.decontamination import if_small
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
 
@@ -41,6 +42,11 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK_PATTERN), F.lit(0))
 
 
+def as_bytes(text: Column) -> Column:
+    """A string with one character (U+0000 to U+00FF) for each UTF-8 byte of ``text``."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One written row per input row: ``rid, doc_id, text_sha256, chunks``.
 
@@ -51,7 +57,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "doc_id",
         F.sha2("norm", 256).alias("text_sha256"),
         F.transform(
-            chunks(F.col("norm")),
+            chunks(as_bytes(F.col("norm"))),
             lambda c: F.struct(F.xxhash64(c).alias("short"), F.unhex(F.sha2(c, 256)).alias("digest")),
         ).alias("chunks"),
     )
@@ -122,18 +128,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
-    Rows meet their decision on id and digest in one shuffle; the row number
-    settles repeated rows of one id without another.
+    Only decisions move: a row is known by its id and digest, and the rows that
+    go are taken out where they stand if their list is short enough to broadcast.
+    Of repeated rows (same id, equal text) the one whose text as written sorts
+    last stays, and of several of those any one. Null texts are empty texts and
+    equal to these; a null id loses to any other. Long texts are read where they
+    stand. An empty table stays empty; columns may have any name.
     """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha")
-    )
-    marked = docs.withColumn("__sha", F.sha2(lower_ascii(F.col(text_col)), 256))
-    same_row = F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha"))
-    one = Window.partitionBy(id_col, "__sha").orderBy("__sha")
-    return (
-        marked.join(kept, same_row, "left_semi")
-        .withColumn("__n", F.row_number().over(one))
-        .where("__n = 1")
-        .select(*docs.columns)
-    )
+    plain, (doc, text) = numbered_columns(docs, id_col, text_col)
+    decided = written(exact_dedup(plain, doc, text), "decided").where("NOT kept")
+    same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    keys = lambda rows: rows.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    gone, repeated = written(keys(decided.where(~same_id)), "gone"), written(keys(decided.where(same_id)), "repeated")
+    marked = plain.withColumn("sha", F.sha2(lower_ascii(F.col(text)), 256))
+    here = F.col(doc).eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha"))
+    left = marked.join(if_small(gone), here, "left_anti")
+    if not repeated.isEmpty():
+        one = Window.partitionBy(doc, "sha").orderBy(F.desc(text))
+        again = marked.join(if_small(repeated), here, "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
+        left = left.join(if_small(repeated), here, "left_anti").unionByName(again)
+    return left.drop("sha").toDF(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storylake.llm import dart_minhash
-from storylake.llm.common import written
+from storylake.llm.common import numbered_columns, written
 from storylake.llm.components import forest_roots, merge_roots
 from storylake.llm.decontamination import if_small
 from storylake.llm.hashing import STEP, U, mix
@@ -279,7 +279,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller id; rows without an id stay."""
-    classes = near_duplicates(docs, id_col, text_col, threshold)
-    dropped = classes.groupBy("doc_id").agg(F.min("class_id").alias("least")).where("least < doc_id").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    """``docs`` without the documents whose class has a smaller id, with all columns.
+
+    Rows without an id and rows without words stay; repeated rows of a kept id
+    stay, and of classes of equal similarity the least id does. An empty table
+    stays empty; columns may have any name. Texts of any length are compared whole.
+    """
+    plain, (doc, text) = numbered_columns(docs, id_col, text_col)
+    classes = near_duplicates(plain, doc, text, threshold)
+    dropped = classes.groupBy("doc_id").agg(F.min("class_id").alias("least")).where("least < doc_id").select(F.col("doc_id").alias("gone_id"))
+    return plain.join(if_small(written(dropped, "dropped")), F.col(doc) == F.col("gone_id"), "left_anti").toDF(*docs.columns)

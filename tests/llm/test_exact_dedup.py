@@ -68,3 +68,21 @@ def test_ambiguous_ids_fall_back_to_digests(spark):
     assert [r.short for r in ambiguous.collect()] == [7]
     keyed = ed.with_recipe_keys(rows, ambiguous).groupBy("ids", "digests").count()
     assert sorted(r["count"] for r in keyed.collect()) == [1, 2]
+
+
+def test_stage_with_repeated_rows_and_awkward_names(spark):
+    rows = [(1, "abc", 1, 2), (1, "Abc", 3, 4), (1, "abc", 5, 6), (2, "ab", 7, 8), (None, "AB", 9, 10), (None, None, 11, 12), (None, "", 13, 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, sha long")
+    kept = ed.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert got == [("1", "abc"), ("2", "ab"), ("None", "")]
+
+
+def test_chunks_follow_content_in_any_script(spark):
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("абвгдежзиклмнопрстуф ") for _ in range(40_000))
+    row = spark.createDataFrame([(text, "x" + text)], "a string, b string").select(
+        ed.chunks(ed.as_bytes(F.col("a"))).alias("a"), ed.chunks(ed.as_bytes(F.col("b"))).alias("b")
+    ).first()
+    assert len(set(row.a) & set(row.b)) > len(row.a) // 2
