@@ -3,9 +3,10 @@
 For each language a raw-content zstandard dictionary is cut from sample texts.
 A text is encoded with every dictionary; the language whose dictionary gives
 the smallest encoding wins, because its text repeats what the dictionary holds.
-Short texts are encoded with several dictionaries a language, so that sizes
-differ by less than a whole byte. Long texts are encoded block by block, each
-afresh, so that evidence grows with length. Narrow margins are rejected.
+A text's opening bytes are encoded with several dictionaries a language, so that
+sizes differ by less than a whole byte even where there is nothing more; the
+rest is encoded block by block, each afresh and with one of the dictionaries in
+turn, so that evidence grows with length. Narrow margins are rejected.
 """
 
 from __future__ import annotations
@@ -16,21 +17,17 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storylake.llm.common import crc_bucket
+from storylake.llm.common import crc_bucket, numbered_columns
 
 UNKNOWN = "und"
-#: Most languages that are learned; the most frequent ones.
-MAX_LANGUAGES = 200
-#: About so many documents a language are drawn, by a hash of the id, from those of at most so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 8_000
+#: The sample: so many texts a language at most, drawn by a hash of id and text; of a longer text a piece of so many characters.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 2_000
 DICTIONARY_BYTES, DICTIONARIES = 24_000, 6
-#: Texts of at most so many bytes are encoded with all dictionaries of a language, longer ones with the first.
-SHORT_BYTES = 600
-#: Bytes of a block; the blocks cover the whole text.
-BLOCK_BYTES = 8_192
+#: Bytes of every text's opening, which meets all dictionaries of a language, and of the blocks that cover all the rest.
+OPENING_BYTES, BLOCK_BYTES = 384, 8_192
 #: Small tables and matches from four bytes on: short texts need the short matches, and small tables are quick to set up.
 SETTINGS = {"window_log": 17, "hash_log": 14, "chain_log": 14, "search_log": 2, "min_match": 4, "strategy": zstandard.STRATEGY_LAZY}
 FRAME = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
@@ -54,23 +51,23 @@ class LanguageModel:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from the rows of ``docs`` that have a text and a language.
 
-    The sample is bounded (``SAMPLE_DOCS`` whole documents of at most
-    ``SAMPLE_CHARS`` characters a language); rows are chosen by hash, so the
-    same table always gives the same model.
+    Every language is learned. What reaches the driver is bounded: at most
+    ``SAMPLE_DOCS`` different texts a language, in the order of a hash, and of a
+    text longer than ``SAMPLE_CHARS`` a piece of that length from a place that
+    the hash names. The same table always gives the same model.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    plain, (doc, text, lang) = numbered_columns(docs, id_col, text_col, lang_col)
+    labelled = plain.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(doc).alias("id"))
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel({}, {})
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(lang_col) == row["lang"], F.lit(min(1.0, SAMPLE_DOCS / row["count"]))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_000))
-    drawn = (
-        labelled.where((place < share * 1_000_000) & (F.length(text_col) <= SAMPLE_CHARS))
-        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
-        .collect()
-    )
+    share = F.create_map(*(F.lit(v) for row in counts for v in (row["lang"], min(1.0, 2 * SAMPLE_DOCS / row["count"]))))
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.xxhash64("text")), F.lit(1_000_000))
+    near = labelled.withColumn("place", place).where(F.col("place") < share[F.col("lang")] * 1_000_000)
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    pieces = near.select("lang", "place", F.col("text").substr(F.pmod(F.col("place"), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+    first = Window.partitionBy("lang").orderBy("place", "text")
+    drawn = pieces.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).drop("n").collect()
     by_lang: dict[str, list[bytes]] = {}
     for row in sorted(drawn, key=lambda r: (r["lang"], r["place"], r["text"])):
         by_lang.setdefault(row["lang"], []).append(_encoded(row["text"]))
@@ -111,9 +108,11 @@ def classify(text: str | None, languages: list[str], encoders: list) -> tuple[st
     if not text or not languages or not LETTER.search(text):
         return UNKNOWN, 0.0, 0.0
     data = _encoded(text)
-    used = DICTIONARIES if len(data) <= SHORT_BYTES else 1
-    blocks = [data[at : at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)]
-    sizes = [named + sum(len(e.compress(b)) for b in blocks for e in own[:used]) / len(own[:used]) for named, own in encoders]
+    opening, blocks = data[:OPENING_BYTES], [data[at : at + BLOCK_BYTES] for at in range(OPENING_BYTES, len(data), BLOCK_BYTES)]
+    sizes = [
+        named + sum(len(e.compress(opening)) for e in own) / len(own) + sum(len(own[i % len(own)].compress(b)) for i, b in enumerate(blocks))
+        for named, own in encoders
+    ]
     best = min(range(len(sizes)), key=lambda i: sizes[i])
     total = sum(2.0 ** max(-1000.0, sizes[best] - s) for s in sizes)
     second = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
@@ -166,10 +165,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is rejected; every column as it was."""
-    model = fit(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
+    """``docs`` without the rows whose language is rejected; every column as it was.
+
+    Null and letterless texts go. Where no row has a language to learn, nothing
+    can be identified and every row goes. Repeated rows stay or go together; an
+    empty table stays empty; columns may have any name.
+    """
+    plain, (doc, text, lang) = numbered_columns(docs, id_col, text_col, lang_col)
+    model = fit(plain.where(~held_out(F.col(doc))), doc, text, lang)
     if not model.languages:
         return docs.where(F.lit(False))
-    carried = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
-    found = predict(docs, model, carried, text_col).where("NOT rejected")
-    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    found = predict(plain, model, {c: F.col(c) for c in plain.columns}, text).where("NOT rejected")
+    return found.select(*plain.columns).toDF(*docs.columns)

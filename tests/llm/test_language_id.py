@@ -47,3 +47,49 @@ def test_empty_and_unlabelled_tables(spark):
     assert li.identify(empty).count() == 0 and li.keep_identified(empty).count() == 0
     bare = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert li.identify(bare).first().lang_pred == "und" and li.keep_identified(bare).count() == 0
+
+
+def test_sizes_and_choice_against_plain_compression(spark):
+    """Every text of a table, by a plain restatement of the rule: one compressor made anew for each call."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = li.fit(docs.where(~li.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r for r in li.identify(docs).collect()}
+
+    def size(lang, data):
+        def one(content, part):
+            made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made.precompute_compress(compression_params=zstandard.ZstdCompressionParameters(**li.SETTINGS, **li.FRAME))
+            return len(zstandard.ZstdCompressor(dict_data=made, compression_params=zstandard.ZstdCompressionParameters(**li.SETTINGS, **li.FRAME)).compress(part))
+
+        own = model.dictionaries[lang]
+        rest = data[li.OPENING_BYTES :]
+        total = sum(one(d, data[: li.OPENING_BYTES]) for d in own) / len(own) - math.log2(model.shares[lang]) / 8
+        for i in range(math.ceil(len(rest) / li.BLOCK_BYTES)):
+            total += one(own[i % len(own)], rest[i * li.BLOCK_BYTES : (i + 1) * li.BLOCK_BYTES])
+        return total
+
+    for row in docs.collect():
+        if not row.text or not li.LETTER.search(row.text):
+            assert got[row.doc_id].lang_pred == li.UNKNOWN
+            continue
+        sizes = {g: size(g, f" {row.text.lower()} ".encode()) for g in model.languages}
+        best, second = sorted(sizes, key=lambda g: (sizes[g], g))[:2]
+        assert got[row.doc_id].lang_pred == best
+        assert math.isclose(got[row.doc_id].margin, (sizes[second] - sizes[best]) / sizes[second])
+
+
+def test_languages_of_long_texts_and_repeated_ids_are_learned(spark):
+    rows = [(1, f"der hund und die katze {i} laufen " * 2_000, "de") for i in range(30)] + [(1, f"the cat and the dog {i} ran", "en") for i in range(30)]
+    rows += [(i, "a b c", f"l{i:03}") for i in range(2, 300)]
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"de", "en"} <= set(model.languages) and max(sum(map(len, d)) for d in model.dictionaries.values()) <= li.DICTIONARIES * li.DICTIONARY_BYTES
+
+
+def test_stage_with_awkward_names(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en", 1, 2), (3, "123", "en", 1, 2)], "doc_id long, text string, lang string, `a.b` long, __text long")
+    kept = li.keep_identified(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
