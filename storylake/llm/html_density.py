@@ -5,15 +5,20 @@ headers, footers, sidebars, adverts, forms, scripts, reader comments) are left
 out. For every other node the density is its characters per tag, adjusted for
 the share of link text; a node's density sum adds those of its children. The
 node with the greatest sum is the core. The least density on the path from the
-core to the body is the threshold: neighbours of the core that reach it belong
-to the article as well. If what is found lies inside an ``<article>`` (or else a
+core to the body is the threshold: neighbours of the core that reach it, by their
+own density and by their sum, belong to the article as well. If what is found lies inside an ``<article>`` (or else a
 ``<main>``), it is widened to the nearest one; these tags never narrow it.
+
+The threshold also decides below the core: blocks whose class or id merely
+hints at something else (``share-price``) stay if they are as dense, and lists
+of links go if they are not.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -30,20 +35,30 @@ CLOSES = {
 }
 #: Elements that an implied end doesn't reach beyond.
 SCOPES = frozenset("html body table ul ol dl article section main div td th blockquote aside nav form header footer".split())
-SENSE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|disqus|respond|replies|pagination|pager|widget|toolbar)(?:$|[\s_-])",
-    re.I,
+#: Words of a class or id that name what is no article, and words that say nothing beside them.
+SENSE = frozenset(
+    """ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo promos promotion banner sidebar menu menus nav navbar navigation
+    breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription share sharing
+    social related recommended comment comments disqus respond replies pagination pager widget widgets toolbar""".split()
+)
+NEUTRAL = frozenset(
+    """area bar block body bottom box buttons center col column container content cta first footer form global group header holder icons inline inner item
+    items large last left link links list main message page panel post posts primary right section secondary side site slot small top unit web wrap wrapper zone""".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Elements whose class never counts against them.
 TRUSTED = frozenset("html body article main".split())
+#: Elements that hold a piece of text; a name that merely hints counts against them only if they are mostly links.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split()) | INLINE
+#: Elements that may be a list of links.
+LISTS = frozenset("ul ol dl div section table".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "dropped", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag, parent=None, dropped=False):
-        self.tag, self.parent, self.dropped, self.parts = tag, parent, dropped, []
+    def __init__(self, tag, parent=None, dropped=False, doubtful=False):
+        self.tag, self.parent, self.dropped, self.doubtful, self.parts = tag, parent, dropped, doubtful, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -55,6 +70,12 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html")
         self.nodes = [self.root]
+        self.open = Counter()
+
+    def parse_marked_section(self, i, report=1):
+        """Sections such as ``<![if x]>`` have no meaning in a page and are skipped, whatever they hold."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
 
     def handle_starttag(self, tag, attributes):
         if tag == "html":
@@ -67,19 +88,22 @@ class _Tree(HTMLParser):
             self._imply({"p"})
         if tag in CLOSES:
             self._imply(CLOSES[tag])
-        node = Node(tag, self.at, self.at.dropped or self._noise(tag, dict(attributes)))
+        surely, perhaps = self._noise(tag, dict(attributes))
+        node = Node(tag, self.at, self.at.dropped or surely, perhaps)
         self.at.parts.append(node)
         self.nodes.append(node)
+        self.open[tag] += 1
         self.at = node
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         node = self.at
         while node.parent and node.tag != tag:
             if tag in INLINE and node.tag not in INLINE:
                 return
             node = node.parent
-        if node.parent:
-            self.at = node.parent
+        self._close(node)
 
     def handle_startendtag(self, tag, attributes):
         self.handle_starttag(tag, attributes)
@@ -90,27 +114,34 @@ class _Tree(HTMLParser):
         if not self.at.dropped:
             self.at.parts.append(data)
 
+    def _close(self, node):
+        """End ``node`` and all that is open inside it."""
+        while node.parent and self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+
     def _imply(self, tags):
-        node = self.at
-        while node.parent:
-            if node.tag in tags:
-                self.at = node.parent
-                return self._imply(tags) if len(tags) > 1 else None
-            if node.tag in SCOPES:
-                return None
-            node = node.parent
-        return None
+        """End the open elements of these tags, as far as no scope hides them."""
+        while any(self.open[t] for t in tags):
+            node = self.at
+            while node.parent and node.tag not in tags:
+                if node.tag in SCOPES:
+                    return
+                node = node.parent
+            if not node.parent:
+                return
+            self._close(node)
 
     def _noise(self, tag, attributes):
+        """(surely, perhaps): whether an element holds no part of an article."""
         if tag in DROPPED or attributes.get("role", "") in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-            return True
-        if tag == "header":
-            node = self.at
-            while node and node.tag not in ("article", "main"):
-                node = node.parent
-            return node is None
-        named = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
-        return tag not in TRUSTED and len(named) > 1 and bool(SENSE.search(named))
+            return (tag != "header" or not (self.open["article"] or self.open["main"])), False
+        names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower().split()
+        if tag in TRUSTED or not names:
+            return False, False
+        parts = [[w for w in re.split(r"[-_]+|[0-9]+", n) if w] for n in names]
+        marked = [p for p in parts if SENSE.intersection(p)]
+        return any(SENSE.issuperset(w for w in p if w not in NEUTRAL) for p in marked), bool(marked)
 
 
 def _measure(nodes: list[Node]) -> None:
@@ -139,7 +170,13 @@ def _measure(nodes: list[Node]) -> None:
         node.total = sum(p.density for p in node.parts if isinstance(p, Node) and not p.dropped)
 
 
-def _core(nodes: list[Node]) -> Node:
+def _belongs(node: Node, threshold: float) -> bool:
+    """Whether a neighbour of the core is part of the article: as dense as the path, and so is the sum below it unless it is a paragraph itself."""
+    return not node.dropped and not node.doubtful and node.density >= threshold > 0 and node.link_chars * 2 < node.chars and (node.tag in TEXTUAL or node.total >= threshold)
+
+
+def _core(nodes: list[Node]) -> tuple[Node, float]:
+    """The node that holds the article, and the threshold of density."""
     best = max((n for n in nodes if not n.dropped and n.tag not in INLINE), key=lambda n: n.total)
     path = [best]
     while path[-1].parent:
@@ -147,14 +184,21 @@ def _core(nodes: list[Node]) -> Node:
     threshold = min(n.density for n in path)
     for node in path[:-1]:
         # Beside the core, blocks as dense as the path belong to the article: take the parent while there are any.
-        if node.tag == "body" or not any(isinstance(p, Node) and p is not node and not p.dropped and p.density >= threshold > 0 and p.link_chars * 2 < p.chars for p in node.parent.parts):
+        if node.tag == "body" or not any(isinstance(p, Node) and p is not node and _belongs(p, threshold) for p in node.parent.parts):
             continue
         best = node.parent
     above = path[path.index(best) :]
-    return next((n for tag in ("article", "main") for n in above if n.tag == tag), best)
+    return next((n for tag in ("article", "main") for n in above if n.tag == tag), best), threshold
+
+
+def _beside_the_article(node: Node, threshold: float) -> bool:
+    """Whether a block below the core is none of the article, as its density tells: a doubtful container, or a list of links."""
+    linked = node.link_chars * 2 > node.chars
+    doubtful = node.doubtful and (linked or node.tag not in TEXTUAL)
+    return (doubtful or linked and node.link_tags > 2 and node.tag in LISTS) and node.density < threshold
 
 
-def _blocks(node: Node) -> list[str]:
+def _blocks(node: Node, threshold: float = 0.0) -> list[str]:
     """Text blocks of a subtree in page order, white space inside each as one space."""
     blocks, run = [], []
 
@@ -173,7 +217,7 @@ def _blocks(node: Node) -> list[str]:
             stack.pop()
         elif isinstance(part, str):
             run.append(part)
-        elif not part.dropped:
+        elif not part.dropped and not _beside_the_article(part, threshold):
             if part.tag not in INLINE:
                 close()
             stack.append(iter(part.parts))
@@ -192,7 +236,7 @@ def main_text(html: str | None) -> str:
     _measure(tree.nodes)
     if not tree.root.chars:
         return ""
-    return "\n".join(_blocks(_core(tree.nodes)))
+    return "\n".join(_blocks(*_core(tree.nodes)))
 
 
 def extract(pages: DataFrame, carried: dict[str, Column], html_col: str = "html") -> DataFrame:
