@@ -84,3 +84,27 @@ def test_fitting_is_repeatable():
     pii.fitted_selector.cache_clear()
     again = pii.fitted_selector(11)
     assert first.thresholds == again.thresholds and all(a <= b for a, b in pairwise([0.5, min(first.thresholds.values())]))
+
+
+def test_precision_and_recall_on_fresh_examples():
+    """What the thresholds select of examples that neither fitting nor calibration has seen."""
+    import random
+
+    selector, rnd = pii.fitted_selector(), random.Random(99)
+    right, wrong, missed = ({k: 0 for k in pii.KINDS} for _ in range(3))
+    for text, kind, start, end, label in (pii._written_example(rnd) for _ in range(3_000)):
+        chosen = selector.probabilities([pii.features(text, kind, start, end)])[0] >= selector.thresholds[kind]
+        (right if chosen and label else wrong if chosen else missed)[kind] += chosen or label
+    for kind in pii.KINDS:
+        assert right[kind] >= 0.95 * (right[kind] + wrong[kind]) and right[kind] >= 0.8 * (right[kind] + missed[kind]), (kind, right, wrong, missed)
+    assert len(set(selector.thresholds.values())) > 1
+
+
+def test_time_grows_with_the_number_of_spans_only():
+    import time
+
+    text = " ".join(f"user{i}@mail{i}.example.com call (212) 555-{i % 10_000:04d}" for i in range(20_000))
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    more = pii.selected(text, base, pii.fitted_selector())
+    assert len(base) == 20_000 and len(more) == 20_000 and time.perf_counter() - began < 10
