@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ("critical", "high", "medium", "low")
+#: Code points of a line that a finding quotes.
+CONTEXT = 100
 
 
 def rules(spark, rows: list[tuple[str, str, str, str]]) -> DataFrame:
@@ -17,14 +19,15 @@ def rules(spark, rows: list[tuple[str, str, str, str]]) -> DataFrame:
 def scan(lines: DataFrame, rule_rows: DataFrame, outside_fences: bool = False) -> DataFrame:
     """One finding for every match of every rule in a line: ``doc, line_no, severity, category, title, context``.
 
-    The rules are a few literals gathered into one array, so that lines are read
-    once and nothing is shuffled.
+    The rules are a few literals, each with a pattern that is compiled once, so
+    lines are read once and nothing is shuffled.
     """
-    listed = F.array(*(F.struct(*(F.lit(r[n]).alias(n) for n in ("pattern", "severity", "category", "title"))) for r in sorted(rule_rows.collect(), key=lambda r: r["rule_no"])))
+    known = sorted(rule_rows.collect(), key=lambda r: r["rule_no"])
+    matches = lambda r: F.regexp_extract_all("line", F.lit(r["pattern"]), F.lit(0)).alias("matches")
+    listed = F.array(*(F.struct(*(F.lit(r[n]).alias(n) for n in ("severity", "category", "title")), matches(r)) for r in known))
     lines = lines.where("NOT in_fence AND NOT is_fence") if outside_fences else lines
-    hits = lines.select("doc", "line_no", "line", F.explode(listed).alias("r"))
-    found = hits.select("doc", "line_no", "r.severity", "r.category", "r.title", F.left(F.col("line"), F.lit(100)).alias("context"), F.explode(F.regexp_extract_all("line", F.col("r.pattern"), F.lit(0))).alias("matched"))
-    return found
+    hits = lines.select("doc", "line_no", F.left(F.col("line"), F.lit(CONTEXT)).alias("context"), F.explode(F.filter(listed, lambda r: F.size(r["matches"]) > 0)).alias("r"))
+    return hits.select("doc", "line_no", "r.severity", "r.category", "r.title", "context", F.explode("r.matches").alias("matched"))
 
 
 def severity_counts() -> list[Column]:

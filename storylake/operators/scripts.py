@@ -47,12 +47,15 @@ def language(path: Column) -> Column:
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """Scripts by language: number, names in order, and those without a test among the files of ``tests/``."""
+    """``path, name, language, tested`` of every script; a test is looked for among the files of ``tests/``."""
     named = files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), language(F.col("path")).alias("language"), F.contains("path", F.lit("tests/")).alias("is_test"))
     scripts = named.where("language IS NOT NULL AND NOT is_test").withColumns({"stem": F.regexp_extract("name", r"^(.*)(\.[^.]+)$", 1), "ext": F.regexp_extract("name", r"^(.*)(\.[^.]+)$", 2)})
     filled = [F.concat(*(F.col(p) if p in ("stem", "ext") else F.lit(p) for p in t.replace("{stem}", "\0stem\0").replace("{ext}", "\0ext\0").split("\0") if p)) for t in TEST_NAMES]
     wanted = scripts.select("path", F.explode(F.array(*filled)).alias("test"))
     tested = wanted.join(named.where("is_test").select(F.col("name").alias("test")).distinct(), "test", "left_semi").select("path").distinct().withColumn("tested", F.lit(True))
-    joined = scripts.join(tested, "path", "left")
-    listed = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.col("name")))), ",")
-    return joined.groupBy("language").agg(F.count("*").alias("n"), listed(F.lit(True)).alias("names"), listed(F.col("tested").isNull()).alias("missing_tests"))
+    return scripts.join(tested, "path", "left").select("path", "name", "language", F.coalesce("tested", F.lit(False)).alias("tested"))
+
+
+def by_language(scripts: DataFrame) -> DataFrame:
+    """Scripts of :func:`inventory` by language, and how many lack a test."""
+    return scripts.groupBy("language").agg(F.count("*").alias("n"), F.count_if(~F.col("tested")).alias("n_untested"))

@@ -38,7 +38,7 @@ def _catalog(spark, folder):
 
 def module_findings(spark, folder):
     """Integrity of a catalog made of suppliers."""
-    folders = table(spark, folder, "part").where("p_partkey <= 45").select(F.concat(F.lit("skill-"), F.col("p_partkey").cast("string")).alias("skill"))
+    folders = table(spark, folder, "part").select(F.concat(F.lit("skill-"), F.col("p_partkey").cast("string")).alias("skill"))
     return modules.check(_catalog(spark, folder), folders).groupBy("severity", "category", "detail").agg(F.count("*").alias("n"))
 
 
@@ -51,7 +51,7 @@ def help_next(spark, folder):
 
 def report_status(spark, folder):
     """Reports of events by user, some with a count or rank of their own."""
-    rows = table(spark, folder, "events").where("user_id < 40").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").cast("int").alias("n"))
+    rows = table(spark, folder, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").cast("int").alias("n"))
     made = rows.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.col("user_id").cast("int").alias("ord"), F.when(F.col("user_id") % 5 == 0, 1).alias("rank"), F.lit(None).cast("string").alias("status"), F.when(F.col("user_id") % 2 == 0, F.col("n")).alias("finding_count"), F.lit(None).cast(f"array<{reports.FINDING}>").alias("findings"))
     return reports.normalised(made)
 
@@ -64,15 +64,20 @@ def compression_ratio(spark, folder):
 
 
 def script_inventory(spark, folder):
-    """Scripts of a synthetic tree by language, with those that lack a test."""
+    """Every script of a synthetic tree with its language, and whether it has a test."""
     ending = F.element_at(F.array(*map(F.lit, (".py", ".sh", ".ts", ".md"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    parts = table(spark, folder, "part").where("p_partkey <= 60")
+    parts = table(spark, folder, "part")
     files = parts.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), ending).alias("path"))
     tests = parts.where("p_partkey % 3 = 0").select(F.concat(F.lit("tests/test_p"), F.col("p_partkey").cast("string"), ending).alias("path"))
     return scripts.inventory(files.union(tests))
 
 
-QUERIES = {f.__name__: f for f in (config_state, nearest_marker, search_path, module_findings, help_next, report_status, compression_ratio, script_inventory)}
+def script_languages(spark, folder):
+    """Scripts by language, and how many lack a test."""
+    return scripts.by_language(script_inventory(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (config_state, nearest_marker, search_path, module_findings, help_next, report_status, compression_ratio, script_inventory, script_languages)}
 
 ORACLES = {
     "config_state": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'no_project' WHEN c_custkey % 2 = 0 THEN 'ready' WHEN c_custkey % 3 = 0 THEN 'core_missing' ELSE 'module_missing' END AS state FROM customer",
@@ -81,7 +86,7 @@ ORACLES = {
     "search_path": """WITH t AS (SELECT (['a/', 'b/', 'c/'])[n_nationkey % 3 + 1] || n_nationkey AS path FROM nation), k AS (SELECT s_suppkey, s_suppkey % 13 AS k FROM supplier)
         SELECT s_suppkey, CASE WHEN 'a/' || k IN (SELECT path FROM t) THEN 'a/' || k WHEN 'b/' || k IN (SELECT path FROM t) THEN 'b/' || k WHEN 'c/' || k IN (SELECT path FROM t) THEN 'c/' || k ELSE '-' END AS path FROM k""",
     "module_findings": """WITH c AS (SELECT s_suppkey AS row_no, 'skill-' || s_suppkey % 40 AS skill, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'run' END AS action, 'C' || s_suppkey % 60 AS code, s_name AS name, 'skill-' || s_suppkey % 50 || ':run' AS ref FROM supplier),
-        f AS (SELECT 'skill-' || p_partkey AS skill FROM part WHERE p_partkey <= 45),
+        f AS (SELECT 'skill-' || p_partkey AS skill FROM part),
         a AS (SELECT 'high' AS severity, 'missing-entry' AS category, skill AS detail FROM f WHERE skill NOT IN (SELECT skill FROM c)
           UNION ALL SELECT DISTINCT 'high', 'orphan-entry', skill FROM c WHERE skill NOT IN (SELECT skill FROM f)
           UNION ALL SELECT 'high', 'duplicate-code', code || ': ' || string_agg(name, ', ' ORDER BY row_no) FROM c GROUP BY code HAVING count(*) > 1
@@ -90,10 +95,12 @@ ORACLES = {
     "help_next": """WITH l AS (SELECT n_name AS code, n_regionkey AS phase, n_nationkey AS ord, n_nationkey % 3 <> 0 AS required FROM nation WHERE NOT (n_regionkey = 0 OR n_nationkey IN (1, 2))),
         r AS (SELECT phase, ord FROM l WHERE required ORDER BY phase, ord LIMIT 1)
         SELECT l.code, l.phase, l.ord, l.required FROM l, r WHERE l.phase = r.phase AND (NOT l.required OR l.ord = r.ord)""",
-    "report_status": """WITH r AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n FROM events WHERE user_id < 40 GROUP BY user_id), c AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN n ELSE 0 END AS n FROM r)
+    "report_status": """WITH r AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n FROM events GROUP BY user_id), c AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN n ELSE 0 END AS n FROM r)
         SELECT 'u' || user_id AS name, CASE WHEN user_id % 5 = 0 THEN 1 ELSE CAST(user_id AS INTEGER) + 1 END AS rank, CAST(n AS INTEGER) AS finding_count, CASE WHEN n = 0 THEN 'good' ELSE 'needs-attention' END AS status FROM c""",
     "compression_ratio": """WITH a AS (SELECT lang, sum(length(text)) AS a FROM documents GROUP BY lang), b AS (SELECT lang, sum(length(text)) AS b FROM (SELECT DISTINCT lang, text FROM documents) GROUP BY lang)
         SELECT lang, printf('%.1f:1', a::DOUBLE / b::DOUBLE) AS ratio, round(b::DOUBLE / a::DOUBLE * 100, 1) AS width FROM a JOIN b USING (lang)""",
-    "script_inventory": """WITH p AS (SELECT p_partkey AS k, (['.py', '.sh', '.ts', '.md'])[p_partkey % 4 + 1] AS e FROM part WHERE p_partkey <= 60), s AS (SELECT k, 'p' || k || e AS name, CASE e WHEN '.py' THEN 'python' WHEN '.sh' THEN 'shell' ELSE 'node' END AS language FROM p WHERE e <> '.md')
-        SELECT language, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE k % 3 <> 0), '') AS missing_tests FROM s GROUP BY language""",
+    "script_inventory": """WITH p AS (SELECT p_partkey AS k, (['.py', '.sh', '.ts', '.md'])[p_partkey % 4 + 1] AS e FROM part), s AS (SELECT k, 'p' || k || e AS name, CASE e WHEN '.py' THEN 'python' WHEN '.sh' THEN 'shell' ELSE 'node' END AS language FROM p WHERE e <> '.md')
+        SELECT 'src/' || name AS path, name, language, k % 3 = 0 AS tested FROM s""",
+    "script_languages": """WITH p AS (SELECT p_partkey AS k, (['.py', '.sh', '.ts', '.md'])[p_partkey % 4 + 1] AS e FROM part WHERE p_partkey % 4 <> 3)
+        SELECT CASE e WHEN '.py' THEN 'python' WHEN '.sh' THEN 'shell' ELSE 'node' END AS language, count(*) AS n, count(*) FILTER (WHERE k % 3 <> 0) AS n_untested FROM p GROUP BY ALL""",
 }

@@ -111,13 +111,13 @@ def tts_chunks(spark, folder):
 
 def chunk_for_paragraph(spark, folder):
     """Chunk of the third paragraph of every document."""
-    found = table(spark, folder, "documents").select("doc_id", chunks.chunks(F.split("text", "\n")).alias("c"))
+    found = table(spark, folder, "documents").select("doc_id", chunks.ranges(F.split("text", "\n")).alias("c"))
     return found.select("doc_id", chunks.chunk_of(F.col("c"), F.lit(2)).alias("chunk_idx"))
 
 
 def cache_key_escape(spark, folder):
-    """Cache keys and escaped texts of the first sentence of every turn."""
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.element_at(F.array(*map(F.lit, (0.75, 1.0, 1.25, 1.5, 2.0))), (F.col("turn") % 5 + 1).cast("int")).alias("rate"), F.concat(F.lit("<a & 'b'> "), F.substring("text", 1, 40)).alias("said"))
+    """Cache keys and escaped texts of every turn."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.element_at(F.array(*map(F.lit, (0.75, 1.0, 1.25, 1.5, 2.0))), (F.col("turn") % 5 + 1).cast("int")).alias("rate"), F.concat(F.lit("<a & 'b'> "), F.col("text")).alias("said"))
     return turns.select("conv_id", "turn", F.md5(cache.cache_key(F.col("rate"), F.col("said"))).alias("key_md5"), F.md5(tx.xml_escaped(F.col("said"))).alias("xml_md5"))
 
 
@@ -134,8 +134,7 @@ def audio_cache_expiry(spark, folder):
     """Expiry of every key at the end of the last day but one hour."""
     inserts = _inserts(spark, folder)
     now = inserts.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("now"))
-    at = now.first()["now"]  # one row
-    return cache.expired(inserts, "key", "ts", F.lit(at)).select("key", "expired")
+    return cache.expired(inserts, "key", "ts", now.scalar()).select("key", "expired")
 
 
 def single_flight(spark, folder):
@@ -190,7 +189,7 @@ ORACLES = {
         f AS (SELECT doc_id, t, list_filter(list_transform(regexp_extract_all(t, '[^.!?]+(?:[.!?]+["'')\\]]*|$)'), lambda x: regexp_replace(x, '{_STRIP}', '', 'g')), lambda x: x <> '') AS s FROM n),
         u AS (SELECT doc_id, unnest(CASE WHEN t = '' THEN [] WHEN len(s) > 0 THEN s ELSE [t] END) AS s FROM f)
         SELECT doc_id, count(*) AS n_sentences, CAST(sum(length(s)) AS BIGINT) AS n_chars, max(md5(s)) AS max_md5 FROM u GROUP BY doc_id""",
-    "cache_key_escape": """WITH t AS (SELECT conv_id, turn, (['0.75', '1', '1.25', '1.5', '2'])[turn % 5 + 1] AS rate, '<a & ''b''> ' || substring(text, 1, 40) AS said FROM conversations)
+    "cache_key_escape": """WITH t AS (SELECT conv_id, turn, (['0.75', '1', '1.25', '1.5', '2'])[turn % 5 + 1] AS rate, '<a & ''b''> ' || text AS said FROM conversations)
         SELECT conv_id, turn, md5(rate || ':' || said) AS key_md5,
           md5(replace(replace(replace(replace(replace(said, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS xml_md5 FROM t""",
     "audio_cache_retention": f"WITH {_INSERTS}, f AS (SELECT key, ts, event_id, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS r FROM ins) SELECT key, ts AS first_ts FROM f WHERE r = 1 ORDER BY ts DESC, event_id DESC LIMIT 200",
