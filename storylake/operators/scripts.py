@@ -2,41 +2,85 @@
 
 from __future__ import annotations
 
-import ast
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Languages by extension, and the names under which a script's test may stand.
 LANGUAGES = {".py": "python", ".sh": "shell", ".bash": "shell", ".js": "node", ".ts": "node", ".mjs": "node"}
 TEST_NAMES = ("test_{stem}{ext}", "test-{stem}{ext}", "{stem}_test{ext}", "{stem}-test{ext}", "{stem}.test{ext}", "{stem}.spec{ext}")
-FACT = ArrayType(StructType([StructField("kind", StringType()), StructField("name", StringType()), StructField("line", IntegerType())]))
-
-
-def _facts(source: str | None) -> list[tuple[str, str, int]]:
-    try:
-        tree = ast.parse(source or "")
-    except (SyntaxError, ValueError):
-        return [("error", "syntax", 0)]
-    found = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            found += [("import", a.name.split(".")[0], node.lineno) for a in node.names]
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            found.append(("import", node.module.split(".")[0], node.lineno))
-        elif isinstance(node, ast.Call):
-            name = node.func.id if isinstance(node.func, ast.Name) else node.func.attr if isinstance(node.func, ast.Attribute) else None
-            if name in ("input", "dumps", "exit", "ArgumentParser"):
-                found.append(("call", name, node.lineno))
-    return sorted(found, key=lambda f: (f[2], f[0], f[1]))
-
-
-@F.pandas_udf(FACT)
-def python_facts(source: pd.Series) -> pd.Series:
-    """Imports and calls of interest in Python sources, by line; a syntax error is a fact of its own."""
-    return source.map(_facts)
+#: Lines under which a script is too short to be one, and up to which it needs no frame.
+SHORT, PLAIN = 5, 20
+SIMPLE_IMPORTS = ("shutil", "glob", "fnmatch")
+UNPINNED = r"\b(?:npx|uvx)\s+[a-zA-Z][\w-]+(?!\S*@)"
+# Rules of shell lines: pattern, severity, category, title; comments are left out where the title says so.
+SHELL = (
+    (r"/usr/bin/(?:python|ruby|node|perl)\b", "medium", "portability", "Hardcoded interpreter path"),
+    (r"\b(?:gsed|gawk|ggrep|gfind)\b", "medium", "portability", "Tool of one platform"),
+)
+
+
+def python_facts(files: DataFrame) -> DataFrame:
+    """``path, line_no, kind, name``: imports and calls of interest in Python sources, line by line.
+
+    A line that is a comment has none. Statements are told by their line, so an
+    import inside a string over several lines counts as one.
+    """
+    lines = files.where(language(F.col("path")) == "python").select("path", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("at", "line")).where(~F.rlike("line", F.lit(r"^\s*#")))
+    named = lambda name: F.regexp_extract(name, r"^\s*([A-Za-z_]\w*)", 1)
+    imported = F.transform(F.split(F.regexp_extract("line", r"^\s*import\s+(.+)$", 1), ","), named)
+    come = F.array(F.regexp_extract("line", r"^\s*from\s+([A-Za-z_]\w*)", 1))
+    called = F.regexp_extract_all("line", F.lit(r"\b(input|dumps|exit|ArgumentParser)\("), F.lit(1))
+    fact = lambda kind, names: F.transform(F.filter(names, lambda n: n != ""), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+    listed = lines.select("path", (F.col("at") + 1).alias("line_no"), F.explode(F.concat(fact("import", imported), fact("import", come), fact("call", called))).alias("f"))
+    return listed.select("path", "line_no", "f.kind", "f.name")
+
+
+def _issue(severity: str, category: str, title: str, line_no=None) -> Column:
+    return F.struct((F.lit(1) if line_no is None else line_no).cast("int").alias("line_no"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(title).alias("title"))
+
+
+def findings(files: DataFrame) -> DataFrame:
+    """``path, line_no, severity, category, title`` of Python, shell and Node scripts ``path, content``."""
+    text, lines = F.col("content"), F.split("content", "\n")
+    known = files.select("path", F.coalesce("content", F.lit("")).alias("content"), language(F.col("path")).alias("language")).where("language IS NOT NULL").withColumn("n_lines", F.size(F.split("content", "\n")))
+    facts = python_facts(known)
+    is_call = lambda *names: (F.col("kind") == "call") & F.col("name").isin(*names)
+    per_file = facts.groupBy("path").agg(
+        F.array_sort(F.collect_list(F.when(is_call("input"), F.col("line_no")))).alias("asks"), F.count_if(is_call("ArgumentParser")).alias("parser"), F.count_if(is_call("dumps")).alias("dumps"),
+        F.count_if(is_call("exit")).alias("exits"), F.collect_set(F.when(F.col("kind") == "import", F.col("name"))).alias("imports"),
+    )
+    has = lambda word: F.contains(text, F.lit(word))
+    short = F.when(F.col("n_lines") < SHORT, _issue("medium", "over-engineered", "Could be a command in the prompt"))
+    framed = lambda count, severity, title: F.when((F.coalesce(count, F.lit(0)) == 0) & (F.col("n_lines") > PLAIN), _issue(severity, "agentic-design", title))
+    simple = F.size(F.array_intersect(F.coalesce("imports", F.array().cast("array<string>")), F.array(*map(F.lit, SIMPLE_IMPORTS)))) > 0
+    python = F.array(
+        F.when(~has("# /// script"), F.when(has("import "), _issue("medium", "dependencies", "No inline dependencies"))).when(~has("requires-python"), _issue("low", "dependencies", "No version of Python named")),
+        F.when(has("requirements.txt") | has("pip install"), _issue("high", "dependencies", "Dependencies outside the script")),
+        framed(F.col("parser"), "medium", "No argument parser"), framed(F.col("dumps"), "medium", "No structured output"), framed(F.col("exits"), "low", "No exit codes"),
+        F.when(simple & (F.col("n_lines") < 30), _issue("low", "over-engineered", "Simpler as shell")), short,
+    )
+    asks = F.transform(F.coalesce("asks", F.array().cast("array<int>")), lambda n: _issue("critical", "agentic-design", "Asks for input", n))
+
+    def on_lines(pattern: str, issue, comments: bool) -> Column:
+        matched = F.transform(lines, lambda x, i: F.when(F.rlike(x, F.lit(pattern)) if comments else F.rlike(x, F.lit(pattern)) & ~F.rlike(x, F.lit(r"^\s*#")), issue(i + 1)))
+        return F.filter(matched, lambda x: x.isNotNull())
+
+    unpinned = lambda comments: on_lines(UNPINNED, lambda n: _issue("medium", "dependencies", "Version not pinned", n), comments)
+    # A variable counts if an even number of quotes stands before it, and none beside it.
+    bare = F.flatten(F.transform(lines, lambda x, i: F.transform(F.when(F.rlike(x, F.lit(r"^\s*#")), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.regexp_replace(x, r'"[^"]*("|$)', '""'), F.lit(r'(?<!")\$\w+(?!")'), F.lit(0))), lambda m: _issue("low", "portability", "Unquoted variable", i + 1))))
+    first = lines[0]
+    shell = F.concat(
+        F.array(
+            F.when(~F.startswith(first, F.lit("#!")), _issue("high", "portability", "No shebang")).when(~F.contains(first, F.lit("/usr/bin/env")), _issue("medium", "portability", "Shebang with a fixed path")),
+            F.when(~has("set -e"), _issue("medium", "error-handling", "Errors are ignored")), short,
+        ),
+        *(on_lines(pattern, partial(_issue, *rest), True) for pattern, *rest in SHELL), bare, unpinned(False),
+    )
+    issues = F.when(F.col("language") == "python", F.concat(python, asks)).when(F.col("language") == "shell", shell).otherwise(F.concat(F.array(short), unpinned(True)))
+    found = known.join(per_file, "path", "left").select("path", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("i"))
+    return found.select("path", "i.line_no", "i.severity", "i.category", "i.title")
 
 
 def language(path: Column) -> Column:

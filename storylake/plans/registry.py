@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("volumes", "reading", "analysis", "relations", "projects")
+MODULES: tuple[str, ...] = ("volumes", "reading", "analysis", "relations", "projects", "skills")
 
 
 def _merged(attribute: str) -> dict:
