@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storylake.operators.merge import with_default
-from storylake.operators.templates import filled
+from storylake.operators.templates import filled, result_of
 
 
 def first_existing(candidates: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -48,3 +48,49 @@ def request_fields(body: Column) -> Column:
     listed = F.from_json(F.get_json_object(body, "$.paragraphs"), "array<string>")
     texts = F.filter(F.transform(F.when(listed.isNotNull(), listed).otherwise(F.array(text)), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
     return F.struct(texts.alias("texts"), F.coalesce(F.get_json_object(body, "$.rate").try_cast("double"), F.lit(1.0)).alias("rate"))
+
+
+def rooted(settings: Column, root: Column) -> Column:
+    """A map of settings with ``{project-root}`` resolved in every value."""
+    return F.transform_values(settings, lambda _, value: F.replace(value, F.lit("{project-root}"), root))
+
+
+def only(settings: Column, names: tuple[str, ...]) -> Column:
+    """The settings of these names."""
+    return F.map_filter(settings, lambda key, _: key.isin(*names))
+
+
+def without(settings: Column, names: tuple[str, ...]) -> Column:
+    """All settings but those of these names."""
+    return F.map_filter(settings, lambda key, _: ~key.isin(*names))
+
+
+def metadata(settings: Column) -> Column:
+    """Name, description and default selection where given, and the version, null if it isn't."""
+    version = F.create_map(F.lit("version"), F.try_element_at(settings, F.lit("version")))
+    return F.map_concat(only(settings, ("name", "description", "default_selected")), version)
+
+
+def written_settings(variables: Column, answers: Column, context: Column) -> Column:
+    """``array<struct<name, value>>`` of variables ``array<struct<name, default, result>>`` in their order.
+
+    An answer wins over the default; the result's template, if there is one,
+    shapes it. Every value joins the context from which later ones are filled.
+    """
+    start = F.struct(context.alias("known"), F.array().cast("array<struct<name:string,value:string>>").alias("done"))
+
+    def step(acc, v):
+        given = with_default(F.try_element_at(answers, v["name"]), filled(v["default"], acc["known"]))
+        value = F.when(v["result"].isNull(), given).otherwise(filled(result_of(v["result"], given), acc["known"]))
+        grown = F.map_concat(F.map_filter(acc["known"], lambda key, _: key != v["name"]), F.create_map(v["name"], value))
+        return F.struct(grown.alias("known"), F.concat(acc["done"], F.array(F.struct(v["name"].alias("name"), value.alias("value")))).alias("done"))
+
+    return F.aggregate(variables, start, step, lambda acc: acc["done"])
+
+
+def arguments(pairs: Column) -> Column:
+    """``struct<ok, settings>`` of ``key=value`` texts, split at the first sign; a text without a sign or key spoils all; the last of equal keys counts."""
+    sound = F.filter(pairs, lambda p: F.rlike(p, F.lit("(?s)^[^=]+=")))
+    entries = F.transform(sound, lambda p: F.struct(F.regexp_extract(p, "(?s)^([^=]+)=", 1).alias("key"), F.regexp_extract(p, "(?s)^[^=]+=(.*)$", 1).alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries) + 1), lambda later: later["key"] == e["key"]))
+    return F.struct((F.size(sound) == F.size(pairs)).alias("ok"), F.map_from_entries(last).alias("settings"))

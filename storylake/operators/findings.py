@@ -64,3 +64,9 @@ def status(kind: str) -> Column:
     if kind == "validator":
         return F.when(critical | high, "fail").otherwise("pass")
     raise ValueError(f"no such kind of scanner: {kind}")
+
+
+def open_categories(findings: DataFrame, key: str) -> DataFrame:
+    """``key, counts``: a map of every category that occurs to its number."""
+    counted = findings.groupBy(key, "category").agg(F.count("*").alias("n"))
+    return counted.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("counts"))

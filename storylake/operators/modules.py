@@ -45,3 +45,91 @@ def next_steps(catalog: DataFrame, completed: DataFrame) -> DataFrame:
     first = left.where("required").agg(F.min(F.struct("phase", "ord")).alias("first"))
     current = left.join(F.broadcast(phase), "phase", "left_semi")
     return current.join(F.broadcast(first)).where("NOT required OR ord = first.ord").select("code", "phase", "ord", "required")
+
+
+# Files that a module must have, columns of its catalog, fields of its definition and its entries.
+SETUP_FILES = ("SKILL.md", "assets/module.yaml", "assets/module-help.csv")
+STANDALONE_FILES = ("assets/module.yaml", "assets/module-help.csv", "assets/module-setup.md", "scripts/merge-config.py", "scripts/merge-help-csv.py")
+CATALOG = ("module", "skill", "display-name", "menu-code", "description", "action", "args", "phase", "after", "before", "required", "output-location", "outputs")
+DEFINITION_FIELDS = ("code", "name", "description")
+ENTRY_FIELDS = ("skill", "display-name", "menu-code", "description")
+
+
+def skill_folders(files: DataFrame) -> DataFrame:
+    """``module, folder``: direct children that hold a main file, of a listing ``module, path``."""
+    return files.where(F.rlike("path", F.lit(r"^[^/]+/SKILL\.md$"))).select("module", F.regexp_extract("path", "^([^/]+)/", 1).alias("folder")).distinct()
+
+
+def structure(files: DataFrame) -> DataFrame:
+    """``module, kind, folder, missing`` of a listing ``module, path``.
+
+    ``kind`` is ``setup`` if a folder's name ends in ``-setup`` (the first by
+    name), ``standalone`` if the only skill folder holds a definition, else
+    ``none``. ``missing`` lists the required files that the folder lacks.
+    """
+    top = files.select("module", "path", F.regexp_extract("path", "^([^/]+)/", 1).alias("folder"))
+    skills = skill_folders(files).groupBy("module").agg(F.count("*").alias("n"), F.min("folder").alias("single"))
+    setups = top.where(F.endswith("folder", F.lit("-setup"))).groupBy("module").agg(F.min("folder").alias("setup"))
+    defined = files.select("module", F.regexp_extract("path", "^([^/]+)/assets/module\\.yaml$", 1).alias("single")).where("single <> ''").distinct().withColumn("defined", F.lit(True))
+    known = files.select("module").distinct().join(setups, "module", "left").join(skills, "module", "left").join(defined, ["module", "single"], "left")
+    alone = F.col("setup").isNull() & (F.col("n") == 1) & F.col("defined")
+    kind = F.when(F.col("setup").isNotNull(), "setup").when(alone, "standalone").otherwise("none")
+    chosen = known.select("module", kind.alias("kind"), F.coalesce("setup", F.when(alone, F.col("single"))).alias("folder"))
+    wanted = F.when(F.col("kind") == "setup", F.array(*map(F.lit, SETUP_FILES))).when(F.col("kind") == "standalone", F.array(*map(F.lit, STANDALONE_FILES)))
+    needed = chosen.select("module", F.explode_outer(wanted).alias("file"), "folder").withColumn("path", F.concat_ws("/", "folder", "file"))
+    lacking = needed.where("folder IS NOT NULL").join(files.select("module", "path").distinct(), ["module", "path"], "left_anti").groupBy("module").agg(F.array_join(F.array_sort(F.collect_list("file")), ", ").alias("missing"))
+    return chosen.join(lacking, "module", "left").select("module", "kind", F.coalesce("folder", F.lit("")).alias("folder"), F.coalesce("missing", F.lit("")).alias("missing"))
+
+
+def definition_findings(definitions: DataFrame) -> DataFrame:
+    """Fields that a definition ``module, settings`` (a map) lacks or leaves empty."""
+    lacking = F.filter(F.array(*map(F.lit, DEFINITION_FIELDS)), lambda f: F.coalesce(F.try_element_at("settings", f), F.lit("")) == "")
+    return definitions.select("module", F.explode(lacking).alias("detail")).select("module", F.lit("high").alias("severity"), F.lit("yaml").alias("category"), "detail")
+
+
+def catalog_findings(catalogs: DataFrame) -> DataFrame:
+    """Findings of catalogs ``module, row_no, cells``, the header being row 1: its columns, no entries, odd numbers of cells, empty fields."""
+    header, rows = catalogs.where("row_no = 1"), catalogs.where("row_no > 1")
+    named = F.array(*map(F.lit, CATALOG))
+    less, more = F.array_sort(F.array_except(named, F.col("cells"))), F.array_sort(F.array_except(F.col("cells"), named))
+    told = F.concat_ws("; ", F.when(F.size(less) > 0, F.concat(F.lit("missing: "), F.array_join(less, ", "))), F.when(F.size(more) > 0, F.concat(F.lit("extra: "), F.array_join(more, ", "))))
+    shown = lambda frame, severity, category, detail: frame.select("module", F.lit(severity).alias("severity"), F.lit(category).alias("category"), detail.alias("detail"))
+    heads = shown(header.where(F.col("cells") != named), "high", "csv-header", told)
+    empty = shown(header.select("module").join(rows.select("module").distinct(), "module", "left_anti"), "high", "csv-empty", F.lit(""))
+    odd = shown(rows.where(F.size("cells") != len(CATALOG)), "medium", "csv-columns", F.concat_ws(": ", F.col("row_no").cast("string"), F.size("cells").cast("string")))
+    placed = rows.join(header.select("module", F.col("cells").alias("names")), "module")
+    at = lambda field: F.coalesce(F.try_element_at("cells", F.array_position("names", field).cast("int")), F.lit(""))
+    blank = placed.select("module", "row_no", F.explode(F.array(*(F.when((F.array_position("names", f) == 0) | (F.trim(at(f)) == ""), F.lit(f)) for f in ENTRY_FIELDS))).alias("field")).where("field IS NOT NULL")
+    return reduce(DataFrame.unionByName, [heads, empty, odd, shown(blank, "high", "missing-field", F.concat_ws(": ", F.col("row_no").cast("string"), F.col("field")))])
+
+
+def cleanup_targets(module: Column, extras: Column) -> Column:
+    """Folders to clean up, in order and once each: the module, ``core``, then further ones."""
+    return F.array_distinct(F.concat(F.array(module, F.lit("core")), extras))
+
+
+def file_counts(files: DataFrame) -> DataFrame:
+    """Files below every folder of a listing ``module, path``, those of folders inside it included."""
+    parts = F.split(F.concat_ws("/", "module", "path"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return files.select(F.explode(above).alias("folder")).groupBy("folder").agg(F.count("*").alias("n_files"))
+
+
+def copy_set(source: DataFrame, skipped: tuple[str, ...]) -> DataFrame:
+    """``module, path`` of the files to copy: all but those whose name is to be skipped."""
+    return source.where(~F.regexp_extract("path", "([^/]+)$", 1).isin(*skipped)).select("module", "path").distinct()
+
+
+def not_installed(wanted: DataFrame, installed: DataFrame) -> DataFrame:
+    """Skill folders of ``wanted`` that no installed listing ``path`` holds at any depth."""
+    there = installed.where(F.rlike("path", F.lit(r"(^|/)SKILL\.md$"))).select(F.regexp_extract("path", r"([^/]+)/SKILL\.md$", 1).alias("folder")).distinct()
+    return wanted.select("folder").distinct().join(there, "folder", "left_anti")
+
+
+def capabilities(files: DataFrame, fields: Column, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """One markdown table a module of the files ``module, path`` whose ``fields`` (a map) give a name and a code."""
+    has = lambda k: F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit(""))
+    rows = files.where((has("name") != "") & (has("code") != "") & ~F.col("path").isin(*skipped))
+    line = F.concat(F.lit("| ["), has("code"), F.lit("] | "), has("name"), F.lit(" | "), has("description"), F.lit(" |"))
+    listed = rows.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))).alias("l"))
+    return listed.select("module", F.size("l").alias("n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("table"))

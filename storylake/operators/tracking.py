@@ -48,3 +48,13 @@ def next_story(entries: DataFrame, group: str) -> DataFrame:
 def story_key(title: Column) -> Column:
     """``Story 1.1: User Auth`` as ``1-1-user-auth``."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(title, r"^Story\s+", "")), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def loose_ends(entries: DataFrame) -> DataFrame:
+    """``key, finding`` of entries ``key, status``: stories whose epic isn't listed, and running epics without a story."""
+    known = entries.select("key", "status", kind(F.col("key")).alias("kind"))
+    epics = known.where("kind = 'epic'").select("key", "status", F.regexp_extract("key", "^epic-([0-9]+)$", 1).alias("epic"))
+    stories = known.where("kind = 'story'").select("key", F.regexp_extract("key", "^([0-9]+)-", 1).alias("epic"))
+    orphans = stories.join(epics.select("epic").distinct(), "epic", "left_anti").select("key", F.lit("orphan-story").alias("finding"))
+    empty = epics.where("status = 'in-progress'").join(stories.select("epic").distinct(), "epic", "left_anti").select("key", F.lit("empty-epic").alias("finding"))
+    return orphans.unionByName(empty).distinct()

@@ -43,3 +43,27 @@ def read_catalog(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     schema = ", ".join(f"`{c}` STRING" for c in [*columns, "_corrupt_record"])
     read = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
     return read.withColumn("row_no", F.monotonically_increasing_id())
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV line by position, as many as it has; quotes around a cell go, doubled ones inside stay single."""
+    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit('("(?:[^"]|"")*"|[^,"]*),'), F.lit(1))
+    return F.transform(cells, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def write_catalog(rows: DataFrame, path: str) -> None:
+    """A catalog as CSV files with a header; quotes are doubled."""
+    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def write_settings(settings: DataFrame, path: str, comment: str = "") -> None:
+    """Settings ``scope, ord, key, value`` as text files of ``key: value`` lines, a folder a scope, in order, after comment lines."""
+    lines = settings.groupBy("scope").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key", "value"))), lambda s: F.concat(s["key"], F.lit(": "), s["value"])), "\n").alias("value"))
+    head = "".join(f"# {line}\n" for line in comment.splitlines())
+    lines.select("scope", F.concat(F.lit(head), F.col("value")).alias("value")).write.mode("overwrite").partitionBy("scope").text(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """``scope, settings`` of the text files of :func:`write_settings`; comments are left out."""
+    read = spark.read.option("wholetext", True).option("basePath", path).text(f"{path}/scope=*")
+    return read.select(F.col("scope").cast("string").alias("scope"), key_values(F.col("value")).alias("settings"))
