@@ -38,3 +38,26 @@ def ratio(source: Column, result: Column) -> Column:
 def stale(updated: Column, generated: Column, now: Column, days: int = 7) -> Column:
     """Whether the last update (or else the generation) is older than ``days``."""
     return F.coalesce(updated, generated) < now - F.expr(f"INTERVAL {days} DAYS")
+
+
+def write_reports(findings: DataFrame, key: str, path: str) -> None:
+    """One JSON report a key: its findings ``line_no, severity, category`` in order, and how many there are."""
+    listed = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "severity", "category"))).alias("findings"))
+    listed.select(F.to_json(F.struct(F.col(key).cast("string").alias("name"), F.size("findings").alias("finding_count"), "findings")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_reports(spark, path: str) -> DataFrame:
+    """``name, finding_count, findings`` of the reports; a missing folder is an error."""
+    schema = "name string, finding_count int, findings array<struct<line_no:int,severity:string,category:string>>"
+    return spark.read.text(path).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def stamps(at: Column) -> dict[str, Column]:
+    """A time as ISO text of UTC, and its date part."""
+    shown = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    return {"stamp": F.concat(shown, F.lit("+00:00")), "day": F.split(shown, "T")[0]}
+
+
+def listing(files: DataFrame, key: str, name: str, most: int = 120) -> DataFrame:
+    """``key, n, names``: the distinct names of every key in order, each cut at ``most`` code points for display."""
+    return files.groupBy(key).agg(F.count_distinct(name).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set(name)), lambda x: F.left(x, F.lit(most))), ",").alias("names"))

@@ -103,3 +103,15 @@ def inventory(files: DataFrame) -> DataFrame:
 def by_language(scripts: DataFrame) -> DataFrame:
     """Scripts of :func:`inventory` by language, and how many lack a test."""
     return scripts.groupBy("language").agg(F.count("*").alias("n"), F.count_if(~F.col("tested")).alias("n_untested"))
+
+
+def literals(source: Column) -> dict[str, Column]:
+    """Values that a script's source sets: its skill's name, its lists of templates and of skipped files, and whether it evolves (null if not set)."""
+    strings = lambda block: F.regexp_extract_all(block, F.lit("[\"']([^\"']+)[\"']"), F.lit(1))
+    evolves = F.regexp_extract(source, r"(?m)^EVOLVABLE\s*=\s*(True|False)", 1)
+    return {
+        "skill_name": F.regexp_extract(source, r"(?m)^SKILL_NAME\s*=\s*[\"']([^\"']+)[\"']", 1),
+        "templates": strings(F.regexp_extract(source, r"(?s)TEMPLATE_FILES\s*=\s*\[(.*?)\]", 1)),
+        "skipped": strings(F.regexp_extract(source, r"(?s)SKILL_ONLY_FILES\s*=\s*\{(.*?)\}", 1)),
+        "evolvable": F.when(evolves != "", evolves == "True"),
+    }

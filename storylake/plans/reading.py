@@ -164,7 +164,21 @@ _LATEST = """p AS (SELECT event_id, ts, user_id, event_type AS slug, TRY_CAST(js
   latest AS (SELECT user_id, slug, chapter_idx FROM (SELECT *, row_number() OVER (PARTITION BY user_id, slug ORDER BY ts DESC, event_id DESC) AS r FROM p) WHERE r = 1)"""
 _INSERTS = "ins AS (SELECT concat_ws(':', event_type, CAST(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR)) AS key, ts, event_id FROM events)"
 
+#: Chunks packed one sentence after another by a recursive query: ``c(doc_id, k, chunk, size)`` beside the sentences ``n``.
+_PACKED = f"""p AS (SELECT doc_id, i - 1 AS p, regexp_replace(regexp_replace(string_split(text, chr(10))[i], '{_WS}+', ' ', 'g'), '{_STRIP}', '', 'g') AS t
+    FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+  f AS (SELECT doc_id, p, t, list_filter(list_transform(regexp_extract_all(t, '[^.!?]+(?:[.!?]+["'')\\]]*|$)'), lambda x: regexp_replace(x, '{_STRIP}', '', 'g')), lambda x: x <> '') AS s FROM p WHERE t <> ''),
+  g AS (SELECT doc_id, p, CASE WHEN len(s) > 0 THEN s ELSE [t] END AS s FROM f), u AS (SELECT doc_id, p, unnest(range(1, len(s) + 1)) AS j, unnest(s) AS s FROM g),
+  n AS MATERIALIZED (SELECT doc_id, p, s, j = 1 AS opens, length(s) + len(regexp_extract_all(s, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY p, j) AS k FROM u),
+  c(doc_id, k, chunk, size) AS (SELECT doc_id, k, 0, size FROM n WHERE k = 1
+    UNION ALL SELECT n.doc_id, n.k, CASE WHEN full_ THEN chunk + 1 ELSE chunk END, CASE WHEN full_ THEN n.size ELSE total END
+    FROM (SELECT c.doc_id, n.k, n.size, chunk, c.size + CASE WHEN opens THEN 2 ELSE 1 END + n.size AS total, total > {chunks.MAX_CHARS} AND c.size >= {chunks.MIN_CHARS} AS full_ FROM c JOIN n ON n.doc_id = c.doc_id AND n.k = c.k + 1) n),
+  z AS (SELECT doc_id, chunk, k, p, CASE WHEN k = min(k) OVER (PARTITION BY doc_id, chunk) THEN s WHEN opens THEN chr(10) || chr(10) || s ELSE ' ' || s END AS s FROM n JOIN c USING (doc_id, k)),
+  chunked AS (SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_idx, string_agg(s, '' ORDER BY k) AS text, CAST(min(p) AS INTEGER) AS start_idx, CAST(max(p) AS INTEGER) AS end_idx FROM z GROUP BY doc_id, chunk)"""
+
 ORACLES = {
+    "tts_chunks": f"WITH RECURSIVE {_PACKED} SELECT * FROM chunked",
+    "chunk_for_paragraph": f"WITH RECURSIVE {_PACKED} SELECT doc_id, CAST(coalesce(min(chunk_idx) FILTER (WHERE start_idx <= 2 AND end_idx >= 2), -1) AS INTEGER) AS chunk_idx FROM documents LEFT JOIN chunked USING (doc_id) GROUP BY doc_id",
     "index_rebuild_lww": "SELECT source, index, title, volume FROM (SELECT source, n_chars % 40 AS index, lang AS title, doc_id AS volume, row_number() OVER (PARTITION BY source, n_chars % 40 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1",
     "chapter_lookup_robust": f"WITH {_TURNS} SELECT story, index, title, len(paragraphs) AS n_paragraphs FROM turns",
     "chapter_lookup_strict": f"""WITH {_TURNS}, pos AS (SELECT story, index, (row_number() OVER (PARTITION BY story ORDER BY index) - 1) // 3 + 1 AS volume FROM turns)

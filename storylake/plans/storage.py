@@ -1,0 +1,243 @@
+"""Queries of writing and reading back, of the player, of requests and of streams with state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from storylake.functions import text as tx
+from storylake.operators import chunks, config, extraction, library, player, reports, scripts, volumes
+from storylake.sources import library as files
+from storylake.sources import settings as source
+from storylake.sources.shared import shared_path
+from storylake.sources.tables import table
+from storylake.streaming import progress, stateful
+
+
+def _chapters(spark, folder):
+    """Conversations as stories of two sources; every turn is a chapter, in volumes of two."""
+    turns = table(spark, folder, "conversations").select(F.concat(F.lit("src"), (F.col("conv_id") % 2).cast("string")).alias("source"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("slug"), F.col("turn").cast("int").alias("index"), F.concat(F.lit("«"), F.col("role"), F.lit("»")).alias("title"), F.split("text", "\n").alias("paragraphs"))
+    return volumes.batched(turns, ["source", "slug"], "index", 2)
+
+
+def volumes_round_trip(spark, folder):
+    """Volumes written under their names and read back."""
+    path = shared_path(spark, "volumes")
+    files.write_volumes(_chapters(spark, folder), path)
+    read = files.read_volumes(spark, path)
+    return read.select("source", "slug", "file_name", F.col("volume").cast("long").alias("volume"), "index", "title", F.md5(F.array_join("paragraphs", "\n")).alias("text_md5"))
+
+
+def index_round_trip(spark, folder):
+    """Index of every story written as JSON arrays and read back."""
+    path = shared_path(spark, "index")
+    files.write_index(_chapters(spark, folder), path)
+    return files.read_index(spark, path)
+
+
+def copied_library(spark, folder):
+    """Titles of stories written where there are any, and copied over an older folder."""
+    titles = _chapters(spark, folder).select("source", "slug", F.when(F.col("slug").rlike("[02468]$"), F.upper("slug")).alias("story_title")).distinct()
+    path, target = shared_path(spark, "metadata"), shared_path(spark, "copy")
+    files.write_metadata(titles, path)
+    schema = "source STRING, slug STRING, story_title STRING"
+    files.copied(spark, path, target, schema)
+    return files.copied(spark, path, target, schema)
+
+
+def _checkpoints(spark, folder):
+    events = table(spark, folder, "events").select(F.col("user_id").alias("story"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("/p"), F.get_json_object("props", "$.k"))).alias("next_url"), (F.get_json_object("props", "$.k").try_cast("int") % 5).alias("next_index"))
+    finished = events.where("story % 7 = 0").select("story")
+    return files.upserted(events.where("seq % 2 = 0"), events.where("seq % 2 = 1"), finished, ["story"], "seq")
+
+
+def checkpoint_upsert(spark, folder):
+    """Checkpoints after all updates, finished stories being gone."""
+    return _checkpoints(spark, folder).select("story", "seq", F.coalesce("next_url", F.lit("-")).alias("next_url"), F.coalesce("next_index", F.lit(-1)).alias("next_index"))
+
+
+def checkpoint_resume(spark, folder):
+    """Chapters left to read by the checkpoints, at most two a story."""
+    stories = table(spark, folder, "events").select(F.col("user_id").alias("story")).distinct()
+    chapters = stories.select("story", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("index"))
+    return files.left_to_read(chapters, _checkpoints(spark, folder), ["story"], "index", 2)
+
+
+def catalog_round_trip(spark, folder):
+    """A catalog with quotes and commas written as CSV and read back by its header."""
+    path = shared_path(spark, "catalog")
+    rows = table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("skill"), F.concat(F.lit('"'), F.col("p_name"), F.lit('", or so')).alias("about"), F.col("p_type").alias("kind"))
+    source.write_catalog(rows, path)
+    return source.read_catalog(spark, path, ["skill", "about", "kind"]).select("skill", "about", "kind")
+
+
+def settings_round_trip(spark, folder):
+    """Settings by region written as text with a comment and read back."""
+    path = shared_path(spark, "settings")
+    rows = table(spark, folder, "nation").select(F.col("n_regionkey").cast("string").alias("scope"), F.col("n_nationkey").alias("ord"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), F.concat(F.col("n_name"), F.lit(" é: x")).alias("value"))
+    source.write_settings(rows, path, "written\nby a job")
+    return source.read_settings(spark, path).select("scope", F.explode("settings").alias("key", "value"))
+
+
+def report_round_trip(spark, folder):
+    """Reports of long lines written as JSON and read back."""
+    path = shared_path(spark, "reports")
+    docs = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    found = docs.where("length(line) > 300").select("doc_id", (F.col("at") + 1).alias("line_no"), F.when(F.length("line") > 800, "high").otherwise("low").alias("severity"), F.lit("long-line").alias("category"))
+    reports.write_reports(found, "doc_id", path)
+    return reports.read_reports(spark, path).select("name", "finding_count", F.size(F.filter("findings", lambda f: f["severity"] == "high")).alias("n_high"), F.col("findings")[0]["line_no"].alias("first_line"))
+
+
+def local_progress(spark, folder):
+    """Progress kept as JSON text, some of it spoiled: what can't be read is none."""
+    text = F.when(F.col("event_id") % 5 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
+    return table(spark, folder, "events").select("event_id", F.coalesce(F.from_json(text, "k int")["k"], F.lit(-1)).alias("k"))
+
+
+def request_bodies(spark, folder):
+    """Texts and rate of requests made of every turn: a text, a list with blanks, or neither."""
+    body = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("  "), F.col("text"), F.lit(" ")).alias("text"), F.lit(1.5).alias("rate")))).when(F.col("turn") % 3 == 1, F.to_json(F.struct(F.array(F.col("role"), F.lit(" "), F.col("text")).alias("paragraphs"), F.lit("fast").alias("rate")))).otherwise(F.lit("{}"))
+    found = table(spark, folder, "conversations").select("conv_id", "turn", config.request_fields(body).alias("r"))
+    return found.select("conv_id", "turn", F.size(F.coalesce("r.texts", F.array().cast("array<string>"))).alias("n"), F.md5(F.coalesce(F.array_join("r.texts", "|"), F.lit(""))).alias("texts_md5"), "r.rate")
+
+
+def route_params(spark, folder):
+    """Chapter numbers of addresses as a browser parses them."""
+    text = F.element_at(F.array(F.col("o_orderkey").cast("string"), F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit("abc")), F.lit("abc"), F.concat(F.lit("-"), F.col("o_custkey").cast("string")), F.lit("")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, folder, "orders").select("o_orderkey", F.coalesce(config.parsed_int(text), F.lit(-999_999)).alias("index"))
+
+
+def player_targets(spark, folder):
+    """Rates, jumps and what is fetched ahead and held at every turn of every conversation, turns standing for chunks."""
+    turns = table(spark, folder, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("total"))
+    at = turns.select("conv_id", "total", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("chunk"))
+    elapsed = F.pmod(F.col("conv_id") + F.col("chunk"), F.lit(7))
+    chunk, total = F.col("chunk"), F.col("total")
+    held = F.size(F.filter(F.sequence(F.lit(0), total - 1), lambda k: player.still_held(k, chunk)))
+    return at.select("conv_id", "chunk", player.rate(chunk).alias("rate"), player.back_target(chunk, elapsed).cast("int").alias("back"), player.forward_target(chunk, total).cast("int").alias("onward"), F.array_join(player.fetched_ahead(chunk, total), ",").alias("ahead"), held.alias("held"))
+
+
+def active_paragraphs(spark, folder):
+    """Paragraphs with text that some chunk's range covers, a document."""
+    found = table(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("p")).select("doc_id", "p", chunks.ranges(F.col("p")).alias("c"))
+    told = F.filter(F.transform("p", lambda x, i: F.when(tx.strip_white(x) != "", i)), lambda i: i.isNotNull())
+    active = lambda i: F.exists("c", lambda c: player.is_active(i, c))
+    return found.select("doc_id", F.size(F.filter(told, active)).alias("n_active"))
+
+
+def chapter_lines(spark, folder):
+    """Lines of documents with a heading before and site noise around them, both taken off."""
+    around = F.concat_ws("\n", F.when(F.col("doc_id") % 2 == 0, "Chương 12: x"), F.lit("Người đăng: ai"), F.lit("Bạn đang đọc truyện"), F.when(F.col("doc_id") % 9 > 0, F.col("text")), F.lit("nguồn: site.com"), F.when(F.col("doc_id") % 3 == 0, "x.net"))
+    found = table(spark, folder, "documents").select("doc_id", extraction.trimmed(extraction.headless(tx.paragraphs(around))).alias("l"))
+    return found.select("doc_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("text_md5"))
+
+
+def audio_in_order(spark, folder):
+    """Turns of every conversation put together in order after work in parallel; a failed one fails all."""
+    parts = table(spark, folder, "conversations").repartition(3, "turn").select("conv_id", "turn", F.when((F.col("conv_id") % 10 > 0) | (F.col("turn") != 1), F.col("text")).alias("text"))
+    return player.in_order(parts, "conv_id", "turn", "text").select("conv_id", F.coalesce(F.md5("joined"), F.lit("-")).alias("joined_md5"))
+
+
+def iso_stamps(spark, folder):
+    """Times of events as text and as days."""
+    return table(spark, folder, "events").select("event_id", *(c.alias(n) for n, c in reports.stamps(F.col("ts")).items()))
+
+
+def stale_orders(spark, folder):
+    """Orders whose last update, or else their date, is older than a week before a fixed day."""
+    updated = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate") + F.expr("INTERVAL 5 DAYS"))
+    return table(spark, folder, "orders").select("o_orderkey", reports.stale(updated, F.col("o_orderdate"), F.lit("1998-01-01").cast("timestamp_ntz")).alias("is_stale"))
+
+
+def report_prompts(spark, folder):
+    """Numbered prompts from the lines of every order as findings, with a place where both parts are known."""
+    f = F.struct(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("title"), F.when(F.col("l_linenumber") % 3 == 0, "issue").alias("issue"), F.col("l_linestatus").alias("message"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit("f"), F.col("l_partkey").cast("string"))).alias("file"), F.when(F.col("l_linenumber") < 4, F.col("l_linenumber").cast("int")).alias("line"), F.lit("low").alias("severity"))
+    listed = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", f.alias("f")))).alias("l"))
+    return listed.select("l_orderkey", reports.prompt(F.transform("l", lambda x: x["f"])).alias("prompt"))
+
+
+def sorted_listings(spark, folder):
+    """Names of each brand's parts in order."""
+    return reports.listing(table(spark, folder, "part"), "p_brand", "p_name", 12)
+
+
+def source_literals(spark, folder):
+    """Values that scripts made of suppliers set."""
+    text = F.concat(F.lit('X = 1\nSKILL_NAME = "'), F.col("s_name"), F.lit('"\nTEMPLATE_FILES = [\n  "a.md",\n  \''), F.col("s_suppkey").cast("string"), F.lit("-b.md',\n]\n"), F.when(F.col("s_suppkey") % 2 == 0, 'SKILL_ONLY_FILES = {"c.md"}\n').otherwise(""), F.when(F.col("s_suppkey") % 3 == 0, "EVOLVABLE = False\n").when(F.col("s_suppkey") % 3 == 1, "EVOLVABLE = True\n").otherwise(""))
+    found = scripts.literals(text)
+    return table(spark, folder, "supplier").select("s_suppkey", found["skill_name"].alias("skill_name"), F.array_join(found["templates"], ",").alias("templates"), F.size(found["skipped"]).alias("n_skipped"), F.coalesce(found["evolvable"].cast("string"), F.lit("-")).alias("evolvable"))
+
+
+def _reads(spark, folder):
+    events = progress.event_stream(spark, folder)
+    return events.select(F.concat_ws(":", "event_type", (F.get_json_object("props", "$.k").try_cast("int") % 10).cast("string")).alias("key"), "ts", "event_id")
+
+
+def stream_ttl_cache(spark, folder):
+    """Hits and misses of a cache whose entries live half an hour, read as a stream."""
+    reads = progress.drained(stateful.cache_reads(_reads(spark, folder)), "append")
+    return reads.groupBy("key").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+def stream_batches(spark, folder):
+    """Batches of fifty events of every key, read as a stream."""
+    numbered = progress.drained(stateful.numbered_batches(_reads(spark, folder), 50), "append")
+    return numbered.groupBy("key", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+def volume_metadata(spark, folder):
+    """Titles of stories as they stand, a story's name standing in for one without."""
+    stories = _chapters(spark, folder).select("slug").distinct()
+    return stories.select("slug", library.title_or(F.when(F.col("slug").rlike("[05]$"), F.lit("")).otherwise(F.upper("slug")), F.col("slug")).alias("title"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        volumes_round_trip, index_round_trip, copied_library, checkpoint_upsert, checkpoint_resume, catalog_round_trip, settings_round_trip, report_round_trip, local_progress, request_bodies, route_params,
+        player_targets, active_paragraphs, chapter_lines, audio_in_order, iso_stamps, stale_orders, report_prompts, sorted_listings, source_literals, stream_ttl_cache, stream_batches, volume_metadata,
+    )
+}
+
+_WS = r"[\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_CHAPTERS = """ch AS (SELECT 'src' || conv_id % 2 AS source, 'c' || conv_id AS slug, CAST(turn AS INTEGER) AS index, '«' || role || '»' AS title, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 + 1 AS volume FROM conversations)"""
+_POINTS = """e AS (SELECT user_id AS story, event_id AS seq, CASE WHEN event_id % 4 > 0 THEN '/p' || json_extract_string(props, '$.k') END AS next_url, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS next_index FROM events),
+  cp AS (SELECT story, max(seq) AS seq, arg_max(coalesce(next_url, '-'), seq) AS next_url, arg_max(coalesce(next_index, -1), seq) AS next_index FROM e WHERE story % 7 <> 0 GROUP BY story)"""
+_READS = "r AS (SELECT event_type || ':' || TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS key, ts, event_id FROM events)"
+
+ORACLES = {
+    "volumes_round_trip": f"""WITH {_CHAPTERS}, n AS (SELECT *, min(index) OVER (PARTITION BY slug, volume) + 1 AS a, max(index) OVER (PARTITION BY slug, volume) + 1 AS b FROM ch)
+        SELECT source, slug, printf('vol-%03d-ch%03d-%03d.json', volume, a, b) AS file_name, volume, index, title, md5(text) AS text_md5 FROM n""",
+    "index_round_trip": f"WITH {_CHAPTERS} SELECT source, slug, index, title FROM ch",
+    "copied_library": "SELECT DISTINCT 'src' || conv_id % 2 AS source, 'c' || conv_id AS slug, 'C' || conv_id AS story_title FROM conversations WHERE conv_id % 2 = 0",
+    "checkpoint_upsert": f"WITH {_POINTS} SELECT * FROM cp",
+    "checkpoint_resume": f"""WITH {_POINTS}, s AS (SELECT DISTINCT story FROM e), f AS (SELECT story, CASE WHEN coalesce(next_url, '-') <> '-' THEN greatest(next_index, 0) ELSE 0 END AS first FROM s LEFT JOIN cp USING (story))
+        SELECT story, CAST(i AS INTEGER) AS index FROM f, (SELECT unnest(range(0, 6)) AS i) WHERE i >= first AND i < first + 2""",
+    "catalog_round_trip": """SELECT CAST(p_partkey AS VARCHAR) AS skill, '"' || p_name || '", or so' AS about, p_type AS kind FROM part""",
+    "settings_round_trip": "SELECT CAST(n_regionkey AS VARCHAR) AS scope, 'k' || n_nationkey AS key, n_name || ' é: x' AS value FROM nation",
+    "report_round_trip": """WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)
+        SELECT CAST(doc_id AS VARCHAR) AS name, CAST(count(*) AS INTEGER) AS finding_count, CAST(count(*) FILTER (WHERE length(line) > 800) AS INTEGER) AS n_high, CAST(min(line_no) AS INTEGER) AS first_line FROM l WHERE length(line) > 300 GROUP BY doc_id""",
+    "local_progress": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), -1) END AS k FROM events",
+    "request_bodies": """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN (trim(text) <> '')::INT WHEN 1 THEN (trim(role) <> '')::INT + (trim(text) <> '')::INT ELSE 0 END AS n,
+        md5(CASE turn % 3 WHEN 0 THEN trim(text) WHEN 1 THEN trim(role) || '|' || trim(text) ELSE '' END) AS texts_md5, CASE turn % 3 WHEN 0 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS rate FROM conversations""",
+    "route_params": "SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN o_orderkey WHEN 1 THEN o_custkey WHEN 3 THEN -o_custkey ELSE -999999 END AS INTEGER) AS index FROM orders",
+    "player_targets": """WITH t AS (SELECT conv_id, count(*) AS total FROM conversations GROUP BY conv_id), a AS (SELECT conv_id, total, unnest(range(0, total)) AS c FROM t)
+        SELECT conv_id, CAST(c AS INTEGER) AS chunk, ([0.75, 1.0, 1.25, 1.5, 2.0])[c % 5 + 1]::DOUBLE AS rate, CAST(CASE WHEN (conv_id + c) % 7 > 3 THEN c ELSE greatest(c - 1, 0) END AS INTEGER) AS back, CAST(least(c + 1, total - 1) AS INTEGER) AS onward,
+          coalesce(array_to_string(range(c + 1, least(c + 6, total)), ','), '') AS ahead, CAST(total - greatest(c - 1, 0) AS INTEGER) AS held FROM a""",
+    "active_paragraphs": f"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_WS}+', '', 'g') <> '')) AS INTEGER) AS n_active FROM documents",
+    "chapter_lines": f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN text ELSE '' END || chr(10) AS text FROM documents),
+        p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '') AS l FROM t),
+        g AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: NOT regexp_matches(l[i], '{"|".join(extraction.NOISE)}')) AS good FROM p),
+        k AS (SELECT doc_id, CASE WHEN len(good) = 0 THEN [] ELSE l[list_min(good):list_max(good)] END AS k FROM g)
+        SELECT doc_id, CAST(len(k) AS INTEGER) AS n_lines, md5(coalesce(array_to_string(k, chr(10)), '')) AS text_md5 FROM k""",
+    "audio_in_order": "SELECT conv_id, CASE WHEN conv_id % 10 = 0 AND bool_or(turn = 1) THEN '-' ELSE md5(string_agg(text, '' ORDER BY turn)) END AS joined_md5 FROM conversations GROUP BY conv_id",
+    "iso_stamps": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS stamp, strftime(ts, '%Y-%m-%d') AS day FROM events",
+    "stale_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 5 DAYS ELSE o_orderdate END < TIMESTAMP '1998-01-01' - INTERVAL 7 DAYS AS is_stale FROM orders",
+    "report_prompts": """SELECT l_orderkey, string_agg(r || '. ' || title || place, chr(10) ORDER BY r) AS prompt FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r,
+          CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag WHEN l_linenumber % 3 = 0 THEN 'issue' ELSE l_linestatus END AS title, CASE WHEN l_linenumber IN (2, 3) THEN ' (f' || l_partkey || ':' || l_linenumber || ')' ELSE '' END AS place FROM lineitem) GROUP BY l_orderkey""",
+    "sorted_listings": "SELECT p_brand, count(*) AS n, string_agg(substring(p_name, 1, 12), ',' ORDER BY p_name) AS names FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY p_brand",
+    "source_literals": "SELECT s_suppkey, s_name AS skill_name, 'a.md,' || s_suppkey || '-b.md' AS templates, CAST(s_suppkey % 2 = 0 AS INTEGER) AS n_skipped, CASE s_suppkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'true' ELSE '-' END AS evolvable FROM supplier",
+    "stream_ttl_cache": f"""WITH RECURSIVE {_READS}, w(key, ts) AS (SELECT key, min(ts) FROM r GROUP BY key UNION ALL SELECT w.key, (SELECT min(r.ts) FROM r WHERE r.key = w.key AND r.ts >= w.ts + INTERVAL 30 MINUTES) FROM w WHERE w.ts IS NOT NULL),
+        m AS (SELECT key, count(ts) AS misses FROM w GROUP BY key), n AS (SELECT key, count(*) AS n FROM r GROUP BY key) SELECT key, n - misses AS hits, misses FROM m JOIN n USING (key)""",
+    "stream_batches": f"WITH {_READS}, b AS (SELECT key, event_id, (row_number() OVER (PARTITION BY key ORDER BY ts, event_id) - 1) // 50 AS batch FROM r) SELECT key, batch, count(*) AS n, min(event_id) AS first_id FROM b GROUP BY ALL",
+    "volume_metadata": "SELECT DISTINCT 'c' || conv_id AS slug, CASE WHEN conv_id % 5 = 0 THEN 'c' || conv_id ELSE 'C' || conv_id END AS title FROM conversations",
+}

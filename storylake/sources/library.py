@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storylake.operators import library, volumes
@@ -100,7 +100,57 @@ def open_library(spark: SparkSession, base: str) -> Library:
 
 
 def write_volumes(chapters: DataFrame, path: str) -> None:
-    """Chapters ``source, slug, volume, index, title, paragraphs`` as one JSON row a volume, in folders by source and slug."""
+    """Chapters ``source, slug, volume, index, title, paragraphs`` as one JSON row a volume, in folders by source, slug and file name.
+
+    The folder bears the volume's name, since Spark names the files inside itself.
+    """
     packed = chapters.groupBy("source", "slug", "volume").agg(F.array_sort(F.collect_list(F.struct("index", "title", "paragraphs"))).alias("chapters"))
     ranged = packed.withColumn("chapterRange", F.array(F.element_at("chapters", 1)["index"] + 1, F.element_at("chapters", -1)["index"] + 1))
-    ranged.write.mode("overwrite").partitionBy("source", "slug").json(path)
+    named = ranged.withColumn("file_name", volumes.volume_name(F.col("volume"), F.col("chapterRange")[0], F.col("chapterRange")[1]))
+    named.write.mode("overwrite").partitionBy("source", "slug", "file_name").json(path)
+
+
+def read_volumes(spark: SparkSession, path: str) -> DataFrame:
+    """``source, slug, file_name, volume, chapterRange, index, title, paragraphs`` of what :func:`write_volumes` wrote."""
+    read = spark.read.schema(f"{VOLUME}, source STRING, slug STRING, file_name STRING").json(path)
+    return read.select("source", "slug", "file_name", "volume", "chapterRange", F.explode("chapters").alias("c")).select("source", "slug", "file_name", "volume", "chapterRange", "c.index", "c.title", "c.paragraphs")
+
+
+def write_index(chapters: DataFrame, path: str) -> None:
+    """Index of every story that has chapters, as one JSON array a story, in order of the chapters."""
+    listed = chapters.groupBy("source", "slug").agg(F.to_json(F.array_sort(F.collect_list(F.struct("index", "title")))).alias("value"))
+    listed.write.mode("overwrite").partitionBy("source", "slug").text(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """``source, slug, index, title`` of what :func:`write_index` wrote."""
+    read = spark.read.schema("value STRING, source STRING, slug STRING").text(path)
+    return read.select("source", "slug", F.inline(F.from_json("value", f"array<struct<{INDEX.replace(' INT', ':INT').replace(' STRING', ':STRING')}>>")))
+
+
+def write_metadata(stories: DataFrame, path: str) -> None:
+    """Titles of the stories that have one, as JSON."""
+    stories.where("story_title IS NOT NULL").select("source", "slug", "story_title").write.mode("overwrite").partitionBy("source", "slug").json(path)
+
+
+def upserted(old: DataFrame, new: DataFrame, finished: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Checkpoints after an update: of each key the latest by ``order``; those of ``finished`` keys are gone."""
+    rest = [c for c in old.columns if c not in keys]
+    latest = old.unionByName(new).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("row")).select(*keys, "row.*")
+    return latest.join(finished.select(*keys).distinct(), keys, "left_anti")
+
+
+def left_to_read(chapters: DataFrame, checkpoints: DataFrame, keys: list[str], index: str, limit: int = 0) -> DataFrame:
+    """Chapters from each story's checkpoint on, or all where it names no next address; at most ``limit`` a story, 0 for no limit."""
+    begun = checkpoints.where("coalesce(next_url, '') <> ''").select(*keys, F.col("next_index").alias("from_index"))
+    rest = chapters.join(begun, keys, "left").where(F.col(index) >= F.coalesce("from_index", F.lit(0))).drop("from_index")
+    if not limit:
+        return rest
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(index))
+    return rest.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
+def copied(spark: SparkSession, source: str, target: str, schema: str) -> DataFrame:
+    """The JSON rows of ``source`` written over whatever ``target`` held, and read from there."""
+    spark.read.schema(schema).json(source).write.mode("overwrite").json(target)
+    return spark.read.schema(schema).json(target)
