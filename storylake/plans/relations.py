@@ -196,6 +196,12 @@ _LATEST = """SELECT user_id, slug, chapter_idx FROM (SELECT user_id, event_type
   row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"""
 
 ORACLES = {
+    "html_paragraphs": r"""WITH a AS (SELECT page_id, regexp_split_to_array(regexp_extract(html, '<article>((?s).*?)</article>', 1), '<[^>]*>') AS parts FROM pages),
+        l AS (SELECT page_id, list_filter(list_transform(flatten(list_transform(parts, lambda x: string_split(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), chr(10)))),
+          lambda x: regexp_replace(x, '^[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g')), lambda x: x <> '') AS l FROM a)
+        SELECT page_id, CAST(i - 1 AS INTEGER) AS para_idx, l[i] AS text FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)""",
+    "html_links": r"""SELECT page_id, nullif(regexp_extract(html, '<a [^>]*class="next"[^>]*href="([^"#]+)"', 1), '') AS next_url,
+        CASE WHEN regexp_replace(regexp_extract(html, '<article>((?s).*?)</article>', 1), '<[^>]*>|\s', '', 'g') = '' THEN 'no content' END AS error FROM pages""",
     "anti_zombie_merge": f"WITH {_PARTS} SELECT * FROM m",
     "merge_summary": f"WITH {_PARTS} SELECT (SELECT count(*) FROM t) + (SELECT count(*) FROM s) - (SELECT count(*) FROM m) AS removed, (SELECT count(*) FROM s) AS added, (SELECT count(*) FROM m) AS total",
     "config_overlay": """WITH k AS (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name),
