@@ -106,3 +106,39 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def similar_pairs(rows, threshold=0.8):
+    """Every pair of different bags at the threshold, by a prefix filter: two such bags share one of the rarest shingles of each."""
+    bags = {}
+    for i, text in rows:
+        if found := bag(text):
+            bags.setdefault(frozenset(found.items()), (i, found))
+    places = Counter(s for _, found in bags.values() for s in found)
+    by_shingle, pairs = {}, set()
+    for i, found in bags.values():
+        size, lead = sum(found.values()), 0
+        for shingle in sorted(found, key=lambda s: (places[s], s)):
+            if lead > (1 - threshold) * size + 1e-9:  # so much weight may be missing from a similar bag
+                break
+            lead += found[shingle]
+            for other, theirs in by_shingle.get(shingle, ()):
+                if (other, i) not in pairs and sum((found & theirs).values()) >= threshold * sum((found | theirs).values()) - 1e-9:
+                    pairs.add((other, i))
+            by_shingle.setdefault(shingle, []).append((i, found))
+    return pairs
+
+
+def test_recall_over_ten_thousand_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    classes = {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()}
+    pairs = similar_pairs([(r.doc_id, r.text) for r in docs.collect()])
+    kept = sum(classes[a] == classes[b] for a, b in pairs)
+    assert len(pairs) > 30 and kept >= 0.99 * len(pairs)
+
+
+def test_stages_with_awkward_names(spark):
+    rows = [(1, "a b c d e f g h", 1, 2), (2, "a b c d e f g h", 3, 4), (2, None, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, gone_id long")
+    kept = nd.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.gone_id for r in kept.collect()) == [2]
