@@ -55,5 +55,6 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def parallel_groups(leveled: DataFrame) -> DataFrame:
-    """Levels of more than one node with their nodes in order."""
-    return leveled.groupBy("level").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("node").cast("string"))), ",").alias("nodes")).where("n > 1")
+    """``level, node`` of the levels that hold more than one node."""
+    crowded = leveled.groupBy("level").agg(F.count("*").alias("n")).where("n > 1").select("level")
+    return leveled.join(crowded, "level", "left_semi").select("level", "node")

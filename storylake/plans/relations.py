@@ -54,11 +54,11 @@ def ref_integrity(spark, folder):
 
 
 def _edges(spark, folder, cyclic=False):
-    """Nations depend on their half and on their third; with a cycle on top if asked."""
-    nations = table(spark, folder, "nation").select("n_nationkey")
-    both = nations.select(F.col("n_nationkey").alias("src"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("dst")).union(nations.select("n_nationkey", F.floor(F.col("n_nationkey") / 4).cast("int")))
-    edges = both.where("src <> dst").distinct()
-    return edges.union(nations.where("n_nationkey = 1").select(F.lit(1), F.lit(6))) if cyclic else edges
+    """Customers depend on the one of half their number and of a quarter; with a cycle on top if asked."""
+    keys = table(spark, folder, "customer").select(F.col("c_custkey").cast("int").alias("src"))
+    part = lambda n: keys.select("src", F.floor(F.col("src") / n).cast("int").alias("dst"))
+    edges = part(2).union(part(4)).where("src <> dst AND dst > 0").distinct()
+    return edges.union(keys.where("src = 1").select("src", F.lit(6))) if cyclic else edges
 
 
 def dep_closure(spark, folder):
@@ -67,7 +67,7 @@ def dep_closure(spark, folder):
 
 
 def dep_cycles(spark, folder):
-    """Nations on a cycle."""
+    """Customers on a cycle."""
     return graph.on_cycles(_edges(spark, folder, cyclic=True))
 
 
@@ -77,8 +77,8 @@ def dep_redundant(spark, folder):
 
 
 def dep_levels(spark, folder):
-    """Nations that can be done side by side."""
-    return graph.parallel_groups(graph.levels(table(spark, folder, "nation").select(F.col("n_nationkey").alias("node")), _edges(spark, folder)))
+    """Customers that can be done side by side, with their level."""
+    return graph.parallel_groups(graph.levels(table(spark, folder, "customer").select(F.col("c_custkey").cast("int").alias("node")), _edges(spark, folder)))
 
 
 def _requests(spark, folder):
@@ -101,22 +101,24 @@ def access_decision(spark, folder):
 
 
 def route_filter(spark, folder):
-    """Pages whose path a decision is made for."""
-    path = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1), F.lit("")), F.lit("/"))
+    """Pages whose path a decision is made for; some paths are those of files that need none."""
+    own = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1), F.lit("")), F.lit("/"))
+    others = ("/_next/static/a.js", "/favicon.ico", "/robots.txt.old", "/a/robots.txt", "relative")
+    path = F.coalesce(F.try_element_at(F.array(*map(F.lit, others)), (F.col("page_id") % 8 + 1).cast("int")), own)
     return table(spark, folder, "pages").select("page_id", access.guarded(path).alias("guarded"))
 
 
 def template_vars(spark, folder):
-    """Greetings to every nation; unknown names stay."""
-    variables = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("none"), F.lit(None).cast("string"))
-    return table(spark, folder, "nation").select("n_nationkey", templates.filled(F.lit("Hi {name} of {region}, {none} {other}"), variables).alias("text"))
+    """Greetings to every customer; unknown names stay."""
+    variables = F.create_map(F.lit("name"), F.col("c_name"), F.lit("region"), F.col("c_nationkey").cast("string"), F.lit("none"), F.lit(None).cast("string"))
+    return table(spark, folder, "customer").select("c_custkey", templates.filled(F.lit("Hi {name} of {region}, {none} {other}"), variables).alias("text"))
 
 
 def template_conditionals(spark, folder):
-    """Templates with blocks that depend on the nation."""
+    """Templates with blocks that depend on the customer."""
     text = F.lit("a{if-even}E{if-big}B{/if-big}{/if-even}\n\n\n\n{if-odd}O{/if-odd}z")
-    names = F.array_compact(F.array(F.when(F.col("n_nationkey") % 2 == 0, "even"), F.when(F.col("n_nationkey") % 2 == 1, "odd"), F.when(F.col("n_nationkey") > 10, "big")))
-    return table(spark, folder, "nation").select("n_nationkey", templates.resolved(text, names).alias("text"))
+    names = F.array_compact(F.array(F.when(F.col("c_custkey") % 2 == 0, "even"), F.when(F.col("c_custkey") % 2 == 1, "odd"), F.when(F.col("c_custkey") > 10, "big")))
+    return table(spark, folder, "customer").select("c_custkey", templates.resolved(text, names).alias("text"))
 
 
 def _sprint(spark, folder):
@@ -185,7 +187,7 @@ QUERIES = {f.__name__: f for f in (anti_zombie_merge, merge_summary, config_over
 _PARTS = """t AS (SELECT p_partkey, p_brand, p_size FROM part),
   s AS (SELECT p_partkey, p_brand, p_size + 100 AS p_size FROM part WHERE p_brand IN ('Brand#1', 'Brand#11', 'Brand#23') AND p_partkey % 2 = 0),
   m AS (SELECT * FROM t WHERE p_brand NOT IN (SELECT p_brand FROM s) UNION ALL SELECT * FROM s)"""
-_EDGES = "e AS (SELECT n_nationkey AS src, n_nationkey // 2 AS dst FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey, n_nationkey // 4 FROM nation WHERE n_nationkey > 0)"
+_EDGES = "e AS (SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey // 2 > 0 UNION SELECT c_custkey, c_custkey // 4 FROM customer WHERE c_custkey // 4 > 0)"
 _CYCLIC = f"{_EDGES}, c AS (SELECT * FROM e UNION SELECT 1, 6)"
 _CLOSE = "r(src, dst) AS (SELECT src, dst FROM {0} UNION SELECT r.src, {0}.dst FROM r JOIN {0} ON r.dst = {0}.src)"
 _REQ = """q AS (SELECT event_id, event_type || CASE WHEN event_id % 4 = 0 THEN '' ELSE ':' END || CAST(user_id AS VARCHAR) AS pair, event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 4 <> 0 AS ok FROM events)"""
@@ -200,6 +202,8 @@ ORACLES = {
         l AS (SELECT page_id, list_filter(list_transform(flatten(list_transform(parts, lambda x: string_split(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), chr(10)))),
           lambda x: regexp_replace(x, '^[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g')), lambda x: x <> '') AS l FROM a)
         SELECT page_id, CAST(i - 1 AS INTEGER) AS para_idx, l[i] AS text FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)""",
+    "route_filter": r"""WITH p AS (SELECT page_id, coalesce((['/_next/static/a.js', '/favicon.ico', '/robots.txt.old', '/a/robots.txt', 'relative'])[page_id % 8 + 1], nullif(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), ''), '/') AS path FROM pages)
+        SELECT page_id, starts_with(path, '/') AND NOT regexp_matches(path, '^/(_next/static|_next/image|favicon\.ico|robots\.txt|sitemap\.xml)') AS guarded FROM p""",
     "html_links": r"""SELECT page_id, nullif(regexp_extract(html, '<a [^>]*class="next"[^>]*href="([^"#]+)"', 1), '') AS next_url,
         CASE WHEN regexp_replace(regexp_extract(html, '<article>((?s).*?)</article>', 1), '<[^>]*>|\s', '', 'g') = '' THEN 'no content' END AS error FROM pages""",
     "anti_zombie_merge": f"WITH {_PARTS} SELECT * FROM m",
@@ -214,14 +218,14 @@ ORACLES = {
     "ref_integrity": """SELECT s_suppkey, ref FROM (SELECT s_suppkey, unnest([CAST(s_nationkey AS VARCHAR), CAST(s_nationkey + 7 AS VARCHAR)]) AS ref FROM supplier) WHERE ref NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey % 2 = 0)""",
     "dep_closure": f"WITH RECURSIVE {_CYCLIC}, {_CLOSE.format('c')} SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM r",
     "dep_cycles": f"WITH RECURSIVE {_CYCLIC}, {_CLOSE.format('c')} SELECT CAST(src AS INTEGER) AS node FROM r WHERE src = dst",
-    "dep_redundant": f"WITH RECURSIVE {_EDGES}, {_CLOSE.format('e')} SELECT d.src, d.dst, o.dst AS through FROM e d JOIN e o ON d.src = o.src AND d.dst <> o.dst JOIN r ON r.src = o.dst AND r.dst = d.dst",
-    "dep_levels": f"""WITH RECURSIVE {_EDGES}, w(node, level) AS (SELECT n_nationkey, 0 FROM nation UNION SELECT e.src, w.level + 1 FROM w JOIN e ON e.dst = w.node),
+    "dep_redundant": f"WITH RECURSIVE {_EDGES}, {_CLOSE.format('e')} SELECT CAST(d.src AS INTEGER) AS src, CAST(d.dst AS INTEGER) AS dst, CAST(o.dst AS INTEGER) AS through FROM e d JOIN e o ON d.src = o.src AND d.dst <> o.dst JOIN r ON r.src = o.dst AND r.dst = d.dst",
+    "dep_levels": f"""WITH RECURSIVE {_EDGES}, w(node, level) AS (SELECT c_custkey, 0 FROM customer UNION SELECT e.src, w.level + 1 FROM w JOIN e ON e.dst = w.node),
         l AS (SELECT node, max(level) AS level FROM w GROUP BY node)
-        SELECT CAST(level AS INTEGER) AS level, count(*) AS n, string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR)) AS nodes FROM l GROUP BY level HAVING count(*) > 1""",
+        SELECT CAST(level AS INTEGER) AS level, CAST(node AS INTEGER) AS node FROM l WHERE level IN (SELECT level FROM l GROUP BY level HAVING count(*) > 1)""",
     "basic_auth_decode": f"WITH {_REQ} SELECT event_id, CASE WHEN ok THEN split_part(pair, ':', 1) ELSE '-' END AS username, CASE WHEN ok THEN split_part(pair, ':', 2) ELSE '-' END AS password FROM q",
     "access_decision": f"WITH {_REQ} SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 200 WHEN event_id % 13 = 0 THEN 500 WHEN ok AND pair = 'click:7' THEN 200 ELSE 401 END AS status_code FROM q",
-    "template_vars": "SELECT n_nationkey, 'Hi ' || n_name || ' of ' || n_regionkey || ', {none} {other}' AS text FROM nation",
-    "template_conditionals": "SELECT n_nationkey, 'a' || CASE WHEN n_nationkey % 2 = 0 THEN 'E' || CASE WHEN n_nationkey > 10 THEN 'B' ELSE '' END ELSE '' END || chr(10) || chr(10) || CASE WHEN n_nationkey % 2 = 1 THEN 'O' ELSE '' END || 'z' AS text FROM nation",
+    "template_vars": "SELECT c_custkey, 'Hi ' || c_name || ' of ' || c_nationkey || ', {none} {other}' AS text FROM customer",
+    "template_conditionals": "SELECT c_custkey, 'a' || CASE WHEN c_custkey % 2 = 0 THEN 'E' || CASE WHEN c_custkey > 10 THEN 'B' ELSE '' END ELSE '' END || chr(10) || chr(10) || CASE WHEN c_custkey % 2 = 1 THEN 'O' ELSE '' END || 'z' AS text FROM customer",
     "sprint_counts": f"WITH {_SPRINT} SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'epic' WHEN o_orderkey % 10 = 1 THEN 'retrospective' ELSE 'story' END AS kind, status, count(*) AS n FROM st GROUP BY ALL",
     "next_story": f"""WITH {_SPRINT}, p AS (SELECT *, list_position(['in-progress', 'review', 'ready-for-dev', 'backlog'], raw) AS place FROM st WHERE key NOT LIKE 'epic%')
         SELECT o_orderpriority, key, raw AS status FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY place, o_custkey, o_orderkey) AS r FROM p WHERE place > 0) WHERE r = 1""",
