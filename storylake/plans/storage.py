@@ -22,7 +22,7 @@ def _chapters(spark, folder):
 def volumes_round_trip(spark, folder):
     """Volumes written under their names and read back."""
     path = shared_path(spark, "volumes")
-    files.write_volumes(_chapters(spark, folder), path)
+    files.write_volumes(_chapters(spark, folder), path, ("source",))
     read = files.read_volumes(spark, path)
     return read.select("source", "slug", "file_name", F.col("volume").cast("long").alias("volume"), "index", "title", F.md5(F.array_join("paragraphs", "\n")).alias("text_md5"))
 
@@ -30,7 +30,7 @@ def volumes_round_trip(spark, folder):
 def index_round_trip(spark, folder):
     """Index of every story written as JSON arrays and read back."""
     path = shared_path(spark, "index")
-    files.write_index(_chapters(spark, folder), path)
+    files.write_index(_chapters(spark, folder), path, ("source",))
     return files.read_index(spark, path)
 
 
@@ -38,7 +38,7 @@ def copied_library(spark, folder):
     """Titles of stories written where there are any, and copied over an older folder."""
     titles = _chapters(spark, folder).select("source", "slug", F.when(F.col("slug").rlike("[02468]$"), F.upper("slug")).alias("story_title")).distinct()
     path, target = shared_path(spark, "metadata"), shared_path(spark, "copy")
-    files.write_metadata(titles, path)
+    files.write_metadata(titles, path, ("source",))
     schema = "source STRING, slug STRING, story_title STRING"
     files.copied(spark, path, target, schema)
     return files.copied(spark, path, target, schema)
@@ -118,10 +118,9 @@ def player_targets(spark, folder):
 
 def active_paragraphs(spark, folder):
     """Paragraphs with text that some chunk's range covers, a document."""
-    found = table(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("p")).select("doc_id", "p", chunks.ranges(F.col("p")).alias("c"))
-    told = F.filter(F.transform("p", lambda x, i: F.when(tx.strip_white(x) != "", i)), lambda i: i.isNotNull())
-    active = lambda i: F.exists("c", lambda c: player.is_active(i, c))
-    return found.select("doc_id", F.size(F.filter(told, active)).alias("n_active"))
+    told = lambda p: F.filter(F.transform(p, lambda x, i: F.when(tx.strip_white(x) != "", i)), lambda i: i.isNotNull())
+    covered = lambda p: tx.bound(chunks.ranges(p), lambda found: F.size(F.filter(told(p), lambda i: F.exists(found, lambda c: player.is_active(i, c)))))
+    return table(spark, folder, "documents").select("doc_id", tx.bound(F.split("text", "\n"), covered).alias("n_active"))
 
 
 def chapter_lines(spark, folder):

@@ -99,15 +99,16 @@ def open_library(spark: SparkSession, base: str) -> Library:
     return Library(spark, base)
 
 
-def write_volumes(chapters: DataFrame, path: str) -> None:
+def write_volumes(chapters: DataFrame, path: str, folders: tuple[str, ...] = ("source", "slug", "file_name")) -> None:
     """Chapters ``source, slug, volume, index, title, paragraphs`` as one JSON row a volume, in folders by source, slug and file name.
 
     The folder bears the volume's name, since Spark names the files inside itself.
+    Large libraries take fewer ``folders``; what they leave out stands in the rows.
     """
     packed = chapters.groupBy("source", "slug", "volume").agg(F.array_sort(F.collect_list(F.struct("index", "title", "paragraphs"))).alias("chapters"))
     ranged = packed.withColumn("chapterRange", F.array(F.element_at("chapters", 1)["index"] + 1, F.element_at("chapters", -1)["index"] + 1))
     named = ranged.withColumn("file_name", volumes.volume_name(F.col("volume"), F.col("chapterRange")[0], F.col("chapterRange")[1]))
-    named.write.mode("overwrite").partitionBy("source", "slug", "file_name").json(path)
+    named.write.mode("overwrite").partitionBy(*folders).json(path)
 
 
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
@@ -116,21 +117,21 @@ def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     return read.select("source", "slug", "file_name", "volume", "chapterRange", F.explode("chapters").alias("c")).select("source", "slug", "file_name", "volume", "chapterRange", "c.index", "c.title", "c.paragraphs")
 
 
-def write_index(chapters: DataFrame, path: str) -> None:
-    """Index of every story that has chapters, as one JSON array a story, in order of the chapters."""
-    listed = chapters.groupBy("source", "slug").agg(F.to_json(F.array_sort(F.collect_list(F.struct("index", "title")))).alias("value"))
-    listed.write.mode("overwrite").partitionBy("source", "slug").text(path)
+def write_index(chapters: DataFrame, path: str, folders: tuple[str, ...] = ("source", "slug")) -> None:
+    """Index of every story that has chapters, as one JSON row a story, in order of the chapters; ``folders`` as in :func:`write_volumes`."""
+    listed = chapters.groupBy("source", "slug").agg(F.array_sort(F.collect_list(F.struct("index", "title"))).alias("chapters"))
+    listed.write.mode("overwrite").partitionBy(*folders).json(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """``source, slug, index, title`` of what :func:`write_index` wrote."""
-    read = spark.read.schema("value STRING, source STRING, slug STRING").text(path)
-    return read.select("source", "slug", F.inline(F.from_json("value", f"array<struct<{INDEX.replace(' INT', ':INT').replace(' STRING', ':STRING')}>>")))
+    read = spark.read.schema("chapters ARRAY<STRUCT<index: INT, title: STRING>>, source STRING, slug STRING").json(path)
+    return read.select("source", "slug", F.inline("chapters"))
 
 
-def write_metadata(stories: DataFrame, path: str) -> None:
-    """Titles of the stories that have one, as JSON."""
-    stories.where("story_title IS NOT NULL").select("source", "slug", "story_title").write.mode("overwrite").partitionBy("source", "slug").json(path)
+def write_metadata(stories: DataFrame, path: str, folders: tuple[str, ...] = ("source", "slug")) -> None:
+    """Titles of the stories that have one, as JSON; ``folders`` as in :func:`write_volumes`."""
+    stories.where("story_title IS NOT NULL").select("source", "slug", "story_title").write.mode("overwrite").partitionBy(*folders).json(path)
 
 
 def upserted(old: DataFrame, new: DataFrame, finished: DataFrame, keys: list[str], order: str) -> DataFrame:
