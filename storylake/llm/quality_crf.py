@@ -22,7 +22,7 @@ from storylake.llm import crf
 from storylake.llm.boosting import _sigmoid, platt
 from storylake.llm.common import crc_bucket
 
-#: Bound of the sample to learn from: about so many documents, of at most so many characters.
+#: Bound of the sample to learn from: at most so many documents, of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 20_000
 THRESHOLD = 0.3
 #: Bytes worked on at once in a task; bounds memory, changes no result.
@@ -169,18 +169,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from labelled rows that are not held out.
 
     The sample is drawn from the labels by a hash of the id, so it is bounded
-    and its ids can be broadcast; documents are read once and not shuffled.
-    Repeated labels of one id count by their largest.
+    and its ids can be broadcast; documents are read once. Repeated labels of
+    one id count by their largest, and of several texts under one id the least
+    is learned from, so rows repeated under one id add nothing.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     n = usable.count()
     if not n:
         return None
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")), F.lit(1_000_000))
-    drawn = usable.where(place < int(1_000_000 * min(1.0, SAMPLE_DOCS / n))).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
+    place = lambda doc_id: F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("quality")), F.lit(1_000_000))
+    drawn = usable.where(place(F.col(id_col)) < int(1_000_000 * min(1.0, SAMPLE_DOCS / n))).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
+    drawn = drawn.orderBy(place(F.col("__id")), "__id").limit(SAMPLE_DOCS)
     small = docs.where(F.length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    rows = small.join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).select("__doc", "__text", "__label").collect()
-    rows = sorted(rows, key=lambda r: (r["__doc"], r["__text"]))
+    found = small.join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).groupBy("__doc").agg(F.min("__text").alias("__text"), F.max("__label").alias("__label"))
+    rows = sorted(found.collect(), key=lambda r: r["__doc"])
     return learn([r["__text"] for r in rows], np.array([int(r["__label"] == 1) for r in rows]))
 
 

@@ -56,3 +56,16 @@ def test_edge_cases(spark):
     assert got[3].predicted == 1 and got[4].predicted == 0 and got[None].held_out is False
     assert qc.quality(docs.limit(0), labels).count() == 0
     assert {r.score for r in qc.quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_rows_repeated_under_one_id_add_nothing_to_the_sample(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    seen = []
+    monkeypatch.setattr(qc, "learn", lambda texts, labels: seen.append((texts, labels.tolist())))
+    hot = docs.where("doc_id = 1").withColumn("text", F.concat("text", F.lit("~"))).crossJoin(spark.range(500)).drop("id")
+    qc.fit(docs, labels)
+    qc.fit(docs.unionByName(hot), labels)
+    assert seen[0] == seen[1] and seen[0][0]
+    monkeypatch.setattr(qc, "SAMPLE_DOCS", 20)
+    qc.fit(docs, labels)
+    assert 0 < len(seen[2][0]) <= 20
