@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
+from storylake.sources.shared import settled as written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests on one machine) a temporary folder
-    takes its place, for the whole session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("storylake.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="storylake-")
-        spark.conf.set("storylake.shared.dir", found)
-    return found.rstrip("/")
+__all__ = ["crc_bucket", "lower_ascii", "numbered_columns", "written"]
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back.
-
-    Cuts the lineage at a copy that outlives any executor. Every call writes
-    under a new name, so a retry never meets a half-written table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def numbered_columns(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
