@@ -17,14 +17,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from storylake.llm.common import lower_ascii, numbered_columns, written
 
 WINDOW = 10
 #: Lists intersected for each window before any comparison in full.
 RAREST = 3
-#: Rows up to which a table counts as small enough to broadcast; they are counted first. Beyond, Spark shuffles.
-BROADCAST_ROWS = 400_000
+#: Rows, and bytes of strings and nested values in them, up to which a table counts as small enough to broadcast; both are measured first. Beyond, Spark shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -34,8 +35,11 @@ def words(text: Column) -> Column:
 
 
 def if_small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if a count proves it small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, marked for broadcast if its rows and the bytes of its strings, counted first, prove it small."""
+    wide = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (NumericType, BooleanType))]
+    size = F.octet_length(F.to_json(F.struct(*wide))) if wide else F.lit(0)
+    seen = df.select(size.cast("long").alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    return F.broadcast(df) if seen["n"] <= BROADCAST_ROWS and (seen["size"] or 0) <= BROADCAST_BYTES else df
 
 
 @dataclass

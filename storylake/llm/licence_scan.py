@@ -21,7 +21,7 @@ from storylake.llm.common import lower_ascii, written
 from storylake.llm.decontamination import if_small
 
 THRESHOLD = 0.6
-#: Bound of the templates' distinct terms; the strong ones are part of the plan.
+#: Strong terms up to which they are a part of the plan; beyond, every line with terms is scored. Changes the way, not the result.
 MAX_TERMS = 5_000
 
 # Common licence statements, by SPDX identifier.
@@ -66,11 +66,10 @@ def lines(text: Column) -> Column:
 
 
 def term_weights(files: DataFrame, template_rows: DataFrame) -> DataFrame:
-    """Written table ``template_no, licence, term, idf, weight, norm, rest, top``: the templates as weighted vectors.
+    """Written table ``template_no, licence, term, idf, weight, norm, rest``: the templates as weighted vectors.
 
     ``rest`` is the part of the squared norm that this term and all more
-    frequent ones make up; ``top`` the greatest idf of any template term, which
-    is also the weight of a term that no template has.
+    frequent ones make up.
     """
     own = template_rows.select("template_no", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("template_no", "licence", "term").agg(F.count("*").alias("tf"))
     own = written(own, "templates")
@@ -78,39 +77,39 @@ def term_weights(files: DataFrame, template_rows: DataFrame) -> DataFrame:
     each_line = files.select(F.explode(lines(F.col("text"))).alias("line")).select(F.array_distinct(terms(F.col("line"))).alias("terms")).where("size(terms) > 0")
     # The empty term stands for the number of lines, so that one pass over the texts gives both counts.
     counted = each_line.select(F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
-    known = F.broadcast(vocabulary.union(vocabulary.sparkSession.range(1).select(F.lit("").alias("term"))))
-    found = written(counted.join(known, "term").groupBy("term").agg(F.count("*").alias("df")), "frequency")
-    n_lines = found.where("term = ''").select(F.col("df").alias("n"))
-    total = vocabulary.sparkSession.range(1).join(F.broadcast(n_lines), F.lit(True), "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    weighted = own.join(F.broadcast(found), "term", "left").join(F.broadcast(total), F.lit(True))
-    idf = F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    known = vocabulary.union(vocabulary.sparkSession.range(1).select(F.lit("").alias("term")))
+    found = written(counted.join(if_small(known), "term").groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    n_lines = found.where("term = ''").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
+    weighted = own.join(if_small(found), "term", "left")
+    idf = F.log(F.lit(1 + n_lines) / (1 + F.coalesce("df", F.lit(0)))) + 1
     weighted = weighted.select("template_no", "licence", "term", idf.alias("idf"), (F.col("tf") * idf).alias("weight"))
     one = Window.partitionBy("template_no")
     frequent_first = one.orderBy(F.col("idf"), F.col("term")).rowsBetween(Window.unboundedPreceding, 0)
     square = F.col("weight") * F.col("weight")
     vectors = weighted.select("*", F.sqrt(F.sum(square).over(one)).alias("norm"), F.sum(square).over(frequent_first).alias("rest"))
-    return written(vectors.join(F.broadcast(vectors.agg(F.max("idf").alias("top"))), F.lit(True)), "vectors")
+    return written(vectors, "vectors")
 
 
-def strong_terms(vectors: DataFrame, threshold: float) -> list[str]:
-    """Terms without which no block reaches the threshold (see the prefix filter above)."""
+def strong_terms(vectors: DataFrame, threshold: float) -> list[str] | None:
+    """Terms without which no block reaches the threshold (see the prefix filter above); None if they are too many for a plan."""
     strong = vectors.where(F.col("rest") >= F.lit(threshold**2 * (1 - 1e-9)) * F.col("norm") * F.col("norm")).select("term").distinct()
     found = [r["term"] for r in strong.limit(MAX_TERMS + 1).collect()]
-    if len(found) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} strong template terms")
-    return sorted(found)
+    return sorted(found) if len(found) <= MAX_TERMS else None
 
 
 def _scored(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``rid, block, template_no, licence, score`` for the blocks ``rid, block, terms``; scores rounded to six digits."""
+    """``rid, block, template_no, licence, score`` for the blocks ``rid, block, terms``; scores rounded to six digits.
+
+    A term that no template has weighs as much as the rarest term of any.
+    """
     of_term = vectors.select("term", "idf").distinct()
-    top = vectors.select("top").limit(1)
+    top = F.lit(vectors.agg(F.max("idf").alias("top")).first()["top"]).cast("double")
     counted = blocks.select("rid", "block", F.explode("terms").alias("term")).groupBy("rid", "block", "term").agg(F.count("*").alias("tf"))
-    known = counted.join(F.broadcast(of_term), "term", "left").join(F.broadcast(top), F.lit(True))
+    known = counted.join(if_small(of_term), "term", "left")
     # Every occurrence of a term that no template has counts as a term of its own.
-    known = known.withColumn("w", F.col("tf") * F.col("idf")).withColumn("square", F.when(F.col("idf").isNull(), F.col("tf") * F.col("top") * F.col("top")).otherwise(F.col("w") * F.col("w")))
+    known = known.withColumn("w", F.col("tf") * F.col("idf")).withColumn("square", F.when(F.col("idf").isNull(), F.col("tf") * top * top).otherwise(F.col("w") * F.col("w")))
     norms = known.groupBy("rid", "block").agg(F.sqrt(F.sum("square")).alias("length"))
-    dots = known.join(F.broadcast(vectors.select("template_no", "licence", "term", "weight", "norm")), "term").groupBy("rid", "block", "template_no", "licence", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = known.join(if_small(vectors.select("template_no", "licence", "term", "weight", "norm")), "term").groupBy("rid", "block", "template_no", "licence", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     return dots.join(norms, ["rid", "block"]).select("rid", "block", "template_no", "licence", F.round(F.col("dot") / (F.col("length") * F.col("norm")), 6).alias("score"))
 
 
@@ -143,7 +142,8 @@ def scan(files: DataFrame, template_rows: DataFrame | None = None, threshold: fl
     files = files.select(F.col(id_col).alias("file_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     vectors = term_weights(files, template_rows)
     strong = strong_terms(vectors, threshold)
-    may_match = lambda b: F.arrays_overlap(b["terms"], F.array(*map(F.lit, strong)) if strong else F.array().cast("array<string>"))
+    listed_terms = F.array(*map(F.lit, strong or [])).cast("array<string>")
+    may_match = lambda b: F.size(b["terms"]) > 0 if strong is None else F.arrays_overlap(b["terms"], listed_terms)
     numbered = F.transform(lines(F.col("text")), lambda line, i: F.struct((i + 1).alias("block"), terms(line).alias("terms")))
     listed = files.withColumn("rid", F.monotonically_increasing_id()).select("rid", "file_id", "path", "text", F.filter(numbered, may_match).alias("some"))
     whole = F.array(F.struct(F.lit(0).alias("block"), terms(F.col("text")).alias("terms")))

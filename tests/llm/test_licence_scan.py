@@ -40,19 +40,19 @@ def test_whole_file_over_several_lines(spark):
     assert {r.file_id: (r.licence, r.origin) for r in rows} == {1: ("MIT", "file"), 2: ("MIT", "inherited")}
 
 
-def test_prefix_filter_loses_nothing(spark):
-    few, all_terms = scanned(spark), None
-    strong = ls.strong_terms
-    try:
-        ls.strong_terms = lambda vectors, threshold: sorted(r.term for r in vectors.select("term").distinct().collect())
-        all_terms = scanned(spark)
-    finally:
-        ls.strong_terms = strong
-    assert sorted(map(str, few)) == sorted(map(str, all_terms))
+def test_prefix_filter_loses_nothing(spark, monkeypatch):
+    few = sorted(map(str, scanned(spark)))
+    with monkeypatch.context() as patch:
+        patch.setattr(ls, "strong_terms", lambda vectors, threshold: sorted(r.term for r in vectors.select("term").distinct().collect()))
+        assert sorted(map(str, scanned(spark))) == few
+    monkeypatch.setattr(ls, "MAX_TERMS", 3)  # more strong terms than a plan holds
+    assert sorted(map(str, scanned(spark))) == few
 
 
 def test_empty_table_and_query_against_sql(spark):
     assert scanned(spark, []) == []
+    none = scanned(spark, template_rows=ls.templates(spark).limit(0))
+    assert {r.origin for r in none} == {"none"} and len(none) == len(FILES)
     folder = "/root/testdata/sf0.001"
     connection = duckdb.connect()
     connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
