@@ -11,7 +11,9 @@ one anchor form a fragment (at most 168 bytes).
 2. Where an anchor has several different fragments, their bytes are fetched and
    gathered into shards. Each shard gets a suffix array by induced sorting;
    permuted common prefixes of 100 or more mark equal windows, of which all but
-   the earliest are repeats.
+   the earliest are repeats. Fragments of an anchor with very many different
+   ones are dealt out again in pieces of a few windows, by the 93 bytes that
+   these windows share.
 3. The repeated windows of a document cover the bytes to remove.
 """
 
@@ -34,6 +36,8 @@ LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # an anchor starts at most so far behind its window
 #: Bytes hashed at once, bytes within whose fragments repeats are met before the shuffle, and bytes of a shard.
 SLICE, GATHERED, SHARD = 1 << 20, 1 << 24, 1 << 20
+#: Different fragments of an anchor up to which they are compared together, and windows of a piece beyond; change the way, not the result.
+HOT, PIECE = 512, 8
 #: Place of documents without an id: after all others.
 LAST = 2**63 - 1
 _FACTOR = 0x9E3779B97F4A7C15
@@ -123,12 +127,14 @@ def _documents(batches):
         yield ids, tags, some.column(2).cast(pa.binary()).to_pylist()
 
 
-NAMES = ["anchor", "whole", "doc", "tag", "first", "windows", "again"]
-SCHEMA = "anchor long, whole long, doc long, tag long, first int, windows int, again boolean"
+NAMES = ["anchor", "whole", "doc", "tag", "first", "windows", "kind"]
+SCHEMA = "anchor long, whole long, doc long, tag long, first int, windows int, kind byte"
+#: Kinds of fragments: to be compared, repeating an earlier one as a whole, and one of very many of their anchor.
+OPEN, AGAIN, CROWDED = 0, 1, 2
 
 
-def _rows(anchor, whole, doc, tag, first, windows, again):
-    arrays = [anchor.view(np.int64), whole.view(np.int64), doc, tag, first.astype(np.int32), windows.astype(np.int32), np.broadcast_to(again, len(doc))]
+def _rows(anchor, whole, doc, tag, first, windows, kind):
+    arrays = [anchor.view(np.int64), whole.view(np.int64), doc, tag, first.astype(np.int32), windows.astype(np.int32), np.broadcast_to(kind, len(doc)).astype(np.int8)]
     for low in range(0, len(doc), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(a[low : low + 50_000]) for a in arrays], names=NAMES)
 
@@ -144,27 +150,28 @@ def _in_order(anchor, whole, doc, tag, first):
     return order[once], differs(anchor, whole)[once]
 
 
-def _describe(batches):
-    """Fragments of a task's documents; of equal ones nearby only the earliest can still be no repeat."""
-    held, size = [], 0
+def _thinned(held):
+    """Rows of a task's fragments; of equal ones only the earliest can still be no repeat."""
+    anchor, whole, doc, tag, first, windows = (np.concatenate(c) for c in zip(*held))
+    order, earliest = _in_order(anchor, whole, doc, tag, first)
+    anchor, whole, doc, tag, first, windows = (a[order] for a in (anchor, whole, doc, tag, first, windows))
+    # A known repeat needs no meeting: without its anchor it goes anywhere, so no anchor makes a task large.
+    anchor = np.where(earliest, anchor, mix(doc.view(U) * STEP + first.astype(U)))
+    yield from _rows(anchor, np.where(earliest, whole, U(0)), doc, tag, first, windows, np.where(earliest, OPEN, AGAIN))
 
-    def flush():
-        anchor, whole, doc, tag, first, windows = (np.concatenate(c) for c in zip(*held))
-        order, earliest = _in_order(anchor, whole, doc, tag, first)
-        anchor, whole, doc, tag, first, windows = (a[order] for a in (anchor, whole, doc, tag, first, windows))
-        # A known repeat needs no meeting: without its anchor it goes anywhere, so no anchor makes a task large.
-        anchor = np.where(earliest, anchor, mix(doc.view(U) * STEP + first.astype(U)))
-        yield from _rows(anchor, np.where(earliest, whole, U(0)), doc, tag, first, windows, ~earliest)
 
+def _describe(batches):
+    """Fragments of a task's documents, described by hashes."""
+    held, size = [], 0
     for ids, tags, texts in _documents(batches):
         anchor, whole, owner, first, windows = fragments(texts)
         held.append((anchor, whole, ids[owner], tags[owner], first, windows))
         size += sum(map(len, texts))
         if size >= GATHERED:
-            yield from flush()
+            yield from _thinned(held)
             held, size = [], 0
     if held:
-        yield from flush()
+        yield from _thinned(held)
 
 
 def _whole_anchors(batches):
@@ -183,24 +190,25 @@ def _whole_anchors(batches):
         yield pa.Table.from_batches(held)
 
 
-def _meet(batches):
-    """Fragments of an anchor together: those that repeat another as a whole, and those to compare byte by byte (``again`` false)."""
+def _meet(batches, crowd: int):
+    """Fragments of an anchor together: those that repeat another as a whole, and those to compare byte by byte, crowded if more than ``crowd``."""
     for table in _whole_anchors(batches):
-        anchor, whole, doc, tag, first, windows, again = (c.to_numpy() for c in table.columns)
+        anchor, whole, doc, tag, first, windows, kind = (c.to_numpy() for c in table.columns)
         anchor, whole = anchor.view(U), whole.view(U)
-        rest = np.flatnonzero(~again)
+        rest = np.flatnonzero(kind == OPEN)
         order, earliest = _in_order(anchor[rest], whole[rest], doc[rest], tag[rest], first[rest])
         order = rest[order]
-        late = np.concatenate([np.flatnonzero(again), order[~earliest]])
-        yield from _rows(*(a[late] for a in (anchor, whole, doc, tag, first, windows)), True)
+        late = np.concatenate([np.flatnonzero(kind == AGAIN), order[~earliest]])
+        yield from _rows(*(a[late] for a in (anchor, whole, doc, tag, first, windows)), AGAIN)
         lead = order[earliest]
         _, group, times = np.unique(anchor[lead], return_inverse=True, return_counts=True)
-        several = lead[times[group] > 1]
-        yield from _rows(*(a[several] for a in (anchor, whole, doc, tag, first, windows)), False)
+        times = times[group]
+        several = lead[times > 1]
+        yield from _rows(*(a[several] for a in (anchor, whole, doc, tag, first, windows)), np.where(times[times > 1] > crowd, CROWDED, OPEN))
 
 
-def _cut(batches):
-    """Bytes of the asked fragments of each document."""
+def _parts(batches):
+    """(bytes, anchor, doc, tag, first) of the asked fragments of a few documents at a time."""
     for some in _slices(batches, 2):
         low, count, asked = _lists(some.column(3))
         row = np.repeat(np.arange(len(low)), count)
@@ -208,8 +216,60 @@ def _cut(batches):
         anchor, first, windows = (asked.field(n).to_numpy()[at] for n in ("anchor", "first", "windows"))
         texts = some.column(2).cast(pa.binary()).to_pylist()
         parts = [texts[r][a:b] for r, a, b in zip(row.tolist(), first.tolist(), (first + windows + LENGTH - 1).tolist())]
-        columns = [anchor, some.column(0).to_numpy()[row], some.column(1).to_numpy()[row], first]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=["anchor", "doc", "tag", "first", "bytes"])
+        yield parts, anchor, some.column(0).to_numpy()[row], some.column(1).to_numpy()[row], first
+
+
+def _cut(batches):
+    """Bytes of the asked fragments of each document."""
+    for parts, anchor, doc, tag, first in _parts(batches):
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor, doc, tag, first)), pa.array(parts, pa.binary())], names=["anchor", "doc", "tag", "first", "bytes"])
+
+
+def pieces(parts: list[bytes], anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces of fragments: second anchor, piece hash, fragment, first window in it, number of windows.
+
+    A piece holds the windows in which the anchor stands at ``PIECE`` neighbouring
+    places. All of them share ``LENGTH - PIECE + 1`` bytes around it, which make
+    the second anchor; equal windows have it alike.
+    """
+    sizes = np.array([len(p) for p in parts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    h = _grams(data)
+    owner = np.repeat(np.arange(len(parts)), sizes)[: len(h)]
+    hits = np.flatnonzero(h == anchor.view(U)[owner])
+    # The anchor is the leftmost gram of its hash in a fragment.
+    at = hits[np.unique(owner[hits], return_index=True)[1]]
+    n = sizes - LENGTH + 1
+    part = np.repeat(np.arange(len(parts)), n)
+    window = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n)
+    block = (at[part] - starts[part] - window) // PIECE
+    new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (block[1:] != block[:-1])])[: len(part)])
+    count = np.diff(np.append(new, len(part)))
+    part, window, block = part[new], window[new], block[new]
+    up, down = _powers(1 << int(np.ceil(np.log2(len(data) + 1))))
+    total = np.concatenate([np.zeros(1, U), np.cumsum(h * up[: len(h)])])
+    first, shared = starts[part] + window, at[part] - PIECE * block
+    around = (total[shared + REACH - PIECE + 2] - total[shared]) * down[shared]
+    second = mix(anchor.view(U)[part] + mix(around + block.astype(U) * STEP))
+    whole = mix((total[first + count + REACH] - total[first]) * down[first] + count.astype(U) * STEP)
+    return second, whole, part, window, count
+
+
+def _refine(batches):
+    """Pieces of the asked fragments, described by hashes."""
+    held, size = [], 0
+    for parts, anchor, doc, tag, first in _parts(batches):
+        if not parts:
+            continue
+        second, whole, part, window, windows = pieces(parts, anchor)
+        held.append((second, whole, doc[part], tag[part], first[part] + window, windows))
+        size += sum(map(len, parts))
+        if size >= GATHERED:
+            yield from _thinned(held)
+            held, size = [], 0
+    if held:
+        yield from _thinned(held)
 
 
 def repeats_in_shard(parts: list[bytes], doc: np.ndarray, tag: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,25 +359,40 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _met(described: DataFrame, crowd: int, label: str) -> DataFrame:
+    """Written table ``anchor, doc, tag, first, windows, kind`` of the described fragments that are not alone."""
+    gathered = described.repartition("anchor").sortWithinPartitions("anchor")
+    return written(gathered.mapInArrow(lambda batches: _meet(batches, crowd), SCHEMA).drop("whole"), label)
+
+
+def _asked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc, tag, text, asked``: the documents of the wanted fragments with these."""
+    asked = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("asked"))
+    sources = texts.join(if_small(wanted.select("doc", "tag").distinct()), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
+    return sources.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked")
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = HOT) -> DataFrame:
     """Written table ``doc, tag, first, windows``: runs of windows that start earlier somewhere as well.
 
     ``doc`` is the id (documents without one come last), ``tag`` a hash of the
-    text that keeps different texts under one id apart.
+    text that keeps different texts under one id apart. Anchors of more than
+    ``crowd`` different fragments are split; that changes no result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     placed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
     long_enough = placed.where(F.octet_length("text") >= LENGTH)
-    described = long_enough.mapInArrow(_describe, SCHEMA).repartition("anchor").sortWithinPartitions("anchor")
-    met = written(described.mapInArrow(_meet, SCHEMA).drop("whole"), "fragments")
-    asked = met.where("NOT again").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("asked"))
-    sources = long_enough.join(if_small(met.where("NOT again").select("doc", "tag").distinct()), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
-    cut = sources.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked").mapInArrow(_cut, "anchor long, doc long, tag long, first int, bytes binary")
+    met = _met(long_enough.mapInArrow(_describe, SCHEMA), crowd, "fragments")
+    crowded = met.where(F.col("kind") == CROWDED)
+    if not crowded.isEmpty():
+        # Pieces that meet here share all but a few bytes, so they need no further split.
+        met = met.unionByName(_met(_asked(long_enough, crowded).mapInArrow(_refine, SCHEMA), 2**62, "pieces"))
+    cut = _asked(long_enough, met.where(F.col("kind") == OPEN)).mapInArrow(_cut, "anchor long, doc long, tag long, first int, bytes binary")
     partial = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_shards, "doc long, tag long, first int, windows int")
-    return written(met.where("again").select("doc", "tag", "first", "windows").unionByName(partial), "repeats")
+    return written(met.where(F.col("kind") == AGAIN).select("doc", "tag", "first", "windows").unionByName(partial), "repeats")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = HOT) -> DataFrame:
     """Every document without the bytes of strings that start earlier as well.
 
     Returns one row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept``
@@ -329,7 +404,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and text are one document, reported as often as they occur. An empty table
     gives an empty result; other columns are ignored.
     """
-    spans = repeated_windows(docs, id_col, text_col).groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    spans = repeated_windows(docs, id_col, text_col, crowd).groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     placed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"))
     joined = placed.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
@@ -337,7 +412,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start:int,end:int>>")
 
 
-def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; see :func:`remove_repeats`."""
-    done = remove_repeats(docs, id_col, text_col)
+    done = remove_repeats(docs, id_col, text_col, crowd)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -50,12 +50,12 @@ def brute(rows):
 tags: dict[str, int] = {}
 
 
-def check(spark, rows):
+def check(spark, rows, **options):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, first string")
     tags.update({r.t: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()})
-    got = sd.repeats_digest(docs).collect()
+    got = sd.repeats_digest(docs, **options).collect()
     assert sorted(str(tuple(r)) for r in got) == brute(rows)
 
 
@@ -74,6 +74,23 @@ def test_against_brute_force(spark):
         rows.append((2000 + len(rows), base[:at] + word() + base[at:]))
     rows += [(5000, None), (5001, ""), (None, passages[3] * 2), (None, passages[3] * 2), (5002, "a" * 3000), (5003, "ab" * 700 + "a" * 300), (rows[3][0], "short"), (rows[4][0], rows[4][1]), (rows[5][0], rows[6][1] + "!")]
     check(spark, rows)
+    check(spark, rows, crowd=1)  # every anchor of several fragments is split
+    check(spark, rows, crowd=4)
+
+
+def test_pieces_of_equal_windows_meet():
+    rnd = random.Random(4)
+    base = bytes(rnd.choice(b"abcdefgh") for _ in range(600))
+    texts = [base] + [base[:at] + b"#" + base[at + rnd.randint(0, 2) :] for at in (rnd.randrange(600) for _ in range(30))]
+    anchor, _, text, first, windows = sd.fragments(texts)
+    parts = [texts[t][a : a + n + sd.LENGTH - 1] for t, a, n in zip(text, first, windows)]
+    second, whole, part, window, count = sd.pieces(parts, anchor.view(np.int64))
+    seen, same = {}, {}
+    for key, digest, p, w, n in zip(second.tolist(), whole.tolist(), part.tolist(), window.tolist(), count.tolist()):
+        assert n <= sd.PIECE and same.setdefault((key, digest), parts[p][w : w + n + sd.LENGTH - 1]) == parts[p][w : w + n + sd.LENGTH - 1]
+        for i in range(w, w + n):
+            assert seen.setdefault(parts[p][i : i + sd.LENGTH], key) == key
+    assert count.sum() == windows.sum()
 
 
 def test_lengths_around_the_limit(spark):
