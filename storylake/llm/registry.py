@@ -15,6 +15,7 @@ from storylake.llm.pii import pii_digest
 from storylake.llm.quality_crf import quality
 from storylake.llm.suffix_dedup import repeats_digest
 from storylake.llm.unigram import load_model, tokenize
+from storylake.llm.yinyang import cluster_digest
 
 #: A public SentencePiece model; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -76,6 +77,11 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("file_id", "doc_id")
 
 
+def op11_yinyang(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every vector of 64 finite components."""
+    return cluster_digest(_read(spark, folder, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2")
+
+
 QUERIES = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_pii": op2_pii,
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_unigram": op8_unigram,
     "op9_suffix_array": op9_suffix_array,
     "op10_licence_scan": op10_licence_scan,
+    "op11_yinyang": op11_yinyang,
 }
 
 #: ASCII lower-casing in DuckDB: its own lower() also changes other letters.
@@ -94,6 +101,15 @@ ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 
 _TEMPLATE_VALUES = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(TEMPLATES))
 
+#: Rounds of nearest centroids and floored means: ``c0`` are the first centroids, ``a0 .. a5`` the vectors with their nearest.
+_ROUNDS = ",\n".join(
+    f"""        a{n} AS MATERIALIZED (SELECT rid, arg_min(c, d * 100 + c) AS c, min(d) AS d
+                FROM (SELECT v.rid, c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN c{n} m USING (i) GROUP BY v.rid, c) GROUP BY rid),
+        c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, o.x) AS x
+                FROM c{n} o LEFT JOIN (SELECT c, i, sum(x) AS s, count(*) AS n FROM v JOIN a{n} USING (rid) GROUP BY c, i) USING (c, i))"""
+    for n in range(6)
+)
+
 ORACLES = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {ASCII_LOWER} AS norm FROM documents),
@@ -150,4 +166,15 @@ ORACLES = {
                coalesce(own.score, near.score) AS score, CAST(CASE WHEN origin = 'header' THEN block ELSE 0 END AS BIGINT) AS line,
                CASE WHEN origin IS NULL THEN above END AS source_dir
         FROM d LEFT JOIN own USING (doc_id) LEFT JOIN (SELECT * FROM near WHERE r = 1) near USING (dir)""",
+    "op11_yinyang": f"""
+        WITH k AS (SELECT row_number() OVER () AS rid, vec_id, embedding AS e FROM embeddings
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        v AS MATERIALIZED (SELECT rid, i, CAST(floor(256 * CAST(e[i] AS DOUBLE)) AS HUGEINT) AS x FROM (SELECT rid, e, unnest(range(1, 65)) AS i FROM k)),
+        f AS (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, rid) - 1 AS c FROM k QUALIFY c < 40),
+        c0 AS MATERIALIZED (SELECT c, i, x FROM v JOIN f USING (rid)),
+{_ROUNDS},
+        s AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS sha FROM c5 GROUP BY c)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+        FROM k JOIN a5 USING (rid) JOIN s USING (c)""",
 }
