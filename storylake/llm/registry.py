@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storylake.llm.decontamination import contamination
 from storylake.llm.exact_dedup import exact_dedup
 from storylake.llm.html_density import page_texts
+from storylake.llm.importance import resample
 from storylake.llm.language_id import identify
 from storylake.llm.licence_scan import TEMPLATES, THRESHOLD, scan
 from storylake.llm.near_dedup import near_duplicates
@@ -82,6 +83,11 @@ def op11_yinyang(spark: SparkSession, folder: str) -> DataFrame:
     return cluster_digest(_read(spark, folder, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2")
 
 
+def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the benchmark's texts."""
+    return resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), percent=25, least_words=20, salt="7")
+
+
 QUERIES = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_pii": op2_pii,
@@ -94,6 +100,7 @@ QUERIES = {
     "op9_suffix_array": op9_suffix_array,
     "op10_licence_scan": op10_licence_scan,
     "op11_yinyang": op11_yinyang,
+    "op12_importance": op12_importance,
 }
 
 #: ASCII lower-casing in DuckDB: its own lower() also changes other letters.
@@ -177,4 +184,27 @@ ORACLES = {
         SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
                CAST(sum(d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
         FROM k JOIN a5 USING (rid) JOIN s USING (c)""",
+    "op12_importance": f"""
+        WITH RECURSIVE steps(n, k, v) AS (  -- the CRC-32 of a single byte, by eight steps of its polynomial
+            SELECT n, 0, n FROM range(256) t(n)
+            UNION ALL SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+        tab AS (SELECT list(v ORDER BY n) AS tab FROM steps WHERE k = 8),
+        texts AS (SELECT 'd' AS side, doc_id AS id, {ASCII_LOWER} AS norm FROM documents UNION ALL SELECT 'b', item_id, {ASCII_LOWER} FROM benchmark),
+        w AS (SELECT side, id, regexp_extract_all(norm, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+        g AS (SELECT side, id, unnest(w) AS gram FROM w
+              UNION ALL SELECT side, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
+        hashed AS (SELECT gram, xor(list_reduce(list_transform(range(0, octet_length(encode(gram))), lambda i: CAST('0x' || substr(hex(encode(gram)), 2 * i + 1, 2) AS BIGINT)),
+                   lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+                   FROM (SELECT DISTINCT gram FROM g), tab),
+        f AS (SELECT side, id, bucket, count(*) AS n FROM g JOIN hashed USING (gram) GROUP BY ALL),
+        b AS (SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM f GROUP BY bucket),
+        a AS (SELECT sum(s) AS s_all, coalesce(sum(t), 0) AS t_all FROM b),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE)
+                 / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS HUGEINT) AS gain FROM b, a),
+        per AS (SELECT id, sum(n) AS n, sum(n * gain) AS s FROM f JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id),
+        d AS (SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce((s - ((s % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+              CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents LEFT JOIN per ON id = doc_id),
+        r AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d),
+        k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_features >= 39)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM r LEFT JOIN k USING (doc_id)""",
 }
