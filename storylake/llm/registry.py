@@ -16,6 +16,7 @@ from storylake.llm.pii import pii_digest
 from storylake.llm.quality_crf import quality
 from storylake.llm.suffix_dedup import repeats_digest
 from storylake.llm.unigram import load_model, tokenize
+from storylake.llm.warc import round_trip
 from storylake.llm.yinyang import cluster_digest
 
 #: A public SentencePiece model; a parameter of the operator.
@@ -88,6 +89,11 @@ def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
     return resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), percent=25, least_words=20, salt="7")
 
 
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Record of every page, as read back from the archives written of them."""
+    return round_trip(_read(spark, folder, "pages"), least=0).drop("intact")
+
+
 QUERIES = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_pii": op2_pii,
@@ -101,6 +107,7 @@ QUERIES = {
     "op10_licence_scan": op10_licence_scan,
     "op11_yinyang": op11_yinyang,
     "op12_importance": op12_importance,
+    "op13_warc": op13_warc,
 }
 
 #: ASCII lower-casing in DuckDB: its own lower() also changes other letters.
@@ -207,4 +214,12 @@ ORACLES = {
         r AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d),
         k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_features >= 39)
         SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM r LEFT JOIN k USING (doc_id)""",
+    "op13_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, html, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+        b AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT)) AS fives FROM h)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+               array_to_string(flatten(list_transform(fives, lambda v: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> s) % 32 + 1, 1)))), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM b""",
 }
