@@ -12,23 +12,25 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storylake.llm.common import UPPER, written
 
 BUCKETS = 10_000
 #: Code points of text that one statement sees; a longer text goes in pieces that share one word.
-SLICE = 1 << 21
+SLICE = 1 << 19
+#: Bucket counts after which a task hands its rows on.
+HELD = 1 << 18
 BREAK = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWERED = str.maketrans(UPPER, UPPER.lower())
-SETTINGS = {"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False}
+SETTINGS = {"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False}
 #: ``carried`` pieces begin with the last word of the piece before, which has been counted there.
 COUNT = r"""
     WITH texts AS (SELECT row, carried, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM pieces),
@@ -59,6 +61,11 @@ class Counter:
         self.connection.create_function("zlib_crc32", crc_of, ["VARCHAR"], "BIGINT", type="arrow")
         self.statement = COUNT.format(upper=UPPER, lower=UPPER.lower(), buckets=buckets)
 
+    def close(self) -> None:
+        """Workers serve many tasks; a connection left open would hold its memory beyond its own."""
+        self.connection.remove_function("zlib_crc32")
+        self.connection.close()
+
     def __call__(self, rows: list[int], texts: list[str], carried: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, bucket and count, ordered by row and bucket."""
         pieces = pa.table({"row": pa.array(rows, pa.int64()), "text": pa.array(texts, pa.large_string()), "carried": pa.array(carried, pa.bool_())})
@@ -86,34 +93,36 @@ def pieces_of(text: str, size: int) -> Iterator[tuple[str, bool]]:
         before, at = found[-1].group() if found else before, stop
 
 
-def counted(count: Counter, texts: list[str | None], buckets: int, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets (ascending) and counts of every text, in order; a null has none."""
-    at = 0
-    while at < len(texts):
-        if len(texts[at] or "") > size:
-            whole = np.zeros(buckets, np.int64)
-            for piece, carried in pieces_of(texts[at], size):
-                _, bucket, n = count([0], [piece], [carried])
-                whole[bucket] += n
-            there = np.flatnonzero(whole)
-            yield there, whole[there]
-            at += 1
+def counted(count: Counter, texts: Iterable[str | None], buckets: int, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets (ascending) and counts of every text, in order; a null has none. A statement's texts are all that is held."""
+    held, chars = [], 0
+
+    def together():
+        row, bucket, n = count(list(range(len(held))), held, [False] * len(held))
+        edges = np.searchsorted(row, np.arange(len(held) + 1))
+        return [(bucket[a:b], n[a:b]) for a, b in zip(edges, edges[1:])]
+
+    for text in texts:
+        text = text or ""
+        if held and chars + len(text) > size:
+            yield from together()
+            held, chars = [], 0
+        if len(text) <= size:
+            held.append(text)
+            chars += len(text)
             continue
-        stop, chars = at, 0
-        while stop < len(texts) and chars + len(texts[stop] or "") <= size:
-            chars, stop = chars + len(texts[stop] or ""), stop + 1
-        row, bucket, n = count(list(range(stop - at)), [t or "" for t in texts[at:stop]], [False] * (stop - at))
-        edges = np.searchsorted(row, np.arange(stop - at + 1))
-        for a, b in zip(edges, edges[1:]):
-            yield bucket[a:b], n[a:b]
-        at = stop
+        whole = np.zeros(buckets, np.int64)
+        for piece, carried in pieces_of(text, size):
+            _, bucket, n = count([0], [piece], [carried])
+            whole[bucket] += n
+        there = np.flatnonzero(whole)
+        yield there, whole[there]
+    if held:
+        yield from together()
 
 
 def bucket_counts(df: DataFrame, id_col: str, text_col: str, label: str, buckets: int = BUCKETS) -> DataFrame:
-    """``id, buckets, counts`` of every row, written as Parquet, and a row of null ``part`` totals from every task.
-
-    ``whole`` is true for the totals of a task, whose ``id`` is null.
-    """
+    """``id, whole, buckets, counts`` of every row and, with ``whole`` true and a null id, the sums of every task; written as Parquet."""
     kept = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
 
@@ -126,12 +135,17 @@ def bucket_counts(df: DataFrame, id_col: str, text_col: str, label: str, buckets
     def run(batches):
         count, total, id_type = Counter(buckets), np.zeros(buckets, np.int64), None
         for batch in batches:
-            id_type = batch.column(0).type
-            rows = []
-            for bucket, n in counted(count, batch.column(1).to_pylist(), buckets):
+            id_type, rows, first, held = batch.column(0).type, [], 0, 0
+            for bucket, n in counted(count, (t.as_py() for t in batch.column(1)), buckets):
                 total[bucket] += n
-                rows.append((bucket, n))
-            yield batch_of(batch.column(0), rows, False)
+                rows.append((bucket.astype(np.int32), n))
+                held += len(n)
+                if held >= HELD:
+                    yield batch_of(batch.column(0).slice(first, len(rows)), rows, False)
+                    first, rows, held = first + len(rows), [], 0
+            if rows:
+                yield batch_of(batch.column(0).slice(first, len(rows)), rows, False)
+        count.close()
         there = np.flatnonzero(total)
         if len(there):
             yield batch_of(pa.nulls(1, id_type), [(there, total[there])], True)
@@ -154,20 +168,27 @@ def gains(source: dict[int, int], target: dict[int, int], buckets: int = BUCKETS
     return np.floor(1000 * np.log(up / down)).astype(np.int64).tolist()
 
 
-def _fixed(values: list[int]) -> Column:
-    """A constant array; Spark folds the text into one literal instead of compiling thousands."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def weighed(counts: DataFrame, gain: list[int]) -> DataFrame:
+    """``id, n_features, gain`` of every document row of ``counts``: its features and the sum of their gains."""
+    rows = counts.where("NOT whole").select("id", "buckets", "counts")
+    fixed = np.array(gain, np.int64)
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(2).flatten().to_numpy()
+            each = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * fixed[batch.column(1).flatten().to_numpy()])])
+            edges = batch.column(2).offsets.to_numpy()
+            edges = edges - edges[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.diff(e[edges])) for e in each)], names=["id", "n_features", "gain"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_features bigint, gain bigint")
 
 
 def scored(counts: DataFrame, gain: list[int], salt: str) -> DataFrame:
     """``doc_id, n_features, weight, score`` of every document row of ``counts``."""
-    fixed = _fixed(gain)
-    total = F.aggregate(F.arrays_zip("buckets", "counts"), F.lit(0).cast("bigint"), lambda a, x: a + F.element_at(fixed, x["buckets"] + 1) * x["counts"])
-    features = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
     noise = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
-    rows = counts.where("NOT whole").select(F.col("id").alias("doc_id"), features.alias("n_features"), total.alias("gain"), noise.alias("h"))
     mean = F.when(F.col("n_features") > 0, F.expr("(gain - pmod(gain, n_features)) div n_features")).otherwise(F.lit(0).cast("bigint"))
-    rows = rows.withColumn("weight", mean)
+    rows = weighed(counts, gain).select(F.col("id").alias("doc_id"), "n_features", mean.alias("weight"), noise.alias("h"))
     gumbel = F.floor(F.lit(-1000.0) * F.log(-F.log((F.col("h") + 0.5) / F.lit(4294967296.0))))
     return rows.select("doc_id", "n_features", "weight", (F.col("weight") + gumbel).alias("score"))
 
