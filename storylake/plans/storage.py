@@ -20,28 +20,68 @@ def _chapters(spark, folder):
 
 
 def volumes_round_trip(spark, folder):
-    """Volumes written under their names and read back."""
+    """Volumes written as files under their names and read as a library."""
     path = shared_path(spark, "volumes")
-    files.write_volumes(_chapters(spark, folder), path, ("source",))
-    read = files.read_volumes(spark, path)
-    return read.select("source", "slug", "file_name", F.col("volume").cast("long").alias("volume"), "index", "title", F.md5(F.array_join("paragraphs", "\n")).alias("text_md5"))
+    files.write_volumes(_chapters(spark, folder), path)
+    read = files.open_library(spark, path).chapters()
+    return read.select("source", "slug", F.col("vol_file").alias("file_name"), F.col("volume").cast("long").alias("volume"), "index", "title", F.md5(F.array_join("paragraphs", "\n")).alias("text_md5"))
 
 
 def index_round_trip(spark, folder):
-    """Index of every story written as JSON arrays and read back."""
+    """Index of every story written as a file with a JSON array and read as a library."""
     path = shared_path(spark, "index")
-    files.write_index(_chapters(spark, folder), path, ("source",))
-    return files.read_index(spark, path)
+    files.write_index(_chapters(spark, folder), path)
+    return files.open_library(spark, path).index()
+
+
+def _titles(spark, folder):
+    return _chapters(spark, folder).select("source", "slug", F.when(F.col("slug").rlike("[02468]$"), F.upper("slug")).alias("story_title")).distinct()
 
 
 def copied_library(spark, folder):
-    """Titles of stories written where there are any, and copied over an older folder."""
-    titles = _chapters(spark, folder).select("source", "slug", F.when(F.col("slug").rlike("[02468]$"), F.upper("slug")).alias("story_title")).distinct()
+    """Titles of stories written where there are any, and copied over an older library."""
     path, target = shared_path(spark, "metadata"), shared_path(spark, "copy")
-    files.write_metadata(titles, path, ("source",))
-    schema = "source STRING, slug STRING, story_title STRING"
-    files.copied(spark, path, target, schema)
-    return files.copied(spark, path, target, schema)
+    files.write_metadata(_titles(spark, folder).withColumn("slug", F.concat("slug", F.lit("-old"))), target)
+    files.write_metadata(_titles(spark, folder), path)
+    files.copied(spark, path, target)
+    return files.open_library(spark, target).metadata()
+
+
+def library_stories(spark, folder):
+    """Folders of a library by what they hold: long conversations have an index, some have a title, some both."""
+    path = shared_path(spark, "library")
+    files.write_index(_chapters(spark, folder).where("volume >= 2"), path)
+    files.write_metadata(_titles(spark, folder), path)
+    return files.open_library(spark, path).stories()
+
+
+def library_rebuilt(spark, folder):
+    """Index made anew from volumes of which later ones hold some chapters again: the last file and place win."""
+    path, chapters = shared_path(spark, "library"), _chapters(spark, folder)
+    again = chapters.where("index % 2 = 1").withColumns({"volume": F.col("volume") + 7, "title": F.concat(F.lit("again "), "title")})
+    files.write_volumes(chapters, path)
+    files.write_volumes(again, path)
+    return files.open_library(spark, path).rebuilt_index()
+
+
+def library_resolved(spark, folder):
+    """Chapters of every story from the first of the sources that have it; every third story stands in a second one."""
+    path, chapters = shared_path(spark, "library"), _chapters(spark, folder)
+    other = chapters.where("cast(substring(slug, 2) as int) % 3 = 0").withColumns({"source": F.translate("source", "01", "10"), "title": F.concat(F.lit("other "), "title")})
+    files.write_index(chapters.unionByName(other), path)
+    opened = files.open_library(spark, path)
+    return opened.resolved(opened.index())
+
+
+def library_checkpoints(spark, folder):
+    """Checkpoints written for all stories, then again for some, of which finished ones lose theirs."""
+    path = shared_path(spark, "library")
+    last = _chapters(spark, folder).groupBy("source", "slug").agg(F.max("index").alias("at"))
+    points = last.select("source", "slug", F.concat(F.lit("/p"), F.col("at") + 1).alias("next_url"), (F.col("at") + 1).alias("next_index"), F.lit(None).cast("string").alias("story_title"))
+    files.write_checkpoints(points, points.limit(0), path)
+    newer = points.where("next_index % 2 = 0").withColumns({"next_index": F.col("next_index") + 10, "story_title": F.upper("slug")})
+    files.write_checkpoints(newer, newer.where("next_index > 12"), path)
+    return files.open_library(spark, path).progress().select("source", "slug", "next_url", "next_index", F.coalesce("story_title", F.lit("-")).alias("story_title"))
 
 
 def _checkpoints(spark, folder):
@@ -192,7 +232,7 @@ def volume_metadata(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        volumes_round_trip, index_round_trip, copied_library, checkpoint_upsert, checkpoint_resume, catalog_round_trip, settings_round_trip, report_round_trip, local_progress, request_bodies, route_params,
+        volumes_round_trip, index_round_trip, copied_library, library_stories, library_rebuilt, library_resolved, library_checkpoints, checkpoint_upsert, checkpoint_resume, catalog_round_trip, settings_round_trip, report_round_trip, local_progress, request_bodies, route_params,
         player_targets, active_paragraphs, chapter_lines, audio_in_order, iso_stamps, stale_orders, report_prompts, sorted_listings, source_literals, stream_ttl_cache, stream_batches, volume_metadata,
     )
 }
@@ -208,6 +248,12 @@ ORACLES = {
         SELECT source, slug, printf('vol-%03d-ch%03d-%03d.json', volume, a, b) AS file_name, volume, index, title, md5(text) AS text_md5 FROM n""",
     "index_round_trip": f"WITH {_CHAPTERS} SELECT source, slug, index, title FROM ch",
     "copied_library": "SELECT DISTINCT 'src' || conv_id % 2 AS source, 'c' || conv_id AS slug, 'C' || conv_id AS story_title FROM conversations WHERE conv_id % 2 = 0",
+    "library_stories": f"""WITH {_CHAPTERS}, s AS (SELECT source, slug, max(volume) >= 2 AS has_index, CAST(substring(slug, 2) AS INT) % 2 = 0 AS has_metadata FROM ch GROUP BY ALL) SELECT * FROM s WHERE has_index OR has_metadata""",
+    "library_rebuilt": f"WITH {_CHAPTERS} SELECT source, slug, index, CASE WHEN index % 2 = 1 THEN 'again ' ELSE '' END || title AS title FROM ch",
+    "library_resolved": f"""WITH {_CHAPTERS}, a AS (SELECT source, slug, index, title FROM ch UNION ALL SELECT translate(source, '01', '10'), slug, index, 'other ' || title FROM ch WHERE CAST(substring(slug, 2) AS INT) % 3 = 0)
+        SELECT * FROM a QUALIFY source = min(source) OVER (PARTITION BY slug)""",
+    "library_checkpoints": f"""WITH {_CHAPTERS}, p AS (SELECT source, slug, max(index) + 1 AS n FROM ch GROUP BY ALL)
+        SELECT source, slug, '/p' || n AS next_url, CAST(CASE WHEN n % 2 = 0 THEN n + 10 ELSE n END AS INTEGER) AS next_index, CASE WHEN n % 2 = 0 THEN upper(slug) ELSE '-' END AS story_title FROM p WHERE n % 2 = 1 OR n + 10 <= 12""",
     "checkpoint_upsert": f"WITH {_POINTS} SELECT * FROM cp",
     "checkpoint_resume": f"""WITH {_POINTS}, s AS (SELECT DISTINCT story FROM e), f AS (SELECT story, CASE WHEN coalesce(next_url, '-') <> '-' THEN greatest(next_index, 0) ELSE 0 END AS first FROM s LEFT JOIN cp USING (story))
         SELECT story, CAST(i AS INTEGER) AS index FROM f, (SELECT unnest(range(0, 6)) AS i) WHERE i >= first AND i < first + 2""",

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storylake.operators import library, volumes
+from storylake.sources import named
 
 INDEX = "index INT, title STRING"
 METADATA = "story_title STRING"
@@ -22,7 +23,7 @@ PROGRESS = "next_url STRING, next_index INT, story_title STRING"
 def _files(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
     """JSON files called ``name`` under any source and slug; no rows where there are none."""
     read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(base)
-    path = F.col("_metadata.file_path")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # Spark states it as an address
     return read.select(
         F.regexp_extract(path, r"/([^/]+)/[^/]+/[^/]+$", 1).alias("source"),
         F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1).alias("slug"),
@@ -46,8 +47,10 @@ class Library:
         return _files(self.spark, self.base, "metadata.json", METADATA).drop("file_name")
 
     def progress(self) -> DataFrame:
-        """Crawl checkpoints: where to go on."""
-        return _files(self.spark, self.base, "_progress.json", PROGRESS).drop("file_name")
+        """Crawl checkpoints: where to go on. Their names begin with an underscore, which Spark's own readers pass over."""
+        found = named.read_named(self.spark, self.base, "_progress.json")
+        at = F.split("name", "/")
+        return found.select(F.element_at(at, -3).alias("source"), F.element_at(at, -2).alias("slug"), F.from_json("content", PROGRESS).alias("p")).select("source", "slug", "p.*")
 
     def chapters(self) -> DataFrame:
         """``source, slug, vol_file, volume, pos, index, title, paragraphs`` of all volume files."""
@@ -69,6 +72,11 @@ class Library:
         """Slugs of all sources, the same slug as often as sources have it."""
         return self.stories().select("slug")
 
+    def resolved(self, rows: DataFrame) -> DataFrame:
+        """Rows of every slug from the first source (by name) that has it."""
+        first = self.stories().groupBy("slug").agg(F.min("source").alias("source"))
+        return rows.join(first, ["source", "slug"], "left_semi")
+
     def _of(self, rows: DataFrame, slug: str) -> DataFrame:
         """Rows of a slug, from the first source (by name) that has it."""
         sources = self.stories().where(F.col("slug") == slug).agg(F.min("source").alias("source"))
@@ -99,39 +107,46 @@ def open_library(spark: SparkSession, base: str) -> Library:
     return Library(spark, base)
 
 
-def write_volumes(chapters: DataFrame, path: str, folders: tuple[str, ...] = ("source", "slug", "file_name")) -> None:
-    """Chapters ``source, slug, volume, index, title, paragraphs`` as one JSON row a volume, in folders by source, slug and file name.
+def _write(rows: DataFrame, base: str, file_name: Column, content: Column, mode: str = "append") -> None:
+    """``<source>/<slug>/<file_name>`` below ``base`` for every row; a null content deletes that file."""
+    named.write_named(rows.select(F.concat_ws("/", "source", "slug", file_name).alias("name"), content.alias("content")), base, mode)
+
 
-    The folder bears the volume's name, since Spark names the files inside itself.
-    Large libraries take fewer ``folders``; what they leave out stands in the rows.
+def write_volumes(chapters: DataFrame, base: str, mode: str = "append") -> None:
+    """Chapters ``source, slug, volume, index, title, paragraphs`` as one file ``vol-NNN-chAAA-BBB.json`` a volume.
+
+    Files appear together when all tasks are done; a volume written again under
+    the same name is replaced. A volume's chapters are packed in one row.
     """
     packed = chapters.groupBy("source", "slug", "volume").agg(F.array_sort(F.collect_list(F.struct("index", "title", "paragraphs"))).alias("chapters"))
     ranged = packed.withColumn("chapterRange", F.array(F.element_at("chapters", 1)["index"] + 1, F.element_at("chapters", -1)["index"] + 1))
-    named = ranged.withColumn("file_name", volumes.volume_name(F.col("volume"), F.col("chapterRange")[0], F.col("chapterRange")[1]))
-    named.write.mode("overwrite").partitionBy(*folders).json(path)
+    file_name = volumes.volume_name(F.col("volume"), F.col("chapterRange")[0], F.col("chapterRange")[1])
+    _write(ranged, base, file_name, F.to_json(F.struct("volume", "chapterRange", "chapters")), mode)
 
 
-def read_volumes(spark: SparkSession, path: str) -> DataFrame:
-    """``source, slug, file_name, volume, chapterRange, index, title, paragraphs`` of what :func:`write_volumes` wrote."""
-    read = spark.read.schema(f"{VOLUME}, source STRING, slug STRING, file_name STRING").json(path)
-    return read.select("source", "slug", "file_name", "volume", "chapterRange", F.explode("chapters").alias("c")).select("source", "slug", "file_name", "volume", "chapterRange", "c.index", "c.title", "c.paragraphs")
+def write_index(chapters: DataFrame, base: str) -> None:
+    """``chapters_index.json`` of every story that has chapters: a JSON array in order of the chapters."""
+    listed = chapters.groupBy("source", "slug").agg(F.array_sort(F.collect_list(F.struct("index", "title"))).alias("chapters"))
+    _write(listed, base, F.lit("chapters_index.json"), F.to_json("chapters"))
 
 
-def write_index(chapters: DataFrame, path: str, folders: tuple[str, ...] = ("source", "slug")) -> None:
-    """Index of every story that has chapters, as one JSON row a story, in order of the chapters; ``folders`` as in :func:`write_volumes`."""
-    listed = chapters.groupBy("source", "slug").agg(F.array_sort(F.collect_list(F.struct("index", "title"))).alias("chapters"))
-    listed.write.mode("overwrite").partitionBy(*folders).json(path)
+def write_metadata(stories: DataFrame, base: str) -> None:
+    """``metadata.json`` of the stories that have a title; the others' are left as they are."""
+    _write(stories.where("story_title IS NOT NULL"), base, F.lit("metadata.json"), F.to_json(F.struct("story_title")))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """``source, slug, index, title`` of what :func:`write_index` wrote."""
-    read = spark.read.schema("chapters ARRAY<STRUCT<index: INT, title: STRING>>, source STRING, slug STRING").json(path)
-    return read.select("source", "slug", F.inline("chapters"))
+def write_checkpoints(checkpoints: DataFrame, finished: DataFrame, base: str) -> None:
+    """``_progress.json`` of every story in ``checkpoints``, in place of the one before; those of ``finished`` stories are deleted."""
+    told = checkpoints.join(finished.select("source", "slug").distinct(), ["source", "slug"], "left_anti")
+    content = F.to_json(F.struct("next_url", "next_index", "story_title"))
+    gone = finished.select("source", "slug").distinct().withColumn("content", F.lit(None).cast("string"))
+    _write(told.select("source", "slug", content.alias("content")).unionByName(gone), base, F.lit("_progress.json"), F.col("content"))
 
 
-def write_metadata(stories: DataFrame, path: str, folders: tuple[str, ...] = ("source", "slug")) -> None:
-    """Titles of the stories that have one, as JSON; ``folders`` as in :func:`write_volumes`."""
-    stories.where("story_title IS NOT NULL").select("source", "slug", "story_title").write.mode("overwrite").partitionBy(*folders).json(path)
+def copied(spark: SparkSession, source: str, target: str) -> None:
+    """Every JSON file of the library ``source`` in place of whatever ``target`` held."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(source)
+    named.write_named(found.select(F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("name"), "content"), target, "overwrite")
 
 
 def upserted(old: DataFrame, new: DataFrame, finished: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -149,9 +164,3 @@ def left_to_read(chapters: DataFrame, checkpoints: DataFrame, keys: list[str], i
         return rest
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(index))
     return rest.withColumn("place", place).where(F.col("place") <= limit).drop("place")
-
-
-def copied(spark: SparkSession, source: str, target: str, schema: str) -> DataFrame:
-    """The JSON rows of ``source`` written over whatever ``target`` held, and read from there."""
-    spark.read.schema(schema).json(source).write.mode("overwrite").json(target)
-    return spark.read.schema(schema).json(target)

@@ -1,10 +1,11 @@
-"""Files under names of the caller's choice, written by tasks and published by one commit.
+"""Files under names of the caller's choice, written by tasks and published by one commit, and read by any name.
 
 Spark's own writers name their files themselves. Here every task attempt writes
 into a staging folder of its own; when all tasks are done, the driver moves what
 they report to its place. A failed task, a repeated attempt or a failed job
-leaves nothing under the final names. Paths may lie in any file system that
-Arrow knows.
+leaves nothing under the final names. Spark's readers pass over names with a
+leading underscore or dot; the reader here takes them. Paths may lie in any file
+system that Arrow knows.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Files moved at a time when a job is committed.
 MOVES = 16
+#: Files and bytes that one task reads; a larger file is a task of its own.
+TASK_FILES, TASK_BYTES = 1_000, 64 << 20
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -101,6 +105,37 @@ class NamedFileWriter(StagedWriter):
                     out.write(content.encode() if isinstance(content, str) else content)
 
 
+@dataclass
+class Some(InputPartition):
+    """Files that one task reads."""
+
+    names: list[str]
+
+
+class NamedFileReader(DataSourceReader):
+    """``name, content`` of every file below a folder whose last name matches ``pattern``; of none where there is no folder."""
+
+    def __init__(self, base: str, pattern: str) -> None:
+        self.base, self.pattern = base.rstrip("/"), pattern
+
+    def partitions(self) -> list[Some]:
+        files, root = located(self.base)
+        found = [i for i in files.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)) if i.type == fs.FileType.File and fnmatchcase(i.base_name, self.pattern)]
+        parts, size = [Some([])], 0
+        for info in sorted((i for i in found if "/_staged-" not in i.path), key=lambda i: i.path):
+            if parts[-1].names and (len(parts[-1].names) >= TASK_FILES or size + info.size > TASK_BYTES):
+                parts, size = [*parts, Some([])], 0
+            parts[-1].names.append(info.path[len(root.rstrip("/")) + 1 :])
+            size += info.size
+        return parts
+
+    def read(self, partition: Some) -> Iterator[tuple[str, str]]:
+        files, root = located(self.base)
+        for name in partition.names:
+            with files.open_input_stream(f"{root}/{name}", compression=None) as source:
+                yield name, source.read().decode("utf-8", "replace")
+
+
 class NamedFiles(DataSource):
     """``name, content`` rows as one file each below ``path``; a null content deletes the file of that name."""
 
@@ -114,9 +149,18 @@ class NamedFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> NamedFileWriter:
         return NamedFileWriter(self.options["path"], overwrite)
 
+    def reader(self, schema) -> NamedFileReader:
+        return NamedFileReader(self.options["path"], self.options.get("pattern", "*"))
+
 
 def write_named(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Write ``name, content`` rows below ``path``; ``append`` keeps other files, ``overwrite`` doesn't. Null names are an error."""
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(NamedFiles)
     rows.select("name", "content").write.format("named_files").mode(mode).save(path)
+
+
+def read_named(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``name, content`` of the files below ``path`` whose last name matches ``pattern``, hidden ones too."""
+    spark.dataSource.register(NamedFiles)
+    return spark.read.format("named_files").option("pattern", pattern).load(path)

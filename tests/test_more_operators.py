@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from storylake.functions import text as tx
 from storylake.operators import config, extraction, player, skills
-from storylake.sources.library import left_to_read, read_volumes, upserted, write_volumes
+from storylake.sources.library import left_to_read, open_library, upserted, write_checkpoints, write_volumes
 from storylake.sources.settings import csv_cells
 
 
@@ -60,7 +60,13 @@ def test_checkpoints_and_volumes(spark, tmp_path):
     assert {(r.story, r.seq) for r in points.collect()} == {("a", 2), ("c", 1)}
     chapters = spark.createDataFrame([(s, i) for s in "ac" for i in range(4)], "story string, index int")
     assert sorted(map(tuple, left_to_read(chapters, points, ["story"], "index", 2).collect())) == [("a", 0), ("a", 1), ("c", 2), ("c", 3)]
-    volumes = spark.createDataFrame([("s", "t", 1000, 1204, "é", ["p"])], "source string, slug string, volume int, index int, title string, paragraphs array<string>")
-    write_volumes(volumes, str(tmp_path / "v"))
-    row = read_volumes(spark, str(tmp_path / "v")).first()
-    assert (row.source, row.file_name, row.title, row.chapterRange) == ("s", "vol-1000-ch1205-1205.json", "é", [1205, 1205])
+    volumes = spark.createDataFrame([("s é", "t+1 %2B", 1000, 1204, "é", ["p"])], "source string, slug string, volume int, index int, title string, paragraphs array<string>")
+    base = str(tmp_path / "v")
+    write_volumes(volumes, base)
+    row = open_library(spark, base).chapters().first()
+    assert (row.source, row.slug, row.vol_file, row.title, row["index"]) == ("s é", "t+1 %2B", "vol-1000-ch1205-1205.json", "é", 1204)
+    at = spark.createDataFrame([("s", "a", "/1", 1, None), ("s", "b", None, 2, "B")], "source string, slug string, next_url string, next_index int, story_title string")
+    write_checkpoints(at, at.limit(0), base)
+    write_checkpoints(at.where("slug = 'a'").withColumn("next_index", F.lit(9)), at.where("slug = 'b'"), base)
+    assert [tuple(r) for r in open_library(spark, base).progress().collect()] == [("s", "a", "/1", 9, None)]
+    assert open_library(spark, str(tmp_path / "none")).progress().count() == 0
