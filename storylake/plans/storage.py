@@ -206,15 +206,24 @@ def source_literals(spark, folder):
     return table(spark, folder, "supplier").select("s_suppkey", found["skill_name"].alias("skill_name"), F.array_join(found["templates"], ",").alias("templates"), F.size(found["skipped"]).alias("n_skipped"), F.coalesce(found["evolvable"].cast("string"), F.lit("-")).alias("evolvable"))
 
 
-def _reads(spark, folder):
-    events = progress.event_stream(spark, folder)
-    return events.select(F.concat_ws(":", "event_type", (F.get_json_object("props", "$.k").try_cast("int") % 10).cast("string")).alias("key"), "ts", "event_id")
+def _reads(spark, folder, slices=4):
+    """Events as a stream in the order of time, a slice of it a micro-batch; every kind of event is a cache, users and numbers make names."""
+    number = (F.get_json_object("props", "$.k").try_cast("int") % 10).cast("string")
+    events = table(spark, folder, "events").select("ts", "event_id", F.col("event_type").alias("cache"), F.concat_ws(":", (F.col("user_id") % 40).cast("string"), number).alias("name"), F.concat_ws(":", "event_type", number).alias("key"))
+    return progress.in_order(events, "ts", slices, shared_path(spark, "events"))
 
 
 def stream_ttl_cache(spark, folder):
-    """Hits and misses of a cache whose entries live half an hour, read as a stream."""
-    reads = progress.drained(stateful.cache_reads(_reads(spark, folder)), "append")
-    return reads.groupBy("key").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    """Hits and misses of entries that live half an hour, each by itself, read as a stream."""
+    alone = _reads(spark, folder).withColumns({"cache": F.col("key"), "name": F.col("key")})
+    reads = progress.drained(stateful.cache_reads(alone, 30, 0), "append")
+    return reads.groupBy(F.col("cache").alias("key")).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+def stream_audio_cache(spark, folder):
+    """Hits of caches whose entries live five days and of which 200 at most are kept, the oldest insertions going first."""
+    reads = progress.drained(stateful.cache_reads(_reads(spark, folder), 5 * 24 * 60, 200), "append")
+    return reads.groupBy("cache").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("event_id"))), F.lit(0)).alias("hit_ids"))
 
 
 def stream_batches(spark, folder):
@@ -223,6 +232,29 @@ def stream_batches(spark, folder):
     return numbered.groupBy("key", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
+class _Killed(RuntimeError):
+    """Stands for the loss of a driver."""
+
+
+def stream_resumed(spark, folder):
+    """The same batches of a run that was lost after a write and before its commit, and taken up from its checkpoint."""
+    stream = stateful.numbered_batches(_reads(spark, folder), 50)
+    kept = progress.Resumable(spark, shared_path(spark, "resumed"))
+
+    def dying(batch, number):
+        kept.write(batch, number)
+        if number == 1:
+            raise _Killed("lost")
+
+    try:
+        kept.run(stream, "append", dying)
+    except Exception as error:
+        if "lost" not in str(error):
+            raise
+    kept.run(stream)
+    return kept.rows(stream.schema).groupBy("key", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
 def volume_metadata(spark, folder):
     """Titles of stories as they stand, a story's name standing in for one without."""
     stories = _chapters(spark, folder).select("slug").distinct()
@@ -233,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         volumes_round_trip, index_round_trip, copied_library, library_stories, library_rebuilt, library_resolved, library_checkpoints, checkpoint_upsert, checkpoint_resume, catalog_round_trip, settings_round_trip, report_round_trip, local_progress, request_bodies, route_params,
-        player_targets, active_paragraphs, chapter_lines, audio_in_order, iso_stamps, stale_orders, report_prompts, sorted_listings, source_literals, stream_ttl_cache, stream_batches, volume_metadata,
+        player_targets, active_paragraphs, chapter_lines, audio_in_order, iso_stamps, stale_orders, report_prompts, sorted_listings, source_literals, stream_ttl_cache, stream_audio_cache, stream_batches, stream_resumed, volume_metadata,
     )
 }
 
@@ -283,6 +315,16 @@ ORACLES = {
     "source_literals": "SELECT s_suppkey, s_name AS skill_name, 'a.md,' || s_suppkey || '-b.md' AS templates, CAST(s_suppkey % 2 = 0 AS INTEGER) AS n_skipped, CASE s_suppkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'true' ELSE '-' END AS evolvable FROM supplier",
     "stream_ttl_cache": f"""WITH RECURSIVE {_READS}, w(key, ts) AS (SELECT key, min(ts) FROM r GROUP BY key UNION ALL SELECT w.key, (SELECT min(r.ts) FROM r WHERE r.key = w.key AND r.ts >= w.ts + INTERVAL 30 MINUTES) FROM w WHERE w.ts IS NOT NULL),
         m AS (SELECT key, count(ts) AS misses FROM w GROUP BY key), n AS (SELECT key, count(*) AS n FROM r GROUP BY key) SELECT key, n - misses AS hits, misses FROM m JOIN n USING (key)""",
+    "stream_audio_cache": """WITH e AS (SELECT event_type AS cache, concat_ws(':', user_id % 40, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 10) AS name, epoch_us(ts) AS us, event_id FROM events),
+        l AS (SELECT cache, count(*) AS n, list({'name': name, 'us': us, 'id': event_id, 'names': []::VARCHAR[], 'ats': []::BIGINT[], 'hits': 0::BIGINT, 'ids': 0::BIGINT} ORDER BY us, event_id) AS l FROM e GROUP BY cache),
+        -- a step: which entry is the one that is read, whether it is young enough; a miss drops an expired one, appends, and keeps the last 200
+        f AS (SELECT cache, n, list_reduce(l, lambda s, e: CASE WHEN list_contains(s.names, e.name) AND s.ats[list_position(s.names, e.name)] + 432000000000 > e.us
+            THEN {'name': e.name, 'us': e.us, 'id': e.id, 'names': s.names, 'ats': s.ats, 'hits': s.hits + 1, 'ids': s.ids + e.id}
+            ELSE {'name': e.name, 'us': e.us, 'id': e.id,
+                  'names': list_append(list_filter(s.names, lambda x, i: x <> e.name), e.name)[-200:], 'ats': list_append(list_filter(s.ats, lambda x, i: s.names[i] <> e.name), e.us)[-200:], 'hits': s.hits, 'ids': s.ids} END,
+            {'name': '', 'us': 0::BIGINT, 'id': 0::BIGINT, 'names': []::VARCHAR[], 'ats': []::BIGINT[], 'hits': 0::BIGINT, 'ids': 0::BIGINT}) AS s FROM l)
+        SELECT cache, n, s.hits AS hits, s.ids AS hit_ids FROM f""",
+    "stream_resumed": f"WITH {_READS}, b AS (SELECT key, event_id, (row_number() OVER (PARTITION BY key ORDER BY ts, event_id) - 1) // 50 AS batch FROM r) SELECT key, batch, count(*) AS n, min(event_id) AS first_id FROM b GROUP BY ALL",
     "stream_batches": f"WITH {_READS}, b AS (SELECT key, event_id, (row_number() OVER (PARTITION BY key ORDER BY ts, event_id) - 1) // 50 AS batch FROM r) SELECT key, batch, count(*) AS n, min(event_id) AS first_id FROM b GROUP BY ALL",
     "volume_metadata": "SELECT DISTINCT 'c' || conv_id AS slug, CASE WHEN conv_id % 5 = 0 THEN 'c' || conv_id ELSE 'C' || conv_id END AS title FROM conversations",
 }
