@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storylake.sources.shared import settled
+from storylake.sources.shared import Rounds
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -129,18 +129,25 @@ def before_first_error(fields: DataFrame, chain: str, order: str) -> DataFrame:
 def link_order(links: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, url, depth``: pages in the order in which next links lead to them from each start.
 
-    ``links`` is ``url, next_url``. A frontier join a step; a page that a chain
-    has met ends it.
+    ``links`` is ``url, next_url``; of several next links of a page the least
+    counts, and one to no page of ``links`` ends the chain, as does a page met
+    before. Jump pointers double in length each round, so there are as many
+    rounds as the longest chain has binary digits.
     """
-    frontier = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"))
-    met, depth = frontier, 0
-    while not frontier.isEmpty():
-        depth += 1
-        step = frontier.join(links, "url").where("next_url IS NOT NULL").select("start", F.col("next_url").alias("url"), F.lit(depth).alias("depth"))
-        frontier = step.join(met.select("start", "url"), ["start", "url"], "left_anti").join(links.select("url").distinct(), "url", "left_semi")
-        frontier = settled(frontier.select("start", "url", "depth"), "frontier")
-        met = met.unionByName(frontier)
-    return met
+    spark = links.sparkSession
+    known = links.groupBy("url").agg(F.min("next_url").alias("to"))
+    jumps, chains = Rounds(spark, "jumps"), Rounds(spark, "chains")
+    jump = jumps.settled(known.join(known.select(F.col("url").alias("to")), "to", "left_semi").select("url", "to"))
+    met, length = chains.settled(starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth")).distinct()), 1
+    size = met.count()
+    while True:
+        further = met.join(jump, "url").select("start", F.col("to").alias("url"), (F.col("depth") + length).alias("depth"))
+        met = chains.settled(met.unionByName(further).groupBy("start", "url").agg(F.min("depth").alias("depth")))
+        before, size = size, met.count()
+        if size == before:
+            return met
+        jump = jumps.settled(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("__next")), "to").select("url", F.col("__next").alias("to")))
+        length *= 2
 
 
 def slug(url: Column) -> Column:

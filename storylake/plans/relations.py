@@ -81,6 +81,25 @@ def dep_levels(spark, folder):
     return graph.parallel_groups(graph.levels(table(spark, folder, "customer").select(F.col("c_custkey").cast("int").alias("node")), _edges(spark, folder)))
 
 
+def dep_cycle_paths(spark, folder):
+    """Ways around the cycles: customers that depend on each other in rings of three to seven, and on one outside."""
+    own = table(spark, folder, "customer").select(F.col("c_custkey").cast("int").alias("c"))
+    last = own.agg(F.max("c").alias("last"))
+    ring = own.join(F.broadcast(last), F.lit(True)).select("c", "last", (F.col("c") - F.col("c") % 10).alias("first"), (3 + F.floor(F.col("c") / 10) % 5).cast("int").alias("size"))
+    inside = ring.where("c % 10 < size AND first + size - 1 <= last AND first > 0")
+    around = inside.select(F.col("c").alias("src"), F.when(F.col("c") - F.col("first") + 1 == F.col("size"), F.col("first")).otherwise(F.col("c") + 1).alias("dst"))
+    out = inside.where("c % 10 = 2").select(F.col("c").alias("src"), F.lit(1).alias("dst"))
+    return graph.cycle_paths(around.union(out)).select("component", "n", F.array_join("path", ">").alias("path"))
+
+
+def page_chains(spark, folder):
+    """Pages in the order of next links: each page leads to the one three ids on, every hundredth back to an earlier one."""
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("id"))
+    to = F.when(F.col("id") % 100 == 99, F.col("id") - 60).otherwise(F.col("id") + 3)
+    links = pages.select(F.col("id").cast("string").alias("url"), to.cast("string").alias("next_url"))
+    return html.link_order(links, pages.where("id < 3 OR id % 50 = 0").select(F.col("id").cast("string").alias("url")))
+
+
 def _requests(spark, folder):
     """Events as requests with a basic-auth header of some kind."""
     pair = F.concat(F.col("event_type"), F.when(F.col("event_id") % 4 == 0, "").otherwise(":"), F.col("user_id").cast("string"))
@@ -182,7 +201,7 @@ def progress_batch(spark, folder):
     return library.latest_progress(table(spark, folder, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("slug"), F.get_json_object("props", "$.k").try_cast("int").alias("chapter_idx")))
 
 
-QUERIES = {f.__name__: f for f in (anti_zombie_merge, merge_summary, config_overlay, missing_and_orphans, dup_keys, ref_integrity, dep_closure, dep_cycles, dep_redundant, dep_levels, basic_auth_decode, access_decision, route_filter, template_vars, template_conditionals, sprint_counts, next_story, status_merge, html_title, html_paragraphs, html_links, url_slug, stream_progress, stream_cache, progress_batch)}
+QUERIES = {f.__name__: f for f in (anti_zombie_merge, merge_summary, config_overlay, missing_and_orphans, dup_keys, ref_integrity, dep_closure, dep_cycles, dep_redundant, dep_levels, dep_cycle_paths, page_chains, basic_auth_decode, access_decision, route_filter, template_vars, template_conditionals, sprint_counts, next_story, status_merge, html_title, html_paragraphs, html_links, url_slug, stream_progress, stream_cache, progress_batch)}
 
 _PARTS = """t AS (SELECT p_partkey, p_brand, p_size FROM part),
   s AS (SELECT p_partkey, p_brand, p_size + 100 AS p_size FROM part WHERE p_brand IN ('Brand#1', 'Brand#11', 'Brand#23') AND p_partkey % 2 = 0),
@@ -222,6 +241,13 @@ ORACLES = {
     "dep_levels": f"""WITH RECURSIVE {_EDGES}, w(node, level) AS (SELECT c_custkey, 0 FROM customer UNION SELECT e.src, w.level + 1 FROM w JOIN e ON e.dst = w.node),
         l AS (SELECT node, max(level) AS level FROM w GROUP BY node)
         SELECT CAST(level AS INTEGER) AS level, CAST(node AS INTEGER) AS node FROM l WHERE level IN (SELECT level FROM l GROUP BY level HAVING count(*) > 1)""",
+    "dep_cycle_paths": """WITH c AS (SELECT c_custkey AS c, max(c_custkey) OVER () AS last, c_custkey - c_custkey % 10 AS first, 3 + (c_custkey // 10) % 5 AS size FROM customer),
+        r AS (SELECT DISTINCT first, size FROM c WHERE first > 0 AND first + size - 1 <= last)
+        SELECT CAST(first AS INTEGER) AS component, 0::BIGINT AS n, array_to_string(range(first, first + size), '>') || '>' || first AS path FROM r""",
+    "page_chains": """WITH RECURSIVE l AS (SELECT page_id AS id, CASE WHEN page_id % 100 = 99 THEN page_id - 60 ELSE page_id + 3 END AS nxt FROM pages),
+        w(start, id, depth) AS (SELECT page_id, page_id, 0 FROM pages WHERE page_id < 3 OR page_id % 50 = 0
+            UNION ALL SELECT start, nxt, depth + 1 FROM w JOIN l USING (id) WHERE nxt IN (SELECT page_id FROM pages) AND depth <= (SELECT count(*) FROM pages))
+        SELECT CAST(start AS VARCHAR) AS start, CAST(id AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY start, id""",
     "basic_auth_decode": f"WITH {_REQ} SELECT event_id, CASE WHEN ok THEN split_part(pair, ':', 1) ELSE '-' END AS username, CASE WHEN ok THEN split_part(pair, ':', 2) ELSE '-' END AS password FROM q",
     "access_decision": f"WITH {_REQ} SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 200 WHEN event_id % 13 = 0 THEN 500 WHEN ok AND pair = 'click:7' THEN 200 ELSE 401 END AS status_code FROM q",
     "template_vars": "SELECT c_custkey, 'Hi ' || c_name || ' of ' || c_nationkey || ', {none} {other}' AS text FROM customer",
