@@ -30,20 +30,22 @@ from storylake.llm import boosting
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match can only begin where a run of digits does, and no run is given back, so digits are read a few times at most.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 # High-recall generators: (kind, pattern). Proposals may overlap one another.
-MASKED = re.compile(
-    r"[A-Za-z0-9._%+-]{2,40} ?(?:[\[({]at[\])}] ?[A-Za-z0-9-]{2,40}(?:(?: ?(?:[\[({]dot[\])}]|\bdot\b) ?|\.)[A-Za-z0-9-]{2,40})*?(?:(?: ?(?:[\[({]dot[\])}]|\bdot\b) ?|\.)[A-Za-z]{2,20})+"
-    r"|\bat\b ?[A-Za-z0-9-]{2,40}(?: ?(?:[\[({]dot[\])}]|\bdot\b) ?[A-Za-z]{2,20})+)",
-    re.I,
-)
+_DOT, _HOST, _END = r" ?(?:[\[({]dot[\])}]|\bdot\b) ?", r"[A-Za-z0-9-]{2,}+", r"[A-Za-z]{2,}"
+#: What may follow the name of a masked address: an ``at`` in brackets and any dots, or a bare ``at`` and masked dots.
+MASKED_REST = re.compile(rf" ?(?:[\[({{]at[\])}}] ?{_HOST}(?:(?:{_DOT}|\.){_HOST})*?(?:(?:{_DOT}|\.){_END})+|\bat\b ?{_HOST}(?:{_DOT}{_END})+)", re.I)
+MASKED_AT = re.compile(r"[\[({]at[\])}]|\bat\b", re.I)
 MASK = re.compile(r"dot|[\[({]at[\])}]", re.I)
 IPV6 = re.compile(r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?|(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4})(?![\w:])")
-CLUSTER = re.compile(r"[(0-9][0-9A-Fa-f ().:/\-]{5,}[0-9A-Fa-f]")
+CLUSTER = re.compile(r"[0-9A-Fa-f ().:/\-]{7,}+")
+CLUSTER_START = re.compile(r"[(0-9]")
+NO_END = " ().:/-"
 IN_CLUSTER = (
     ("card", re.compile(r"[0-9](?:[ ./-]?[0-9]){12,18}")),
     ("phone", re.compile(r"\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}(?:[ ./-][0-9]{2,4}){1,3}")),
@@ -58,6 +60,7 @@ CUES = {
 AGAINST = re.compile(r"order|isbn|version|serial|invoice|ticket|ref|part|build|date|score|page|hash|token|key|time|no\.|#", re.I)
 #: Common last parts of a host name.
 DOMAIN_END = re.compile(r"\b(?:com|org|net|edu|gov|info|io|co|uk|eu|de|fr|es|it|nl|ch|at|us|ca|au|jp|br|in|ru|pl)$", re.I)
+#: Code points before and after a proposal that its features look at.
 CONTEXT = 32
 #: Examples written for fitting; a quarter of them calibrates.
 EXAMPLES = 4_000
@@ -106,17 +109,42 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _masked(text: str):
+    """Masked e-mail addresses from the left, with names of any length; a stretch of name characters is gone through once."""
+    last, seen = 0, (-1, -1)  # the end of the last match; where the name before an earlier "at" ended and began
+    for at in MASKED_AT.finditer(text):
+        if at.start() < last:
+            continue
+        end = start = at.start() - (text[at.start() - 1 : at.start()] == " ")
+        while start > last and text[start - 1] in LOCAL:
+            start = seen[1] if start == seen[0] else start - 1
+        start, seen = max(start, last), (end, start)
+        rest = MASKED_REST.match(text, end) if end - start >= 2 else None
+        if rest:
+            yield start, rest.end()
+            last = rest.end()
+
+
+def _clusters(text: str):
+    """Stretches of digits and what groups them, from a digit or bracket to a digit."""
+    for run in CLUSTER.finditer(text):
+        start = CLUSTER_START.search(text, *run.span())
+        end = run.start() + len(run[0].rstrip(NO_END))
+        if start and end - start.start() >= 7:
+            yield start.start(), end
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Spans that might be personal data beyond the base; they may overlap."""
     found = []
     if MASK.search(text):
-        found += [("email", *m.span()) for m in MASKED.finditer(text)]
+        found += [("email", *span) for span in _masked(text)]
     if ":" in text:
         found += [("ip", *m.span()) for m in IPV6.finditer(text) if len(m[0]) > 2]
     if DIGIT.search(text):
-        for cluster in CLUSTER.finditer(text):
+        for cluster in _clusters(text):
             for kind, pattern in IN_CLUSTER:
-                found += [(kind, *m.span()) for m in pattern.finditer(text, *cluster.span())]
+                found += [(kind, *m.span()) for m in pattern.finditer(text, *cluster)]
     return found
 
 

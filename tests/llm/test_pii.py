@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from itertools import pairwise
 
 from hypothesis import given, settings
@@ -108,3 +109,18 @@ def test_time_grows_with_the_number_of_spans_only():
     base = pii.base_spans(text)
     more = pii.selected(text, base, pii.fitted_selector())
     assert len(base) == 20_000 and len(more) == 20_000 and time.perf_counter() - began < 10
+
+
+def test_hostile_texts_take_no_square_of_their_length():
+    selector = pii.fitted_selector()
+    for text in ("1" * 400_000, "(" * 400_000 + "dot 1", "at." * 130_000 + " dot 1", "at " * 130_000 + "dot 1", "1." * 200_000, "x (at) " + "aa." * 130_000 + "1"):
+        began = time.process_time()
+        pii.selected(text, pii.base_spans(text), selector)
+        assert time.process_time() - began < 5, text[:9]
+
+
+def test_long_masked_names_and_hosts_are_found_whole():
+    name, host = "a.long-name" * 9, "sub-domain" * 7
+    for form in (f"{name} (at) {host}.example [dot] com", f"{name}(at){host}.com", "john.at.work (at) example.com"):
+        text = f"write to {form} now"
+        assert (9, 9 + len(form)) in [(s, e) for _, s, e in pii.proposals(text)], form
