@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -45,6 +45,8 @@ NEUTRAL = frozenset(
     """area bar block body bottom box buttons center col column container content cta first footer form global group header holder icons inline inner item
     items large last left link links list main message page panel post posts primary right section secondary side site slot small top unit web wrap wrapper zone""".split()
 )
+#: Words that inside an article are as likely its subject: there links and density alone decide.
+TOPICS = frozenset("social comment notice notices banner promotion subscription consent share header respond sponsor".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Elements whose class never counts against them.
 TRUSTED = frozenset("html body article main".split())
@@ -55,10 +57,11 @@ LISTS = frozenset("ul ol dl div section table".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "depth", "parts", "dropped", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag, parent=None, dropped=False, doubtful=False):
         self.tag, self.parent, self.dropped, self.doubtful, self.parts = tag, parent, dropped, doubtful, []
+        self.depth = parent.depth + 1 if parent else 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -70,7 +73,8 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html")
         self.nodes = [self.root]
-        self.open = Counter()
+        # Open elements by tag, those that hold blocks, and those that implied ends stop at; the innermost stands last.
+        self.open, self.blocks, self.scopes = defaultdict(list), [self.root], [self.root]
 
     def parse_marked_section(self, i, report=1):
         """Sections such as ``<![if x]>`` have no meaning in a page and are skipped, whatever they hold."""
@@ -92,18 +96,16 @@ class _Tree(HTMLParser):
         node = Node(tag, self.at, self.at.dropped or surely, perhaps)
         self.at.parts.append(node)
         self.nodes.append(node)
-        self.open[tag] += 1
+        for stack in self._stacks(tag):
+            stack.append(node)
         self.at = node
 
+    def _stacks(self, tag):
+        return [self.open[tag], *[self.blocks] * (tag not in INLINE), *[self.scopes] * (tag in SCOPES)]
+
     def handle_endtag(self, tag):
-        if not self.open[tag]:
-            return
-        node = self.at
-        while node.parent and node.tag != tag:
-            if tag in INLINE and node.tag not in INLINE:
-                return
-            node = node.parent
-        self._close(node)
+        if self.open[tag] and (tag not in INLINE or self.blocks[-1].depth < self.open[tag][-1].depth):
+            self._close(self.open[tag][-1])
 
     def handle_startendtag(self, tag, attributes):
         self.handle_starttag(tag, attributes)
@@ -116,19 +118,16 @@ class _Tree(HTMLParser):
 
     def _close(self, node):
         """End ``node`` and all that is open inside it."""
-        while node.parent and self.at is not node.parent:
-            self.open[self.at.tag] -= 1
+        while self.at is not node.parent:
+            for stack in self._stacks(self.at.tag):
+                stack.pop()
             self.at = self.at.parent
 
     def _imply(self, tags):
         """End the open elements of these tags, as far as no scope hides them."""
-        while any(self.open[t] for t in tags):
-            node = self.at
-            while node.parent and node.tag not in tags:
-                if node.tag in SCOPES:
-                    return
-                node = node.parent
-            if not node.parent:
+        while found := [self.open[t][-1] for t in tags if self.open[t]]:
+            node = max(found, key=lambda n: n.depth)
+            if node.depth < self.scopes[-1].depth:
                 return
             self._close(node)
 
@@ -141,6 +140,8 @@ class _Tree(HTMLParser):
             return False, False
         parts = [[w for w in re.split(r"[-_]+|[0-9]+", n) if w] for n in names]
         marked = [p for p in parts if SENSE.intersection(p)]
+        if self.open["article"] or self.open["main"]:
+            marked = [p for p in marked if not TOPICS.issuperset(SENSE.intersection(p))]
         return any(SENSE.issuperset(w for w in p if w not in NEUTRAL) for p in marked), bool(marked)
 
 

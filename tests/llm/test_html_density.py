@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from storylake.llm.html_density import main_text, page_texts
 
@@ -139,3 +140,23 @@ def test_density_alone_finds_the_article_of_the_tables_pages(spark):
     plain = [re.sub(r"<(/?)(nav|article|footer)>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
     same = sum(main_text(a) == main_text(b) for a, b in zip(pages, plain))
     assert same >= 0.95 * len(pages)
+
+
+def test_names_inside_an_article_may_be_its_subject():
+    body = "".join(f"<p>Paragraph {i} of the article speaks about many things at some length, as articles do.</p>" for i in range(6))
+    blocks = ("<div class='social'><p>The social sphere matters.</p></div>", "<p class='comment'>A remark by the author on what has been said so far.</p>", "<section id='notice'><p>Theorem. Every notice is read once.</p></section>")
+    for block in blocks:
+        text = main_text(f"<html><body><nav><a href=/>Home</a></nav><article>{body}{block}<p>The end of the article comes here.</p></article></body></html>")
+        assert len(text.split("\n")) == 8, block
+    links = "<div class='social'><a href=/a>Tweet</a> <a href=/b>Like</a> <a href=/c>Pin</a></div>"
+    for block in (links, "<div class='comments'><p>Great article, thank you so much for all of this.</p></div>", "<div class='ad-banner'><p>Buy it now.</p></div>"):
+        text = main_text(f"<html><body><article>{body}{block}</article></body></html>")
+        assert len(text.split("\n")) == 6, block
+
+
+def test_unclosed_elements_take_no_square_of_their_number():
+    n = 60_000
+    for page in ("<i><div>" + "<b>" * n + "</i>" * n, "<ul><li><ul>" + "<b>" * n + "<li></li>" * n, "<table>" + "<td>" * n):
+        began = time.process_time()
+        main_text(page + "end")
+        assert time.process_time() - began < 5
