@@ -33,6 +33,7 @@ SETTINGS = {"window_log": 17, "hash_log": 14, "chain_log": 14, "search_log": 2,
 FRAME = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
 #: Least lead of the winner, as a part of the second-best size.
 MIN_MARGIN = 0.001
+#: Letters, and numbers that are no digits.
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -105,7 +106,7 @@ def classify(text: str | None, languages: list[str], encoders: list) -> tuple[st
     The score is the winner's share if each language weighs 2 to the minus of
     its size in bytes; the margin is its lead over the second size.
     """
-    if not text or not languages or not LETTER.search(text):
+    if not text or not languages or not any(m[0].isalpha() for m in LETTER.finditer(text)):
         return UNKNOWN, 0.0, 0.0
     data = _encoded(text)
     opening, blocks = data[:OPENING_BYTES], [data[at : at + BLOCK_BYTES] for at in range(OPENING_BYTES, len(data), BLOCK_BYTES)]

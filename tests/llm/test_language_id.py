@@ -93,3 +93,11 @@ def test_stage_with_awkward_names(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog", "en", 1, 2), (3, "123", "en", 1, 2)], "doc_id long, text string, lang string, `a.b` long, __text long")
     kept = li.keep_identified(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_numbers_that_are_no_digits_are_no_letters():
+    model = li.LanguageModel({"x": (b"some words of x " * 9,)}, {"x": 1.0})
+    encoders = li._encoders(model)
+    for text in ("½", "² ³", "①②", "Ⅷ", "12 !"):
+        assert li.classify(text, model.languages, encoders)[0] == "und"
+    assert li.classify("½ ª", model.languages, encoders)[0] == "x"
