@@ -1,14 +1,16 @@
 """Line facts of text documents: fences, tables, walls of text, sections, metrics.
 
-The substrate is ``doc_lines``: one row ``doc, line_no, line`` a line.
+Facts of single lines come from ``doc_lines``, one row ``doc, line_no, line`` a
+line; facts about runs of lines come from ``line_arrays``, in one pass over a
+text's array.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storylake.functions.text import WHITE, strip_white
+from storylake.functions.text import WHITE, bound, strip_white
 
 # What ends a wall of text, and how long one must be.
 WALL_BREAK = r"^\s*$|^\s*#{1,6}\s|^\s*[-*]\s|^\s*\d+\.\s|^\s*```|^\s*\|"
@@ -21,39 +23,56 @@ def doc_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return split.select("doc", (F.col("at") + 1).alias("line_no"), "line")
 
 
-def _upto(preceding: bool = False):
-    return Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1 if preceding else 0)
+def line_arrays(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc, lines``: the lines of a text as one array, from which facts about neighbouring lines are told without a shuffle."""
+    return docs.select(F.col(id_col).alias("doc"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
 
 
-def with_fences(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``is_fence`` and ``in_fence`` (an odd number of fence lines before it)."""
-    fence = F.startswith(strip_white(F.col("line")), F.lit("```"))
-    marked = lines.withColumn("is_fence", fence)
-    before = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(_upto(True)), F.lit(0))
-    return marked.withColumn("in_fence", before % 2 == 1)
+def _places(lines: Column, test) -> Column:
+    """Places, from 0, of the lines that pass."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
 
 
-def fence_blocks(lines: DataFrame) -> DataFrame:
+def _between(lines: Column, marks: Column, made) -> Column:
+    """``made(k, start, end)`` for the stretches before, between and after the marks; ``end`` is the next mark's place."""
+    start = lambda k: F.coalesce(F.get(marks, k - 1) + 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.size(marks)), lambda k: made(k, start(k), F.coalesce(F.get(marks, k), F.size(lines))))
+
+
+def _is_fence(indented: bool):
+    return lambda x: F.startswith(strip_white(x) if indented else x, F.lit("```"))
+
+
+def with_fences(arrays: DataFrame, indented: bool = True) -> DataFrame:
+    """``doc, line_no, line, is_fence, in_fence`` (an odd number of fence lines before it) of :func:`line_arrays`.
+
+    ``indented`` fences count as such, or else only those at the start of a line.
+    """
+    stretches = lambda marks: _between(F.col("lines"), marks, lambda k, a, b: F.struct((k % 2 == 1).alias("in_fence"), a.alias("start"), (b < F.size("lines")).alias("fenced"), F.slice("lines", a + 1, b - a + 1).alias("lines")))
+    cut = arrays.select("doc", F.explode(bound(_places(F.col("lines"), _is_fence(indented)), stretches)).alias("s"))
+    rows = cut.select("doc", "s.in_fence", "s.start", "s.fenced", F.size("s.lines").alias("n"), F.posexplode("s.lines").alias("at", "line"))
+    return rows.select("doc", (F.col("start") + F.col("at") + 1).alias("line_no"), "line", (F.col("fenced") & (F.col("at") == F.col("n") - 1)).alias("is_fence"), "in_fence")
+
+
+def fence_blocks(arrays: DataFrame) -> DataFrame:
     """Fenced blocks opened and lines inside them, a document; an open block reaches to the end."""
-    marked = with_fences(lines)
-    return marked.groupBy("doc").agg(F.count_if(F.col("is_fence") & ~F.col("in_fence")).alias("n_blocks"), F.count_if(~F.col("is_fence") & F.col("in_fence")).alias("n_lines"))
+    inside = lambda marks: F.aggregate(_between(F.col("lines"), marks, lambda k, a, b: F.when(k % 2 == 1, b - a).otherwise(0)), F.lit(0).cast("long"), lambda n, x: n + x)
+    counts = bound(_places(F.col("lines"), _is_fence(True)), lambda marks: F.struct(F.ceil(F.size(marks) / 2).alias("n_blocks"), inside(marks).alias("n_lines")))
+    return arrays.select("doc", counts.alias("c")).select("doc", "c.n_blocks", "c.n_lines")
 
 
-def table_runs(lines: DataFrame) -> DataFrame:
+def table_runs(arrays: DataFrame) -> DataFrame:
     """Runs of consecutive table lines and their lines, a document."""
-    table = F.rlike("line", F.lit(r"^\s*\|"))
-    marked = lines.withColumn("is_table", table)
-    before = F.coalesce(F.lag("is_table").over(Window.partitionBy("doc").orderBy("line_no")), F.lit(False))
-    marked = marked.withColumn("starts", F.col("is_table") & ~before)
-    return marked.groupBy("doc").agg(F.count_if("starts").alias("n_tables"), F.count_if("is_table").alias("n_lines"))
+    rows = _places(F.col("lines"), lambda x: F.rlike(x, F.lit(r"^\s*\|")))
+    counts = bound(rows, lambda at: F.struct(F.size(F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) < x - 1))).cast("long").alias("n_tables"), F.size(at).cast("long").alias("n_lines")))
+    return arrays.select("doc", counts.alias("c")).select("doc", "c.n_tables", "c.n_lines")
 
 
-def walls(lines: DataFrame, least: int = WALL_LINES, breaks: str = WALL_BREAK) -> DataFrame:
+def walls(arrays: DataFrame, least: int = WALL_LINES, breaks: str = WALL_BREAK) -> DataFrame:
     """Runs of at least ``least`` lines without a break: ``doc, line_no`` of the first, ``n_lines``."""
-    marked = lines.withColumn("breaks", F.rlike("line", F.lit(breaks)))
-    island = marked.withColumn("island", F.sum(F.col("breaks").cast("int")).over(_upto()))
-    runs = island.where("NOT breaks").groupBy("doc", "island").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"))
-    return runs.where(F.col("n_lines") >= least).drop("island")
+    runs = lambda marks: F.filter(_between(F.col("lines"), marks, lambda k, a, b: F.struct((a + 1).alias("line_no"), (b - a).cast("long").alias("n_lines"))), lambda r: r["n_lines"] >= least)
+    found = bound(_places(F.col("lines"), lambda x: F.rlike(x, F.lit(breaks))), runs)
+    return arrays.select("doc", F.explode(found).alias("r")).select("doc", "r.line_no", "r.n_lines")
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -62,13 +81,15 @@ def sections(lines: DataFrame) -> DataFrame:
     return heading.select("doc", "line_no", F.length("marks").alias("level"), strip_white(F.regexp_extract("line", r"^(#{2,3})\s+(.+)$", 2)).alias("title"))
 
 
-def section_extent(lines: DataFrame, title: str) -> DataFrame:
+def section_extent(arrays: DataFrame, title: str) -> DataFrame:
     """Lines between the first ``## title`` and the next heading of that level, a document that has it."""
-    marked = lines.withColumn("is_h2", F.rlike("line", F.lit(r"^##\s")))
-    marked = marked.withColumn("no", F.sum(F.col("is_h2").cast("int")).over(_upto()))
-    wanted = marked.where(F.col("is_h2") & F.startswith("line", F.lit(f"## {title}"))).groupBy("doc").agg(F.min("no").alias("wanted"))
-    inside = marked.join(wanted, "doc").where("no = wanted")
-    return inside.groupBy("doc").agg(F.count_if(~F.col("is_h2")).alias("n_lines"))
+
+    def extent(marks):
+        first = F.get(F.filter(marks, lambda i: F.startswith(F.get(F.col("lines"), i), F.lit(f"## {title}"))), F.lit(0))
+        return F.coalesce(F.array_min(F.filter(marks, lambda i: i > first)), F.size("lines")) - first - 1
+
+    found = arrays.select("doc", bound(_places(F.col("lines"), lambda x: F.rlike(x, F.lit(r"^##\s"))), extent).cast("long").alias("n_lines"))
+    return found.where("n_lines IS NOT NULL")
 
 
 def metrics(text: Column) -> dict[str, Column]:

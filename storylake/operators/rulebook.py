@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storylake.functions.text import code_point_tokens
 from storylake.operators import findings
-from storylake.operators.lines import WALL_BREAK, doc_lines, walls
+from storylake.operators.lines import WALL_BREAK, doc_lines, line_arrays, walls
 from storylake.operators.skills import LANGUAGE_VARIABLES, PROGRESSION
 
 # Prompt phrases that waste tokens.
@@ -102,7 +102,7 @@ def prompt_totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     told = docs.agg(F.count("*").alias("n_prompts"), F.coalesce(F.sum(code_point_tokens(text)), F.lit(0)).alias("tokens"), F.count_if(has(LANGUAGE_VARIABLES, text)).alias("with_header"), F.count_if(has(PROGRESSION, F.lower(text))).alias("with_progression"))
     # Each is one row, so the joins are of one row with one row.
-    return told.join(hits).join(walls(lines).agg(F.count("*").alias("walls")))
+    return told.join(hits).join(walls(line_arrays(docs, id_col, text_col)).agg(F.count("*").alias("walls")))
 
 
 def path_findings(spark, fenced: DataFrame, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storylake.functions import text as tx
-from storylake.operators import corpus, findings, lines, rulebook
+from storylake.operators import corpus, extraction, findings, lines, rulebook
 from storylake.sources.tables import table
 
 
@@ -21,8 +21,12 @@ def _lines(spark, folder):
     return lines.doc_lines(_markdown(spark, folder))
 
 
+def _arrays(spark, folder):
+    return lines.line_arrays(_markdown(spark, folder))
+
+
 def _findings(spark, folder):
-    found = lines.with_fences(lines.doc_lines(table(spark, folder, "documents")))
+    found = lines.with_fences(lines.line_arrays(table(spark, folder, "documents")))
     return findings.scan(found, findings.rules(spark, list(rulebook.TEXT_NOISE)), outside_fences=True)
 
 
@@ -36,12 +40,8 @@ def _files(spark, folder):
 
 def noise_trim(spark, folder):
     """Lines of a document without leading and trailing noise lines; interior noise stays."""
-    noise = r"[#$%&*]{3}|!!| \| "
-    found = table(spark, folder, "documents").select("doc_id", tx.paragraphs(F.col("text")).alias("l"))
-    good = F.filter(F.transform("l", lambda x, i: F.when(~F.rlike(x, F.lit(noise)), i)), lambda i: i.isNotNull())
-    first, last = F.array_min(good), F.array_max(good)
-    trimmed = F.when(F.size(good) == 0, F.array().cast("array<string>")).otherwise(F.slice("l", first + 1, last - first + 1))
-    return found.select("doc_id", F.size(trimmed).alias("n_lines"), F.md5(F.array_join(trimmed, "\n")).alias("text_md5"))
+    found = table(spark, folder, "documents").select("doc_id", extraction.trimmed(tx.paragraphs(F.col("text")), (r"[#$%&*]{3}", "!!", r" \| ")).alias("l"))
+    return found.select("doc_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("text_md5"))
 
 
 def doc_lines_metrics(spark, folder):
@@ -52,22 +52,22 @@ def doc_lines_metrics(spark, folder):
 
 def table_runs(spark, folder):
     """Tables and table lines of every document."""
-    return lines.table_runs(_lines(spark, folder))
+    return lines.table_runs(_arrays(spark, folder))
 
 
 def fence_blocks(spark, folder):
     """Fenced blocks of every document, some of them left open."""
-    return lines.fence_blocks(_lines(spark, folder))
+    return lines.fence_blocks(_arrays(spark, folder))
 
 
 def walls_of_text(spark, folder):
     """Walls of at least eight lines."""
-    return lines.walls(lines.doc_lines(table(spark, folder, "documents")), least=8)
+    return lines.walls(lines.line_arrays(table(spark, folder, "documents")), least=8)
 
 
 def section_extent(spark, folder):
     """Lines of every overview."""
-    return lines.section_extent(_lines(spark, folder), "Overview")
+    return lines.section_extent(_arrays(spark, folder), "Overview")
 
 
 def section_inventory(spark, folder):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storylake.operators import findings, rulebook, scripts, skills
-from storylake.operators.lines import doc_lines, with_fences
+from storylake.operators.lines import doc_lines, line_arrays, with_fences
 from storylake.sources.tables import table
 
 _FRONT = (
@@ -140,7 +140,7 @@ def _path_text(spark, folder):
 
 def path_findings(spark, folder):
     """Paths that break elsewhere, in every document, by line."""
-    found = rulebook.path_findings(spark, with_fences(doc_lines(_path_text(spark, folder))), "_root")
+    found = rulebook.path_findings(spark, with_fences(line_arrays(_path_text(spark, folder)), indented=False), "_root")
     return found.groupBy("doc", "line_no", "severity", "category").agg(F.count("*").alias("n"))
 
 

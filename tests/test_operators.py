@@ -129,16 +129,40 @@ MARKDOWN = "---\nname: x\n---\n\n## Overview\none\ntwo\n## Next\n```\n/home/a/b\
 
 
 def test_line_facts(spark):
-    frame = lines.doc_lines(spark.createDataFrame([(1, MARKDOWN), (2, "```\nopen")], "doc_id int, text string"))
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, "```\nopen")], "doc_id int, text string")
+    frame = lines.line_arrays(docs)
     assert {r.doc: (r.n_blocks, r.n_lines) for r in lines.fence_blocks(frame).collect()} == {1: (1, 1), 2: (1, 1)}
     assert {r.doc: (r.n_tables, r.n_lines) for r in lines.table_runs(frame).collect()}[1] == (2, 3)
     assert lines.section_extent(frame, "Overview").first().n_lines == 2
     assert [(r.n_lines,) for r in lines.walls(frame).collect()] == [(16,)]
-    assert [(r.level, r.title) for r in lines.sections(frame).orderBy("line_no").collect()] == [(2, "Overview"), (2, "Next")]
+    assert [(r.level, r.title) for r in lines.sections(lines.doc_lines(docs)).orderBy("line_no").collect()] == [(2, "Overview"), (2, "Next")]
     found = findings.scan(lines.with_fences(frame), findings.rules(spark, list(rulebook.PATHS)), outside_fences=True)
     assert sorted((r.category, r.title) for r in found.collect()) == [("absolute-path", "Absolute path"), ("relative-prefix", "Parent directory reference")]
 
 
+def test_fences_and_line_numbers(spark):
+    texts = ["a\n ```\nb\n```\nc", "```", "", "x\n```", "```\n```\n\n```\ny"]
+    docs = lines.line_arrays(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    for indented in (True, False):
+        want = []
+        for n, text in enumerate(texts):
+            fences = 0
+            for i, line in enumerate(text.split("\n"), 1):
+                fence = (line.strip() if indented else line).startswith("```")
+                want.append((n, i, line, fence, fences % 2 == 1))
+                fences += fence
+        found = lines.with_fences(docs, indented)
+        assert sorted(map(tuple, found.collect())) == want
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_required_text_is_in_every_match():
+    assert findings.required(r"(?i)\b[Mm]ake sure (?:to|you)\b") == ("ake sure ", True)
+    assert findings.required(r"\{project-root\}/\{[^}]+\}") == ("{project-root}/{", False)
+    assert findings.required(r"a|bcd")[0] == findings.required(r"[ab]{2}(?:cd)?")[0] == "" and findings.required("abc?d+e{2}f")[0] == "ab"
+    assert findings.required(r"x[]^)]yz(?:[)(]|u)w") == ("yz", False) and findings.required(r"(?:^|[\s\"`'(])~/\S+") == ("~/", False)
+
+
 def test_rule_tables_hit_their_phrases(spark):
     text = "Make sure to load the relevant files, as described above. You are an AI."
     frame = lines.doc_lines(spark.createDataFrame([(1, text)], "doc_id int, text string"))
