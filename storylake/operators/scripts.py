@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+import warnings
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +24,46 @@ SHELL = (
 )
 
 
-def python_facts(files: DataFrame) -> DataFrame:
-    """``path, line_no, kind, name``: imports and calls of interest in Python sources, line by line.
+def source_facts(source: str) -> list[tuple[int, str, str]]:
+    """``(line, kind, name)`` of one Python source; a single ``error`` where it can't be parsed.
 
-    A line that is a comment has none. Statements are told by their line, so an
-    import inside a string over several lines counts as one.
+    Imported modules; calls of ``input`` and ``exit`` by name and of ``dumps``
+    and ``exit`` as attributes; uses of the attribute ``ArgumentParser``. What
+    stands in strings and comments is none of these.
     """
-    lines = files.where(language(F.col("path")) == "python").select("path", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("at", "line")).where(~F.rlike("line", F.lit(r"^\s*#")))
-    named = lambda name: F.regexp_extract(name, r"^\s*([A-Za-z_]\w*)", 1)
-    imported = F.transform(F.split(F.regexp_extract("line", r"^\s*import\s+(.+)$", 1), ","), named)
-    come = F.array(F.regexp_extract("line", r"^\s*from\s+([A-Za-z_]\w*)", 1))
-    called = F.regexp_extract_all("line", F.lit(r"\b(input|dumps|exit|ArgumentParser)\("), F.lit(1))
-    fact = lambda kind, names: F.transform(F.filter(names, lambda n: n != ""), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
-    listed = lines.select("path", (F.col("at") + 1).alias("line_no"), F.explode(F.concat(fact("import", imported), fact("import", come), fact("call", called))).alias("f"))
-    return listed.select("path", "line_no", "f.kind", "f.name")
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # odd escapes in strings are no error
+            nodes = list(ast.walk(ast.parse(source)))
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return [(1, "error", "syntax")]
+    found = []
+    for node in nodes:
+        if isinstance(node, ast.Import):
+            found += [(node.lineno, "import", alias.name) for alias in node.names]
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            found.append((node.lineno, "import", node.module))
+        elif isinstance(node, ast.Call):
+            named, owned = getattr(node.func, "id", None), getattr(node.func, "attr", None)
+            if named in ("input", "exit") or owned in ("dumps", "exit"):
+                found.append((node.lineno, "call", named or owned))
+        elif isinstance(node, ast.Attribute) and node.attr == "ArgumentParser":
+            found.append((node.lineno, "attribute", node.attr))
+    return sorted(found)
+
+
+def python_facts(files: DataFrame) -> DataFrame:
+    """``path, line_no, kind, name`` of the Python files among ``path, content``, see :func:`source_facts`; null is empty."""
+    sources = files.where(language(F.col("path")) == "python").select("path", F.coalesce("content", F.lit("")).alias("content"))
+    kind = sources.schema["path"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = [(i, *fact) for i, source in enumerate(batch.column(1)) for fact in source_facts(source.as_py())]
+            at, line, what, name = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(line, pa.int32()), pa.array(what, pa.string()), pa.array(name, pa.string())], names=["path", "line_no", "kind", "name"])
+
+    return sources.mapInArrow(run, f"path {kind}, line_no int, kind string, name string")
 
 
 def _issue(severity: str, category: str, title: str, line_no=None) -> Column:
@@ -42,22 +71,27 @@ def _issue(severity: str, category: str, title: str, line_no=None) -> Column:
 
 
 def findings(files: DataFrame) -> DataFrame:
-    """``path, line_no, severity, category, title`` of Python, shell and Node scripts ``path, content``."""
+    """``path, line_no, severity, category, title`` of Python, shell and Node scripts ``path, content``.
+
+    Of a Python script that can't be parsed only this and its dependencies are told.
+    """
     text, lines = F.col("content"), F.split("content", "\n")
     known = files.select("path", F.coalesce("content", F.lit("")).alias("content"), language(F.col("path")).alias("language")).where("language IS NOT NULL").withColumn("n_lines", F.size(F.split("content", "\n")))
     facts = python_facts(known)
     is_call = lambda *names: (F.col("kind") == "call") & F.col("name").isin(*names)
     per_file = facts.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.when(is_call("input"), F.col("line_no")))).alias("asks"), F.count_if(is_call("ArgumentParser")).alias("parser"), F.count_if(is_call("dumps")).alias("dumps"),
-        F.count_if(is_call("exit")).alias("exits"), F.collect_set(F.when(F.col("kind") == "import", F.col("name"))).alias("imports"),
+        F.array_sort(F.collect_list(F.when(is_call("input"), F.col("line_no")))).alias("asks"), F.count_if(F.col("kind") == "attribute").alias("parser"), F.count_if(is_call("dumps")).alias("dumps"),
+        F.count_if(is_call("exit")).alias("exits"), F.collect_set(F.when(F.col("kind") == "import", F.col("name"))).alias("imports"), F.count_if(F.col("kind") == "error").alias("broken"),
     )
     has = lambda word: F.contains(text, F.lit(word))
     short = F.when(F.col("n_lines") < SHORT, _issue("medium", "over-engineered", "Could be a command in the prompt"))
     framed = lambda count, severity, title: F.when((F.coalesce(count, F.lit(0)) == 0) & (F.col("n_lines") > PLAIN), _issue(severity, "agentic-design", title))
     simple = F.size(F.array_intersect(F.coalesce("imports", F.array().cast("array<string>")), F.array(*map(F.lit, SIMPLE_IMPORTS)))) > 0
-    python = F.array(
+    needs = F.array(
         F.when(~has("# /// script"), F.when(has("import "), _issue("medium", "dependencies", "No inline dependencies"))).when(~has("requires-python"), _issue("low", "dependencies", "No version of Python named")),
         F.when(has("requirements.txt") | has("pip install"), _issue("high", "dependencies", "Dependencies outside the script")),
+    )
+    python = F.array(
         framed(F.col("parser"), "medium", "No argument parser"), framed(F.col("dumps"), "medium", "No structured output"), framed(F.col("exits"), "low", "No exit codes"),
         F.when(simple & (F.col("n_lines") < 30), _issue("low", "over-engineered", "Simpler as shell")), short,
     )
@@ -78,7 +112,8 @@ def findings(files: DataFrame) -> DataFrame:
         ),
         *(on_lines(pattern, partial(_issue, *rest), True) for pattern, *rest in SHELL), bare, unpinned(False),
     )
-    issues = F.when(F.col("language") == "python", F.concat(python, asks)).when(F.col("language") == "shell", shell).otherwise(F.concat(F.array(short), unpinned(True)))
+    broken = F.array(_issue("critical", "error-handling", "Can't be parsed"))
+    issues = F.when(F.col("language") == "python", F.concat(needs, F.when(F.coalesce("broken", F.lit(0)) > 0, broken).otherwise(F.concat(python, asks)))).when(F.col("language") == "shell", shell).otherwise(F.concat(F.array(short), unpinned(True)))
     found = known.join(per_file, "path", "left").select("path", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("i"))
     return found.select("path", "i.line_no", "i.severity", "i.category", "i.title")
 

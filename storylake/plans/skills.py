@@ -157,12 +157,18 @@ _CODE = {
     ".ts": "import x\nnpx tool run\n",
 }
 
+#: Python that only looks like calls and imports, and Python that can't be parsed.
+_NO_CALLS = 'def f(self):\n    """Doc\n    input("no") and\n    import os\n    """\n    self.input(3)\n    return \'call input() now\'  # exit()\n'
+_BROKEN = "x = (\n"
+
 
 def _scripts(spark, folder):
-    """A script a document, in three languages, the document's text as its comment."""
+    """A script a document, in three languages, the document's text as its comment; Python also with what only looks like calls, and some of it broken."""
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ending = F.element_at(F.array(*map(F.lit, _CODE)), (F.col("doc_id") % 3 + 1).cast("int"))
     code = F.element_at(F.array(*map(F.lit, _CODE.values())), (F.col("doc_id") % 3 + 1).cast("int"))
+    more = F.concat(F.when(F.col("doc_id") % 2 == 0, _NO_CALLS).otherwise(""), F.when(F.col("doc_id") % 11 == 0, _BROKEN).otherwise(""))
+    code = F.when(ending == ".py", F.concat(code, more)).otherwise(code)
     body = F.when(F.col("doc_id") % 5 == 0, "x").when(F.col("doc_id") % 5 == 1, code).otherwise(F.concat(code, F.regexp_replace("text", "(?m)^", "# ")))
     return docs.select(F.concat(F.lit("scripts/s"), F.col("doc_id").cast("string"), ending).alias("path"), body.alias("content"))
 
@@ -268,11 +274,19 @@ _SCRIPTS = (
     + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_CODE))
     + " END AS e, CASE doc_id % 3 "
     + " ".join(f"WHEN {i} THEN {_sql(c)}" for i, c in enumerate(_CODE.values()))
-    + """ END AS code FROM documents)), n AS (SELECT *, len(string_split(content, chr(10))) AS n_lines FROM s),
+    + f" END || CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN {_sql(_NO_CALLS)} ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN {_sql(_BROKEN)} ELSE '' END ELSE '' END"
+    + """ AS code FROM documents)), n AS (SELECT *, len(string_split(content, chr(10))) AS n_lines FROM s),
   l AS (SELECT path, e, unnest(range(1, n_lines + 1)) AS line_no, unnest(string_split(content, chr(10))) AS line FROM n), c AS (SELECT *, regexp_matches(line, '^\\s*#') AS comment FROM l),
-  f AS (SELECT path, line_no, 'import' AS kind, regexp_extract(x, '^\\s*([A-Za-z_]\\w*)', 1) AS name FROM (SELECT path, line_no, unnest(string_split(regexp_extract(line, '^\\s*import\\s+(.+)$', 1), ',')) AS x FROM c WHERE e = '.py' AND NOT comment)
-    UNION ALL SELECT path, line_no, 'import', regexp_extract(line, '^\\s*from\\s+([A-Za-z_]\\w*)', 1) FROM c WHERE e = '.py' AND NOT comment
-    UNION ALL SELECT path, line_no, 'call', unnest(regexp_extract_all(line, '\\b(input|dumps|exit|ArgumentParser)\\(', 1)) FROM c WHERE e = '.py' AND NOT comment)"""
+  -- Python without comment lines, texts over several lines (which stay as line ends), texts on one line and comments behind code
+  b AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(content, '(?m)^[ ]*#.*$', '', 'g'), '"{3}[^"\\n]*\\n[^\\n]*\\n[^\\n]*\\n[ ]*"{3}', chr(10) || chr(10) || chr(10), 'g'), '"[^"\\n]*"|''[^''\\n]*''|#[^\\n]*', 'T', 'g') AS code FROM s WHERE e = '.py'),
+  bad AS (SELECT path FROM b WHERE length(replace(code, '(', '')) <> length(replace(code, ')', ''))),
+  bl AS (SELECT path, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS line_no, unnest(string_split(code, chr(10))) AS line FROM b WHERE path NOT IN (SELECT path FROM bad)),
+  f AS (SELECT path, line_no, 'import' AS kind, regexp_extract(x, '^\\s*([A-Za-z_][\\w.]*)', 1) AS name FROM (SELECT path, line_no, unnest(string_split(regexp_extract(line, '^\\s*import\\s+(.+)$', 1), ',')) AS x FROM bl)
+    UNION ALL SELECT path, line_no, 'import', regexp_extract(line, '^\\s*from\\s+([A-Za-z_][\\w.]*)', 1) FROM bl
+    UNION ALL SELECT path, line_no, 'call', unnest(regexp_extract_all(line, '(?:^|[^.\\w])(input|exit)\\(', 1)) FROM bl
+    UNION ALL SELECT path, line_no, 'call', unnest(regexp_extract_all(line, '\\.(dumps|exit)\\(', 1)) FROM bl
+    UNION ALL SELECT path, line_no, 'attribute', unnest(regexp_extract_all(line, '\\.(ArgumentParser)\\b', 1)) FROM bl
+    UNION ALL SELECT path, 1, 'error', 'syntax' FROM bad)"""
 )
 
 ORACLES = {
@@ -280,13 +294,14 @@ ORACLES = {
     "script_findings": f"""WITH {_SCRIPTS}, p AS (SELECT n.*, (SELECT count(*) FROM f WHERE f.path = n.path AND name = 'ArgumentParser') AS parser, (SELECT count(*) FROM f WHERE f.path = n.path AND name = 'dumps') AS dumps,
           (SELECT count(*) FROM f WHERE f.path = n.path AND name = 'exit') AS exits, (SELECT count(*) FROM f WHERE f.path = n.path AND kind = 'import' AND name IN ('shutil', 'glob', 'fnmatch')) AS simple FROM n WHERE e = '.py'),
         sh AS (SELECT *, string_split(content, chr(10))[1] AS first FROM n WHERE e = '.sh'),
-        a AS (SELECT path, 1 AS line_no, 'medium' AS severity, 'over-engineered' AS category FROM n WHERE n_lines < 5
+        ok AS (SELECT * FROM p WHERE path NOT IN (SELECT path FROM bad)),
+        a AS (SELECT path, 1 AS line_no, 'medium' AS severity, 'over-engineered' AS category FROM n WHERE n_lines < 5 AND path NOT IN (SELECT path FROM bad)
           UNION ALL SELECT path, 1, 'medium', 'dependencies' FROM p WHERE NOT contains(content, '# /// script') AND contains(content, 'import ')
           UNION ALL SELECT path, 1, 'low', 'dependencies' FROM p WHERE contains(content, '# /// script') AND NOT contains(content, 'requires-python')
           UNION ALL SELECT path, 1, 'high', 'dependencies' FROM p WHERE contains(content, 'requirements.txt') OR contains(content, 'pip install')
-          UNION ALL SELECT path, 1, 'medium', 'agentic-design' FROM p WHERE n_lines > 20 AND parser = 0 UNION ALL SELECT path, 1, 'medium', 'agentic-design' FROM p WHERE n_lines > 20 AND dumps = 0
-          UNION ALL SELECT path, 1, 'low', 'agentic-design' FROM p WHERE n_lines > 20 AND exits = 0 UNION ALL SELECT path, 1, 'low', 'over-engineered' FROM p WHERE simple > 0 AND n_lines < 30
-          UNION ALL SELECT path, line_no, 'critical', 'agentic-design' FROM f WHERE name = 'input'
+          UNION ALL SELECT path, 1, 'medium', 'agentic-design' FROM ok WHERE n_lines > 20 AND parser = 0 UNION ALL SELECT path, 1, 'medium', 'agentic-design' FROM ok WHERE n_lines > 20 AND dumps = 0
+          UNION ALL SELECT path, 1, 'low', 'agentic-design' FROM ok WHERE n_lines > 20 AND exits = 0 UNION ALL SELECT path, 1, 'low', 'over-engineered' FROM ok WHERE simple > 0 AND n_lines < 30
+          UNION ALL SELECT path, line_no, 'critical', 'agentic-design' FROM f WHERE name = 'input' UNION ALL SELECT path, 1, 'critical', 'error-handling' FROM bad
           UNION ALL SELECT path, 1, 'high', 'portability' FROM sh WHERE NOT starts_with(first, '#!') UNION ALL SELECT path, 1, 'medium', 'portability' FROM sh WHERE starts_with(first, '#!') AND NOT contains(first, '/usr/bin/env')
           UNION ALL SELECT path, 1, 'medium', 'error-handling' FROM sh WHERE NOT contains(content, 'set -e')
           UNION ALL SELECT path, line_no, 'medium', 'portability' FROM c WHERE e = '.sh' AND regexp_matches(line, '{scripts.SHELL[0][0]}') UNION ALL SELECT path, line_no, 'medium', 'portability' FROM c WHERE e = '.sh' AND regexp_matches(line, '{scripts.SHELL[1][0]}')

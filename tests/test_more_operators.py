@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from storylake.functions import text as tx
-from storylake.operators import config, extraction, player, skills
+from storylake.operators import config, extraction, player, scripts, skills
 from storylake.sources.library import left_to_read, open_library, upserted, write_checkpoints, write_volumes
 from storylake.sources.settings import csv_cells
 
@@ -70,3 +70,13 @@ def test_checkpoints_and_volumes(spark, tmp_path):
     write_checkpoints(at.where("slug = 'a'").withColumn("next_index", F.lit(9)), at.where("slug = 'b'"), base)
     assert [tuple(r) for r in open_library(spark, base).progress().collect()] == [("s", "a", "/1", 9, None)]
     assert open_library(spark, str(tmp_path / "none")).progress().count() == 0
+
+
+def test_facts_of_sources():
+    facts = scripts.source_facts
+    assert facts("self.input(3)\nx = 'call input() now'\n# input()\n\"\"\"\nimport os\n\"\"\"\n") == []
+    assert facts("x = (") == facts("a\0") == facts("(" * 5_000) == facts("x = 'a") == [(1, "error", "syntax")]
+    assert facts("import os.path, re as r\nfrom json import dumps\nif 1:\n  sys.exit(input(json.dumps(1)))\np = argparse.ArgumentParser()") == [
+        (1, "import", "os.path"), (1, "import", "re"), (2, "import", "json"), (4, "call", "dumps"), (4, "call", "exit"), (4, "call", "input"), (5, "attribute", "ArgumentParser")
+    ]
+    assert facts("") == [] and facts("dumps(1); from . import x") == []
