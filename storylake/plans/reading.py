@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storylake.functions import text as tx
-from storylake.operators import cache, chunks, library, volumes
+from storylake.operators import cache, chunks, intervals, library, volumes
 from storylake.sources.tables import table
 
 
@@ -40,7 +40,7 @@ def story_cards(spark, folder):
     """Sources as stories with count and title; some titles are missing or empty."""
     docs = table(spark, folder, "documents").select(F.col("source").alias("story"), "lang", "doc_id")
     metadata = docs.where("story <> 'src3'").groupBy("story").agg(F.when(F.col("story") == "src5", "").otherwise(F.min("lang")).alias("story_title"))
-    return library.cards(docs.select("story").distinct(), docs.where("doc_id % 3 = 0"), metadata)
+    return library.cards(docs.select("story").distinct(), docs, metadata)
 
 
 def total_vs_count(spark, folder):
@@ -70,7 +70,7 @@ def progress_flags(spark, folder):
 def continue_target(spark, folder):
     """Title at the reader's place, or one made of its number."""
     latest = library.latest_progress(_progress(spark, folder))
-    index = table(spark, folder, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("chapter_idx"), F.when(F.col("p_partkey") % 10 == 0, "").otherwise(F.col("p_name")).alias("title"))
+    index = table(spark, folder, "part").select(F.col("p_partkey").alias("chapter_idx"), F.when(F.col("p_partkey") % 10 == 0, "").when(F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("title"))
     made = F.concat(F.lit("Chương "), (F.col("chapter_idx") + 1).cast("string"))
     return latest.join(index, "chapter_idx", "left").select("user_id", "slug", library.title_or(F.col("title"), made).alias("target"))
 
@@ -115,6 +115,15 @@ def chunk_for_paragraph(spark, folder):
     return found.select("doc_id", chunks.chunk_of(F.col("c"), F.lit(2)).alias("chunk_idx"))
 
 
+def chunks_of_paragraphs(spark, folder):
+    """First chunk of every paragraph of every document, by a join of paragraphs with the ranges of chunks."""
+    docs = table(spark, folder, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("p"))
+    paragraphs = docs.select("doc_id", F.posexplode("p").alias("paragraph", "text")).drop("text")
+    ranges = docs.select("doc_id", F.posexplode(chunks.ranges(F.col("p"))).alias("chunk_idx", "r")).select("doc_id", "chunk_idx", "r.start_idx", "r.end_idx")
+    found = intervals.within(paragraphs, ranges, ["doc_id"], "paragraph", "start_idx", "end_idx").groupBy("doc_id", "paragraph").agg(F.min("chunk_idx").alias("chunk_idx"))
+    return paragraphs.join(found, ["doc_id", "paragraph"], "left").select("doc_id", "paragraph", F.coalesce("chunk_idx", F.lit(-1)).alias("chunk_idx"))
+
+
 def cache_key_escape(spark, folder):
     """Cache keys and escaped texts of every turn."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", F.element_at(F.array(*map(F.lit, (0.75, 1.0, 1.25, 1.5, 2.0))), (F.col("turn") % 5 + 1).cast("int")).alias("rate"), F.concat(F.lit("<a & 'b'> "), F.col("text")).alias("said"))
@@ -152,7 +161,7 @@ QUERIES = {
     "index_rebuild_lww": index_rebuild_lww, "chapter_lookup_robust": _lookup("robust"), "chapter_lookup_strict": _lookup("strict"), "story_cards": story_cards,
     "total_vs_count": total_vs_count, "source_first_match": source_first_match, "chapter_search": chapter_search, "progress_flags": progress_flags,
     "continue_target": continue_target, "progress_percent": progress_percent, "next_volume_no": next_volume_no, "paragraph_explode": paragraph_explode,
-    "sentences": sentences, "tts_chunks": tts_chunks, "chunk_for_paragraph": chunk_for_paragraph, "cache_key_escape": cache_key_escape,
+    "sentences": sentences, "tts_chunks": tts_chunks, "chunk_for_paragraph": chunk_for_paragraph, "chunks_of_paragraphs": chunks_of_paragraphs, "cache_key_escape": cache_key_escape,
     "audio_cache_retention": audio_cache_retention, "audio_cache_expiry": audio_cache_expiry, "single_flight": single_flight, "static_routes": static_routes,
 }
 
@@ -179,20 +188,22 @@ _PACKED = f"""p AS (SELECT doc_id, i - 1 AS p, regexp_replace(regexp_replace(str
 ORACLES = {
     "tts_chunks": f"WITH RECURSIVE {_PACKED} SELECT * FROM chunked",
     "chunk_for_paragraph": f"WITH RECURSIVE {_PACKED} SELECT doc_id, CAST(coalesce(min(chunk_idx) FILTER (WHERE start_idx <= 2 AND end_idx >= 2), -1) AS INTEGER) AS chunk_idx FROM documents LEFT JOIN chunked USING (doc_id) GROUP BY doc_id",
+    "chunks_of_paragraphs": f"""WITH RECURSIVE {_PACKED}, l AS (SELECT doc_id, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS paragraph FROM documents)
+        SELECT l.doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(coalesce(min(chunk_idx), -1) AS INTEGER) AS chunk_idx FROM l LEFT JOIN chunked c ON c.doc_id = l.doc_id AND paragraph BETWEEN start_idx AND end_idx GROUP BY ALL""",
     "index_rebuild_lww": "SELECT source, index, title, volume FROM (SELECT source, n_chars % 40 AS index, lang AS title, doc_id AS volume, row_number() OVER (PARTITION BY source, n_chars % 40 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1",
     "chapter_lookup_robust": f"WITH {_TURNS} SELECT story, index, title, len(paragraphs) AS n_paragraphs FROM turns",
     "chapter_lookup_strict": f"""WITH {_TURNS}, pos AS (SELECT story, index, (row_number() OVER (PARTITION BY story ORDER BY index) - 1) // 3 + 1 AS volume FROM turns)
         SELECT pos.story, pos.index, t.title, coalesce(len(t.paragraphs), 0) AS n_paragraphs FROM pos LEFT JOIN turns t ON t.story = pos.story AND t.index = pos.index AND t.volume = pos.volume""",
     "story_cards": """WITH m AS (SELECT source, CASE WHEN source = 'src5' THEN '' ELSE min(lang) END AS story_title FROM documents WHERE source <> 'src3' GROUP BY source),
-        c AS (SELECT source, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY source)
+        c AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
         SELECT s.source AS story, coalesce(nullif(story_title, ''), s.source) AS title, coalesce(n, 0) AS n_chapters
         FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN c USING (source) LEFT JOIN m USING (source)""",
     "total_vs_count": "SELECT conv_id AS story, count(*) AS n_chapters, max(turn) + 1 AS total FROM conversations WHERE turn <> 1 GROUP BY conv_id",
     "source_first_match": "SELECT story, source FROM (SELECT DISTINCT n_chars % 97 AS story, source, row_number() OVER (PARTITION BY n_chars % 97 ORDER BY CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER)) AS r FROM documents) WHERE r = 1",
     "chapter_search": "SELECT p_partkey AS index, p_name AS title FROM part WHERE contains(lower(p_name), '12') OR contains(CAST(p_partkey + 1 AS VARCHAR), '12')",
     "progress_flags": f"WITH {_LATEST} SELECT user_id, slug, CAST(i.index AS INTEGER) AS index, coalesce(chapter_idx >= i.index, false) AS is_read, coalesce(chapter_idx = i.index, false) AS is_current FROM latest, (SELECT unnest(range(0, 91, 10)) AS index) i",
-    "continue_target": f"""WITH {_LATEST} SELECT user_id, slug, coalesce(nullif(CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name END, ''), 'Chương ' || CAST(chapter_idx + 1 AS VARCHAR)) AS target
-        FROM latest LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) x ON p_partkey = chapter_idx""",
+    "continue_target": f"""WITH {_LATEST} SELECT user_id, slug, coalesce(nullif(CASE WHEN p_partkey % 10 = 0 THEN '' WHEN p_partkey % 3 > 0 THEN p_name END, ''), 'Chương ' || CAST(chapter_idx + 1 AS VARCHAR)) AS target
+        FROM latest LEFT JOIN part ON p_partkey = chapter_idx""",
     "progress_percent": """WITH t AS (SELECT conv_id AS story, CAST(turn AS INTEGER) AS index, max(turn) OVER (PARTITION BY conv_id) + 1 AS total FROM conversations)
         SELECT story, index, CAST(floor(index / total * 100 + 0.5) AS INTEGER) AS pct, index > 0 AS has_prev, index < total - 1 AS has_next FROM t""",
     "next_volume_no": f"""WITH {_TURNS}, v AS (SELECT DISTINCT story, volume FROM turns)

@@ -110,6 +110,15 @@ def catalog_round_trip(spark, folder):
     return source.read_catalog(spark, path, ["skill", "about", "kind"]).select("skill", "about", "kind")
 
 
+def csv_round_trip(spark, folder):
+    """Whole texts with their line ends and quotes written as CSV records of two or three cells and read back in splits."""
+    path = shared_path(spark, "records")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit(',\n"')).alias("text"), "lang")
+    source.write_records(docs, path, F.concat(F.array("id", "text"), F.when(F.length("text") % 2 == 0, F.array("lang")).otherwise(F.array().cast("array<string>"))))
+    cells = F.col("cells")
+    return source.read_records(spark, path).select(cells[0].cast("long").alias("doc_id"), F.size(cells).alias("n_cells"), F.md5(cells[1]).alias("text_md5"), F.coalesce(F.try_element_at(cells, F.lit(3)), F.lit("-")).alias("lang"))
+
+
 def settings_round_trip(spark, folder):
     """Settings by region written as text with a comment and read back."""
     path = shared_path(spark, "settings")
@@ -264,7 +273,7 @@ def volume_metadata(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        volumes_round_trip, index_round_trip, copied_library, library_stories, library_rebuilt, library_resolved, library_checkpoints, checkpoint_upsert, checkpoint_resume, catalog_round_trip, settings_round_trip, report_round_trip, local_progress, request_bodies, route_params,
+        volumes_round_trip, index_round_trip, copied_library, library_stories, library_rebuilt, library_resolved, library_checkpoints, checkpoint_upsert, checkpoint_resume, catalog_round_trip, csv_round_trip, settings_round_trip, report_round_trip, local_progress, request_bodies, route_params,
         player_targets, active_paragraphs, chapter_lines, audio_in_order, iso_stamps, stale_orders, report_prompts, sorted_listings, source_literals, stream_ttl_cache, stream_audio_cache, stream_batches, stream_resumed, volume_metadata,
     )
 }
@@ -290,6 +299,8 @@ ORACLES = {
     "checkpoint_resume": f"""WITH {_POINTS}, s AS (SELECT DISTINCT story FROM e), f AS (SELECT story, CASE WHEN coalesce(next_url, '-') <> '-' THEN greatest(next_index, 0) ELSE 0 END AS first FROM s LEFT JOIN cp USING (story))
         SELECT story, CAST(i AS INTEGER) AS index FROM f, (SELECT unnest(range(0, 6)) AS i) WHERE i >= first AND i < first + 2""",
     "catalog_round_trip": """SELECT CAST(p_partkey AS VARCHAR) AS skill, '"' || p_name || '", or so' AS about, p_type AS kind FROM part""",
+    "csv_round_trip": """WITH d AS (SELECT doc_id, '"' || coalesce(text, '') || ',' || chr(10) || '"' AS text, lang FROM documents)
+        SELECT doc_id, CAST(CASE WHEN length(text) % 2 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n_cells, md5(text) AS text_md5, CASE WHEN length(text) % 2 = 0 THEN coalesce(lang, '') ELSE '-' END AS lang FROM d""",
     "settings_round_trip": "SELECT CAST(n_regionkey AS VARCHAR) AS scope, 'k' || n_nationkey AS key, n_name || ' é: x' AS value FROM nation",
     "report_round_trip": """WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)
         SELECT CAST(doc_id AS VARCHAR) AS name, CAST(count(*) AS INTEGER) AS finding_count, CAST(count(*) FILTER (WHERE length(line) > 800) AS INTEGER) AS n_high, CAST(min(line_no) AS INTEGER) AS first_line FROM l WHERE length(line) > 300 GROUP BY doc_id""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storylake.functions.text import strip_white
@@ -45,10 +45,54 @@ def read_catalog(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return read.withColumn("row_no", F.monotonically_increasing_id())
 
 
-def csv_cells(line: Column) -> Column:
-    """Cells of one CSV line by position, as many as it has; quotes around a cell go, doubled ones inside stay single."""
-    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit('("(?:[^"]|"")*"|[^,"]*),'), F.lit(1))
-    return F.transform(cells, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+def csv_cells(record: Column) -> Column:
+    """Cells of one CSV record by position, as many as it has; quotes around a cell go, doubled ones inside stay single.
+
+    Stretches between quotes are outside and inside cells by turns. Commas
+    outside become a mark of two characters, which no text holds once its own
+    first characters of marks are spelled out.
+    """
+    stretches = F.split(F.replace(record, F.lit("\x01"), F.lit("\x01a")), '"')
+    marked = F.array_join(F.transform(stretches, lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), F.lit("\x01b"))).otherwise(p)), '"')
+    bare = lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(F.split(marked, "\x01b"), lambda c: F.replace(bare(c), F.lit("\x01a"), F.lit("\x01")))
+
+
+def write_records(rows: DataFrame, path: str, cells: Column) -> None:
+    """One CSV record for every row, of as many ``cells`` (an array of strings) as it has; all are quoted, null is empty."""
+    quoted = F.transform(cells, lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')))
+    rows.select(F.array_join(quoted, ",").alias("value")).write.option("lineSep", "\n").text(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, at, cells`` of CSV files whose quoted cells may hold line ends; ``block, at`` order the records of a file.
+
+    Files are read in splits like any text. A line stands inside a cell if the
+    quotes before it are odd in number: those of its own split before it, and
+    those of the file's earlier splits, of which one number each is added up.
+    Lines inside join the last record that began outside, in this split or an
+    earlier one; only records of several lines are gathered. Quotes must stand
+    around cells or be doubled inside them; a quote that is never closed takes
+    the rest of its file. An empty line is a record of one empty cell.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+    within = Window.partitionBy("file", "block").orderBy("at")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes")).groupBy("file", "block").agg(F.sum("quotes").alias("quotes"))
+    before = splits.select("file", "block", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("before"))
+    placed = lines.withColumn("own", F.coalesce(F.sum("quotes").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(before, ["file", "block"])
+    placed = placed.withColumn("inside", (F.col("before") + F.col("own")) % 2 == 1)
+    placed = placed.withColumn("start", F.last(F.when(~F.col("inside"), F.struct("block", "at")), True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = placed.where(~F.col("inside") & (F.col("quotes") % 2 == 0)).select("file", "block", "at", "value")
+    parts = placed.where(F.col("inside") | (F.col("quotes") % 2 == 1))
+    begun = parts.where(~F.col("inside")).groupBy("file", "block").agg(F.max(F.struct("block", "at")).alias("last"))
+    opened = begun.unionByName(splits.select("file", "block", F.lit(None).cast(begun.schema["last"].dataType).alias("last"))).groupBy("file", "block").agg(F.max("last").alias("last"))
+    carried = opened.select("file", "block", F.last("last", True).over(earlier).alias("carried"))
+    several = parts.join(carried, ["file", "block"]).withColumn("start", F.coalesce("start", "carried"))
+    several = several.groupBy("file", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    records = whole.unionByName(several.select("file", "start.block", "start.at", "value"))
+    return records.select("file", "block", "at", csv_cells(F.regexp_replace("value", "\r$", "")).alias("cells"))
 
 
 def write_catalog(rows: DataFrame, path: str) -> None:
