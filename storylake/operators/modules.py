@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storylake.operators.findings import severity_counts
 from storylake.operators.merge import broken_references, duplicate_keys
+from storylake.sources.shared import settled
 
 
 def _finding(rows: DataFrame, severity: str, category: str, detail) -> DataFrame:
@@ -103,6 +105,57 @@ def catalog_findings(catalogs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [heads, empty, odd, shown(blank, "high", "missing-field", F.concat_ws(": ", F.col("row_no").cast("string"), F.col("field")))])
 
 
+def entry_findings(files: DataFrame, shape: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """What catalogs ``module, row_no, cells`` and the folders of a listing ``module, path`` tell of each other, module by module.
+
+    Folders without an entry (the setup folder needs none), entries without a
+    folder, codes of several entries, and references to ``skill:action`` pairs
+    that no entry makes. ``shape`` is :func:`structure`.
+    """
+    names = catalogs.where("row_no = 1").select("module", F.col("cells").alias("names"))
+    at = lambda field: F.trim(F.coalesce(F.try_element_at("cells", F.array_position("names", field).cast("int")), F.lit("")))
+    rows = catalogs.where("row_no > 1").join(names, "module").select("module", "row_no", *(at(f).alias(n) for f, n in (("skill", "skill"), ("action", "action"), ("menu-code", "code"), ("display-name", "name"), ("after", "after"), ("before", "before"))))
+    told = lambda frame, severity, category, detail: frame.select("module", F.lit(severity).alias("severity"), F.lit(category).alias("category"), detail.alias("detail"))
+    setups = shape.where("kind = 'setup'").select("module", F.col("folder").alias("skill"))
+    folders, entries = skill_folders(files).withColumnRenamed("folder", "skill"), rows.select("module", "skill").distinct()
+    missing = folders.join(setups, ["module", "skill"], "left_anti").join(entries, ["module", "skill"], "left_anti")
+    orphans = entries.join(folders, ["module", "skill"], "left_anti").join(setups, ["module", "skill"], "left_anti")
+    twice = rows.where("code <> ''").groupBy("module", "code").agg(F.count("*").alias("n")).where("n > 1")
+    valid = rows.where("skill <> '' AND action <> ''").select("module", F.concat_ws(":", "skill", "action").alias("ref")).distinct()
+    asked = rows.select("module", F.explode(F.array(F.struct(F.lit("after").alias("side"), F.col("after").alias("refs")), F.struct(F.lit("before").alias("side"), F.col("before").alias("refs")))).alias("s")).select("module", "s.side", F.explode(F.split("s.refs", ",")).alias("ref"))
+    broken = asked.withColumn("ref", F.trim("ref")).where("ref <> ''").join(valid, ["module", "ref"], "left_anti")
+    return reduce(DataFrame.unionByName, [
+        told(missing, "high", "missing-entry", F.col("skill")), told(orphans, "high", "orphan-entry", F.col("skill")), told(twice, "high", "duplicate-menu-code", F.col("code")),
+        told(broken, "medium", "invalid-ref", F.concat_ws(" ", "side", "ref")),
+    ])
+
+
+def verdicts(files: DataFrame, definitions: DataFrame, catalogs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings ``module, severity, category, detail`` and one verdict of every module of the listing ``module, path``.
+
+    Checks stop early, module by module: without a setup folder or a standalone
+    skill that is the only finding; where required files lack, these are; where
+    the catalog has no entries, what its rows would tell is left out. A verdict is
+    ``module, status, total, n_critical, n_high, n_medium, n_low`` with what is
+    known by then: ``kind, folder, code, name, n_entries`` (null after a stop).
+    """
+    # Each is read by several checks: written once instead of told again by every one of them.
+    shape, catalogs = settled(structure(files), "shape"), settled(catalogs.select("module", "row_no", "cells"), "catalogs")
+    none = shape.where("kind = 'none'").select("module", F.lit("critical").alias("severity"), F.lit("structure").alias("category"), F.lit("no setup skill and no standalone module").alias("detail"))
+    lacking = shape.where("missing <> ''").select("module", F.lit("critical").alias("severity"), F.lit("structure").alias("category"), F.explode(F.split("missing", ", ")).alias("detail"))
+    going = shape.where("kind <> 'none' AND missing = ''").select("module")
+    on = lambda frame: frame.join(going, "module", "left_semi")
+    entries = catalogs.where("row_no > 1").groupBy("module").agg(F.count("*").alias("n_entries"))
+    full = settled(on(catalogs).join(entries.select("module"), "module", "left_semi"), "full")
+    found = reduce(DataFrame.unionByName, [none, lacking, on(definition_findings(definitions)), on(catalog_findings(catalogs)), entry_findings(files.join(full.select("module").distinct(), "module", "left_semi"), shape, full)])
+    counts = found.groupBy("module").agg(F.count("*").alias("total"), *severity_counts())
+    known = on(definitions).select("module", *(F.coalesce(F.try_element_at("settings", F.lit(k)), F.lit("")).alias(k) for k in ("code", "name")))
+    joined = shape.join(counts, "module", "left").join(known, "module", "left").join(on(entries), "module", "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("total", "n_critical", "n_high", "n_medium", "n_low")]
+    status = F.when(F.coalesce(F.col("n_critical") + F.col("n_high"), F.lit(0)) > 0, "fail").otherwise("pass")
+    return found, joined.select("module", status.alias("status"), *numbers, "kind", "folder", "code", "name", "n_entries")
+
+
 def cleanup_targets(module: Column, extras: Column) -> Column:
     """Folders to clean up, in order and once each: the module, ``core``, then further ones."""
     return F.array_distinct(F.concat(F.array(module, F.lit("core")), extras))

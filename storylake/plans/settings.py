@@ -130,6 +130,23 @@ def catalog_findings(spark, folder):
     return modules.catalog_findings(header.unionByName(lines)).groupBy("severity", "category", "detail").agg(F.count("*").alias("n"))
 
 
+def module_verdicts(spark, folder):
+    """Verdict on a module an order: folders and catalog entries from its lines, a definition as text; some without setup, files or entries."""
+    text = lambda c: F.col(c).cast("string")
+    orders, lines = table(spark, folder, "orders").select(F.col("o_orderkey").alias("m"), "o_orderstatus"), table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("m"), "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    setup = F.array(*(F.lit(f) for f in ("x-setup/SKILL.md", "x-setup/assets/module.yaml", "x-setup/assets/module-help.csv")))
+    own = orders.select("m", F.explode(F.when(F.col("m") % 8 == 0, F.array(F.lit("notes.md"))).when(F.col("m") % 9 == 0, F.slice(setup, 1, 2)).otherwise(setup)).alias("path"))
+    listing = own.unionByName(lines.select("m", F.concat(F.lit("k"), text("l_partkey"), F.lit("/SKILL.md")).alias("path"))).select(text("m").alias("module"), "path")
+    yaml = F.concat(F.lit("# made\ncode: "), F.when(F.col("m") % 7 == 0, "").otherwise(text("m")), F.lit('\nname: "Order: '), F.col("o_orderstatus"), F.lit('"\ndescription: of lines\n'))
+    skill = F.concat(F.lit("k"), text("l_partkey"))
+    cells = F.concat_ws(",", F.lit("mod"), F.when(F.col("l_linenumber") == 4, "ghost").otherwise(skill), F.when(F.col("l_linenumber") == 2, " ").otherwise('"Shown, so"'), F.concat(F.lit("C"), (F.col("l_suppkey") % 50).cast("string")), F.lit("told"), F.lit("run"), F.lit(""), F.lit(""), F.when(F.col("l_linenumber") == 3, "k0:run").otherwise(F.concat(skill, F.lit(":run"))), F.lit(""), F.lit(""), F.lit(""), F.lit(""))
+    head = F.concat(F.lit(",".join(modules.CATALOG[:-1])), F.when(F.col("m") % 5 == 0, ",other").otherwise(f",{modules.CATALOG[-1]}"))
+    rows = orders.select("m", F.lit(1).alias("row_no"), head.alias("line")).unionByName(lines.where("m % 11 > 0").select("m", (F.col("l_linenumber") + 1).alias("row_no"), cells.alias("line")))
+    catalogs = rows.select(text("m").alias("module"), "row_no", source.csv_cells(F.col("line")).alias("cells"))
+    _, verdict = modules.verdicts(listing, orders.select(text("m").alias("module"), source.key_values(yaml).alias("settings")), catalogs)
+    return verdict.select("module", "status", "total", "n_critical", "n_high", "n_medium", "kind", *(F.coalesce(c, F.lit("-")).alias(c) for c in ("code", "name")), F.coalesce("n_entries", F.lit(-1)).alias("n_entries"))
+
+
 def definition_findings(spark, folder):
     """Fields that definitions made of nations lack."""
     made = F.create_map(F.lit("code"), F.when(F.col("n_regionkey") == 2, "").otherwise(F.col("n_name")), F.when(F.col("n_nationkey") % 2 == 0, "name").otherwise("title"), F.col("n_name"))
@@ -152,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         config_resolved, config_kept, config_written, default_answers, key_value_args, settings_scan, catalog_cells, module_structure, module_file_counts, module_copy_set, cleanup_targets,
-        skills_not_installed, capability_tables, catalog_findings, definition_findings, orphan_stories, open_categories,
+        skills_not_installed, capability_tables, catalog_findings, module_verdicts, definition_findings, orphan_stories, open_categories,
     )
 }
 
@@ -194,6 +211,25 @@ ORACLES = {
           UNION ALL SELECT 'high', 'csv-empty', '' FROM h WHERE m NOT IN (SELECT m FROM l) UNION ALL SELECT 'medium', 'csv-columns', '4: 5' FROM l WHERE i = 3
           UNION ALL SELECT 'high', 'missing-field', (i + 1) || ': display-name' FROM l JOIN h USING (m) WHERE i = 2 UNION ALL SELECT 'high', 'missing-field', (i + 1) || ': description' FROM l JOIN h USING (m) WHERE flag = 'A')
         SELECT severity, category, detail, count(*) AS n FROM a GROUP BY ALL""",
+    "module_verdicts": """WITH o AS (SELECT o_orderkey AS m, o_orderstatus AS st FROM orders),
+        l AS (SELECT l_orderkey AS m, 'k' || l_partkey AS k, l_linenumber AS i, ',' || CASE l_linenumber WHEN 4 THEN 'ghost' ELSE 'k' || l_partkey END || ',' || CASE l_linenumber WHEN 2 THEN ' ' ELSE 'Shown' END || ',C' || l_suppkey % 50 || ',told,run,,,'
+              || CASE l_linenumber WHEN 3 THEN 'k0' ELSE 'k' || l_partkey END || ':run,,,,' AS line FROM lineitem),
+        stop AS (SELECT m, CASE WHEN m % 8 <> 0 THEN 'setup' ELSE 'none' END AS kind, CASE WHEN m % 8 = 0 OR m % 9 = 0 THEN 1 ELSE 0 END AS stop FROM o),
+        e AS (SELECT l.m, i, k, string_split(line, ',') AS c FROM l JOIN stop USING (m) WHERE stop = 0 AND m % 11 <> 0),
+        p AS (SELECT m, i, k, trim(c[2]) AS skill, trim(c[3]) AS name, trim(c[4]) AS code, trim(c[6]) AS action, trim(c[9]) AS after FROM e),
+        a AS (SELECT m, 'critical' AS s FROM stop WHERE stop = 1
+          UNION ALL SELECT m, 'high' FROM stop WHERE stop = 0 AND m % 7 = 0 UNION ALL SELECT m, 'high' FROM stop WHERE stop = 0 AND m % 5 = 0
+          UNION ALL SELECT m, 'high' FROM stop WHERE stop = 0 AND (m % 11 = 0 OR m NOT IN (SELECT m FROM l))
+          UNION ALL SELECT m, 'high' FROM p WHERE name = ''
+          UNION ALL SELECT m, 'high' FROM (SELECT DISTINCT m, k FROM p WHERE (m, k) NOT IN (SELECT m, skill FROM p))
+          UNION ALL SELECT m, 'high' FROM (SELECT DISTINCT m, skill FROM p WHERE (m, skill) NOT IN (SELECT m, k FROM p))
+          UNION ALL SELECT m, 'high' FROM (SELECT m, code FROM p GROUP BY ALL HAVING count(*) > 1)
+          UNION ALL SELECT m, 'medium' FROM p WHERE (m, after) NOT IN (SELECT m, skill || ':' || action FROM p)),
+        n AS (SELECT m, count(*) AS total, count(*) FILTER (s = 'critical') AS n_critical, count(*) FILTER (s = 'high') AS n_high, count(*) FILTER (s = 'medium') AS n_medium FROM a GROUP BY m),
+        x AS (SELECT m, count(*) AS n_entries FROM e GROUP BY m)
+        SELECT CAST(m AS VARCHAR) AS module, CASE WHEN coalesce(n_critical + n_high, 0) > 0 THEN 'fail' ELSE 'pass' END AS status, coalesce(total, 0) AS total, coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, kind,
+               CASE WHEN stop = 1 THEN '-' WHEN m % 7 = 0 THEN '' ELSE CAST(m AS VARCHAR) END AS code, CASE WHEN stop = 1 THEN '-' ELSE 'Order: ' || st END AS name, coalesce(n_entries, -1) AS n_entries
+        FROM stop JOIN o USING (m) LEFT JOIN n USING (m) LEFT JOIN x USING (m)""",
     "definition_findings": """SELECT n_name AS module, 'high' AS severity, 'yaml' AS category, detail FROM (SELECT n_name, 'code' AS detail FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_name, 'name' FROM nation WHERE n_nationkey % 2 <> 0 UNION ALL SELECT n_name, 'description' FROM nation)""",
     "orphan_stories": """WITH o AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'epic-' || o_custkey ELSE o_custkey || '-' || o_orderkey || '-story' END AS key, o_custkey AS c, o_orderkey % 5 = 0 AS epic, o_orderstatus = 'O' AS running FROM orders)
         SELECT key, 'orphan-story' AS finding FROM o WHERE NOT epic AND c NOT IN (SELECT c FROM o WHERE epic) UNION SELECT key, 'empty-epic' FROM o WHERE epic AND running AND c NOT IN (SELECT c FROM o WHERE NOT epic)""",
