@@ -147,6 +147,17 @@ def module_verdicts(spark, folder):
     return verdict.select("module", "status", "total", "n_critical", "n_high", "n_medium", "kind", *(F.coalesce(c, F.lit("-")).alias(c) for c in ("code", "name")), F.coalesce("n_entries", F.lit(-1)).alias("n_entries"))
 
 
+def yaml_nested(spark, folder):
+    """Every order as nested YAML, its lines a list of mappings in one of two layouts, read back as paths."""
+    text = lambda c: F.col(c).cast("string")
+    pad = F.when(F.col("l_orderkey") % 2 == 0, "  ").otherwise("")
+    line = F.concat(pad, F.lit("- part: "), text("l_partkey"), F.lit("  # no part of it\n"), pad, F.lit("  note: '"), F.col("l_returnflag"), F.lit(": # kept'\n"), pad, F.lit("  tags:\n"), pad, F.lit("    - "), F.col("l_linestatus"), F.lit("\n"), pad, F.lit('    - "'), text("l_suppkey"), F.lit('"'))
+    listed = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    orders = table(spark, folder, "orders").join(listed, "o_orderkey")
+    whole = F.concat(F.lit("---\n# an order\norder:\n  key: "), text("o_orderkey"), F.lit("\n  customer:\n    id: "), text("o_custkey"), F.lit("\n    about: >\n      folded: text\n      - more\n  status: "), F.col("o_orderstatus"), F.lit("\nlines:\n"), F.col("lines"), F.lit("\nend: [a, b]\n"))
+    return orders.select("o_orderkey", F.explode(source.yaml_entries(whole)).alias("e")).select("o_orderkey", "e.path", "e.value")
+
+
 def definition_findings(spark, folder):
     """Fields that definitions made of nations lack."""
     made = F.create_map(F.lit("code"), F.when(F.col("n_regionkey") == 2, "").otherwise(F.col("n_name")), F.when(F.col("n_nationkey") % 2 == 0, "name").otherwise("title"), F.col("n_name"))
@@ -169,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         config_resolved, config_kept, config_written, default_answers, key_value_args, settings_scan, catalog_cells, module_structure, module_file_counts, module_copy_set, cleanup_targets,
-        skills_not_installed, capability_tables, catalog_findings, module_verdicts, definition_findings, orphan_stories, open_categories,
+        skills_not_installed, capability_tables, catalog_findings, module_verdicts, yaml_nested, definition_findings, orphan_stories, open_categories,
     )
 }
 
@@ -230,6 +241,10 @@ ORACLES = {
         SELECT CAST(m AS VARCHAR) AS module, CASE WHEN coalesce(n_critical + n_high, 0) > 0 THEN 'fail' ELSE 'pass' END AS status, coalesce(total, 0) AS total, coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, kind,
                CASE WHEN stop = 1 THEN '-' WHEN m % 7 = 0 THEN '' ELSE CAST(m AS VARCHAR) END AS code, CASE WHEN stop = 1 THEN '-' ELSE 'Order: ' || st END AS name, coalesce(n_entries, -1) AS n_entries
         FROM stop JOIN o USING (m) LEFT JOIN n USING (m) LEFT JOIN x USING (m)""",
+    "yaml_nested": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n FROM lineitem), o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM l))
+        SELECT o_orderkey, 'order.key' AS path, CAST(o_orderkey AS VARCHAR) AS value FROM o UNION ALL SELECT o_orderkey, 'order.customer.id', CAST(o_custkey AS VARCHAR) FROM o UNION ALL SELECT o_orderkey, 'order.status', o_orderstatus FROM o UNION ALL SELECT o_orderkey, 'end', '[a, b]' FROM o
+        UNION ALL SELECT l_orderkey, 'lines.' || n || '.part', CAST(l_partkey AS VARCHAR) FROM l UNION ALL SELECT l_orderkey, 'lines.' || n || '.note', l_returnflag || ': # kept' FROM l
+        UNION ALL SELECT l_orderkey, 'lines.' || n || '.tags.0', l_linestatus FROM l UNION ALL SELECT l_orderkey, 'lines.' || n || '.tags.1', CAST(l_suppkey AS VARCHAR) FROM l""",
     "definition_findings": """SELECT n_name AS module, 'high' AS severity, 'yaml' AS category, detail FROM (SELECT n_name, 'code' AS detail FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_name, 'name' FROM nation WHERE n_nationkey % 2 <> 0 UNION ALL SELECT n_name, 'description' FROM nation)""",
     "orphan_stories": """WITH o AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'epic-' || o_custkey ELSE o_custkey || '-' || o_orderkey || '-story' END AS key, o_custkey AS c, o_orderkey % 5 = 0 AS epic, o_orderstatus = 'O' AS running FROM orders)
         SELECT key, 'orphan-story' AS finding FROM o WHERE NOT epic AND c NOT IN (SELECT c FROM o WHERE epic) UNION SELECT key, 'empty-epic' FROM o WHERE epic AND running AND c NOT IN (SELECT c FROM o WHERE NOT epic)""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storylake.functions.text import strip_white
+from storylake.functions.text import bound, strip_white
 
 
 def front_matter(text: Column) -> Column:
@@ -32,6 +32,54 @@ def key_values(block: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def yaml_entries(text: Column) -> Column:
+    """``array<struct<path, value>>`` of nested mappings and lists: ``a.b.0.c`` and the scalar that stands there, in the order of the text.
+
+    One fold over the lines with a stack of what they are indented under. A key
+    at column c ranks 2c, a list at column c 2c + 1, so that items may stand as
+    deep as the key they belong to; a line ends all that ranks as high as itself.
+    Quotes around keys and scalars go, comments and document marks are left out,
+    keys without a scalar have entries for what stands below them only. Scalars
+    in brackets stay text; folded and literal blocks are left out. A file of
+    settings is one value of the fold, which copies its entries as it goes.
+    """
+    unquoted = lambda v: F.when(F.rlike(v, F.lit("(?s)^\".*\"$|^'.*'$")) & (F.length(v) > 1), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: ~F.rlike(x, F.lit(r"^\s*(?:#.*)?$|^---|^\.\.\.")))
+
+    def told(line):
+        """Column, dash, column behind it, key and scalar of one line."""
+        dash = F.regexp_extract(line, r"^ *(-(?: +|$))", 1)
+        column = F.length(F.regexp_extract(line, "^( *)", 1))
+        rest = F.substring(line, column + F.length(dash) + 1, F.length(line))
+        key = F.regexp_extract(rest, "^(\"[^\"]*\"|'[^']*'|[^\\s:\"'\\[{][^:]*):(?:\\s|$)", 1)
+        after = F.when(key != "", F.substring(rest, F.length(key) + 2, F.length(line))).otherwise(rest)
+        quoted = F.regexp_extract(F.trim(after), "^(\"[^\"]*\"|'[^']*')\\s*(?:#.*)?$", 1)
+        value = F.when(quoted != "", unquoted(quoted)).otherwise(F.trim(F.regexp_replace(after, r"(?:^|\s)#.*$", "")))
+        return F.struct(column.alias("column"), (dash != "").alias("item"), (column + F.length(dash)).alias("at"), unquoted(F.trim(key)).alias("key"), value.alias("value"), (quoted != "").alias("quoted"))
+
+    entry, level = "array<struct<path: string, value: string>>", "array<struct<rank: int, name: string>>"
+    start = F.struct(F.array().cast(level).alias("under"), F.array().cast(entry).alias("found"), F.lit(-1).alias("block"))
+
+    def step(acc, x):
+        rank = 2 * x["column"] + 1
+        above = F.filter(acc["under"], lambda u: u["rank"] < F.when(x["item"], rank).otherwise(rank - 1))
+        same = F.filter(acc["under"], lambda u: u["rank"] == rank)
+        number = F.when(F.size(same) > 0, F.get(same, F.lit(0))["name"].cast("int") + 1).otherwise(0).cast("string")
+        base = F.when(x["item"], F.concat(above, F.array(F.struct(rank.cast("int").alias("rank"), number.alias("name"))))).otherwise(above)
+        skipped = (acc["block"] >= 0) & (x["column"] > acc["block"])
+        blocked = ~x["quoted"] & F.rlike(x["value"], F.lit(r"^[>|][-+0-9]*$"))
+
+        def moved(path):
+            under = F.when(x["key"] != "", F.concat(path, F.array(F.struct((2 * x["at"]).cast("int").alias("rank"), x["key"].alias("name"))))).otherwise(path)
+            name = F.array_join(F.transform(under, lambda u: u["name"]), ".")
+            put = ((x["value"] != "") | x["quoted"]) & ~blocked & (F.size(under) > 0)
+            return F.struct(F.when(skipped, acc["under"]).otherwise(under).alias("under"), F.when(put & ~skipped, F.concat(acc["found"], F.array(F.struct(name.alias("path"), x["value"].alias("value"))))).otherwise(acc["found"]).alias("found"), F.when(skipped, acc["block"]).when(blocked, x["column"]).otherwise(-1).alias("block"))
+
+        return bound(base, moved)
+
+    return F.aggregate(F.transform(lines, told), start, step, lambda acc: acc["found"])
+
+
 def content_lines(text: Column) -> Column:
     """Lines that aren't blank, without front matter."""
     body = F.regexp_replace(text, r"(?s)\A---\s*\n(.*?)\n---\s*\n", "")

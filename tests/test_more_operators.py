@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from storylake.functions import text as tx
 from storylake.operators import config, extraction, player, scripts, skills
 from storylake.sources.library import left_to_read, open_library, upserted, write_checkpoints, write_volumes
-from storylake.sources.settings import csv_cells
+from storylake.sources.settings import csv_cells, yaml_entries
 
 
 def one(spark, value, kind, build):
@@ -80,3 +80,39 @@ def test_facts_of_sources():
         (1, "import", "os.path"), (1, "import", "re"), (2, "import", "json"), (4, "call", "dumps"), (4, "call", "exit"), (4, "call", "input"), (5, "attribute", "ArgumentParser")
     ]
     assert facts("") == [] and facts("dumps(1); from . import x") == []
+
+
+YAML = """---
+# definition
+code: abc   # short
+"name": 'It: is # it'
+empty:
+variables:
+  lang:
+    prompt: "Which: one?"
+    default: en
+    options:
+    - a
+    - key: b
+      text: |
+        not: an entry
+        - nor this
+      deep:
+        - - x
+  out: {project-root}/o
+list:
+  - 1
+  -
+    k: v
+last: ""
+url: http://x/y#z
+"""
+
+
+def test_yaml_entries(spark):
+    found = spark.createDataFrame([(YAML,), (None,), ("- a\n- b: c\n",)], "t string").select(yaml_entries(F.col("t")).alias("e")).collect()
+    assert [tuple(e) for e in found[0].e] == [
+        ("code", "abc"), ("name", "It: is # it"), ("variables.lang.prompt", "Which: one?"), ("variables.lang.default", "en"), ("variables.lang.options.0", "a"), ("variables.lang.options.1.key", "b"),
+        ("variables.lang.options.1.deep.0", "- x"), ("variables.out", "{project-root}/o"), ("list.0", "1"), ("list.1.k", "v"), ("last", ""), ("url", "http://x/y#z"),
+    ]
+    assert found[1].e == [] and [tuple(e) for e in found[2].e] == [("0", "a"), ("1.b", "c")]
