@@ -6,6 +6,7 @@ Arrow batches, because markup has no form in SQL functions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storylake.operators.extraction import headless, trimmed
 from storylake.sources.shared import Rounds
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -21,56 +23,98 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 @dataclass(frozen=True)
 class Site:
-    """Where a site keeps its fields: tag names, with a class where given as ``tag.class``."""
+    """Where a site keeps its fields.
 
-    title: str = "h1"
+    Places are ``tag.class#id`` steps, a space before what lies somewhere below
+    and ``>`` before a child; of several places for a field the first that a page
+    has counts. ``decides`` tells whether the first link at ``next_link`` is the
+    only one looked at. ``clean``, ``headless`` and ``noise`` take the number off
+    a title, a leading header off the lines, and site noise off both their ends.
+    """
+
+    title: tuple[str, ...] = ("h1",)
     content: str = "article"
-    story: str = "title"
+    story: tuple[str, ...] = ("title",)
+    story_prefix: str = ""
+    next_link: str = "a.next"
     next_text: str = "Sau"
-    next_class: str = "next"
+    decides: bool = False
+    clean: bool = False
+    headless: bool = False
+    noise: bool = False
     dropped: frozenset[str] = field(default=frozenset({"script", "style"}))
 
 
-SITES = {"default": Site(), "boxed": Site(content="div.content", dropped=frozenset({"script", "style", "div"}))}
+# Where three kinds of sites keep their fields.
+SITES = {
+    "default": Site(),
+    "boxed": Site(content="div.content", dropped=frozenset({"script", "style", "div"})),
+    "breadcrumb": Site(("div.c-breadcrumb-wrapper li.active",), "div.reading-content", ("div.c-breadcrumb-wrapper a",), next_link="div.nav-next a", next_text="", decides=True, clean=True, headless=True),
+    "captioned": Site(("h2",), "#noidungchap", ("div.portlet-title>div>h1", "div.caption>h1.read"), r"^Đọc truyện\s+", next_link="", noise=True, dropped=frozenset({"script", "style", "div"})),
+    "nested": Site(("h2",), "div.vung-doc>div.truyen", ("h1",), next_link="#gotochap a.next", next_text="", decides=True),
+}
+
+
+def _steps(place: str) -> list[tuple[str, str, str, bool]]:
+    """Tag, class, id and whether it must be the parent's child, of every step, the last one first."""
+    found = re.findall(r"([> ]?)\s*([\w-]*)(?:\.([\w-]+))?(?:#([\w-]+))?", place)
+    return [(tag, name, own, sign == ">") for sign, tag, name, own in found if tag or name or own][::-1]
 
 
 class _Fields(HTMLParser):
+    """The first element at each place: its text, or for the content its lines."""
+
     def __init__(self, site: Site):
         super().__init__(convert_charrefs=True)
         self.site, self.stack = site, []
-        self.found = {"title": None, "story": None}
+        self.places = {p: _steps(p) for p in (*site.title, *site.story)}
+        self.content, self.link = _steps(site.content), _steps(site.next_link)
+        self.found = dict.fromkeys(self.places)
         self.lines: list[str] = []
-        self.inside, self.skip, self.next_url, self._link = -1, -1, None, None
-
-    def _is(self, rule: str, tag: str, classes: list[str]) -> bool:
-        name, _, wanted = rule.partition(".")
-        return tag == name and (not wanted or wanted in classes)
+        self.inside, self.skip, self.next_url, self.decided, self._link = -1, -1, None, False, None
+
+    def _is(self, steps: list[tuple[str, str, str, bool]]) -> bool:
+        """Whether the innermost open element is at a place."""
+        fits = lambda e, s: (not s[0] or e[0] == s[0]) and (not s[1] or s[1] in e[1]) and (not s[2] or e[2] == s[2])
+        at = len(self.stack) - 1
+        if not steps or not fits(self.stack[at], steps[0]):
+            return False
+        for (*_, child), step in zip(steps, steps[1:]):
+            at -= 1
+            while at >= 0 and not child and not fits(self.stack[at], step):
+                at -= 1
+            if at < 0 or not fits(self.stack[at], step):
+                return False
+        return True
 
     def handle_starttag(self, tag, attributes):
         if tag in _VOID:
             return
         values = dict(attributes)
         classes = (values.get("class") or "").split()
-        for key in self.found:
-            if self.found[key] is None and self._is(getattr(self.site, key), tag, classes):
-                self.found[key] = [len(self.stack), []]
-        if self.inside < 0 and not self.lines and self._is(self.site.content, tag, classes):
-            self.inside = len(self.stack)
+        self.stack.append((tag, classes, values.get("id") or ""))
+        depth = len(self.stack) - 1
+        for place, steps in self.places.items():
+            if self.found[place] is None and self._is(steps):
+                self.found[place] = [depth, []]
+        if self.inside < 0 and not self.lines and self._is(self.content):
+            self.inside = depth
         elif self.skip < 0 and tag in self.site.dropped:
-            self.skip = len(self.stack)
+            self.skip = depth
         if tag == "a":
-            self._link = (values.get("href"), classes)
-            if self.next_url is None and self.site.next_class in classes and "disabled" not in classes:
-                self._take(values.get("href"))
-        self.stack.append(tag)
+            self._link = values.get("href")
+            if self.next_url is None and not self.decided and self._is(self.link):
+                self.decided = self.site.decides
+                if "disabled" not in classes:
+                    self._take(self._link)
 
     def _take(self, href):
         if href and href != "#":
             self.next_url = href
 
     def handle_endtag(self, tag):
-        if tag in self.stack:
-            while self.stack.pop() != tag:
+        if any(e[0] == tag for e in reversed(self.stack)):
+            while self.stack.pop()[0] != tag:
                 pass
             depth = len(self.stack)
             if self.inside >= depth:
@@ -79,7 +123,7 @@ class _Fields(HTMLParser):
                 self.skip = -1
             for got in self.found.values():
                 if got and got[0] >= depth:
-                    got[0] = len(self.stack) + 10**6
+                    got[0] = depth + 10**6
             if tag == "a":
                 self._link = None
 
@@ -87,8 +131,8 @@ class _Fields(HTMLParser):
         for got in self.found.values():
             if got and got[0] < len(self.stack):
                 got[1].append(data)
-        if self._link and self.next_url is None and data.strip() == self.site.next_text:
-            self._take(self._link[0])
+        if self._link and self.next_url is None and self.site.next_text and data.strip() == self.site.next_text:
+            self._take(self._link)
         if 0 <= self.inside < len(self.stack) and self.skip < 0 and (text := data.strip()):
             self.lines += [line for part in text.split("\n") if (line := part.strip())]
 
@@ -98,8 +142,8 @@ def page_fields(html: str | None, site: Site) -> dict:
     parser = _Fields(site)
     parser.feed(html or "")
     parser.close()
-    text = {k: " ".join("".join(v[1]).split()) if v else None for k, v in parser.found.items()}
-    return {"title": text["title"] or "Unknown", "story_title": text["story"], "paragraphs": parser.lines, "next_url": parser.next_url, "error": None if parser.lines else "no content"}
+    text = lambda places: next((" ".join("".join(parser.found[p][1]).split()) for p in places if parser.found[p]), None)
+    return {"title": text(site.title) or "Unknown", "story_title": text(site.story), "paragraphs": parser.lines, "next_url": parser.next_url, "error": None if parser.lines else "no content"}
 
 
 _FIELDS = pa.schema([("title", pa.string()), ("story_title", pa.string()), ("paragraphs", pa.list_(pa.string())), ("next_url", pa.string()), ("error", pa.string())])
@@ -117,7 +161,11 @@ def extract(pages: DataFrame, site: str = "default", id_col: str = "page_id", ht
             found = pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], names=["page_id", *_FIELDS.names])
 
-    return kept.mapInArrow(run, f"page_id {kept.schema['page_id'].dataType.simpleString()}, {FIELDS_DDL}")
+    found = kept.mapInArrow(run, f"page_id {kept.schema['page_id'].dataType.simpleString()}, {FIELDS_DDL}")
+    lines = F.col("paragraphs")
+    lines = headless(lines) if rules.headless else lines
+    told = {"paragraphs": trimmed(lines) if rules.noise else lines, "story_title": F.trim(F.regexp_replace("story_title", rules.story_prefix, "")) if rules.story_prefix else F.col("story_title")}
+    return found.withColumns(told | {"title": clean_title(F.col("title")) if rules.clean else F.col("title")})
 
 
 def before_first_error(fields: DataFrame, chain: str, order: str) -> DataFrame:

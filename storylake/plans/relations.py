@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storylake.operators import access, cache, graph, html, library, merge, templates, tracking
+from storylake.functions import text
+from storylake.operators import access, cache, extraction, graph, html, library, merge, templates, tracking
 from storylake.sources.tables import table
 from storylake.streaming import progress
 
@@ -177,6 +178,20 @@ def html_links(spark, folder):
     return html.extract(table(spark, folder, "pages")).select("page_id", "next_url", "error")
 
 
+def site_fields(spark, folder):
+    """Fields of documents as chapters of three sites, each with its own places, noise and ways on."""
+    rows = table(spark, folder, "documents").select("doc_id", F.col("source").alias("s"), F.regexp_replace(text.xml_escaped(F.coalesce("text", F.lit(""))), "\r", " ").alias("t"))
+    n = F.col("doc_id").cast("string")
+    title = F.concat(F.lit("Chương "), n, F.lit(": of "), F.col("s"))
+    parts = {
+        "breadcrumb": (F.lit("<div class='x c-breadcrumb-wrapper'><ol><li>x</li><li><a href=/>"), F.col("s"), F.lit("</a></li><li class=active>"), title, F.lit("</li></ol></div><li class=active>no</li><div class=reading-content><p>"), title, F.lit("</p><p>"), F.col("t"), F.lit("</p></div><a href=/no>Sau</a><div class=nav-next>"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<a href=/c"), n, F.lit(">on</a>"))).otherwise("<a href=''>on</a><a href=/no>on</a>"), F.lit("</div>")),
+        "captioned": (F.lit("<div class=caption><h1 class=read>Đọc truyện "), F.col("s"), F.lit("</h1></div><h2>"), title, F.lit("</h2><div id=noidungchap>Người đăng: me\n<div>none of it</div>"), F.col("t"), F.lit("\nsite.com</div><a href=/c"), n, F.lit("> Sau </a>")),
+        "nested": (F.lit("<h1>"), F.col("s"), F.lit("</h1><h2>"), title, F.lit("</h2><div class=truyen>no</div><div class=vung-doc><div class=truyen>"), F.col("t"), F.lit("</div></div><a class=next href=/no>x</a><div id=gotochap><a class='btn next"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(" disabled"), F.lit("' href=/c"), n, F.lit(">x</a></div>")),
+    }
+    found = [html.extract(rows.where(F.col("doc_id") % 3 == i).select("doc_id", F.concat(*made).alias("html")), site, "doc_id", "html").withColumn("site", F.lit(site)) for i, (site, made) in enumerate(parts.items())]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("site", F.col("page_id").alias("doc_id"), "title", "story_title", F.size("paragraphs").alias("n_lines"), F.md5(F.array_join("paragraphs", "\n")).alias("lines_md5"), F.coalesce("next_url", F.lit("-")).alias("next_url"))
+
+
 def url_slug(spark, folder):
     """Slugs, and links joined to the site of every page."""
     href = F.element_at(F.array(*map(F.lit, ("/top", "next.html", "//cdn.example.com/x", "https://other.example/y"))), (F.col("page_id") % 4 + 1).cast("int"))
@@ -201,7 +216,9 @@ def progress_batch(spark, folder):
     return library.latest_progress(table(spark, folder, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("slug"), F.get_json_object("props", "$.k").try_cast("int").alias("chapter_idx")))
 
 
-QUERIES = {f.__name__: f for f in (anti_zombie_merge, merge_summary, config_overlay, missing_and_orphans, dup_keys, ref_integrity, dep_closure, dep_cycles, dep_redundant, dep_levels, dep_cycle_paths, page_chains, basic_auth_decode, access_decision, route_filter, template_vars, template_conditionals, sprint_counts, next_story, status_merge, html_title, html_paragraphs, html_links, url_slug, stream_progress, stream_cache, progress_batch)}
+_WS = r"[\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+QUERIES = {f.__name__: f for f in (anti_zombie_merge, merge_summary, config_overlay, missing_and_orphans, dup_keys, ref_integrity, dep_closure, dep_cycles, dep_redundant, dep_levels, dep_cycle_paths, page_chains, basic_auth_decode, access_decision, route_filter, template_vars, template_conditionals, sprint_counts, next_story, status_merge, html_title, html_paragraphs, html_links, site_fields, url_slug, stream_progress, stream_cache, progress_batch)}
 
 _PARTS = """t AS (SELECT p_partkey, p_brand, p_size FROM part),
   s AS (SELECT p_partkey, p_brand, p_size + 100 AS p_size FROM part WHERE p_brand IN ('Brand#1', 'Brand#11', 'Brand#23') AND p_partkey % 2 = 0),
@@ -248,6 +265,12 @@ ORACLES = {
         w(start, id, depth) AS (SELECT page_id, page_id, 0 FROM pages WHERE page_id < 3 OR page_id % 50 = 0
             UNION ALL SELECT start, nxt, depth + 1 FROM w JOIN l USING (id) WHERE nxt IN (SELECT page_id FROM pages) AND depth <= (SELECT count(*) FROM pages))
         SELECT CAST(start AS VARCHAR) AS start, CAST(id AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY start, id""",
+    "site_fields": f"""WITH t AS (SELECT doc_id, source AS s, doc_id % 3 AS k, replace(coalesce(text, ''), chr(13), ' ') AS text FROM documents),
+        l AS (SELECT doc_id, s, k, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '') AS l FROM t),
+        g AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: NOT regexp_matches(l[i], '{"|".join(extraction.NOISE)}')) AS good FROM l),
+        p AS (SELECT *, CASE WHEN k <> 1 THEN l WHEN len(good) = 0 THEN [] ELSE l[list_min(good):list_max(good)] END AS p FROM g)
+        SELECT CASE k WHEN 0 THEN 'breadcrumb' WHEN 1 THEN 'captioned' ELSE 'nested' END AS site, doc_id, CASE WHEN k = 0 THEN 'of ' || s ELSE 'Chương ' || doc_id || ': of ' || s END AS title, s AS story_title,
+               CAST(len(p) AS INTEGER) AS n_lines, md5(coalesce(array_to_string(p, chr(10)), '')) AS lines_md5, CASE WHEN k = 1 OR doc_id % 2 = 0 THEN '/c' || doc_id ELSE '-' END AS next_url FROM p""",
     "basic_auth_decode": f"WITH {_REQ} SELECT event_id, CASE WHEN ok THEN split_part(pair, ':', 1) ELSE '-' END AS username, CASE WHEN ok THEN split_part(pair, ':', 2) ELSE '-' END AS password FROM q",
     "access_decision": f"WITH {_REQ} SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 200 WHEN event_id % 13 = 0 THEN 500 WHEN ok AND pair = 'click:7' THEN 200 ELSE 401 END AS status_code FROM q",
     "template_vars": "SELECT c_custkey, 'Hi ' || c_name || ' of ' || c_nationkey || ', {none} {other}' AS text FROM customer",

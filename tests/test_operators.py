@@ -282,6 +282,12 @@ def test_page_fields(spark):
     assert got[2].error == got[3].error == "no content" and got[3].title == "Unknown"
     boxed = PAGE.replace("<article>", '<div class="content">').replace("</article>", "</div>")
     assert html.page_fields(boxed, html.SITES["boxed"])["paragraphs"] == ["A", "b", "c"]
+    crumbs = "<div class=c-breadcrumb-wrapper><a> Tale </a><ol><li>x<li class=active>Chương 2: Two</ol></div><div class=reading-content>Chương 2: Two\nline</div><div class=nav-next><a href='#'>x</a><a href=/3>y</a></div><a href=/4>Sau</a>"
+    row = html.extract(spark.createDataFrame([(1, crumbs)], "page_id int, html string"), "breadcrumb").first()
+    assert (row.title, row.story_title, row.paragraphs, row.next_url) == ("Two", "Tale", ["line"], None)
+    both = "<div class='portlet-title'><div><h1>Đọc truyện A</h1></div></div><div class=caption><h1 class=read>B</h1></div><h2>T</h2><p id=noidungchap>x.com\nreal<div>no</div>\nx.net</p>"
+    assert html.extract(spark.createDataFrame([(1, both)], "page_id int, html string"), "captioned").select("story_title", "paragraphs").first() == ("A", ["real"])
+    assert html.page_fields("<div class=truyen>no</div><div class=vung-doc><p><div class=truyen>no</div></p><div class=truyen>yes</div></div>", html.SITES["nested"])["paragraphs"] == ["yes"]
     assert column(spark, ["Chương 12: X", "Chương 3."], "string", html.clean_title) == ["X", "Chương 3."]
 
 
