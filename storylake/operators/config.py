@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storylake.functions.text import bound
+
 from storylake.operators.merge import with_default
 from storylake.operators.templates import filled, result_of
 
@@ -43,11 +45,21 @@ def parsed_int(text: Column) -> Column:
 
 
 def request_fields(body: Column) -> Column:
-    """``struct<texts, rate>`` of a JSON request: a string ``text`` or the strings of ``paragraphs``, trimmed, blank ones dropped; rate 1 unless numeric."""
-    text = F.get_json_object(body, "$.text")
-    listed = F.from_json(F.get_json_object(body, "$.paragraphs"), "array<string>")
-    texts = F.filter(F.transform(F.when(listed.isNotNull(), listed).otherwise(F.array(text)), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
-    return F.struct(texts.alias("texts"), F.coalesce(F.get_json_object(body, "$.rate").try_cast("double"), F.lit(1.0)).alias("rate"))
+    """``struct<texts, rate>`` of a JSON request: the strings of a list ``paragraphs`` or else a string ``text``, trimmed, blank ones dropped; rate 1 unless a number.
+
+    Values count by their type: a number is no text, and a quoted number no rate.
+    """
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    at = lambda v, field: F.try_variant_get(v, f"$.{field}", "variant")
+    strings = lambda values: F.transform(F.filter(values, lambda v: kind(v) == "STRING"), lambda v: F.trim(F.try_variant_get(v, "$", "string")))
+
+    def fields(v):
+        listed, text, rate = F.try_variant_get(v, "$.paragraphs", "array<variant>"), at(v, "text"), at(v, "rate")
+        texts = strings(F.when(F.startswith(kind(at(v, "paragraphs")), F.lit("ARRAY")), listed).otherwise(F.array(text)))
+        number = F.when(F.rlike(kind(rate), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), F.try_variant_get(v, "$.rate", "double"))
+        return F.struct(F.filter(texts, lambda t: t != "").alias("texts"), F.coalesce(number, F.lit(1.0)).alias("rate"))
+
+    return bound(F.try_parse_json(body), fields)
 
 
 def rooted(settings: Column, root: Column) -> Column:

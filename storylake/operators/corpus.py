@@ -28,6 +28,7 @@ COMPANIONS = (
     r"^(.+?)(?:-appendix|-addendum)(?:-\w+)?\.(\w+)$",
     r"^(.+?)(?:-review|-feedback)\.(\w+)$",
 )
+# Up to how many files and tokens a corpus is read in one go, what isn't entered, and what counts as text.
 SINGLE_FILES, SINGLE_TOKENS, SPLIT_TOKENS = 3, 15_000, 5_000
 SKIPPED_DIRS = ("node_modules", ".git", "__pycache__", ".venv", "venv", ".claude", ".cursor", ".vscode")
 TEXT_FILES = (".md", ".txt", ".yaml", ".yml", ".json")

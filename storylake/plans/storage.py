@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storylake.functions import text as tx
-from storylake.operators import chunks, config, extraction, library, player, reports, scripts, volumes
+from storylake.operators import chunks, config, corpus, extraction, library, player, reports, scripts, tracking, volumes
 from storylake.sources import library as files
 from storylake.sources import settings as source
 from storylake.sources.shared import shared_path
@@ -143,10 +143,29 @@ def local_progress(spark, folder):
 
 
 def request_bodies(spark, folder):
-    """Texts and rate of requests made of every turn: a text, a list with blanks, or neither."""
-    body = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("  "), F.col("text"), F.lit(" ")).alias("text"), F.lit(1.5).alias("rate")))).when(F.col("turn") % 3 == 1, F.to_json(F.struct(F.array(F.col("role"), F.lit(" "), F.col("text")).alias("paragraphs"), F.lit("fast").alias("rate")))).otherwise(F.lit("{}"))
+    """Texts and rate of requests made of every turn: a text, lists with blanks and other values, values of the wrong type, or nothing."""
+    quoted = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
+    bodies = (
+        F.to_json(F.struct(F.concat(F.lit("  "), F.col("text"), F.lit(" ")).alias("text"), F.lit(1.5).alias("rate"))), F.to_json(F.struct(F.array(F.col("role"), F.lit(" "), F.col("text")).alias("paragraphs"), F.lit("fast").alias("rate"))),
+        F.lit('{"text": 7, "rate": "1.5"}'), F.concat(F.lit('{"paragraphs": [3, '), quoted, F.lit(', null, true, ["x"]], "rate": 2}')), F.lit("{broken"), F.concat(F.lit('{"paragraphs": {"a": 1}, "rate": true, "text": '), quoted, F.lit("}")),
+    )
+    body = F.element_at(F.array(*bodies), (F.col("turn") % 6 + 1).cast("int"))
     found = table(spark, folder, "conversations").select("conv_id", "turn", config.request_fields(body).alias("r"))
-    return found.select("conv_id", "turn", F.size(F.coalesce("r.texts", F.array().cast("array<string>"))).alias("n"), F.md5(F.coalesce(F.array_join("r.texts", "|"), F.lit(""))).alias("texts_md5"), "r.rate")
+    return found.select("conv_id", "turn", F.size(F.coalesce("r.texts", F.array().cast("array<string>"))).alias("n"), F.md5(F.coalesce(F.array_join("r.texts", "|"), F.lit(""))).alias("texts_md5"), F.coalesce("r.rate", F.lit(1.0)).alias("rate"))
+
+
+def input_files(spark, folder):
+    """Text files of a tree made of documents, some listed twice, some under folders that are skipped."""
+    place = F.element_at(F.array(*map(F.lit, ("docs", "node_modules/x", "a/.git", "venv2", "b/__pycache__/c"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".py", ".tar.json", "", ".yml/x"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    files = table(spark, folder, "documents").select(F.concat_ws("/", "source", place, F.concat(F.lit("f"), F.floor(F.col("doc_id") / 2).cast("string"), ending)).alias("path"), "lang")
+    return corpus.resolve(files.select("path").unionByName(files.where("lang = 'en'").select("path")))
+
+
+def story_keys(spark, folder):
+    """Keys of stories whose titles are the texts of turns."""
+    title = F.concat(F.lit("Story "), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit(": "), F.col("text"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.md5(tracking.story_key(title)).alias("key_md5"))
 
 
 def route_params(spark, folder):
@@ -273,7 +292,7 @@ def volume_metadata(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        volumes_round_trip, index_round_trip, copied_library, library_stories, library_rebuilt, library_resolved, library_checkpoints, checkpoint_upsert, checkpoint_resume, catalog_round_trip, csv_round_trip, settings_round_trip, report_round_trip, local_progress, request_bodies, route_params,
+        volumes_round_trip, index_round_trip, copied_library, library_stories, library_rebuilt, library_resolved, library_checkpoints, checkpoint_upsert, checkpoint_resume, catalog_round_trip, csv_round_trip, settings_round_trip, report_round_trip, local_progress, request_bodies, input_files, story_keys, route_params,
         player_targets, active_paragraphs, chapter_lines, audio_in_order, iso_stamps, stale_orders, report_prompts, sorted_listings, source_literals, stream_ttl_cache, stream_audio_cache, stream_batches, stream_resumed, volume_metadata,
     )
 }
@@ -305,8 +324,12 @@ ORACLES = {
     "report_round_trip": """WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)
         SELECT CAST(doc_id AS VARCHAR) AS name, CAST(count(*) AS INTEGER) AS finding_count, CAST(count(*) FILTER (WHERE length(line) > 800) AS INTEGER) AS n_high, CAST(min(line_no) AS INTEGER) AS first_line FROM l WHERE length(line) > 300 GROUP BY doc_id""",
     "local_progress": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), -1) END AS k FROM events",
-    "request_bodies": """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN (trim(text) <> '')::INT WHEN 1 THEN (trim(role) <> '')::INT + (trim(text) <> '')::INT ELSE 0 END AS n,
-        md5(CASE turn % 3 WHEN 0 THEN trim(text) WHEN 1 THEN trim(role) || '|' || trim(text) ELSE '' END) AS texts_md5, CASE turn % 3 WHEN 0 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS rate FROM conversations""",
+    "request_bodies": """WITH b AS (SELECT *, trim(text) AS t, turn % 6 AS k FROM conversations)
+        SELECT conv_id, turn, CAST(CASE WHEN k IN (0, 3, 5) THEN (t <> '')::INT WHEN k = 1 THEN (trim(role) <> '')::INT + (t <> '')::INT ELSE 0 END AS INTEGER) AS n,
+        md5(CASE WHEN k IN (0, 3, 5) THEN t WHEN k = 1 THEN trim(role) || '|' || t ELSE '' END) AS texts_md5, CASE k WHEN 0 THEN 1.5::DOUBLE WHEN 3 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS rate FROM b""",
+    "input_files": """WITH f AS (SELECT source || '/' || (['docs', 'node_modules/x', 'a/.git', 'venv2', 'b/__pycache__/c'])[doc_id % 5 + 1] || '/f' || doc_id // 2 || (['.md', '.TXT', '.py', '.tar.json', '', '.yml/x'])[doc_id % 6 + 1] AS path FROM documents)
+        SELECT DISTINCT path FROM f WHERE regexp_matches(lower(path), '[.](md|txt|yaml|yml|json)$') AND NOT list_has_any(string_split(path, '/')[:-2], ['node_modules', '.git', '__pycache__', '.venv', 'venv', '.claude', '.cursor', '.vscode'])""",
+    "story_keys": """SELECT conv_id, turn, md5(regexp_replace(regexp_replace(lower(conv_id || '.' || turn || ': ' || text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS key_md5 FROM conversations""",
     "route_params": "SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN o_orderkey WHEN 1 THEN o_custkey WHEN 3 THEN -o_custkey ELSE -999999 END AS INTEGER) AS index FROM orders",
     "player_targets": """WITH t AS (SELECT conv_id, count(*) AS total FROM conversations GROUP BY conv_id), a AS (SELECT conv_id, total, unnest(range(0, total)) AS c FROM t)
         SELECT conv_id, CAST(c AS INTEGER) AS chunk, ([0.75, 1.0, 1.25, 1.5, 2.0])[c % 5 + 1]::DOUBLE AS rate, CAST(CASE WHEN (conv_id + c) % 7 > 3 THEN c ELSE greatest(c - 1, 0) END AS INTEGER) AS back, CAST(least(c + 1, total - 1) AS INTEGER) AS onward,
