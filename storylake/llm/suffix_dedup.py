@@ -7,7 +7,8 @@ one anchor form a fragment (at most 168 bytes).
 
 1. Fragments are described by hashes only and gather by anchor. An anchor seen
    once has no repeats. Of fragments equal as a whole only the earliest stays to
-   be looked at; the others repeat it in full.
+   be looked at; the others repeat it in full. Anchors that a task finds frequent
+   among its own fragments never gather: they go the way of point 2 at once.
 2. Where an anchor has several different fragments, their bytes are fetched and
    gathered into shards. Each shard gets a suffix array by induced sorting;
    permuted common prefixes of 100 or more mark equal windows, of which all but
@@ -38,6 +39,8 @@ REACH = LENGTH - GRAM  # an anchor starts at most so far behind its window
 SLICE, GATHERED, SHARD = 1 << 20, 1 << 24, 1 << 20
 #: Different fragments of an anchor up to which they are compared together, and windows of a piece beyond; change the way, not the result.
 HOT, PIECE = 512, 8
+#: Different fragments of an anchor among those of ``GATHERED`` bytes (some 500,000) from which it never gathers as a whole.
+MANY = 48
 #: Place of documents without an id: after all others.
 LAST = 2**63 - 1
 _FACTOR = 0x9E3779B97F4A7C15
@@ -129,8 +132,8 @@ def _documents(batches):
 
 NAMES = ["anchor", "whole", "doc", "tag", "first", "windows", "kind"]
 SCHEMA = "anchor long, whole long, doc long, tag long, first int, windows int, kind byte"
-#: Kinds of fragments: to be compared, repeating an earlier one as a whole, and one of very many of their anchor.
-OPEN, AGAIN, CROWDED = 0, 1, 2
+#: Kinds of fragments: to be compared, repeating an earlier one as a whole, one of very many of their anchor, and the same as a task tells it of its own.
+OPEN, AGAIN, CROWDED, FREQUENT = 0, 1, 2, 3
 
 
 def _rows(anchor, whole, doc, tag, first, windows, kind):
@@ -157,7 +160,9 @@ def _thinned(held):
     anchor, whole, doc, tag, first, windows = (a[order] for a in (anchor, whole, doc, tag, first, windows))
     # A known repeat needs no meeting: without its anchor it goes anywhere, so no anchor makes a task large.
     anchor = np.where(earliest, anchor, mix(doc.view(U) * STEP + first.astype(U)))
-    yield from _rows(anchor, np.where(earliest, whole, U(0)), doc, tag, first, windows, np.where(earliest, OPEN, AGAIN))
+    _, group, times = np.unique(anchor, return_inverse=True, return_counts=True)
+    kind = np.where(times[group] >= MANY, FREQUENT, OPEN)
+    yield from _rows(anchor, np.where(earliest, whole, U(0)), doc, tag, first, windows, np.where(earliest, kind, AGAIN))
 
 
 def _describe(batches):
@@ -195,7 +200,7 @@ def _meet(batches, crowd: int):
     for table in _whole_anchors(batches):
         anchor, whole, doc, tag, first, windows, kind = (c.to_numpy() for c in table.columns)
         anchor, whole = anchor.view(U), whole.view(U)
-        rest = np.flatnonzero(kind == OPEN)
+        rest = np.flatnonzero(kind != AGAIN)
         order, earliest = _in_order(anchor[rest], whole[rest], doc[rest], tag[rest], first[rest])
         order = rest[order]
         late = np.concatenate([np.flatnonzero(kind == AGAIN), order[~earliest]])
@@ -365,6 +370,23 @@ def _met(described: DataFrame, crowd: int, label: str) -> DataFrame:
     return written(gathered.mapInArrow(lambda batches: _meet(batches, crowd), SCHEMA).drop("whole"), label)
 
 
+def _spread(described: DataFrame, crowd: int) -> DataFrame:
+    """:func:`_met` without the anchors that some task has found frequent, all of whose fragments are crowded without a meeting.
+
+    Such an anchor may hold a large part of all fragments; one that no task finds
+    frequent holds less than one in ten thousand.
+    """
+    table = written(described, "described")
+    frequent = written(table.where(F.col("kind") == FREQUENT).select("anchor").distinct(), "frequent")
+    if frequent.isEmpty():
+        return _met(table, crowd, "fragments")
+    frequent = if_small(frequent)
+    known = F.col("kind") == AGAIN
+    rest = table.where(known).unionByName(table.where(~known).join(frequent, "anchor", "left_anti"))
+    crowded = table.where(~known).join(frequent, "anchor", "left_semi").withColumn("kind", F.lit(CROWDED).cast("byte")).drop("whole")
+    return _met(rest, crowd, "fragments").unionByName(written(crowded.select("anchor", "doc", "tag", "first", "windows", "kind"), "crowded"))
+
+
 def _asked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc, tag, text, asked``: the documents of the wanted fragments with these."""
     asked = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("asked"))
@@ -382,7 +404,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col), F.lit(""))
     placed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
     long_enough = placed.where(F.octet_length("text") >= LENGTH)
-    met = _met(long_enough.mapInArrow(_describe, SCHEMA), crowd, "fragments")
+    met = _spread(long_enough.mapInArrow(_describe, SCHEMA), crowd)
     crowded = met.where(F.col("kind") == CROWDED)
     if not crowded.isEmpty():
         # Pieces that meet here share all but a few bytes, so they need no further split.

@@ -6,6 +6,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from storylake.llm import suffix_dedup as sd
 from storylake.llm.suffix_array import permuted_prefixes, suffix_array
@@ -100,3 +101,21 @@ def test_lengths_around_the_limit(spark):
 
 def test_empty_table(spark):
     assert sd.repeats_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_notice_in_very_many_texts_gathers_nowhere(spark):
+    """The anchor in the notice has different fragments in very many texts; no task meets more than a few of them."""
+    rnd = random.Random(12)
+    notice = b"We use cookies to make this site better for everyone, okay?!"
+    text = lambda: bytes(rnd.choices(range(97, 123), k=150)) + notice + bytes(rnd.choices(range(97, 123), k=150))
+    rows = [(i, text().decode()) for i in range(20_000)]
+    rows[500] = (500, rows[7][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    described = docs.selectExpr("doc_id AS doc", "xxhash64(text) AS tag", "text").mapInArrow(sd._describe, sd.SCHEMA)
+    kinds = {r["kind"]: r["n"] for r in described.groupBy("kind").count().withColumnRenamed("count", "n").collect()}
+    assert kinds[sd.FREQUENT] > 1_000  # more than HOT, by an anchor inside the notice
+    met = sd._spread(described, sd.HOT)
+    largest = met.where(f"kind <> {sd.CROWDED}").groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert largest is None or largest <= sd.HOT
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in sd.repeats_digest(docs).collect()}
+    assert found.pop(500) == (360, 1) and set(found.values()) == {(0, 0)}
