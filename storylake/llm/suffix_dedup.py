@@ -32,6 +32,7 @@ from storylake.llm.common import written
 from storylake.llm.decontamination import if_small
 from storylake.llm.hashing import STEP, U, mix
 from storylake.llm.suffix_array import permuted_prefixes, suffix_array
+from storylake.sources.shared import Rounds, removed
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # an anchor starts at most so far behind its window
@@ -376,15 +377,20 @@ def _spread(described: DataFrame, crowd: int) -> DataFrame:
     Such an anchor may hold a large part of all fragments; one that no task finds
     frequent holds less than one in ten thousand.
     """
-    table = written(described, "described")
+    rounds = Rounds(described.sparkSession, "described")
+    table = rounds.settled(described)
     frequent = written(table.where(F.col("kind") == FREQUENT).select("anchor").distinct(), "frequent")
     if frequent.isEmpty():
-        return _met(table, crowd, "fragments")
+        met = _met(table, crowd, "fragments")
+        removed(table.sparkSession, rounds.path)
+        return met
     frequent = if_small(frequent)
     known = F.col("kind") == AGAIN
     rest = table.where(known).unionByName(table.where(~known).join(frequent, "anchor", "left_anti"))
     crowded = table.where(~known).join(frequent, "anchor", "left_semi").withColumn("kind", F.lit(CROWDED).cast("byte")).drop("whole")
-    return _met(rest, crowd, "fragments").unionByName(written(crowded.select("anchor", "doc", "tag", "first", "windows", "kind"), "crowded"))
+    met = _met(rest, crowd, "fragments").unionByName(written(crowded.select("anchor", "doc", "tag", "first", "windows", "kind"), "crowded"))
+    removed(table.sparkSession, rounds.path)
+    return met
 
 
 def _asked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
