@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ MARKER = "▁"  # stands for a space
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # piece types of the file format
 #: Segmented stretches that a task remembers before it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Longer stretches (in bytes) are segmented one by one.
 TOGETHER = 40
 
@@ -257,20 +258,18 @@ def decode(ids: list[int], model: UnigramModel) -> str:
     return raw[1 if model.add_dummy_prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace")
 
 
-#: Characters encoded at once in a task; bounds memory, changes no result.
-SLICE = 2_000_000
+#: Bytes encoded at once in a task; bounds memory, changes no result.
+SLICE = 500_000
 
 
-def _groups(values: list):
-    part, size = [], 0
-    for i, v in enumerate(values):
-        part.append(i)
-        size += len(v or "")
-        if size >= SLICE:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _groups(texts: pa.Array):
+    """First row and number of rows of stretches of about ``SLICE`` bytes."""
+    first, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += n
+        if size >= SLICE or i == len(texts) - 1:
+            yield first, i + 1 - first
+            first, size = i + 1, 0
 
 
 def encode(docs: DataFrame, model: UnigramModel, carried: dict[str, Column], text_col: str = "text", check: bool = True) -> DataFrame:
@@ -286,8 +285,8 @@ def encode(docs: DataFrame, model: UnigramModel, carried: dict[str, Column], tex
     def run(batches):
         encoder = Encoder(model)
         for batch in batches:
-            for part in _groups(batch.column(len(names)).to_pylist()):
-                some = batch.slice(part[0], len(part))
+            for first, rows in _groups(batch.column(len(names))):
+                some = batch.slice(first, rows)
                 texts = some.column(len(names)).to_pylist()
                 coded = encoder.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
