@@ -124,3 +124,51 @@ def test_long_masked_names_and_hosts_are_found_whole():
     for form in (f"{name} (at) {host}.example [dot] com", f"{name}(at){host}.com", "john.at.work (at) example.com"):
         text = f"write to {form} now"
         assert (9, 9 + len(form)) in [(s, e) for _, s, e in pii.proposals(text)], form
+
+
+# Forms written by hand; no generator makes these words.
+DATA = (
+    ("phone", "phone 0049 30 1234567", "0049 30 1234567"), ("phone", "my number is 555.123.4567", "555.123.4567"), ("phone", "tel: 030 1234 567", "030 1234 567"),
+    ("phone", "tel 030 1234567", "030 1234567"), ("phone", "appelez le 06 12 34 56 78", "06 12 34 56 78"), ("phone", "reach me on 212-555-0188", "212-555-0188"),
+    ("phone", "mobile 07911 123456", "07911 123456"), ("phone", "fax 089/1234567", "089/1234567"), ("email", "write jane.doe (at) example.com", "jane.doe (at) example.com"),
+    ("email", "mail jane [at] example [dot] org please", "jane [at] example [dot] org"), ("email", "contact bob at example dot com", "bob at example dot com"),
+    ("email", "jsmith42 at mail dot net", "jsmith42 at mail dot net"), ("ip", "host 2001:db8::8a2e:370:7334", "2001:db8::8a2e:370:7334"),
+    ("ip", "client fe80::1ff:fe23:4567:890a", "fe80::1ff:fe23:4567:890a"), ("card", "card 4111.1111.1111.1111", "4111.1111.1111.1111"),
+    ("card", "amex 3782.822463.10005", "3782.822463.10005"), ("card", "visa 4111/1111/1111/1111", "4111/1111/1111/1111"),
+)
+NONE = (
+    "meet me at the dot com bubble", "look at the dot on the map", "built on 2024-05-17 at 10:22:31", "order 123-456-78 of page 12", "version 10.12.2024 build", "isbn 978-3-16-148410-0",
+    "the score was 102-98 at half time", "from 1990-2000 to 2001-2010", "ticket 1234-5678-90", "serial 1234.5678.9012.3456", "at 12:30:45 we met", "page 120-130-140", "ratio 3:4:5 of sand",
+    "ref 100 200 300 400",
+)
+
+
+def _hits(selector):
+    """How many forms written by hand are found whole as their kind, and how many of the other lines have a span."""
+    found = lambda text: pii.selected(text, pii.base_spans(text), selector)
+    right = sum((kind, text.index(form), text.index(form) + len(form)) in found(text) for kind, text, form in DATA)
+    return right, sum(bool(found(text)) for text in NONE)
+
+
+def _corpus(spark):
+    place = "the hall by wood and stone has {} for all of them."
+    rows = [place.format(x) for i in range(60) for x in (f"ann.{i}@mail{i}.example.com", f"+1 (394) 555-{4000 + i}", f"10.{i}.7.9", "4111111111111111", f"{1234567890123000 + i}")]
+    return spark.createDataFrame([(i, t) for i, t in enumerate([*rows, None, "", *rows[:50]])], "doc_id long, text string")
+
+
+def test_recall_and_precision_on_forms_written_by_hand(spark):
+    for selector in (pii.fitted_selector(), pii.learned_selector(_corpus(spark))):
+        right, wrong = _hits(selector)
+        assert right >= 0.9 * len(DATA) and wrong <= 0.1 * len(NONE), (right, wrong)
+
+
+def test_contexts_are_all_different_spans_up_to_the_bound(spark):
+    docs = _corpus(spark)
+    rows = [tuple(r) for r in pii.contexts(docs, about=10_000).collect()]
+    texts = {r.text for r in docs.collect() if r.text}
+    wanted = {(k, True, t[max(0, s - pii.CONTEXT) : s], t[s:e], t[e : e + pii.CONTEXT]) for t in texts for k, s, e in pii.base_spans(t)}
+    assert len(rows) == len(set(rows)) and {r for r in rows if r[1]} == wanted
+    assert {r[0] for r in rows if not r[1]} == {"card"} and all(pii.surely_none(r[0], *r[2:]) == (not pii.luhn(r[3])) for r in rows if not r[1])
+    few = [tuple(r) for r in pii.contexts(docs.repartition(7), about=20).collect()]
+    assert set(few) == {tuple(r) for r in pii.contexts(docs, about=20).collect()} < set(rows) and len(few) < 200
+    assert pii.contexts(docs.limit(0)).count() == 0 and pii.learned_selector(docs.limit(0)) is pii.fitted_selector(known=())
