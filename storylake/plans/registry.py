@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("volumes", "reading", "analysis", "relations", "projects", "skills", "settings", "storage")
+MODULES: tuple[str, ...] = ("volumes", "reading", "analysis", "relations", "projects", "skills", "settings", "storage", "installs")
 
 
 def _merged(attribute: str) -> dict:
