@@ -43,9 +43,11 @@ def module_findings(spark, folder):
 
 
 def help_next(spark, folder):
-    """What to do next if some nations are done."""
-    catalog = table(spark, folder, "nation").select(F.col("n_name").alias("code"), F.col("n_regionkey").alias("phase"), F.col("n_nationkey").alias("ord"), (F.col("n_nationkey") % 3 != 0).alias("required"))
-    done = table(spark, folder, "nation").where("n_regionkey = 0 OR n_nationkey IN (1, 2)").select(F.col("n_name").alias("code"))
+    """What to do next where parts are the catalog, their sizes its phases, and the first phases and parts returned in bulk are done."""
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("code")
+    part = table(spark, folder, "part")
+    catalog = part.select(name("p_partkey"), F.col("p_size").alias("phase"), F.col("p_partkey").alias("ord"), (~F.contains("p_type", F.lit("BRASS"))).alias("required"))
+    done = part.where("p_size < 3").select(name("p_partkey")).unionByName(table(spark, folder, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(name("l_partkey")))
     return modules.next_steps(catalog, done)
 
 
@@ -92,7 +94,7 @@ ORACLES = {
           UNION ALL SELECT 'high', 'duplicate-code', code || ': ' || string_agg(name, ', ' ORDER BY row_no) FROM c GROUP BY code HAVING count(*) > 1
           UNION ALL SELECT 'medium', 'invalid-after', skill || ' -> ' || ref FROM c WHERE ref NOT IN (SELECT skill || ':' || action FROM c WHERE action <> ''))
         SELECT severity, category, detail, count(*) AS n FROM a GROUP BY ALL""",
-    "help_next": """WITH l AS (SELECT n_name AS code, n_regionkey AS phase, n_nationkey AS ord, n_nationkey % 3 <> 0 AS required FROM nation WHERE NOT (n_regionkey = 0 OR n_nationkey IN (1, 2))),
+    "help_next": """WITH l AS (SELECT 'p' || p_partkey AS code, p_size AS phase, p_partkey AS ord, p_type NOT LIKE '%BRASS%' AS required FROM part WHERE p_size >= 3 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)),
         r AS (SELECT phase, ord FROM l WHERE required ORDER BY phase, ord LIMIT 1)
         SELECT l.code, l.phase, l.ord, l.required FROM l, r WHERE l.phase = r.phase AND (NOT l.required OR l.ord = r.ord)""",
     "report_status": """WITH r AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n FROM events GROUP BY user_id), c AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN n ELSE 0 END AS n FROM r)

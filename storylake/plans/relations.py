@@ -28,11 +28,12 @@ def merge_summary(spark, folder):
 
 
 def config_overlay(spark, folder):
-    """Three layers of settings: nations, customers' largest balances, a few overrides."""
-    base = table(spark, folder, "nation").select(F.lit("core").alias("scope"), F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
-    mid = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
-    mid = mid.where("n % 2 = 0").select(F.lit("core").alias("scope"), F.col("n_name").alias("key"), F.concat(F.lit("c"), F.col("n").cast("string")).alias("value"))
-    top = table(spark, folder, "nation").where("n_nationkey % 5 = 0").select(F.when(F.col("n_nationkey") % 10 == 0, "core").otherwise("user").alias("scope"), F.col("n_name").alias("key"), F.when(F.col("n_nationkey") != 15, "set").alias("value"))
+    """Three layers of settings: all customers, those with an even number of orders, and overrides of which some are absent."""
+    customers = table(spark, folder, "customer").select(F.lower("c_mktsegment").alias("segment"), "c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), "c_nationkey")
+    base = customers.select(F.col("segment").alias("scope"), "key", F.col("c_nationkey").cast("string").alias("value"))
+    mid = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")).where("n % 2 = 0").join(customers, "c_custkey")
+    mid = mid.select(F.col("segment").alias("scope"), "key", F.concat(F.lit("n"), F.col("n").cast("string")).alias("value"))
+    top = customers.where("c_nationkey < 5").select(F.when(F.col("c_custkey") % 2 == 0, F.col("segment")).otherwise("user").alias("scope"), "key", F.when(F.col("c_nationkey") != 3, "set").alias("value"))
     return merge.overlay(base, mid, top)
 
 
@@ -244,9 +245,9 @@ ORACLES = {
         CASE WHEN regexp_replace(regexp_extract(html, '<article>((?s).*?)</article>', 1), '<[^>]*>|\s', '', 'g') = '' THEN 'no content' END AS error FROM pages""",
     "anti_zombie_merge": f"WITH {_PARTS} SELECT * FROM m",
     "merge_summary": f"WITH {_PARTS} SELECT (SELECT count(*) FROM t) + (SELECT count(*) FROM s) - (SELECT count(*) FROM m) AS removed, (SELECT count(*) FROM s) AS added, (SELECT count(*) FROM m) AS total",
-    "config_overlay": """WITH k AS (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name),
-        a AS (SELECT 'core' AS scope, n_name AS key, CAST(n_regionkey AS VARCHAR) AS value, 0 AS r FROM nation UNION ALL SELECT 'core', n_name, 'c' || n, 1 FROM k WHERE n % 2 = 0
-          UNION ALL SELECT CASE WHEN n_nationkey % 10 = 0 THEN 'core' ELSE 'user' END, n_name, CASE WHEN n_nationkey <> 15 THEN 'set' END, 2 FROM nation WHERE n_nationkey % 5 = 0)
+    "config_overlay": """WITH c AS (SELECT lower(c_mktsegment) AS segment, c_custkey, 'c' || c_custkey AS key, c_nationkey FROM customer), k AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) % 2 = 0),
+        a AS (SELECT segment AS scope, key, CAST(c_nationkey AS VARCHAR) AS value, 0 AS r FROM c UNION ALL SELECT segment, key, 'n' || n, 1 FROM k JOIN c ON o_custkey = c_custkey
+          UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN segment ELSE 'user' END, key, CASE WHEN c_nationkey <> 3 THEN 'set' END, 2 FROM c WHERE c_nationkey < 5)
         SELECT scope, key, value FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY r DESC) AS n FROM a WHERE value IS NOT NULL) WHERE n = 1""",
     "missing_and_orphans": """WITH c AS (SELECT c_custkey AS custkey FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT DISTINCT o_custkey AS custkey FROM orders)
         SELECT custkey, 'missing' AS finding FROM c WHERE custkey NOT IN (SELECT custkey FROM o) UNION ALL SELECT custkey, 'orphan' FROM o WHERE custkey NOT IN (SELECT custkey FROM c)""",

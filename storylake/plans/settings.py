@@ -47,10 +47,11 @@ def config_written(spark, folder):
 
 
 def default_answers(spark, folder):
-    """Defaults of variables filled from each nation's answers."""
-    nation = table(spark, folder, "nation").select("n_nationkey", F.create_map(F.lit("project"), F.col("n_name"), F.lit("lang"), F.when(F.col("n_regionkey") == 1, "en").otherwise("")).alias("answers"))
-    rows = nation.crossJoin(spark.createDataFrame([("lang", "de"), ("folder", "{project}/out"), ("note", "plain")], "name string, default string"))
-    return config.expanded_defaults(rows.withColumn("name", F.col("name")), F.col("answers")).groupBy("name", "value").agg(F.count("*").alias("n"))
+    """Defaults of variables filled from each customer's answers."""
+    answers = F.create_map(F.lit("project"), F.col("c_name"), F.lit("lang"), F.when(F.col("c_mktsegment") == "BUILDING", "en").otherwise(""))
+    variables = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(d).alias("default")) for n, d in (("lang", "de"), ("folder", "{project}/out"), ("note", "plain"))))
+    rows = table(spark, folder, "customer").select(answers.alias("answers"), F.explode(variables).alias("v")).select("answers", "v.*")
+    return config.expanded_defaults(rows, F.col("answers")).groupBy("name", "value").agg(F.count("*").alias("n"))
 
 
 def key_value_args(spark, folder):
@@ -159,9 +160,13 @@ def yaml_nested(spark, folder):
 
 
 def definition_findings(spark, folder):
-    """Fields that definitions made of nations lack."""
-    made = F.create_map(F.lit("code"), F.when(F.col("n_regionkey") == 2, "").otherwise(F.col("n_name")), F.when(F.col("n_nationkey") % 2 == 0, "name").otherwise("title"), F.col("n_name"))
-    return modules.definition_findings(table(spark, folder, "nation").select(F.col("n_name").alias("module"), made.alias("settings")))
+    """Fields that every customer's definition lacks: the lines of its orders' priorities (``1-URGENT`` gives ``code``, ``2-HIGH`` a name, ``5-LOW`` a description) are parsed as settings."""
+    orders = table(spark, folder, "orders")
+    field = F.element_at(F.array(*map(F.lit, ("code", "name", "title", "code", "description"))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    line = F.concat(field, F.lit(": "), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderkey").cast("string")))
+    listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return modules.definition_findings(listed.select(F.col("o_custkey").alias("module"), source.key_values(text).alias("settings")))
 
 
 def orphan_stories(spark, folder):
@@ -199,7 +204,7 @@ ORACLES = {
         d AS (SELECT *, '{project-root}/' || CASE WHEN even THEN 'mine' ELSE root || '/docs' END AS docs FROM c)
         SELECT c_custkey, CAST(0 AS INTEGER) AS ord, 'root' AS name, root AS value FROM d UNION ALL SELECT c_custkey, 1, 'docs', docs FROM d
         UNION ALL SELECT c_custkey, 2, 'plan', CASE WHEN even THEN docs || '/plan' ELSE '{project-root}/p' END FROM d UNION ALL SELECT c_custkey, 3, 'user', '<' || CASE WHEN even THEN seg ELSE 'nobody' END || '>' FROM d""",
-    "default_answers": """SELECT name, value, count(*) AS n FROM (SELECT 'lang' AS name, CASE WHEN n_regionkey = 1 THEN 'en' ELSE 'de' END AS value FROM nation UNION ALL SELECT 'folder', n_name || '/out' FROM nation UNION ALL SELECT 'note', 'plain' FROM nation) GROUP BY ALL""",
+    "default_answers": """SELECT name, value, count(*) AS n FROM (SELECT 'lang' AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'en' ELSE 'de' END AS value FROM customer UNION ALL SELECT 'folder', c_name || '/out' FROM customer UNION ALL SELECT 'note', 'plain' FROM customer) GROUP BY ALL""",
     "key_value_args": "SELECT o_orderkey, o_orderkey % 5 > 1 AS ok, 'a=again-' || o_orderstatus || CASE WHEN o_orderkey % 5 > 1 THEN ';b=1=2' ELSE '' END AS settings FROM orders",
     "settings_scan": "SELECT s_suppkey, 'name=' || CASE WHEN s_suppkey % 2 = 0 THEN 'later' ELSE s_name END || ';url=http://x/' || s_suppkey AS settings FROM supplier",
     "catalog_cells": """WITH l AS (SELECT p_partkey, '"' || replace(p_name, ' ', ', ""x"" ') || '",' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ',,' || p_type END AS line FROM part),
@@ -245,7 +250,9 @@ ORACLES = {
         SELECT o_orderkey, 'order.key' AS path, CAST(o_orderkey AS VARCHAR) AS value FROM o UNION ALL SELECT o_orderkey, 'order.customer.id', CAST(o_custkey AS VARCHAR) FROM o UNION ALL SELECT o_orderkey, 'order.status', o_orderstatus FROM o UNION ALL SELECT o_orderkey, 'end', '[a, b]' FROM o
         UNION ALL SELECT l_orderkey, 'lines.' || n || '.part', CAST(l_partkey AS VARCHAR) FROM l UNION ALL SELECT l_orderkey, 'lines.' || n || '.note', l_returnflag || ': # kept' FROM l
         UNION ALL SELECT l_orderkey, 'lines.' || n || '.tags.0', l_linestatus FROM l UNION ALL SELECT l_orderkey, 'lines.' || n || '.tags.1', CAST(l_suppkey AS VARCHAR) FROM l""",
-    "definition_findings": """SELECT n_name AS module, 'high' AS severity, 'yaml' AS category, detail FROM (SELECT n_name, 'code' AS detail FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_name, 'name' FROM nation WHERE n_nationkey % 2 <> 0 UNION ALL SELECT n_name, 'description' FROM nation)""",
+    "definition_findings": """WITH o AS (SELECT o_custkey, o_orderkey, (['code', 'name', 'title', 'code', 'description'])[CAST(left(o_orderpriority, 1) AS INTEGER)] AS field, o_orderstatus = 'P' AS blank FROM orders),
+        f AS (SELECT unnest(['code', 'name', 'description']) AS detail), c AS (SELECT DISTINCT o_custkey FROM orders)
+        SELECT o_custkey AS module, 'high' AS severity, 'yaml' AS category, detail FROM c CROSS JOIN f WHERE (o_custkey, detail) NOT IN (SELECT o_custkey, field FROM o WHERE NOT blank)""",  # a line without a value is left out, so an earlier one counts
     "orphan_stories": """WITH o AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'epic-' || o_custkey ELSE o_custkey || '-' || o_orderkey || '-story' END AS key, o_custkey AS c, o_orderkey % 5 = 0 AS epic, o_orderstatus = 'O' AS running FROM orders)
         SELECT key, 'orphan-story' AS finding FROM o WHERE NOT epic AND c NOT IN (SELECT c FROM o WHERE epic) UNION SELECT key, 'empty-epic' FROM o WHERE epic AND running AND c NOT IN (SELECT c FROM o WHERE NOT epic)""",
     "open_categories": "SELECT key, string_agg(event_type || '=' || n, ';' ORDER BY event_type || '=' || n) AS counts FROM (SELECT user_id % 10 AS key, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY key",

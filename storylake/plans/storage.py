@@ -120,9 +120,10 @@ def csv_round_trip(spark, folder):
 
 
 def settings_round_trip(spark, folder):
-    """Settings by region written as text with a comment and read back."""
+    """Settings of eight suppliers a file, written as text with a comment and read back."""
     path = shared_path(spark, "settings")
-    rows = table(spark, folder, "nation").select(F.col("n_regionkey").cast("string").alias("scope"), F.col("n_nationkey").alias("ord"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), F.concat(F.col("n_name"), F.lit(" é: x")).alias("value"))
+    key = F.col("s_suppkey")
+    rows = table(spark, folder, "supplier").select(F.floor(key / 8).cast("string").alias("scope"), key.alias("ord"), F.concat(F.lit("k"), key.cast("string")).alias("key"), F.concat(F.col("s_name"), F.lit(" é: x")).alias("value"))
     source.write_settings(rows, path, "written\nby a job")
     return source.read_settings(spark, path).select("scope", F.explode("settings").alias("key", "value"))
 
@@ -320,7 +321,7 @@ ORACLES = {
     "catalog_round_trip": """SELECT CAST(p_partkey AS VARCHAR) AS skill, '"' || p_name || '", or so' AS about, p_type AS kind FROM part""",
     "csv_round_trip": """WITH d AS (SELECT doc_id, '"' || coalesce(text, '') || ',' || chr(10) || '"' AS text, lang FROM documents)
         SELECT doc_id, CAST(CASE WHEN length(text) % 2 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n_cells, md5(text) AS text_md5, CASE WHEN length(text) % 2 = 0 THEN coalesce(lang, '') ELSE '-' END AS lang FROM d""",
-    "settings_round_trip": "SELECT CAST(n_regionkey AS VARCHAR) AS scope, 'k' || n_nationkey AS key, n_name || ' é: x' AS value FROM nation",
+    "settings_round_trip": "SELECT CAST(s_suppkey // 8 AS VARCHAR) AS scope, 'k' || s_suppkey AS key, s_name || ' é: x' AS value FROM supplier",
     "report_round_trip": """WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)
         SELECT CAST(doc_id AS VARCHAR) AS name, CAST(count(*) AS INTEGER) AS finding_count, CAST(count(*) FILTER (WHERE length(line) > 800) AS INTEGER) AS n_high, CAST(min(line_no) AS INTEGER) AS first_line FROM l WHERE length(line) > 300 GROUP BY doc_id""",
     "local_progress": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), -1) END AS k FROM events",

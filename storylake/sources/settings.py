@@ -19,15 +19,20 @@ def front_matter_state(text: Column) -> Column:
     return F.when(~F.startswith(text, F.lit("---")), "missing").when(front_matter(text).isNull(), "unclosed").otherwise("present")
 
 
+def unquoted(value: Column) -> Column:
+    """``value`` without the double quotes at its ends, then without the single ones."""
+    return F.regexp_replace(F.regexp_replace(value, '^"+|"+$', ""), "^'+|'+$", "")
+
+
 def key_values(block: Column) -> Column:
     """Lines ``key: value`` as a map, split at the first colon, quotes stripped.
 
-    Blank lines, comments, list items and keys without a value (or a folded one)
+    Blank lines, comments, list items and keys without a value (or with one that starts with ``>``, as folded ones do)
     are left out; of repeated keys the last counts.
     """
     lines = F.filter(F.transform(F.split(block, "\n"), strip_white), lambda x: ~F.rlike(x, F.lit("^$|^#|^-")) & F.contains(x, F.lit(":")))
-    pairs = F.transform(lines, lambda x: F.struct(strip_white(F.regexp_extract(x, r"^([^:]*):", 1)).alias("key"), F.regexp_replace(strip_white(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), "^[\"']|[\"']$", "").alias("value")))
-    kept = F.filter(pairs, lambda p: (p["value"] != "") & (p["value"] != ">"))
+    pairs = F.transform(lines, lambda x: F.struct(strip_white(F.regexp_extract(x, r"^([^:]*):", 1)).alias("key"), unquoted(strip_white(F.regexp_extract(x, r"^[^:]*:(.*)$", 1))).alias("value")))
+    kept = F.filter(pairs, lambda p: (p["value"] != "") & ~F.startswith(p["value"], F.lit(">")))
     last = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.greatest(F.size(kept), F.lit(1))), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
 

@@ -216,6 +216,8 @@ def test_specs_and_settings(spark):
     assert column(spark, ["a:x:y, b"], "string", merge.parsed_spec) == [{"a": "x:y", "b": None}]
     text = "---\nname: 'n'\n# c\n- item\nempty:\nurl: http://x:1\nname: last\n---\nbody\n\nmore"
     assert column(spark, [text, "no"], "string", lambda c: conf.key_values(conf.front_matter(c))) == [{"url": "http://x:1", "name": "last"}, None]
+    lines = "a: >-\nb: > folded\nc: ''x''\nd: \"'y'\"\ne: \"\"\nf: 'it''s'\ng: first\ng: >\n"
+    assert column(spark, [lines], "string", conf.key_values) == [{"c": "x", "d": "y", "f": "it''s", "g": "first"}]
     assert column(spark, [text, "no", "---\nopen"], "string", conf.front_matter_state) == ["present", "missing", "unclosed"]
     assert column(spark, [text], "string", conf.content_lines) == [2]
 
