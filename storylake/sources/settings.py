@@ -33,8 +33,8 @@ def key_values(block: Column) -> Column:
     lines = F.filter(F.transform(F.split(block, "\n"), strip_white), lambda x: ~F.rlike(x, F.lit("^$|^#|^-")) & F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(strip_white(F.regexp_extract(x, r"^([^:]*):", 1)).alias("key"), unquoted(strip_white(F.regexp_extract(x, r"^[^:]*:(.*)$", 1))).alias("value")))
     kept = F.filter(pairs, lambda p: (p["value"] != "") & ~F.startswith(p["value"], F.lit(">")))
-    last = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.greatest(F.size(kept), F.lit(1))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    last = lambda k: F.filter(k, lambda p, i: ~F.exists(F.slice(k, i + 2, F.greatest(F.size(k), F.lit(1))), lambda q: q["key"] == p["key"]))
+    return bound(kept, lambda k: F.map_from_entries(last(k)))
 
 
 def yaml_entries(text: Column) -> Column:
