@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby, islice
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from storylake.sources.shared import Rounds, settled
 
 #: Nodes with so many dependencies at most are looked through for some that others bring along; it only saves rounds.
 REDUCED = 16
+#: Cycles that a task hands on at a time.
+WALKED = 1_000
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -51,34 +57,37 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ladders. In a round every dependency whose level is known is folded into its
     node, and one that has a single dependency left is jumped over with the
     length of both, so a run of such nodes halves: a chain of ten thousand takes
-    fourteen rounds, a mesh a round a level at worst. A jump to an open node that
-    is as long as there are open nodes, all of which it could have passed, tells
-    of a cycle.
+    fourteen rounds, a mesh a round a level at worst. Every dependency holds the
+    least node on its way; where a jump's both parts hold the same, that node is
+    passed twice, so a ring of n is told in a round more than n has binary digits.
+    A jump to an open node that is as long as there are open nodes, all of which
+    it could have passed, tells of a cycle too. Equal dependencies of a node
+    become one as they are grouped: a node with very many is compared with nothing.
     """
     own = settled(nodes.select("node").distinct(), "nodes")
     inside = edges.select("src", "dst").distinct().join(own.select(F.col("node").alias("src")), "src", "left_semi").join(own.select(F.col("node").alias("dst")), "dst", "left_semi")
     inside, most = _spared(settled(inside, "edges")), own.count()
-    listed = inside.groupBy(F.col("src").alias("node")).agg(F.collect_list(F.struct("dst", F.lit(1).cast("long").alias("w"))).alias("deps"))
+    listed = inside.groupBy(F.col("src").alias("node")).agg(F.collect_list(F.struct("dst", F.lit(1).cast("long").alias("w"), F.col("dst").alias("least"))).alias("deps"))
     empty = F.array().cast(listed.schema["deps"].dataType)
     rounds, before = Rounds(nodes.sparkSession, "levels"), None
     state = rounds.settled(own.join(listed, "node", "left").select("node", F.lit(0).cast("long").alias("base"), F.coalesce("deps", empty).alias("deps"), F.lit(False).alias("stuck")))
-    single = lambda deps: F.size(F.array_distinct(deps["dst"])) == 1
-    longest = lambda deps: F.struct(deps[0]["dst"].alias("dst"), F.array_max(deps["w"]).alias("w"))
     while True:
-        deps = F.col("deps")
-        told = state.select(F.col("node").alias("dst"), "base", F.when(single(deps) & ~F.col("stuck"), longest(deps)).alias("only"), ((F.size("deps") == 0) & ~F.col("stuck")).alias("known"), "stuck")
-        open_ = state.where("NOT stuck").select("node", F.explode("deps").alias("d")).select("node", "d.dst", "d.w").join(told, "dst")
-        jump = F.struct(F.col("only.dst").alias("dst"), (F.col("w") + F.col("only.w")).alias("w"))
+        told = state.select(F.col("node").alias("dst"), "base", F.when((F.size("deps") == 1) & ~F.col("stuck"), F.col("deps")[0]).alias("only"), ((F.size("deps") == 0) & ~F.col("stuck")).alias("known"), "stuck")
+        open_ = state.where("NOT stuck").select("node", F.explode("deps").alias("d")).select("node", "d.dst", "d.w", "d.least").join(told, "dst")
+        jumps = F.col("only").isNotNull()
         folded = open_.select(
             "node",
-            F.when(F.col("known") | F.col("only").isNotNull(), F.col("w") + F.col("base")).alias("more"),
-            F.when(~F.col("known"), F.when(F.col("only").isNotNull(), jump).otherwise(F.struct("dst", "w"))).alias("dep"),
-            (F.col("stuck") | ~F.col("known") & (F.col("w") > most)).alias("stuck"),
+            F.when(F.col("known") | jumps, F.col("w") + F.col("base")).alias("more"),
+            F.when(~F.col("known"), F.when(jumps, F.col("only.dst")).otherwise(F.col("dst"))).alias("to"),
+            F.when(jumps, F.col("w") + F.col("only.w")).otherwise(F.col("w")).alias("w"),
+            F.when(jumps, F.least("least", "only.least")).otherwise(F.col("least")).alias("least"),
+            (F.col("stuck") | ~F.col("known") & (F.col("w") > most) | F.coalesce(F.col("least") == F.col("only.least"), F.lit(False))).alias("stuck"),
         )
-        kept = folded.groupBy("node").agg(F.max("more").alias("more"), F.collect_list("dep").alias("left"), F.bool_or("stuck").alias("held"))
-        left, held = F.coalesce("left", empty), F.col("stuck") | F.coalesce("held", F.lit(False))
-        merged = F.when(held, empty).when(single(left), F.array(longest(left))).otherwise(F.array_distinct(left))
-        state = rounds.settled(state.join(kept, "node", "left").select("node", F.greatest("base", "more").alias("base"), merged.alias("deps"), held.alias("stuck")))
+        kept = folded.groupBy("node", "to").agg(F.max("more").alias("more"), F.max("w").alias("w"), F.min("least").alias("least"), F.bool_or("stuck").alias("held"))
+        dep = F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("dst"), "w", "least"))
+        kept = kept.groupBy("node").agg(F.max("more").alias("more"), F.collect_list(dep).alias("left"), F.bool_or("held").alias("held"))
+        held = F.col("stuck") | F.coalesce("held", F.lit(False))
+        state = rounds.settled(state.join(kept, "node", "left").select("node", F.greatest("base", "more").alias("base"), F.when(held, empty).otherwise(F.coalesce("left", empty)).alias("deps"), held.alias("stuck")))
         now = state.agg(F.sum(F.size("deps")), F.sum(F.aggregate("deps.w", F.lit(0).cast("long"), lambda a, x: a + x)), F.count_if("stuck"), F.count_if(F.size("deps") > 0)).first()
         if not now[0] or now == before:
             return state.where("NOT stuck AND size(deps) = 0").select("node", F.col("base").cast("int").alias("level"))
@@ -137,18 +146,19 @@ def cycle_paths(edges: DataFrame) -> DataFrame:
 
     Each component is walked from its least node, to lesser nodes first, and
     every node once, so ``n`` numbers the cycles in the order in which they are
-    met. A component's own edges are one task; all that is on no cycle has left
+    met. A component's own edges are held by one task; all that is on no cycle has left
     before.
     """
     of = strong_components(edges)
     own = edges.select("src", "dst").distinct().join(of.withColumnRenamed("node", "src"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("__to")), "dst").where("component = __to").select("component", "src", "dst")
     kind = own.schema["src"].dataType.simpleString()
+    shape = f"component {kind}, n long, path array<{kind}>"
+    types = to_arrow_schema(own.sparkSession.createDataFrame([], shape).schema)
 
-    def walk(component):
+    def walk(first, edges):
         ahead = {}
-        for src, dst in component[["src", "dst"]].sort_values(["src", "dst"]).itertuples(index=False):
+        for _, src, dst in edges:
             ahead.setdefault(src, []).append(dst)
-        first = component["component"].iloc[0]
         met, way, place, left, found = {first}, [first], {first: 0}, [iter(ahead[first])], []
         while left:
             node = next(left[-1], None)
@@ -162,9 +172,16 @@ def cycle_paths(edges: DataFrame) -> DataFrame:
                 place[node] = len(way)
                 way.append(node)
                 left.append(iter(ahead[node]))
-        return pd.DataFrame({"component": [first] * len(found), "n": range(len(found)), "path": found})
+        return [{"component": first, "n": n, "path": path} for n, path in enumerate(found)]
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        found = (path for first, edges in groupby(rows, itemgetter(0)) for path in walk(first, edges))
+        while some := list(islice(found, WALKED)):
+            yield pa.RecordBatch.from_pylist(some, schema=types)
 
-    return own.groupBy("component").applyInPandas(walk, f"component {kind}, n long, path array<{kind}>")
+    # Components follow each other in their order: thousands of small ones go through one call.
+    return own.repartition("component").sortWithinPartitions("component", "src", "dst").mapInArrow(run, shape)
 
 
 def redundant(edges: DataFrame) -> DataFrame:

@@ -84,3 +84,16 @@ def test_links_of_a_long_chain(spark, monkeypatch):
         got.setdefault(r.start, []).append(r.url)
     assert got["p0"] == [f"p{i}" for i in range(700)] and got["p650"] == [f"p{i}" for i in range(650, 700)]
     assert got["a"] == ["a", "b", "c"] and got["z"] == ["z"] and got["n"] == ["n"] and len(written) <= 26
+
+
+def test_rings_are_told_by_their_size_and_small_components_share_a_call(spark, monkeypatch):
+    written, rings = [], 400
+    real = graph.Rounds.settled
+    monkeypatch.setattr(graph.Rounds, "settled", lambda self, df: written.append(1) or real(self, df))
+    size = lambda i: 3 + i % 5
+    pairs = {(10 * i + j, 10 * i + (j + 1) % size(i)) for i in range(1, rings + 1) for j in range(size(i))}
+    edges = edges_of(spark, pairs | {(10 * i + 2, 1) for i in range(1, rings + 1)})
+    nodes = spark.createDataFrame(sorted({(n,) for p in pairs for n in p} | {(1,)}), "node int")
+    assert [tuple(r) for r in graph.levels(nodes, edges).collect()] == [(1, 0)] and len(written) <= 8
+    found = {r.component: r.path for r in graph.cycle_paths(edges).collect()}
+    assert found == {10 * i: [*range(10 * i, 10 * i + size(i)), 10 * i] for i in range(1, rings + 1)}
