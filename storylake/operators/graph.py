@@ -14,6 +14,8 @@ from storylake.sources.shared import Rounds, settled
 
 #: Nodes with so many dependencies at most are looked through for some that others bring along; it only saves rounds.
 REDUCED = 16
+#: Pairs of a closure that a task makes distinct, by an upper bound.
+DEALT = 2_000_000
 #: Cycles that a task hands on at a time.
 WALKED = 1_000
 
@@ -21,17 +23,26 @@ WALKED = 1_000
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs ``src, dst`` joined by a path; on a cycle a node reaches itself.
 
-    Paths double in length each round, so the rounds grow with the logarithm of
-    the longest path.
+    Dependencies that two others replace go first. What ``jump`` joins are steps
+    of exactly so many edges as the ways found so far have at most, so ways
+    double in length each round and a tree's pairs are made once; rounds grow
+    with the logarithm of the longest path. A round's pairs are dealt out by
+    how many there may be, ``DEALT`` to a task.
     """
-    now = settled(edges.select("src", "dst").distinct(), "closure")
-    size = now.count()
+    spark = edges.sparkSession
+    rounds, jumps = Rounds(spark, "closure"), Rounds(spark, "jumps")
+    start = _spared(settled(edges.select("src", "dst").distinct(), "edges"))
+    now, jump = rounds.settled(start), jumps.settled(start)
+    size, least = now.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        step = now.select("src", F.col("dst").alias("via")).join(now.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
-        grown = settled(now.union(step).distinct(), "closure")
-        now, before, size = grown, size, grown.count()
+        tasks = max(least, 2 * size // DEALT)
+        step = jump.select("src", F.col("dst").alias("via")).join(now.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+        now = rounds.settled(now.union(step).repartition(tasks, "src", "dst").distinct())
+        before, size = size, now.count()
         if size == before:
             return now
+        further = jump.select("src", F.col("dst").alias("via")).join(jump.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+        jump = jumps.settled(further.repartition(tasks, "src", "dst").distinct())
 
 
 def _spared(edges: DataFrame) -> DataFrame:

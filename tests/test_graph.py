@@ -97,3 +97,11 @@ def test_rings_are_told_by_their_size_and_small_components_share_a_call(spark, m
     assert [tuple(r) for r in graph.levels(nodes, edges).collect()] == [(1, 0)] and len(written) <= 8
     found = {r.component: r.path for r in graph.cycle_paths(edges).collect()}
     assert found == {10 * i: [*range(10 * i, 10 * i + size(i)), 10 * i] for i in range(1, rings + 1)}
+
+
+def test_closure_deals_pairs_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "DEALT", 50)
+    for pairs in graphs():
+        found = graph.closure(edges_of(spark, pairs))
+        want = {(s, d) for s, far in reach(pairs).items() for d in far}
+        assert {tuple(r) for r in found.collect()} == want and len(found.inputFiles()) >= len(want) / 50
