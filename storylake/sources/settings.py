@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from storylake.functions.text import bound, strip_white
 
+#: What ``\\s`` takes for white space in patterns.
+_SPACE = " \t\n\x0b\f\r"
+
 
 def front_matter(text: Column) -> Column:
     """The block between two ``---`` lines at the very start, null if there is none."""
@@ -48,19 +51,30 @@ def yaml_entries(text: Column) -> Column:
     in brackets stay text; folded and literal blocks are left out. A file of
     settings is one value of the fold, which copies its entries as it goes.
     """
-    unquoted = lambda v: F.when(F.rlike(v, F.lit("(?s)^\".*\"$|^'.*'$")) & (F.length(v) > 1), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: ~F.rlike(x, F.lit(r"^\s*(?:#.*)?$|^---|^\.\.\.")))
+    ends = lambda v, q: F.startswith(v, F.lit(q)) & F.endswith(v, F.lit(q))
+    unquoted = lambda v: F.when((ends(v, '"') | ends(v, "'")) & (F.length(v) > 1), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
+    first = lambda v, *signs: F.substring(v, 1, 1).isin(*signs)
+    kept = lambda x: ~(first(F.ltrim(x, F.lit(_SPACE)), "", "#", "-", ".") & F.rlike(x, F.lit(r"^\s*(?:#.*)?$|^---|^\.\.\.")))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.rtrim(x, F.lit(_SPACE))), kept)
 
+    # Every part is bound before others name it, and a pattern is tried only where a plain test allows it.
     def told(line):
         """Column, dash, column behind it, key and scalar of one line."""
-        dash = F.regexp_extract(line, r"^ *(-(?: +|$))", 1)
-        column = F.length(F.regexp_extract(line, "^( *)", 1))
-        rest = F.substring(line, column + F.length(dash) + 1, F.length(line))
-        key = F.regexp_extract(rest, "^(\"[^\"]*\"|'[^']*'|[^\\s:\"'\\[{][^:]*):(?:\\s|$)", 1)
-        after = F.when(key != "", F.substring(rest, F.length(key) + 2, F.length(line))).otherwise(rest)
-        quoted = F.regexp_extract(F.trim(after), "^(\"[^\"]*\"|'[^']*')\\s*(?:#.*)?$", 1)
-        value = F.when(quoted != "", unquoted(quoted)).otherwise(F.trim(F.regexp_replace(after, r"(?:^|\s)#.*$", "")))
-        return F.struct(column.alias("column"), (dash != "").alias("item"), (column + F.length(dash)).alias("at"), unquoted(F.trim(key)).alias("key"), value.alias("value"), (quoted != "").alias("quoted"))
+        bare = F.ltrim(line)
+        dash = F.when(first(bare, "-"), F.regexp_extract(bare, "^(-(?: +|$))", 1)).otherwise("")
+        return bound(F.struct((F.length(line) - F.length(bare)).alias("column"), dash.alias("dash"), bare.alias("bare")), keyed)
+
+    def keyed(head):
+        rest = F.substring(head["bare"], F.length(head["dash"]) + 1, F.length(head["bare"]))
+        key = lambda r: F.when(F.contains(r, F.lit(":")), F.regexp_extract(r, "^(\"[^\"]*\"|'[^']*'|[^\\s:\"'\\[{][^:]*):(?:\\s|$)", 1)).otherwise("")
+        return bound(rest, lambda r: bound(key(r), lambda k: bound(F.when(k != "", F.substring(r, F.length(k) + 2, F.length(r))).otherwise(r), lambda after: valued(head, k, after))))
+
+    def valued(head, key, after):
+        quoted = lambda v: F.when(first(v, '"', "'"), F.regexp_extract(v, "^(\"[^\"]*\"|'[^']*')\\s*(?:#.*)?$", 1)).otherwise("")
+        plain = F.trim(F.when(F.contains(after, F.lit("#")), F.regexp_replace(after, r"(?:^|\s)#.*$", "")).otherwise(after))
+        value = lambda q: F.when(q != "", unquoted(q)).otherwise(plain)
+        blocked = lambda q, v: (q == "") & first(v, ">", "|") & F.rlike(v, F.lit(r"^[>|][-+0-9]*$"))
+        return bound(quoted(F.trim(after)), lambda q: bound(value(q), lambda v: F.struct(head["column"].alias("column"), (head["dash"] != "").alias("item"), (head["column"] + F.length(head["dash"])).alias("at"), unquoted(F.trim(key)).alias("key"), v.alias("value"), (q != "").alias("quoted"), blocked(q, v).alias("blocked"))))
 
     entry, level = "array<struct<path: string, value: string>>", "array<struct<rank: int, name: string>>"
     start = F.struct(F.array().cast(level).alias("under"), F.array().cast(entry).alias("found"), F.lit(-1).alias("block"))
@@ -69,18 +83,19 @@ def yaml_entries(text: Column) -> Column:
         rank = 2 * x["column"] + 1
         above = F.filter(acc["under"], lambda u: u["rank"] < F.when(x["item"], rank).otherwise(rank - 1))
         same = F.filter(acc["under"], lambda u: u["rank"] == rank)
-        number = F.when(F.size(same) > 0, F.get(same, F.lit(0))["name"].cast("int") + 1).otherwise(0).cast("string")
-        base = F.when(x["item"], F.concat(above, F.array(F.struct(rank.cast("int").alias("rank"), number.alias("name"))))).otherwise(above)
-        skipped = (acc["block"] >= 0) & (x["column"] > acc["block"])
-        blocked = ~x["quoted"] & F.rlike(x["value"], F.lit(r"^[>|][-+0-9]*$"))
+        number = lambda s: F.when(F.size(s) > 0, F.get(s, F.lit(0))["name"].cast("int") + 1).otherwise(0).cast("string")
+        counted = lambda s: F.concat(above, F.array(F.struct(rank.cast("int").alias("rank"), number(s).alias("name"))))
+        base = F.when(x["item"], bound(same, counted)).otherwise(above)
+        under = lambda path: F.when(x["key"] != "", F.concat(path, F.array(F.struct((2 * x["at"]).cast("int").alias("rank"), x["key"].alias("name"))))).otherwise(path)
 
-        def moved(path):
-            under = F.when(x["key"] != "", F.concat(path, F.array(F.struct((2 * x["at"]).cast("int").alias("rank"), x["key"].alias("name"))))).otherwise(path)
+        def moved(under):
             name = F.array_join(F.transform(under, lambda u: u["name"]), ".")
-            put = ((x["value"] != "") | x["quoted"]) & ~blocked & (F.size(under) > 0)
-            return F.struct(F.when(skipped, acc["under"]).otherwise(under).alias("under"), F.when(put & ~skipped, F.concat(acc["found"], F.array(F.struct(name.alias("path"), x["value"].alias("value"))))).otherwise(acc["found"]).alias("found"), F.when(skipped, acc["block"]).when(blocked, x["column"]).otherwise(-1).alias("block"))
+            put = ((x["value"] != "") | x["quoted"]) & ~x["blocked"] & (F.size(under) > 0)
+            found = F.when(put, F.concat(acc["found"], F.array(F.struct(name.alias("path"), x["value"].alias("value"))))).otherwise(acc["found"])
+            return F.struct(under.alias("under"), found.alias("found"), F.when(x["blocked"], x["column"]).otherwise(-1).alias("block"))
 
-        return bound(base, moved)
+        skipped = (acc["block"] >= 0) & (x["column"] > acc["block"])
+        return F.when(skipped, acc).otherwise(bound(bound(base, under), moved))
 
     return F.aggregate(F.transform(lines, told), start, step, lambda acc: acc["found"])
 

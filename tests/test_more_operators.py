@@ -134,3 +134,8 @@ def test_pages_are_handed_on_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(html, "pa", SimpleNamespace(RecordBatch=SimpleNamespace(from_pylist=lambda rows, schema: sizes.append(len(rows)) or real(rows, schema=schema), from_arrays=pa.RecordBatch.from_arrays)))
     found = pa.Table.from_batches(list(html.parsed([pages], html.SITES["default"])))
     assert max(sizes) <= html.PARSED and found.column("page_id").to_pylist() == list(range(1_000)) and found.column("error").null_count == 999
+
+
+def test_yaml_patterns_are_tried_once_a_line(spark):
+    plan = spark.createDataFrame([(YAML,)], "t string").select(yaml_entries(F.col("t")).alias("e"))._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("regexp_extract(") <= 3
