@@ -1,9 +1,11 @@
-"""Files under names of the caller's choice, written by tasks and published by one commit, and read by any name.
+"""Files under names of the caller's choice, written by tasks and published together, and read by any name.
 
 Spark's own writers name their files themselves. Here every task attempt writes
-into a staging folder of its own; when all tasks are done, the driver moves what
-they report to its place. A failed task, a repeated attempt or a failed job
-leaves nothing under the final names. Spark's readers pass over names with a
+into a staging folder of its own and tells the names in a table; when all tasks
+are done and no name is given twice, tasks move the files of that table to their
+places. A failed task, a repeated attempt or a failed job leaves nothing under
+the final names. Folders are listed by tasks too, level by level, so that neither
+names nor contents pass through the driver. Spark's readers pass over names with a
 leading underscore or dot; the reader here takes them. Paths may lie in any file
 system that Arrow knows.
 """
@@ -21,12 +23,16 @@ from fnmatch import fnmatchcase
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
+
+from storylake.sources.shared import settled
 
 #: Files moved at a time when a job is committed.
 MOVES = 16
-#: Files and bytes that one task reads; a larger file is a task of its own.
+#: Files and bytes that one task reads on average, and that it hands on at a time at least; names likewise.
 TASK_FILES, TASK_BYTES = 1_000, 64 << 20
+BATCH_FILES, BATCH_BYTES = 256, 4 << 20
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -43,7 +49,7 @@ class Staged(WriterCommitMessage):
 
 
 class StagedWriter(DataSourceArrowWriter):
-    """Stage in the tasks, publish on commit; kinds of files differ in :meth:`write_files`."""
+    """For jobs of few files a task: stage in the tasks, publish on commit; kinds of files differ in :meth:`write_files`."""
 
     def __init__(self, base: str, overwrite: bool) -> None:
         self.base, self.overwrite, self.job = base.rstrip("/"), overwrite, uuid.uuid4().hex
@@ -95,73 +101,132 @@ class StagedWriter(DataSourceArrowWriter):
             files.delete_dir(f"{root}/{self.staging}")
 
 
-class NamedFileWriter(StagedWriter):
-    def write_files(self, batches, stage):
-        for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
-                if content is None:
-                    yield name
-                    continue
-                with stage(name) as out:
-                    out.write(content.encode() if isinstance(content, str) else content)
-
-
-@dataclass
-class Some(InputPartition):
-    """Files that one task reads."""
-
-    names: list[str]
-
-
-class NamedFileReader(DataSourceReader):
-    """``name, content`` of every file below a folder whose last name matches ``pattern``; of none where there is no folder."""
-
-    def __init__(self, base: str, pattern: str) -> None:
-        self.base, self.pattern = base.rstrip("/"), pattern
-
-    def partitions(self) -> list[Some]:
-        files, root = located(self.base)
-        found = [i for i in files.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)) if i.type == fs.FileType.File and fnmatchcase(i.base_name, self.pattern)]
-        parts, size = [Some([])], 0
-        for info in sorted((i for i in found if "/_staged-" not in i.path), key=lambda i: i.path):
-            if parts[-1].names and (len(parts[-1].names) >= TASK_FILES or size + info.size > TASK_BYTES):
-                parts, size = [*parts, Some([])], 0
-            parts[-1].names.append(info.path[len(root.rstrip("/")) + 1 :])
-            size += info.size
-        return parts
-
-    def read(self, partition: Some) -> Iterator[tuple[str, str]]:
-        files, root = located(self.base)
-        for name in partition.names:
-            with files.open_input_stream(f"{root}/{name}", compression=None) as source:
-                yield name, source.read().decode("utf-8", "replace")
-
+def _whole(count: int, each: int) -> int:
+    return max(1, -(-count // each))
 
-class NamedFiles(DataSource):
-    """``name, content`` rows as one file each below ``path``; a null content deletes the file of that name."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "named_files"
-
-    def schema(self) -> str:
-        return "name string, content string"
+def write_named(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Write ``name, content`` rows as one file each below ``path``; a null content deletes the file of that name.
+
+    ``append`` keeps other files, ``overwrite`` doesn't. Null names are an error. Contents are spread over
+    ``spark.sql.shuffle.partitions`` tasks, since files cost more than their bytes.
+    """
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"mode is append or overwrite, not {mode}")
+    spark, base, staging = rows.sparkSession, path.rstrip("/"), f"_staged-{uuid.uuid4().hex}"
+    files, root = located(base)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = located(base)
+        mine, written = f"{staging}/{uuid.uuid4().hex}", 0
+        for batch in batches:
+            names, staged = batch.column("name").to_pylist(), []
+            for name, content in zip(names, batch.column("content")):
+                if name is None or name.startswith(("/", "_staged-")) or ".." in name.split("/"):
+                    raise ValueError(f"not a name: {name}")
+                if not content.is_valid:
+                    staged.append(None)
+                    continue
+                if not written:
+                    files.create_dir(f"{root}/{mine}", recursive=True)
+                staged.append(f"{mine}/{written}")
+                with files.open_output_stream(f"{root}/{staged[-1]}", compression=None) as out:
+                    out.write(content.as_buffer())
+                written += 1
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "staged": pa.array(staged, pa.string())})
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = located(base)
+        made = set()
+        is_file = lambda at: files.get_file_info(at).type == fs.FileType.File
+        for batch in batches:
+            for name, staged in zip(batch.column("name").to_pylist(), batch.column("staged").to_pylist()):
+                target = f"{root}/{name}"
+                if staged is None:
+                    with suppress(FileNotFoundError):
+                        if is_file(target):
+                            files.delete_file(target)
+                    continue
+                if (folder := target.rpartition("/")[0]) not in made:
+                    files.create_dir(folder, recursive=True)
+                    made.add(folder)
+                try:
+                    files.move(f"{root}/{staged}", target)
+                except FileNotFoundError:
+                    if is_file(f"{root}/{staged}") or not is_file(target):  # else an earlier attempt of this task moved it
+                        raise
+            yield pa.RecordBatch.from_pydict({"name": pa.array([], pa.string())})
+
+    try:
+        spread = rows.select("name", F.col("content").cast("binary").alias("content")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+        told = settled(spread.mapInArrow(stage, "name string, staged string"), "names")
+        once = told.repartition(_whole(told.count(), TASK_FILES), "name").groupBy("name").agg(F.count("staged").alias("n"), F.max("staged").alias("staged"))
+        if twice := [r["name"] for r in once.where("n > 1").limit(3).collect()]:
+            raise ValueError(f"named twice: {sorted(twice)}")
+        if mode == "overwrite":
+            for old in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if not old.base_name.startswith("_staged-"):
+                    files.delete_dir(old.path) if old.type == fs.FileType.Directory else files.delete_file(old.path)
+        once.select("name", "staged").mapInArrow(publish, "name string").write.format("noop").mode("overwrite").save()
+    finally:
+        # What an attempt that is still running writes there later, no reader takes up.
+        with suppress(OSError):
+            files.delete_dir(f"{root}/{staging}")
 
-    def writer(self, schema, overwrite: bool) -> NamedFileWriter:
-        return NamedFileWriter(self.options["path"], overwrite)
 
-    def reader(self, schema) -> NamedFileReader:
-        return NamedFileReader(self.options["path"], self.options.get("pattern", "*"))
+def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``name, size`` of every file below ``path`` whose last name matches ``pattern``; of none where there is no folder."""
+    base = path.rstrip("/")
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = located(base)
+        root = root.rstrip("/")
+        shown = lambda rows: pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())]))
+        rows = []
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                for info in files.get_file_info(fs.FileSelector(f"{root}/{name}".rstrip("/"), allow_not_found=True)):
+                    folder = info.type == fs.FileType.Directory
+                    if not info.base_name.startswith("_staged-") if folder else info.type == fs.FileType.File and fnmatchcase(info.base_name, pattern):
+                        rows.append({"name": info.path[len(root) + 1 :], "size": info.size or 0, "folder": folder})
+                    if len(rows) >= 10 * BATCH_FILES:
+                        yield shown(rows)
+                        rows = []
+        yield shown(rows)
+
+    level, tasks, found = spark.range(1).select(F.lit("").alias("name")), 1, None
+    while tasks:
+        seen = settled(level.repartition(tasks).mapInArrow(look, "name string, size long, folder boolean"), "listing")
+        here = seen.where("NOT folder").select("name", "size")
+        found, level = here if found is None else found.unionByName(here), seen.where("folder").select("name")
+        folders = level.count()
+        tasks = folders and _whole(folders, TASK_FILES)
+    return found
+
+
+def read_bytes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``name, content`` of the files of :func:`listed`, contents as bytes."""
+    base, found = path.rstrip("/"), listed(spark, path, pattern)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = located(base)
+        names, contents, size = [], [], 0
+        shown = lambda: pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "content": pa.array(contents, pa.binary())})
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with files.open_input_stream(f"{root}/{name}", compression=None) as source:
+                    contents.append(source.read())
+                names.append(name)
+                size += len(contents[-1])
+                if len(names) >= BATCH_FILES or size >= BATCH_BYTES:
+                    yield shown()
+                    names, contents, size = [], [], 0
+        yield shown()
 
-def write_named(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write ``name, content`` rows below ``path``; ``append`` keeps other files, ``overwrite`` doesn't. Null names are an error."""
-    spark: SparkSession = rows.sparkSession
-    spark.dataSource.register(NamedFiles)
-    rows.select("name", "content").write.format("named_files").mode(mode).save(path)
+    total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return found.select("name").repartition(max(_whole(total["n"], TASK_FILES), _whole(total["size"], TASK_BYTES))).mapInArrow(read, "name string, content binary")
 
 
 def read_named(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``name, content`` of the files below ``path`` whose last name matches ``pattern``, hidden ones too."""
-    spark.dataSource.register(NamedFiles)
-    return spark.read.format("named_files").option("pattern", pattern).load(path)
+    """``name, content`` of the files below ``path`` whose last name matches ``pattern``, hidden ones too; bytes that are no UTF-8 are replaced."""
+    return read_bytes(spark, path, pattern).select("name", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))

@@ -46,3 +46,21 @@ def test_a_name_given_twice_leaves_nothing(spark, tmp_path):
 def test_names_stay_below_the_path(spark, tmp_path):
     with pytest.raises(Exception, match="not a name"):
         named.write_named(spark.createDataFrame([("../x", json.dumps(1))], "name string, content string"), str(tmp_path / "lib"))
+
+
+def sent_to_driver(spark, work):
+    """Bytes of the results of all tasks that ``work`` runs."""
+    context = spark.sparkContext
+    stages = lambda: context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    of = lambda: {(s.stageId(), s.attemptId()): s.resultSize() for s in (found.apply(i) for found in [stages()] for i in range(found.size()))}
+    before = of()
+    work()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(size for at, size in of().items() if at not in before)
+
+
+def test_names_do_not_pass_through_the_driver(spark, tmp_path):
+    rows = lambda n: spark.range(0, n, 1, 4).select(F.format_string("folder/a-rather-long-name-of-a-file-%09d", "id").alias("name"), F.lit("x").alias("content"))
+    few, many = (sent_to_driver(spark, lambda n=n: named.write_named(rows(n), str(tmp_path / str(n)))) for n in (100, 2_100))
+    assert len(listed(tmp_path / "2100")) == 2_100
+    assert many - few < 2_000 * 20
