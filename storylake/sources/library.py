@@ -20,16 +20,23 @@ VOLUME = "volume INT, chapterRange ARRAY<INT>, chapters ARRAY<STRUCT<title: STRI
 PROGRESS = "next_url STRING, next_index INT, story_title STRING"
 
 
+def _placed(found: DataFrame, base: str) -> DataFrame:
+    """Files ``name`` below ``base`` with ``source, slug, file_name``; hidden ones are passed over, as Spark's readers do."""
+    path = F.concat_ws("/", F.lit(base.rstrip("/")), "name")
+    part = lambda pattern: F.regexp_extract(path, pattern, 1)
+    return found.where(~F.rlike("name", F.lit("(^|/)[._]"))).withColumns({"source": part(r"/([^/]+)/[^/]+/[^/]+$"), "slug": part(r"/([^/]+)/[^/]+$"), "file_name": part(r"/([^/]+)$")})
+
+
 def _files(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
-    """JSON files called ``name`` under any source and slug; no rows where there are none."""
-    read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(base)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # Spark states it as an address
-    return read.select(
-        F.regexp_extract(path, r"/([^/]+)/[^/]+/[^/]+$", 1).alias("source"),
-        F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1).alias("slug"),
-        F.regexp_extract(path, r"/([^/]+)$", 1).alias("file_name"),
-        "*",
-    )
+    """Rows of the JSON files called ``name`` under any source and slug, an object or an array of them each; no rows where there are none.
+
+    A file that isn't JSON is a row of nulls. Files are listed and read by tasks:
+    Spark's own listing takes a task for every few folders and brings every file's status to the driver.
+    """
+    rows = f"ARRAY<STRUCT<{schema}>>"
+    found = _placed(named.read_named(spark, base, name), base).where("trim(content) <> ''")
+    read = F.coalesce(F.from_json("content", rows), F.array(F.lit(None)).cast(rows))
+    return found.select("source", "slug", "file_name", F.explode(read).alias("row")).select("source", "slug", "file_name", "row.*")
 
 
 @dataclass
@@ -60,12 +67,12 @@ class Library:
 
     def stories(self) -> DataFrame:
         """``source, slug, has_index, has_metadata``: every folder that holds one or the other."""
-        both = self.index().select("source", "slug", F.lit("index").alias("kind")).unionByName(self.metadata().select("source", "slug", F.lit("metadata").alias("kind")))
-        return both.groupBy("source", "slug").agg(F.bool_or(F.col("kind") == "index").alias("has_index"), F.bool_or(F.col("kind") == "metadata").alias("has_metadata"))
+        held = _placed(named.listed(self.spark, self.base, "*.json"), self.base).where("file_name IN ('chapters_index.json', 'metadata.json')")
+        return held.groupBy("source", "slug").agg(F.bool_or(F.col("file_name") == "chapters_index.json").alias("has_index"), F.bool_or(F.col("file_name") == "metadata.json").alias("has_metadata"))
 
     def rebuilt_index(self) -> DataFrame:
         """Index made anew from the volumes: the last file, then the last position wins."""
-        rows = volumes.last_written(self.chapters(), ["source", "slug", "index"], "vol_file", "pos")
+        rows = volumes.last_written(self.chapters().drop("paragraphs"), ["source", "slug", "index"], "vol_file", "pos")
         return rows.select("source", "slug", "index", "title")
 
     def list_stories(self) -> DataFrame:
@@ -145,8 +152,8 @@ def write_checkpoints(checkpoints: DataFrame, finished: DataFrame, base: str) ->
 
 def copied(spark: SparkSession, source: str, target: str) -> None:
     """Every JSON file of the library ``source`` in place of whatever ``target`` held."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(source)
-    named.write_named(found.select(F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("name"), "content"), target, "overwrite")
+    found = _placed(named.read_bytes(spark, source, "*.json"), source)
+    named.write_named(found.select(F.concat_ws("/", "source", "slug", "file_name").alias("name"), "content"), target, "overwrite")
 
 
 def upserted(old: DataFrame, new: DataFrame, finished: DataFrame, keys: list[str], order: str) -> DataFrame:
