@@ -1,5 +1,6 @@
 """Edge cases of skill checks, settings, extraction and the player."""
 
+import random
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 
 from storylake.functions import text as tx
 from storylake.operators import config, extraction, html, player, scripts, skills
+from storylake.sources import settings
 from storylake.sources.library import left_to_read, open_library, upserted, write_checkpoints, write_volumes
-from storylake.sources.settings import csv_cells, yaml_entries
+from storylake.sources.settings import csv_cells, yaml_entries, yaml_rows
 
 
 def one(spark, value, kind, build):
@@ -145,3 +147,23 @@ def test_pages_are_handed_on_in_small_batches(spark, monkeypatch):
 def test_yaml_patterns_are_tried_once_a_line(spark):
     plan = spark.createDataFrame([(YAML,)], "t string").select(yaml_entries(F.col("t")).alias("e"))._jdf.queryExecution().analyzed().toString()
     assert 0 < plan.count("regexp_extract(") <= 3
+
+
+def test_yaml_rows_equal_the_fold(spark):
+    pick = random.Random(7).choice
+    parts = ("a", "b c", ":", ": ", " ", "  ", "- ", "-", "- - ", "#", " # x", '"', "'", '"q: r"', "'s # t'", "''", "[", "{x: 1}", ">", "|-", "---", "...", "\t", "\r", "\x85", "\u2028", "\xa0", "é", "a: 1", "- b: 2", "c:", "d: >", "'e': 'f'", "a:b")
+    made = ["".join(pick(("", "", "  ", "    ", "\t")) + "".join(pick(parts) for _ in range(pick((0, 1, 2, 3, 5)))) + pick(("\n", "\n", "\r\n", "\n\n", "\n    ")) for _ in range(pick(range(14)))) for _ in range(2_000)]
+    texts = spark.createDataFrame(list(enumerate([YAML, None, "", "- a\n- b: c\n", *made])), "id long, t string")
+    found = {}
+    for r in yaml_rows(texts, "id", "t").collect():
+        found.setdefault(r.id, []).append((r.path, r.value))
+    assert len(found) > 1_000
+    for r in texts.select("id", "t", yaml_entries(F.col("t")).alias("e")).collect():
+        assert found.get(r.id, []) == [tuple(e) for e in r.e], r.t
+
+
+def test_yaml_rows_go_on_in_small_batches(monkeypatch):
+    monkeypatch.setattr(settings, "ENTRIES", 10)
+    texts = pa.RecordBatch.from_pydict({"id": list(range(9)), "t": ["a: 1\nb:\n- 2\n- 3\n"] * 4 + [None] * 5})
+    found = list(settings.entry_batches([texts], ["id", "path", "value"]))
+    assert len(found) > 1 and pa.Table.from_batches(found).to_pylist() == [{"id": i, "path": p, "value": v} for i in range(4) for p, v in (("a", "1"), ("b.0", "2"), ("b.1", "3"))]
