@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storylake.operators import config, findings, modules, tracking
 from storylake.operators.merge import parsed_spec
+from storylake.sources import nested
 from storylake.sources import settings as source
 from storylake.sources.tables import table
 
@@ -156,7 +157,7 @@ def yaml_nested(spark, folder):
     listed = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     orders = table(spark, folder, "orders").join(listed, "o_orderkey")
     whole = F.concat(F.lit("---\n# an order\norder:\n  key: "), text("o_orderkey"), F.lit("\n  customer:\n    id: "), text("o_custkey"), F.lit("\n    about: >\n      folded: text\n      - more\n  status: "), F.col("o_orderstatus"), F.lit("\nlines:\n"), F.col("lines"), F.lit("\nend: [a, b]\n"))
-    return source.yaml_rows(orders.select("o_orderkey", whole.alias("text")), "o_orderkey", "text")
+    return nested.yaml_rows(orders.select("o_orderkey", whole.alias("text")), "o_orderkey", "text")
 
 
 def definition_findings(spark, folder):

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +9,6 @@ from storylake.functions.text import bound, strip_white
 
 #: What ``\\s`` takes for white space in patterns.
 _SPACE = " \t\n\x0b\f\r"
-#: Entries of nested settings that a task holds at a time, beyond those of one text.
-ENTRIES = 1 << 16
-# A line of nested settings that is neither blank, comment nor document mark: indentation, dash, key, and what is behind them.
-_LINE = re.compile(
-    r"""^(?!---|\.\.\.|[\ \t\x0b\f\r]*+(?:\#|$))(\ *+)(-(?:\ ++|(?=[\ \t\x0b\f\r]*+$)))?+
-    (?:("[^"\n]*+"|'[^'\n]*+'|[^\s:"'\[{][^:\n]*+):(?=\s|\Z))?+([^\n]*+)""",
-    re.ASCII | re.MULTILINE | re.VERBOSE,
-)
-_QUOTED = re.compile(r"""("[^"]*"|'[^']*')\s*(?:#.*)?\Z""", re.ASCII | re.DOTALL)
-_COMMENT, _BLOCK = re.compile(r"(?:^|\s)#.*\Z", re.ASCII | re.DOTALL), re.compile(r"[>|][-+0-9]*\Z")
 
 
 def front_matter(text: Column) -> Column:
@@ -65,7 +50,7 @@ def yaml_entries(text: Column) -> Column:
     keys without a scalar have entries for what stands below them only. Scalars
     in brackets stay text; folded and literal blocks are left out. A file of
     settings is one value of the fold, which copies its entries as it goes;
-    for tables of many texts :func:`yaml_rows` is quicker.
+    for tables of many texts :func:`storylake.sources.nested.yaml_rows` is quicker.
     """
     ends = lambda v, q: F.startswith(v, F.lit(q)) & F.endswith(v, F.lit(q))
     unquoted = lambda v: F.when((ends(v, '"') | ends(v, "'")) & (F.length(v) > 1), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
@@ -116,74 +101,6 @@ def yaml_entries(text: Column) -> Column:
     return F.aggregate(F.transform(lines, told), start, step, lambda acc: acc["found"])
 
 
-def entries(text: str | None) -> Iterator[tuple[str, str]]:
-    """Path and value of the entries of one text, as :func:`yaml_entries` has them."""
-    stack, block = [], -1  # of what the line stands under: rank, path and, for lists, the number
-    for indent, dash, key, rest in _LINE.findall(text or ""):
-        column = len(indent)
-        if block >= 0:
-            if column > block:
-                continue
-            block = -1
-        rank, number = (2 * column + 1 if dash else 2 * column), 0
-        while stack and stack[-1][0] >= rank:
-            last, _, before = stack.pop()
-            if dash and last == rank:
-                number = before + 1
-        path = stack[-1][1] if stack else ""
-        if dash:
-            path = f"{path}.{number}" if path else str(number)
-            stack.append((rank, path, number))
-        if key:
-            key = key.strip(" ")
-            if key[0] in "\"'":
-                key = key[1:-1]
-            if key:
-                path = f"{path}.{key}" if path else key
-                stack.append((2 * (column + len(dash)), path, 0))
-        value = rest.rstrip(_SPACE).strip(" ")
-        if not value:
-            continue
-        if value[0] in "\"'" and (quoted := _QUOTED.match(value)):
-            value = quoted[1][1:-1]
-        else:
-            if "#" in value:
-                value = _COMMENT.sub("", value).strip(" ")
-            if not value:
-                continue
-            if value[0] in ">|" and _BLOCK.match(value):
-                block = column
-                continue
-        if path:
-            yield path, value
-
-
-def entry_batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of the entries of ``id, text`` batches."""
-    for batch in batches:
-        at, paths, values, counts = 0, [], [], []
-        for i, text in enumerate(batch.column(1)):
-            before = len(paths)
-            for path, value in entries(text.as_py()):
-                paths.append(path)
-                values.append(value)
-            counts.append(len(paths) - before)
-            if len(paths) >= ENTRIES or i == batch.num_rows - 1:  # they go on before more texts are read
-                rows = pa.array(np.repeat(np.arange(at, i + 1), counts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=names)
-                at, paths, values, counts = i + 1, [], [], []
-
-
-def yaml_rows(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, path, value``: a row for every entry of :func:`yaml_entries`, for tables of many texts.
-
-    A fold copies its stack and its entries at every line; a loop over the lines of a batch's texts does not.
-    """
-    kept = texts.select(id_col, text_col)
-    names = [id_col, "path", "value"]
-    return kept.mapInArrow(lambda batches: entry_batches(batches, names), f"{id_col} {kept.schema[id_col].dataType.simpleString()}, path string, value string")
-
-
 def content_lines(text: Column) -> Column:
     """Lines that aren't blank, without front matter."""
     body = F.regexp_replace(text, r"(?s)\A---\s*\n(.*?)\n---\s*\n", "")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from storylake.functions import text as tx
 from storylake.operators import config, extraction, html, player, scripts, skills
-from storylake.sources import settings
+from storylake.sources import nested
 from storylake.sources.library import left_to_read, open_library, upserted, write_checkpoints, write_volumes
-from storylake.sources.settings import csv_cells, yaml_entries, yaml_rows
+from storylake.sources.settings import csv_cells, yaml_entries
 
 
 def one(spark, value, kind, build):
@@ -155,7 +155,7 @@ def test_yaml_rows_equal_the_fold(spark):
     made = ["".join(pick(("", "", "  ", "    ", "\t")) + "".join(pick(parts) for _ in range(pick((0, 1, 2, 3, 5)))) + pick(("\n", "\n", "\r\n", "\n\n", "\n    ")) for _ in range(pick(range(14)))) for _ in range(2_000)]
     texts = spark.createDataFrame(list(enumerate([YAML, None, "", "- a\n- b: c\n", *made])), "id long, t string")
     found = {}
-    for r in yaml_rows(texts, "id", "t").collect():
+    for r in nested.yaml_rows(texts, "id", "t").collect():
         found.setdefault(r.id, []).append((r.path, r.value))
     assert len(found) > 1_000
     for r in texts.select("id", "t", yaml_entries(F.col("t")).alias("e")).collect():
@@ -163,7 +163,15 @@ def test_yaml_rows_equal_the_fold(spark):
 
 
 def test_yaml_rows_go_on_in_small_batches(monkeypatch):
-    monkeypatch.setattr(settings, "ENTRIES", 10)
-    texts = pa.RecordBatch.from_pydict({"id": list(range(9)), "t": ["a: 1\nb:\n- 2\n- 3\n"] * 4 + [None] * 5})
-    found = list(settings.entry_batches([texts], ["id", "path", "value"]))
-    assert len(found) > 1 and pa.Table.from_batches(found).to_pylist() == [{"id": i, "path": p, "value": v} for i in range(4) for p, v in (("a", "1"), ("b.0", "2"), ("b.1", "3"))]
+    monkeypatch.setattr(nested, "BYTES", 20)
+    texts = pa.RecordBatch.from_pydict({"id": list(range(9)), "t": ["a: 1\nb:\n- 2\n- 3\n"] * 4 + [None, "", "# no", "- |\n  x", "---"]})
+    found = list(nested.entry_batches([texts, texts.slice(0, 0), texts.slice(4)], ["id", "path", "value"]))
+    assert len(found) > 4 and pa.Table.from_batches(found).to_pylist() == [{"id": i, "path": p, "value": v} for i in range(4) for p, v in (("a", "1"), ("b.0", "2"), ("b.1", "3"))]
+
+
+def test_yaml_rows_of_deep_and_long_texts():
+    deep = "".join(f"{' ' * i}k{i}:\n" for i in range(200)) + f"{' ' * 200}- end\n"
+    flat = "".join(f"- {i}\n" for i in range(5_000))
+    block = "a: |\n" + "  b: |\n   c\n" * 2_000 + "d: 1\n"
+    got = [x.to_pylist() for x in nested.entries(pa.array([1, 2, 3]), pa.array([deep, flat, block]))]
+    assert list(zip(*got)) == [(1, ".".join(f"k{i}" for i in range(200)) + ".0", "end"), *((2, str(i), str(i)) for i in range(5_000)), (3, "d", "1")]
